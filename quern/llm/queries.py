@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, host_reputation, lexicon_bpe, pu_quality, secrets, toxicity
+from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, pu_quality, secrets, toxicity
 from .common import read
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -19,6 +19,12 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(read(spark, sf_dir, "pages"), URL_RULES, outcomes)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) with at least 0.8 of the item's 5-word shingles."""
+    pairs = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return pairs.withColumn("containment", F.round("containment", 6))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -27,6 +33,10 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_bpe.digests(lexicon_bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -41,18 +51,69 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_reputation": op2_host_reputation,
+    "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pu_quality": op5_pu_quality,
+    "op6_ngram_join": op6_ngram_join,
     "op7_lexicon_bpe": op7_lexicon_bpe,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
+#: In SQL, url parts, the prior of each level and the posterior bound, as host_reputation has them.
+_OP2 = """
+    WITH raw AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
+    seen AS (SELECT doc_id AS page_id, avg(quality) >= 0.5 AS good FROM labels GROUP BY doc_id),
+    h0 AS (SELECT host, sum(CASE WHEN good THEN 1.0 ELSE 0.0 END)::DOUBLE AS good, count(good)::DOUBLE AS n FROM p LEFT JOIN seen USING (page_id) GROUP BY host),
+    h AS (SELECT *, list_last(string_split(host, '.')) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM h0),
+    d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
+    s AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY ALL),
+    t AS (SELECT (coalesce(sum(good), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM s),
+    ks AS (SELECT sum(n * (good / n - m) ** 2) AS ss, sum(m * (1 - m)) AS pq, sum((n - 1) * m * (1 - m)) AS npq FROM s, t WHERE n > 0),
+    s2 AS (SELECT suffix, (good + k * m) / (n + k) AS m FROM s, t, (SELECT K(ss, pq, npq) AS k FROM ks)),
+    d1 AS (SELECT d.*, m FROM d JOIN s2 USING (suffix)),
+    kd AS (SELECT sum(n * (good / n - m) ** 2) AS ss, sum(m * (1 - m)) AS pq, sum((n - 1) * m * (1 - m)) AS npq FROM d1 WHERE n > 0),
+    d2 AS (SELECT domain, suffix, (good + k * m) / (n + k) AS m FROM d1, (SELECT K(ss, pq, npq) AS k FROM kd)),
+    h1 AS (SELECT h.*, m FROM h JOIN d2 USING (domain, suffix)),
+    kh AS (SELECT sum(n * (good / n - m) ** 2) AS ss, sum(m * (1 - m)) AS pq, sum((n - 1) * m * (1 - m)) AS npq FROM h1 WHERE n > 0),
+    h2 AS (SELECT host, good + k * m AS a, n - good + k * (1 - m) AS b FROM h1, (SELECT K(ss, pq, npq) AS k FROM kh)),
+    h3 AS (SELECT host, round(a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 9) AS posterior_bound FROM h2),
+    r AS (SELECT p.*, posterior_bound, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p JOIN h3 USING (host))
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+           WHEN posterior_bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, posterior_bound FROM r
+"""
+_K = "coalesce(CASE WHEN npq > 0 AND ss > pq AND (ss - pq) / npq > 0.001 THEN greatest(1.0, least(1000.0, 1 / ((ss - pq) / npq) - 1)) ELSE 1000.0 END, 1000.0)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_host_reputation": _OP2.replace("K(ss, pq, npq)", _K),
+    "op3_decontaminate": """
+        WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+        iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
+        iss AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM iss GROUP BY item_id),
+        c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN iss USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shared, n_shingles, round(n_shared / n_shingles, 6) AS containment FROM c JOIN n USING (item_id) WHERE n_shared >= ceil(n_shingles * 0.8 - 1e-9)
+    """,
     "op4_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op6_ngram_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
+    """,
 }
