@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, pu_quality, secrets, toxicity
+from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, secrets, token_codec, toxicity
 from .common import read
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url.  A labels row whose doc_id equals the page_id is taken as that page's outcome."""
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
@@ -45,11 +49,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files below the shared checkpoint folder and reads them back."""
+    path = token_codec.token_folder(spark)
+    token_codec.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_codec.summary(token_codec.read_tokens(spark, path))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_diff": op1_page_diff,
     "op2_host_reputation": op2_host_reputation,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
@@ -57,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_lexicon_bpe": op7_lexicon_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_token_codec": op9_token_codec,
     "op10_secret_scan": op10_secret_scan,
 }
 
