@@ -19,10 +19,12 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 LEXICON_SIZE = 65_536
 #: Chunks that a worker remembers before it starts anew; bounds its memory.
-MEMO = 250_000
+MEMO = 400_000
 
 
 # ------------------------------------------------------------------ tokenizer
@@ -66,12 +68,19 @@ class WordBpe:
     def merge(self, word: bytes) -> list[int]:
         parts = [self.alphabet[b] for b in word]
         parts[-1] += self.suffix
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 40))
-            if (parts[best], parts[best + 1]) not in rank:
+        rank, none = self.rank.get, 1 << 40
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts]
 
     def normal(self, chunk: str) -> str:
@@ -152,7 +161,9 @@ class Lexicon:
     """The memory-mapped automaton."""
 
     def __init__(self, path: str):
-        flat = np.memmap(path, np.uint64, "r")
+        with open(path, "rb") as f:
+            self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        flat = np.frombuffer(self.file, np.uint64)
         self.root, sizes, at, parts = int(flat[0]), flat[1:7], 7, []
         for n in map(int, sizes):
             parts.append(flat[at : at + n])
@@ -183,8 +194,16 @@ class Lexicon:
             alive, state, number = alive[~ended], state[~ended], number[~ended]
         return out
 
-    def output(self, number: int) -> list[int]:
-        return self.ids[int(self.offsets[number]) : int(self.offsets[number + 1])].tolist()
+    def outputs(self, numbers: np.ndarray) -> list[bytes]:
+        """Ids of the numbered words, each as little-endian unsigned 32-bit integers."""
+        if not len(numbers):
+            return []
+        begin, end = self.offsets[numbers].astype(np.int64), self.offsets[numbers + 1].astype(np.int64)
+        lens = end - begin
+        upto = np.cumsum(lens)
+        flat = self.ids[np.repeat(begin - (upto - lens), lens) + np.arange(upto[-1])].astype("<u4").tobytes()
+        stops = (4 * upto).tolist()
+        return [flat[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 class Encoder:
@@ -194,25 +213,35 @@ class Encoder:
         self.bpe = WordBpe(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.memo: dict[str, bytes] = {}
+        self.rare: dict[bytes, bytes] = {}  # merged words, by their bytes
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.memo) > MEMO:
             self.memo.clear()
+        if len(self.rare) > MEMO:
+            self.rare.clear()
+        special, rare = self.bpe.special, self.rare
         new = [c for c in chunks if c not in self.memo]
-        split = [[] if c in self.bpe.special else self.bpe.chunk_words(c) for c in new]
-        distinct = list(dict.fromkeys(w for ws in split for w in ws))
-        found = self.lexicon.numbers(distinct) if self.lexicon else np.full(len(distinct), -1)
-        ids = {w: self.lexicon.output(n) if n >= 0 else self.bpe.merge(w) for w, n in zip(distinct, found.tolist(), strict=True)}
+        split = [[] if c in special else self.bpe.chunk_words(c) for c in new]
+        distinct = list({w for ws in split for w in ws}.difference(rare))
+        ids: dict[bytes, bytes] = {}
+        if self.lexicon:
+            number = self.lexicon.numbers(distinct)
+            known = np.flatnonzero(number >= 0)
+            ids = dict(zip([distinct[i] for i in known.tolist()], self.lexicon.outputs(number[known]), strict=True))
+        for w in distinct:
+            if w not in ids:
+                rare[w] = array("I", self.bpe.merge(w)).tobytes()
+        ids.update((w, rare[w]) for ws in split for w in ws if w in rare)
         for c, ws in zip(new, split, strict=True):
-            flat = [self.bpe.special[c]] if c in self.bpe.special else [i for w in ws for i in ids[w]]
-            self.memo[c] = np.array(flat, "<u4").tobytes()
+            self.memo[c] = array("I", [special[c]]).tobytes() if c in special else ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.bpe.chunks(t or "") for t in texts]
         out: list[bytes] = []
-        for at in range(0, len(split), 64):  # few enough texts that their chunks fit the memo
-            part = split[at : at + 64]
+        for at in range(0, len(split), 256):  # few enough texts that their chunks fit the memo
+            part = split[at : at + 256]
             self.learn(set().union(*part))
             out += [b"".join(map(self.memo.__getitem__, cs)) for cs in part]
         return out

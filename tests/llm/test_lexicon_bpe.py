@@ -46,7 +46,7 @@ def test_automaton_is_minimal_and_exact(tmp_path):
     (tmp_path / "x").write_bytes(flat)
     lex = L.Lexicon(str(tmp_path / "x"))
     assert lex.numbers(words).tolist() == list(range(len(words)))
-    assert lex.output(7) == [7, 8]
+    assert lex.outputs(np.array([7, 0])) == [np.array([7, 8], '<u4').tobytes(), np.array([0, 1], '<u4').tobytes()]
     absent = [w + b"z" for w in words[:50]] + [b"", b"zz", b"a" * 40]
     assert set(lex.numbers(absent).tolist()) == {-1}
     assert len(lex.final) < sum(map(len, words)) / 4  # suffixes are shared
