@@ -8,7 +8,9 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BY_QUERY = Window.partitionBy("query_id")
+
+def by_query():
+    return Window.partitionBy("query_id")
 
 
 def above(hits: DataFrame, least: float) -> DataFrame:
@@ -16,7 +18,7 @@ def above(hits: DataFrame, least: float) -> DataFrame:
 
 
 def above_share_of_best(hits: DataFrame, share: float) -> DataFrame:
-    return hits.withColumn("_best", F.max("score").over(BY_QUERY)).where(F.col("score") >= share * F.col("_best")).drop("_best")
+    return hits.withColumn("_best", F.max("score").over(by_query())).where(F.col("score") >= share * F.col("_best")).drop("_best")
 
 
 def diversify(hits: DataFrame, factor: float = 0.5, source: str = "source") -> DataFrame:
@@ -27,10 +29,10 @@ def diversify(hits: DataFrame, factor: float = 0.5, source: str = "source") -> D
 
 def cut_at_cliff(hits: DataFrame, keep: int = 5, of_best: float = 0.05, of_previous: float = 0.4) -> DataFrame:
     """Cut at the first hit past ``keep`` that falls below 5 % of the best or 40 % of the one before."""
-    order = BY_QUERY.orderBy(F.desc("score"), "id")
-    rows = hits.withColumns({"_n": F.row_number().over(order), "_prev": F.lag("score").over(order), "_best": F.max("score").over(BY_QUERY)})
+    order = by_query().orderBy(F.desc("score"), "id")
+    rows = hits.withColumns({"_n": F.row_number().over(order), "_prev": F.lag("score").over(order), "_best": F.max("score").over(by_query())})
     cliff = (F.col("_n") > keep) & ((F.col("score") < of_best * F.col("_best")) | (F.col("score") < of_previous * F.col("_prev")))
-    rows = rows.withColumn("_cut", F.min(F.when(cliff, F.col("_n"))).over(BY_QUERY))
+    rows = rows.withColumn("_cut", F.min(F.when(cliff, F.col("_n"))).over(by_query()))
     return rows.where(F.col("_cut").isNull() | (F.col("_n") < F.col("_cut"))).drop("_n", "_prev", "_best", "_cut")
 
 
@@ -76,7 +78,7 @@ def token_estimate(text: Column) -> Column:
 
 def within_budget(blocks: DataFrame, budget: int, order: str = "seq", text: str = "text") -> DataFrame:
     """Leading blocks of each query that fit; each block costs a separator token more, a first block too long is cut."""
-    w = BY_QUERY.orderBy(order)
+    w = by_query().orderBy(order)
     cost = token_estimate(F.col(text)) + 1
     rows = blocks.withColumns({"_sum": F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)})
     rows = rows.where((F.col("_sum") <= budget) | (F.col("_n") == 1))
@@ -85,13 +87,13 @@ def within_budget(blocks: DataFrame, budget: int, order: str = "seq", text: str
 
 def last_within_budget(lines: DataFrame, budget: int, order: str = "seq", text: str = "text") -> DataFrame:
     """Trailing lines of each query that fit."""
-    w = BY_QUERY.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    w = by_query().orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("_sum", F.sum(token_estimate(F.col(text)) + 1).over(w)).where(F.col("_sum") <= budget).drop("_sum")
 
 
 def until_size(chunks: DataFrame, most: int, order: str = "seq", text: str = "text") -> DataFrame:
     """Chunks up to and with the one that crosses ``most`` bytes."""
-    before = F.coalesce(F.sum(F.octet_length(text)).over(BY_QUERY.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.octet_length(text)).over(by_query().orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return chunks.withColumn("_before", before).where(F.col("_before") < most).drop("_before")
 
 
@@ -110,9 +112,9 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 def rerank(hits: DataFrame, scorer, k: int) -> DataFrame:
     """Replace scores by ``scorer(query, text)`` (a Column function or pandas UDF), held to [0, 1] per query."""
     raw = hits.withColumn("score", scorer(F.col("query"), F.col("text")))
-    lo, hi = F.min("score").over(BY_QUERY), F.max("score").over(BY_QUERY)
+    lo, hi = F.min("score").over(by_query()), F.max("score").over(by_query())
     scaled = raw.withColumn("score", F.when((lo >= 0) & (hi <= 1), F.col("score")).when(hi - lo < 1e-9, 0.5).otherwise((F.col("score") - lo) / (hi - lo)))
-    order = BY_QUERY.orderBy(F.desc("score"), "id")
+    order = by_query().orderBy(F.desc("score"), "id")
     return scaled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -146,7 +148,7 @@ def parse_ranking(output: str | None, n: int) -> list[int] | None:
 
 def apply_ranking(hits: DataFrame, order: DataFrame) -> DataFrame:
     """``order`` is (query_id, rank, new_rank), 0-based; hits it lacks follow in their old order."""
-    n = F.count(F.lit(1)).over(BY_QUERY)
+    n = F.count(F.lit(1)).over(by_query())
     both = hits.join(order, ["query_id", "rank"], "left")
     place = F.coalesce(F.col("new_rank"), n + F.col("rank"))
-    return both.withColumn("rank", F.row_number().over(BY_QUERY.orderBy(place, "id")) - 1).drop("new_rank")
+    return both.withColumn("rank", F.row_number().over(by_query().orderBy(place, "id")) - 1).drop("new_rank")
