@@ -1 +1,95 @@
-"""Queries."""
+"""Graphs: co-occurrence, k-hop, knowledge maps, plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..tables import read
+from . import query
+
+_EDGES = "SELECT DISTINCT s_suppkey % 50 AS src, (s_suppkey * 7 + s_nationkey) % 50 AS dst FROM supplier"
+
+
+def _edges(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    return s.select((F.col("s_suppkey") % 50).alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 50).alias("dst")).distinct()
+
+
+@query("SELECT c_mktsegment AS name, min(n_name) AS entity_type, list_sort(list(DISTINCT c_nationkey)) AS doc_ids FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def g1_entities(spark, sf_dir):
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    m = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)  # 25 nations
+    return G.entities(m.select(F.col("c_mktsegment").alias("name"), F.col("n_name").alias("entity_type"), F.col("c_nationkey").alias("doc_id")))
+
+
+@query("SELECT o_orderkey % 40 AS src, o_custkey % 60 AS dst, count(*) AS n FROM orders WHERE o_custkey % 60 < 40 GROUP BY ALL")
+def g2_valid_edges(spark, sf_dir):
+    """Edges whose ends both exist, counted."""
+    o = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 40).alias("src"), (F.col("o_custkey") % 60).alias("dst"))
+    nodes = o.select(F.col("src").alias("name")).distinct()
+    return G.valid_edges(o, nodes).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS start, src AS name, 0 AS depth FROM e WHERE src < 3
+    UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 3) SELECT start, name, min(depth) AS depth FROM r GROUP BY ALL""")
+def j12_within_hops(spark, sf_dir):
+    """Nodes within three hops."""
+    e = _edges(spark, sf_dir)
+    return G.within_hops(e, e.where("src < 3").select(F.col("src").alias("name")).distinct(), 3)
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS start, src AS name, 0 AS depth FROM e WHERE src < 3
+    UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 2), m AS (SELECT start, name, min(depth) AS depth FROM r GROUP BY ALL)
+    SELECT start, c_custkey AS doc_id, min(depth) AS depth FROM m JOIN customer ON c_custkey % 50 = name WHERE c_custkey % 5 = 0 GROUP BY ALL""")
+def g3_related_documents(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    c = read(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select((F.col("c_custkey") % 50).alias("name"), F.lit("customer").alias("entity_type"), F.col("c_custkey").alias("doc_id"))
+    return G.related_documents(G.entities(c), e, e.where("src < 3").select(F.col("src").alias("name")).distinct(), 2)
+
+
+@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS dir, s_suppkey % 3 AS kind, s_acctbal / 10000 AS sim FROM supplier)
+    SELECT a.id AS src, b.id AS dst, 'same_directory' AS relation, 0.8 AS weight FROM n a JOIN n b ON a.dir = b.dir AND a.id < b.id
+    UNION ALL SELECT a.id, b.id, 'semantic', round(0.6 * (1 - abs(a.sim - b.sim)), 6) FROM n a JOIN n b ON a.kind = b.kind AND a.dir <> b.dir AND a.id < b.id AND 1 - abs(a.sim - b.sim) > 0.99""")
+def j7_edges(spark, sf_dir):
+    """Edges in one directory, and of similar items of one kind elsewhere.
+
+    Similar means a close value, so the join is on (kind, bucket of the value)
+    and its neighbour bucket, not on kind alone.
+    """
+    n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("dir"), (F.col("s_suppkey") % 3).alias("kind"), (F.col("s_acctbal") / 10000).alias("sim"))
+    a, b = (n.select(*(F.col(c).alias(f"{c}_{s}") for c in n.columns)) for s in "ab")
+    same = a.join(b, F.col("dir_a") == F.col("dir_b")).where("id_a < id_b").select("id_a", "id_b", F.lit("same_directory").alias("relation"), F.lit(0.8).alias("weight"))
+    bucket = lambda c: F.floor(F.col(c) / 0.01)
+    x = a.withColumn("k", F.explode(F.array(*(bucket("sim_a") + d for d in (-1, 0, 1)))))
+    near = x.join(b, (F.col("kind_a") == F.col("kind_b")) & (x.k == bucket("sim_b"))).where("dir_a <> dir_b AND id_a < id_b")
+    s = 1 - F.abs(F.col("sim_a") - F.col("sim_b"))
+    near = near.where(s > 0.99).select("id_a", "id_b", F.lit("semantic").alias("relation"), F.round(0.6 * s, 6).alias("weight"))
+    return same.unionByName(near).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), "relation", "weight")
+
+
+@query("WITH n AS (SELECT s_suppkey AS id, s_nationkey AS kind, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) SELECT a.id AS src, b.id AS dst, 0.6 AS weight FROM n a JOIN n b ON a.kind = b.kind AND b.i - a.i BETWEEN 1 AND 2")
+def j8_knowledge_map(spark, sf_dir):
+    """Edges to the next two of a kind."""
+    return G.next_in_group(read(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", 2, 0.6)
+
+
+_PLAN = "steps AS (SELECT p_partkey AS step, p_size::DOUBLE AS cost, p_size % 7 + 1 AS duration, (p_size % 10) / 10 AS risk FROM part WHERE p_partkey < 128), needs AS (SELECT step, step // 2 AS need FROM steps WHERE step // 2 > 0)"
+
+
+def _plan(spark, sf_dir):
+    steps = read(spark, sf_dir, "part").where("p_partkey < 128").select(F.col("p_partkey").alias("step"), F.col("p_size").cast("double").alias("cost"), (F.col("p_size") % 7 + 1).alias("duration"), ((F.col("p_size") % 10) / 10).alias("risk"))
+    return steps, steps.select("step", F.floor(F.col("step") / 2).alias("need")).where("need > 0")
+
+
+@query(f"WITH RECURSIVE {_PLAN}, l AS (SELECT step, 0 AS level FROM steps WHERE step NOT IN (SELECT step FROM needs) UNION ALL SELECT n.step, l.level + 1 FROM l JOIN needs n ON n.need = l.step) SELECT step, max(level) AS level FROM l GROUP BY step")
+def w15_levels(spark, sf_dir):
+    return G.levels(*_plan(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_PLAN}, l AS (SELECT step, 0 AS level FROM steps WHERE step NOT IN (SELECT step FROM needs) UNION ALL SELECT n.step, l.level + 1 FROM l JOIN needs n ON n.need = l.step),
+    p AS (SELECT level, sum(cost) AS cost, sum(duration) AS serial, max(duration) AS parallel, max(risk) AS risk FROM steps JOIN (SELECT step, max(level) AS level FROM l GROUP BY step) USING (step) GROUP BY level)
+    SELECT sum(cost) AS cost, sum(serial)::BIGINT AS serial, sum(parallel)::BIGINT AS parallel, max(risk) AS risk, CASE WHEN max(risk) >= 0.8 THEN 'critical' WHEN max(risk) >= 0.6 THEN 'high' WHEN max(risk) >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM p""")
+def a23_plan_cost(spark, sf_dir):
+    steps, needs = _plan(spark, sf_dir)
+    return G.plan_cost(steps, G.levels(steps, needs))

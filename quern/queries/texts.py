@@ -1 +1,185 @@
-"""Queries."""
+"""Text functions, field extraction, chunking and query analysis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import nlq, text as T
+from ..operators import chunking, rank
+from ..tables import read
+from . import query
+
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _rule_sql(rules: list, default: str, q: str) -> str:
+    """The rules as a CASE for DuckDB."""
+    n = f"len(list_filter(regexp_split_to_array({q}, '\\s+'), lambda w: w <> ''))"
+
+    def one(kind, v):
+        if kind in ("any", "none"):
+            s = "(" + " OR ".join(f"contains({q}, {_quote(x)})" for x in v) + ")"
+            return s if kind == "any" else f"NOT {s}"
+        if kind == "all":
+            return "(" + " AND ".join(f"contains({q}, {_quote(x)})" for x in v) + ")"
+        if kind == "starts":
+            return "(" + " OR ".join(f"starts_with({q}, {_quote(x)})" for x in v) + ")"
+        if kind == "equals":
+            return f"{q} IN ({', '.join(map(_quote, v))})"
+        if kind == "regex":
+            return f"regexp_matches({q}, {_quote(v)})"
+        if kind == "words_at_most":
+            return f"{n} <= {v}"
+        if kind == "words_over":
+            return f"{n} > {v}"
+        return f"length({q}) - length(replace({q}, '?', '')) > {v}"
+
+    return "CASE " + " ".join(f"WHEN {' AND '.join(one(k, v) for k, v in cs)} THEN '{name}'" for name, cs in rules) + f" ELSE '{default}' END"
+
+
+#: Queries made of the turns: a lead phrase by conversation, then the first words.
+_LEADS = ["", "what is the clause ", "hi ", "compare ", "how many ", "find ", "calculate ", "show me that ", "where and ", "in 2023 the ", "explain ", "latest ", "create a function ", "ok ", "my salary is "]
+_Q_SQL = "SELECT conv_id, turn, lead || array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') AS q FROM (SELECT *, (" + "CASE conv_id % 15 " + " ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_LEADS)) + " END) AS lead FROM conversations)"
+
+
+def _queries(spark, sf_dir):
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("conv_id") % 15 + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")).alias("q"))
+
+
+@query(f"SELECT conv_id, turn, {_rule_sql(nlq.INTENTS, 'GeneralKnowledge', 'lower(q)')} AS intent, {_rule_sql(nlq.CONTEXTS, 'DocumentQuery', 'lower(q)')} AS context, {_rule_sql(nlq.RETRIEVAL, 'false', 'lower(q)')} = 'true' AS retrieve, {_rule_sql(nlq.ROUTES, 'search', 'lower(q)')} AS route FROM ({_Q_SQL})")
+def f7_intent(spark, sf_dir):
+    """Intents, context, the retrieval gate and the route."""
+    q = F.col("q")
+    return _queries(spark, sf_dir).select("conv_id", "turn", nlq.intent(q).alias("intent"), nlq.context_intent(q).alias("context"), nlq.should_retrieve(q).alias("retrieve"), nlq.route(q).alias("route"))
+
+
+@query(f"SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(q, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT) AS year, list_distinct(regexp_extract_all(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names FROM ({_Q_SQL})".replace("list_distinct(regexp_extract_all(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names", "len(list_distinct(regexp_extract_all(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS names"))
+def f9_requirements(spark, sf_dir):
+    """F9, F10."""
+    r = nlq.requirements(F.col("q"))
+    return _queries(spark, sf_dir).select("conv_id", "turn", r["year"].alias("year"), F.size(r["names"]).cast("long").alias("names"))
+
+
+@query()
+def f10_strategy(spark, sf_dir):
+    """The whole analysis of a query as one row."""
+    q = _queries(spark, sf_dir)
+    s = nlq.strategy(nlq.intent(F.col("q")))
+    return q.select("conv_id", "turn", nlq.intent(F.col("q")).alias("intent"), s["strategy"].alias("strategy"), s["k"].alias("k"), s["confidence"].alias("confidence"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: strlen(w) > 1 AND w NOT IN (" + ", ".join(map(_quote, nlq.STOP_WORDS)) + f")), ' ') AS keywords FROM ({_Q_SQL})")
+def f18_keywords(spark, sf_dir):
+    return _queries(spark, sf_dir).select("conv_id", "turn", F.array_join(nlq.keywords(F.col("q")), " ").alias("keywords"))
+
+
+@query()
+def f13_expansion(spark, sf_dir):
+    return _queries(spark, sf_dir).select("conv_id", "turn", F.posexplode(nlq.expand(F.col("q"))).alias("n", "variant"))
+
+
+@query()
+def f6_decompose(spark, sf_dir):
+    d = nlq.decompose(F.concat(F.col("q"), F.lit(" and what is the value of it")))
+    return _queries(spark, sf_dir).select("conv_id", "turn", d["strategy"].alias("strategy"), F.size(d["parts"]).alias("n"))
+
+
+@query("SELECT doc_id, (strlen(text) + 3) // 4 AS tokens, length(text) AS chars, strlen(text) AS bytes FROM documents")
+def f1_token_estimate(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", rank.token_estimate(F.col("text")).alias("tokens"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+_FIELD_SQL = ", ".join(f"nullif(array_to_string(regexp_extract_all(text, {_quote(p)}), {_quote(s)}), '') AS {n}" for n, (p, s) in T.FIELDS.items() if n != "phones")
+
+
+@query(f"SELECT doc_id, {_FIELD_SQL}, nullif(regexp_extract(text, {_quote(T.INVOICE)}, 1), '') AS invoice_no FROM documents")
+def c5_fields(spark, sf_dir):
+    f = T.extracted_fields(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in f.items() if k != "phones"))
+
+
+@query("SELECT doc_id, nullif(array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?:\\+91[ \\t-]?)?(?:[0-9][ \\t-]?){10}'), lambda p: regexp_replace(p, '[^0-9+]', '', 'g')), lambda p: length(p) >= 10), ', '), '') AS phones FROM documents")
+def c5_phones(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.extracted_fields(F.col("text"))["phones"].alias("phones"))
+
+
+@query()
+def c1_chunks(spark, sf_dir):
+    """Chunks with byte offsets, headings and context."""
+    d = read(spark, sf_dir, "documents")
+    return chunking.chunks(d, title=F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), source=F.col("source"))
+
+
+@query()
+def c4_section_chunks(spark, sf_dir):
+    """C4: customers as tables of their orders, nations as forms, documents as pages of text."""
+    o, c, d = (read(spark, sf_dir, t) for t in ("orders", "customer", "documents"))
+    none = {"fields": "array<struct<k:string,v:string>>", "headers": "array<string>", "rows": "array<array<string>>", "content": "string", "page": "int"}
+    fill = lambda *have: [F.lit(None).cast(t).alias(n) for n, t in none.items() if n not in have]
+    tables = o.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("doc_id")).agg(F.sort_array(F.collect_list(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))).alias("rows"))
+    tables = tables.select("doc_id", F.lit("table").alias("kind"), "rows", F.array(F.lit("order"), F.lit("status"), F.lit("priority")).alias("headers"), *fill("rows", "headers"))
+    forms = c.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("doc_id"), F.lit("form").alias("kind"), F.array(F.struct(F.lit("name").alias("k"), F.col("c_name").alias("v")), F.struct(F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v"))).alias("fields"), *fill("fields"))
+    texts = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("text").alias("kind"), F.col("text").alias("content"), (F.col("doc_id") % 9).cast("int").alias("page"), *fill("content", "page"))
+    return chunking.section_chunks(tables.unionByName(forms).unionByName(texts))
+
+
+@query()
+def f4_compress(spark, sf_dir):
+    """The three best sentences for a benchmark item."""
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    return d.join(b, d.doc_id % 40 == b.item_id).select("doc_id", "item_id", T.compress(F.col("text"), F.col("query"), 3).alias("text"))
+
+
+@query("SELECT doc_id, lower(text) = lower(source) AS same, CASE WHEN lower(lang) = lower(source) THEN 1.0 WHEN starts_with(source, lang) THEN 0.9 WHEN contains(source, lang) THEN 0.7 + 0.2 * length(lang) / length(source) ELSE round(len(list_filter(string_split(lang, ''), lambda c: contains(source, c))) / greatest(length(lang), length(source)), 6) END AS similarity FROM documents")
+def f23_similarity(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", (F.lower("text") == F.lower("source")).alias("same"), F.round(T.similarity(F.col("lang"), F.col("source")), 6).alias("similarity"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '[DATE]', 'g'), '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b', '[NAME]', 'g'), '\\d+', '[NUMBER]', 'g') AS masked FROM documents WHERE lang = 'en'")
+def f33_placeholders(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.placeholders(F.col("text")).alias("masked"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g')) AS safe FROM documents")
+def f35_escape(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.escape_html(F.col("text")).alias("escaped"), T.safe_id(F.col("source")).alias("safe"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d-%H') AS hour_key, hour(ts) AS hour, (isodow(ts) - 1) AS weekday, CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM events")
+def f39_dates(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd-HH").alias("hour_key"), F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), T.time_of_day(F.col("ts")).alias("part"))
+
+
+@query("SELECT conv_id, turn, contains(text, '?') OR contains(lower(text), 'todo') OR contains(lower(text), 'to do') AS unresolved FROM conversations")
+def f37_unresolved(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.unresolved(F.col("text")).alias("unresolved"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN floor(c_acctbal)::BIGINT::VARCHAR ELSE regexp_replace(regexp_replace(printf('%.4f', c_acctbal), '0+$', ''), '\\.$', '') END AS cell FROM customer")
+def s21_cells(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", T.cell(F.col("c_acctbal")).alias("cell"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def f30_norms(spark, sf_dir):
+    from ..operators import vector
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.l2_norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 49999 < 1024 THEN (p_size * 49999) || ' B' WHEN p_size * 49999 < 1048576 THEN printf('%.1f KB', p_size * 49999 / 1024) ELSE printf('%.1f MB', p_size * 49999 / 1048576) END AS size FROM part")
+def l12_file_size(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.file_size(F.col("p_size") * 49_999).alias("size"))
+
+
+@query()
+def s16_html_text(spark, sf_dir):
+    """Tags stripped, block elements as lines."""
+    from ..sources.html import strip_tags
+
+    return read(spark, sf_dir, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
