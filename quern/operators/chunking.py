@@ -40,7 +40,8 @@ def spans(data: bytes, size: int, overlap: int, least: int) -> list[tuple[int, i
         if end - start >= least:
             out.append((start, end))
         step = end - start - overlap
-        start = max(_snap(data, start + (step if step > 0 else end - start)), start + 1)
+        after = _snap(data, start + (step if step > 0 else end - start))
+        start = after if after > start else end
     return out
 
 
