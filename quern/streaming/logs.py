@@ -13,21 +13,26 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Watermarks need timestamps with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def hourly(events: DataFrame, retention: str = "72 hours") -> DataFrame:
     """(hour, n, errors, avg_ms): tumbling hours, kept as state for ``retention``."""
-    w = events.withWatermark("ts", retention).groupBy(F.window("ts", "1 hour"))
+    w = timed(events).withWatermark("ts", retention).groupBy(F.window("ts", "1 hour"))
     out = w.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("errors"), F.avg("duration_ms").alias("avg_ms"))
     return out.select(F.col("window.start").alias("hour"), "n", "errors", "avg_ms")
 
 
 def sliding(events: DataFrame, width: str = "24 hours", step: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(start, stop, n) of sliding windows (an extra)."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n")).select("window.start", F.col("window.end").alias("stop"), "n")
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n")).select("window.start", F.col("window.end").alias("stop"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "31 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, n): sessions closed by a gap."""
-    s = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    s = timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.col("s.start").alias("start"), "n")
 
 
