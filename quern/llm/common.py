@@ -40,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row.
+
+    A column expression that a lambda uses is computed for each element; as the
+    variable of an outer lambda it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

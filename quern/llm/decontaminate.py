@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, let
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,28 +41,21 @@ def words(text: Column) -> Column:
 
 def shingles(ws: Column, k: int) -> Column:
     """Distinct shingles of exactly ``k`` words, as strings."""
-    n = F.size(ws) - k + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+    return let(ws, lambda w: F.when(F.size(w) >= k, F.array_distinct(each(w))).otherwise(F.array().cast("array<string>")))
 
 
-def shingle_hashes(ws: Column, k: int) -> Column:
-    """Distinct hashes of the shingles; words are hashed once each."""
-    hs = F.transform(ws, lambda w: F.xxhash64(w))
-    n = F.size(ws) - k + 1
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.xxhash64(*(F.get("_h", i + j) for j in range(k))))
-    return hs, F.when(n > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _hashed(rows: DataFrame, k: int) -> DataFrame:
-    """Adds _hashes from column _w."""
-    hs, each = shingle_hashes(F.col("_w"), k)
-    return rows.withColumn("_h", hs).withColumn("_hashes", each).drop("_h")
+def shingle_hashes(ws: Column, k: int, least: float = 1) -> Column:
+    """Distinct hashes of the shingles, each word hashed once; none when there are fewer than ``least`` shingles."""
+    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+    enough = lambda h: (F.size(h) >= k) & (F.size(h) - k + 1 >= least)
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.when(enough(h), F.array_distinct(each(h))).otherwise(F.array().cast("array<bigint>")))
 
 
 def sketches(items: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """item_id, size_class, n_shingles, item_shingles, sketch (hashes)."""
     own = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("_w")).where(F.size("_w") > 0)
-    own = _hashed(own.where(F.size("_w") >= k), k).withColumn("item_shingles", shingles(F.col("_w"), k))
+    own = own.where(F.size("_w") >= k).withColumns({"_hashes": shingle_hashes(F.col("_w"), k), "item_shingles": shingles(F.col("_w"), k)})
     n = F.size("_hashes")
     keep = (F.floor((1 - threshold) * n + 1e-9) + 1).cast("int")
     return own.select(
@@ -83,8 +76,8 @@ def _search(docs: DataFrame, items: DataFrame, k: int, threshold: float, broadca
         return docs.select("doc_id").limit(0).crossJoin(index.select("item_id").limit(0)).selectExpr("doc_id", "item_id", "0L n_shared", "0L n_shingles", "0D containment")
     small = least["rows"] <= broadcast_rows
     side = F.broadcast(sketch) if small else sketch
-    hashed = _hashed(docs.select("doc_id", words(F.col("text")).alias("_w")).where(F.size("_w") - k + 1 >= threshold * least["least"]), k)
-    pairs = hashed.select("doc_id", F.explode("_hashes").alias("_x")).join(side, "_x").select("doc_id", "item_id").distinct()
+    hashes = shingle_hashes(words(F.col("text")), k, threshold * least["least"])
+    pairs = docs.select("doc_id", F.explode(hashes).alias("_x")).join(side, "_x").select("doc_id", "item_id").distinct()
     pairs = cut(pairs)
     found = pairs.count()
     ids = pairs.select("doc_id").distinct()
