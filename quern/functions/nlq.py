@@ -173,7 +173,7 @@ def requirements(text: Column) -> Column:
         F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1).try_cast("int").alias("year"),
         F.regexp_extract(text, r"[<>]\s*(\d+(?:\.\d+)?)", 1).try_cast("double").alias("bound"),
         (F.locate(">", text) > 0).alias("more"),
-        F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0))).alias("names"),
+        F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0))).alias("names"),
     )
 
 

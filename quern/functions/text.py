@@ -123,7 +123,7 @@ def line_diff(old: Column, new: Column) -> Column:
 def placeholders(text: Column) -> Column:
     """Dates, then names, then numbers replaced by masks."""
     text = F.regexp_replace(text, r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b", "[DATE]")
-    text = F.regexp_replace(text, r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "[NAME]")
+    text = F.regexp_replace(text, r"[A-Z][a-z]+ [A-Z][a-z]+", "[NAME]")
     return F.regexp_replace(text, r"\d+", "[NUMBER]")
 
 

@@ -56,7 +56,7 @@ def f7_intent(spark, sf_dir):
     return _queries(spark, sf_dir).select("conv_id", "turn", nlq.intent(q).alias("intent"), nlq.context_intent(q).alias("context"), nlq.should_retrieve(q).alias("retrieve"), nlq.route(q).alias("route"))
 
 
-@query(f"SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(q, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT) AS year, list_distinct(regexp_extract_all(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names FROM ({_Q_SQL})".replace("list_distinct(regexp_extract_all(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names", "len(list_distinct(regexp_extract_all(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS names"))
+@query(f"SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(q, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT) AS year, list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names FROM ({_Q_SQL})".replace("list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names", "len(list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS names"))
 def f9_requirements(spark, sf_dir):
     """F9, F10."""
     r = nlq.requirements(F.col("q"))
@@ -140,7 +140,7 @@ def f23_similarity(spark, sf_dir):
     return d.select("doc_id", (F.lower("text") == F.lower("source")).alias("same"), F.round(T.similarity(F.col("lang"), F.col("source")), 6).alias("similarity"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '[DATE]', 'g'), '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b', '[NAME]', 'g'), '\\d+', '[NUMBER]', 'g') AS masked FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '[DATE]', 'g'), '[A-Z][a-z]+ [A-Z][a-z]+', '[NAME]', 'g'), '\\d+', '[NUMBER]', 'g') AS masked FROM documents WHERE lang = 'en'")
 def f33_placeholders(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.placeholders(F.col("text")).alias("masked"))
 

@@ -159,3 +159,32 @@ def test_files(spark, tmp_path):
     assert p == {"Word": 2, "Presentation": 1, "Spreadsheet": 1, "Text": 1}
     n = {r.column: r.numeric for r in files.numeric_columns(spark.createDataFrame([("1", "x"), ("2", "3"), (None, None)], "a string, b string"), ["a", "b"]).collect()}
     assert n == {"a": True, "b": False}
+
+
+def test_answers(spark):
+    from quern.functions import answers as A
+
+    text = "Here:\n```mermaid\ngraph TD\n```\n```python\n" + "x = 1\n" * 7 + "```\n| a | b |\n| 1 | 2 |"
+    b = one(spark, A.blocks(F.lit(text)))
+    assert [x.kind for x in b] == ["diagram", "code", "table"]
+    assert len(one(spark, A.artifacts(F.lit(text)))) == 1
+    r = one(spark, A.router(F.lit('Sure: {"intent": "search", "query": "tax", "confidence": 0.8} ok')))
+    assert (r.intent, r.query, r.confidence) == ("search", "tax", 0.8)
+    m = F.create_map(F.lit("a"), F.lit("1"), F.lit("ok"), F.lit("true"))
+    assert one(spark, A.substitute(F.lit("x {{a}} {{b}}"), m)) == "x 1 {{b}}"
+    assert one(spark, A.holds(F.lit("a == '1'"), m)) and one(spark, A.holds(F.lit("ok"), m)) and not one(spark, A.holds(F.lit("b"), m))
+    assert one(spark, A.rewrite_follow_up(F.lit("what does it cost"), F.lit("Plan $9"))) == "what does Plan $9 cost"
+    assert one(spark, A.rewrite_follow_up(F.lit("and price"), F.lit("Plan"))) == "Plan and price"
+    assert one(spark, A.entities(F.lit("The Acme Corp met John Smith there."))) == ["Acme Corp", "John Smith"]
+    fields = F.array(F.struct(F.lit("age").alias("name"), F.lit("number").alias("type"), F.lit(True).alias("required")))
+    assert one(spark, A.json_schema(F.lit("T"), fields)) == '{"type":"object","title":"T","properties":{"age":{"type":"number"}},"required":["age"]}'
+
+
+def test_hooks(spark):
+    from quern.operators import hooks, vector
+
+    df = hooks.embed(spark.createDataFrame([("a b",), ("a b",), (None,)], "text string"), "text")
+    rows = df.select("vector", vector.l2_norm(F.col("vector")).alias("n")).collect()
+    assert rows[0].vector == rows[1].vector and all(abs(r.n - 1) < 1e-5 for r in rows)
+    with pytest.raises(KeyError):
+        hooks.get("scorer", "none")
