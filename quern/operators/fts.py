@@ -12,11 +12,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.octet_length(w) <= 40))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, dl); with ``terms`` (term), only theirs, before anything is shuffled."""
+#: Most query terms (some 20 bytes each) that are broadcast.
+BROADCAST_TERMS = 500_000
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, id, tf, dl); with ``terms`` (term), only theirs, before anything is shuffled while they are few."""
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws")).select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
     if terms is not None:
-        rows = rows.join(F.broadcast(terms), "term", "left_semi")
+        rows = rows.join(F.broadcast(terms) if terms.count() <= broadcast_terms else terms, "term", "left_semi")
     return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -35,14 +35,16 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: st
     return rows.withColumn("score", cosine(F.col(vec_col), F.array(*map(F.lit, map(float, query))))).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id", query_block: int = 512) -> DataFrame:
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id", query_block: int = 512, broadcast_queries: int = 50_000) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of queries (query_id, vector) against all vectors.
 
     Queries travel in blocks of ``query_block`` rows.  Each Arrow batch of vectors
     meets a block in one matrix product and keeps k per query, so what is
     shuffled is k rows per query and batch, not the products.
     """
-    blocks = queries.select(F.struct(F.col(query_col).alias("q"), F.col("vector").alias("v")).alias("x"), F.pmod(F.xxhash64(query_col), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / query_block))).alias("b")).groupBy("b").agg(F.collect_list("x").alias("block"))
+    n = queries.count()
+    block = F.pmod(F.xxhash64(query_col), F.lit(max(1, -(-n // query_block))))
+    blocks = queries.select(F.struct(F.col(query_col).alias("q"), F.col("vector").alias("v")).alias("x"), block.alias("b")).groupBy("b").agg(F.collect_list("x").alias("block"))
     kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +63,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(n), (len(q), 1))
                 yield pa.RecordBatch.from_pylist([{"query_id": qs[i]["q"], "id": ids[j], "score": float(s[i, j])} for i in range(len(qs)) for j in top[i]])
 
-    flat = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(blocks))  # query blocks are a stated, bounded set
+    # Every block meets every batch: a nested loop over a broadcast of counted size, else over partitions of blocks.
+    flat = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(F.broadcast(blocks) if n <= broadcast_queries else blocks)
     near = flat.select("id", "v", "b", "block").mapInArrow(run, f"query_id {kind[0]}, id {kind[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
