@@ -3,9 +3,10 @@
 Normalised text is range-partitioned by sampled splitters
 (``repartitionByRange`` samples its input to choose them), sorted externally
 inside each range so that equal texts are adjacent, and neighbouring rows are
-compared in full by the window's group boundary.  Range partitioning by
-``(text, salt)`` already clusters a window over the same columns, so text moves
-through exactly one shuffle.
+compared in full by the window's group boundary.  Splitters hold the first
+characters of a text, its digest and a salt, so the sample that chooses them is
+small however long texts are; range partitioning by these columns already
+clusters a window over them and the text, so text moves through one shuffle.
 
 A text with very many copies would fill one range.  A first pass counts rows
 by SHA-256 digest (partial aggregation, so a hot digest costs one row per map
@@ -26,6 +27,7 @@ from .common import ascii_lower
 
 HOT_FRACTION = 1 / 2000
 SALTS = 64
+HEAD = 32  # characters of the text in a splitter
 
 
 def exact_groups(
@@ -49,8 +51,9 @@ def exact_groups(
 
     tagged = rows.join(F.broadcast(hot), "sha", "left")
     salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0)
-    ranged = tagged.withColumn("salt", salt).repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt")
+    # Splitters are sampled whole and go to the driver, so they are short: the head of the text, then its digest.
+    ranged = tagged.withColumn("salt", salt).withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange("head", "sha", "salt")
+    run = Window.partitionBy("head", "sha", "salt", "norm")
     out = ranged.withColumn("run_id", best("doc_id").over(run)).withColumn("run_n", F.count(F.lit(1)).over(run))
     keep_id = F.coalesce("hot_id", "run_id")
     return out.select(
