@@ -194,7 +194,7 @@ def learn_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,40}"), F.lit(0))
     pairs = F.transform(F.col("ws"), lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("ws", i - 1)).otherwise("").alias("before")))
-    seen = sample.select("doc_id", "y", words.alias("ws")).select("doc_id", "y", F.explode(F.array_distinct(pairs)).alias("x")).select("doc_id", "y", "x.w", "x.before").where(F.length("w") > 3)
+    seen = sample.select("doc_id", "y", words.alias("ws")).select("doc_id", "y", F.explode(pairs).alias("x")).select("doc_id", "y", "x.w", "x.before").where(F.length("w") > 3)
     by_doc = seen.groupBy("w", "doc_id").agg(F.max("y").alias("y"), F.min("before").alias("before"))
     by_word = by_doc.groupBy("w").agg(F.sum(1 - F.col("y")).alias("b"), F.approx_count_distinct(F.when(F.col("y") == 1, F.col("before"))).alias("a"))
     by_word = by_word.where("a > 0 OR b > 0").persist()
