@@ -291,8 +291,23 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", size: int = LEXICON_SIZE) -> str:
-    """Compile the ``size`` most frequent words and ship the file; its name for ``SparkFiles.get``."""
-    top = count_words(docs, tokenizer_path, text_col).orderBy(F.desc("n"), "word").limit(size).collect()  # bounded by size
+    """Compile at most ``size`` words, the most frequent, and ship the file; its name for ``SparkFiles.get``.
+
+    A histogram of the counts by eighths of a power of two (some hundred rows)
+    gives the least count whose words still fit, so no task sends more than its
+    share of them to the driver.
+    """
+    level = F.floor(F.log2("n") * 8)
+    counts = count_words(docs, tokenizer_path, text_col).persist()
+    try:
+        least, kept = None, 0
+        for r in sorted(counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["b"]):
+            if kept + r["c"] > size:
+                break
+            least, kept = r["b"], kept + r["c"]
+        top = [] if least is None else counts.where(level >= least).select("word").collect()  # bounded by size
+    finally:
+        counts.unpersist()
     bpe = WordBpe(tokenizer_path)
     flat = compile_lexicon((w, bpe.merge(w)) for w in sorted(bytes(r["word"]) for r in top))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
