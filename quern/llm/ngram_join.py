@@ -143,7 +143,12 @@ def shared_counts(docs: DataFrame, k: int, t: Fraction, id_col: str = "doc_id",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["d64", "shared"])
+            """One packed row a bucket of sets, so that rows do not grow with the number of tasks."""
+            order = np.argsort(ids % buckets, kind="stable")
+            ids, n = ids[order], n[order]
+            at = np.flatnonzero(np.concatenate(([True], np.diff(ids % buckets) != 0, [True])))
+            packed = [ids[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(ids[at[:-1]] % buckets, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         def total(parts: list) -> tuple[np.ndarray, np.ndarray]:
             ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -180,9 +185,16 @@ def shared_counts(docs: DataFrame, k: int, t: Fraction, id_col: str = "doc_id",
         if parts:
             yield batch(*total(parts))
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(p, np.int64).reshape(2, -1) for b in batches for p in b.column(1).to_pylist()]
+        if parts:
+            ids, n = np.concatenate(parts, 1)
+            keys, at = np.unique(ids, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.bincount(at, n, len(keys)).astype(np.int64), pa.int64())], ["d64", "shared"])
+
     packed = _rows(docs, id_col, text_col).mapInArrow(spread, "bucket long, d64 long, shared long, packed binary")
-    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "d64 long, shared long")
-    return counts.groupBy("d64").agg(F.sum("shared").alias("shared"))
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket long, packed binary")
+    return counts.repartition("bucket").mapInArrow(add, "d64 long, shared long")
 
 
 # ------------------------------------------------------------------ steps 3 to 5
@@ -227,7 +239,9 @@ def index_lists(sets: DataFrame, t: Fraction) -> DataFrame:
     """(token, id, n, pos) for elements in at least two sets, within the prefix of the rare-first order."""
     flat = sets.select("id", "n", F.explode("tokens").alias("token"))
     often = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per_set = flat.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.array_distinct(F.collect_list(F.struct("df", "token")))).alias("own"))  # bounded by the set
+    per_set = flat.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))  # bounded by the set
+    # A repeated row repeats its elements; they lie side by side here (array_distinct compares structs pair by pair).
+    per_set = per_set.select("id", "n", F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1) != x)).alias("own"))
     alone = F.col("n") - F.size("own")  # elements of no other set come first and have no list
     last = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator)
     take = F.greatest((last - alone + 1).cast("int"), F.lit(0))
