@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import rank
 from ..tables import read
-from . import query
+from . import ORACLE_SQL, query, whole
 
 #: Result lists: a customer's part hits, scored by price; the order date's year is the source.
 _H = """WITH h AS (SELECT o_custkey AS query_id, l_orderkey * 10 + l_linenumber AS id, l_extendedprice / 100000 AS score,
     'src' || (l_suppkey % 4) AS source, l_shipdate, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = o_custkey % 20)"""
+#: What the SQL keeps, about half of the orders; the queries NAME_whole read all of them.
+_HALF = "o_custkey % 10 = o_custkey % 20"
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_hits(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    rows = li.join(o, li.l_orderkey == o.o_orderkey).where("o_custkey % 10 = o_custkey % 20")
+    rows = li.join(o.where(where), li.l_orderkey == o.o_orderkey)
     return rows.select(
         F.col("o_custkey").alias("query_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -26,32 +28,36 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_hits(spark, sf_dir, _HALF)
+
+
 @query(_H + " SELECT query_id, id, score FROM h WHERE score >= 0.3")
-def p8_threshold(spark, sf_dir):
-    return rank.above(_hits(spark, sf_dir), 0.3).select("query_id", "id", "score")
+def p8_threshold(spark, sf_dir, hits=_hits):
+    return rank.above(hits(spark, sf_dir), 0.3).select("query_id", "id", "score")
 
 
 @query(_H + " SELECT query_id, id, score FROM h QUALIFY score >= 0.15 * max(score) OVER (PARTITION BY query_id)")
-def p9_share_of_best(spark, sf_dir):
-    return rank.above_share_of_best(_hits(spark, sf_dir), 0.15).select("query_id", "id", "score")
+def p9_share_of_best(spark, sf_dir, hits=_hits):
+    return rank.above_share_of_best(hits(spark, sf_dir), 0.15).select("query_id", "id", "score")
 
 
 @query(_H + " SELECT query_id, id, round(score * 0.5 ** (row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) - 1), 9) AS score FROM h")
-def w3_diversity(spark, sf_dir):
-    return rank.diversify(_hits(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"))
+def w3_diversity(spark, sf_dir, hits=_hits):
+    return rank.diversify(hits(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query(_H + """, n AS (SELECT *, row_number() OVER w AS n, lag(score) OVER w AS prev, max(score) OVER (PARTITION BY query_id) AS best FROM h WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
     c AS (SELECT *, min(CASE WHEN n > 5 AND (score < 0.05 * best OR score < 0.4 * prev) THEN n END) OVER (PARTITION BY query_id) AS cut FROM n)
     SELECT query_id, id, score FROM c WHERE cut IS NULL OR n < cut""")
-def w4_score_cliff(spark, sf_dir):
-    return rank.cut_at_cliff(_hits(spark, sf_dir)).select("query_id", "id", "score")
+def w4_score_cliff(spark, sf_dir, hits=_hits):
+    return rank.cut_at_cliff(hits(spark, sf_dir)).select("query_id", "id", "score")
 
 
 @query(_H + " SELECT query_id, id, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50")
-def t2_candidates(spark, sf_dir):
+def t2_candidates(spark, sf_dir, hits=_hits):
     """Five times k candidates of each list, ties by id."""
-    h = _hits(spark, sf_dir)
+    h = hits(spark, sf_dir)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return h.withColumn("n", F.row_number().over(w)).where("n <= 50").select("query_id", "id", "score")
 
@@ -136,9 +142,9 @@ def v14_content_boost(spark, sf_dir):
 @query(_H + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM h),
     o AS (SELECT *, CASE WHEN rank < 6 AND rank % 2 = 0 THEN 4 - rank END AS nr, count(*) OVER (PARTITION BY query_id) AS n FROM r)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(nr, n + rank), id) - 1 AS rank FROM o""")
-def v13_apply_ranking(spark, sf_dir):
+def v13_apply_ranking(spark, sf_dir, hits=_hits):
     """An order for some hits (here 4, 2, 0); the rest keep theirs behind."""
-    h = _hits(spark, sf_dir)
+    h = hits(spark, sf_dir)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     r = h.withColumn("rank", F.row_number().over(w) - 1)
     order = r.where("rank < 6 AND rank % 2 = 0").select("query_id", "rank", (4 - F.col("rank")).alias("new_rank"))
@@ -146,5 +152,9 @@ def v13_apply_ranking(spark, sf_dir):
 
 
 @query(_H + " SELECT query_id, coalesce(avg(score), 0) AS confidence FROM (SELECT query_id, round(score, 2) AS score FROM h) GROUP BY query_id".replace("coalesce(avg(score), 0)", "round(coalesce(avg(score), 0), 6)"))
-def p15_confidence(spark, sf_dir):
-    return _hits(spark, sf_dir).groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.round("score", 2)), F.lit(0.0)), 6).alias("confidence"))
+def p15_confidence(spark, sf_dir, hits=_hits):
+    return hits(spark, sf_dir).groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.round("score", 2)), F.lit(0.0)), 6).alias("confidence"))
+
+
+for _f in (p8_threshold, p9_share_of_best, w3_diversity, w4_score_cliff, t2_candidates, v13_apply_ranking, p15_confidence):
+    whole(_f, ORACLE_SQL[_f.__name__].replace(f" WHERE {_HALF}", ""), hits=_all_hits)
