@@ -7,11 +7,13 @@ whose path has the longer common prefix; their text lines are aligned by
 longest common subsequence (bit-parallel, so a page of n lines costs n / 64 words
 a line), and lines that both share are deleted as site furniture.
 
-Two rules keep the result exact.  Lines inside an article or main element stay
+Two rules guard the result.  Lines inside an article or main element stay
 even when the neighbour has them too: a passage that two articles share is
 text.  Lines inside navigation, headers, footers, sidebars, notices, adverts,
-forms and reader comments go whether shared or not.  Where a page has an
-article, only its lines are the text; differencing decides on pages without one.
+forms and reader comments go whether shared or not.  Differencing decides on all
+other lines, those outside an article too.  A neighbour without text or
+that is a whole copy of the page says nothing about furniture, so the other one
+is taken, or none; a page without a neighbour to compare with has only its article's lines, if it has one.
 
 The first or last page of a range may lack one of its two neighbours.  A null
 or empty page gives an empty text; a page that is cut off is read to its end;
@@ -130,8 +132,8 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> tuple[str, int]:
     """(main text, number of lines shared with the paired page)."""
-    shared = shared_lines([t for t, _ in lines], [t for t, _ in other]) if other else set()
-    least = 2 if any(z == 2 for _, z in lines) else 1
+    shared = shared_lines([t for t, _ in lines], [t for t, _ in other]) if other is not None else set()
+    least = 2 if other is None and any(z == 2 for _, z in lines) else 1
     return " ".join(t for i, (t, z) in enumerate(lines) if z >= least and (z == 2 or i not in shared)), len(shared)
 
 
@@ -147,9 +149,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def near(x, y) -> int:
             return len(os.path.commonprefix([x[3], y[3]])) if x and y and x[2] == y[2] else -1
 
+        def copy(x, y) -> bool:
+            return [t for t, _ in x[4]] == [t for t, _ in y[4]]
+
         def done(last, this, following) -> tuple:
-            a, b = near(this, last), near(this, following)
-            pair = None if max(a, b) < 0 else last if a >= b else following
+            sides = sorted(((near(this, x), -i, x) for i, x in enumerate((last, following))), key=lambda s: s[:2], reverse=True)
+            pair = next((x for n, _, x in sides if n >= 0 and x[4] and not copy(this, x)), None)
             text, n = main_text(this[4], pair and pair[4])
             return this[0], this[1], text, len(text), pair and pair[0], n
 

@@ -52,3 +52,22 @@ def test_whole_table_against_article(spark):
         body = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         want[r.page_id] = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<(/?(p|h1)|br)>", " ", body))).split())
     assert {r.page_id: r.text for r in P.extract(pages).collect()} == want
+
+
+def test_differencing_decides_outside_articles(spark):
+    """Lines outside an article go when shared and stay when not; a whole copy is no evidence."""
+    page = "<div>Menu line</div><article><p>Text {0}</article><div>Byline {0}</div><div>Shared foot</div>"
+    rows = [(1, "http://a.org/1", page.format("one")), (2, "http://a.org/2", page.format("two")), (3, "http://alone.org/1", page.format("three"))]
+    rows += [(4, "http://copy.org/1", "<p>Same</p><p>words</p>"), (5, "http://copy.org/2", "<p>Same</p><p>words</p>")]
+    rows += [(6, "http://three.org/a/1", page.format("x")), (7, "http://three.org/a/2", page.format("x")), (8, "http://three.org/b", page.format("y"))]
+    got = {r.page_id: (r.text, r.paired_with) for r in P.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {
+        1: ("Text one Byline one", 2),
+        2: ("Text two Byline two", 1),
+        3: ("Text three", None),
+        4: ("Same words", None),
+        5: ("Same words", None),
+        6: ("Text x", None),
+        7: ("Text x Byline x", 8),
+        8: ("Text y Byline y", 7),
+    }
