@@ -1,8 +1,10 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are range-partitioned and sorted by (host, path, id), so each page's
+Pages are dealt to ranges of (host, path, id) and sorted, so each page's
 neighbours by URL path within its host stand beside it, and a host with very
-many pages spreads over several ranges.  A page is paired with the neighbour
+many pages spreads over several ranges.  The first and last page of a range
+also travel to the range before and after it, where they are compared with but
+not put out, so where the ranges are cut changes nothing.  A page is paired with the neighbour
 whose path has the longer common prefix; their text lines are aligned by
 longest common subsequence (bit-parallel, so a page of n lines costs n / 64 words
 a line), and lines that both share are deleted as site furniture.
@@ -15,7 +17,7 @@ other lines, those outside an article too.  A neighbour without text or
 that is a whole copy of the page says nothing about furniture, so the other one
 is taken, or none; a page without a neighbour to compare with has only its article's lines, if it has one.
 
-The first or last page of a range may lack one of its two neighbours.  A null
+A null
 or empty page gives an empty text; a page that is cut off is read to its end;
 repeated ids are separate rows; other columns are ignored.
 """
@@ -36,6 +38,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|text
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by their part in a page, and words of class, id and role that mark furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+KEY = ("host", "path", "page_id")
+SAMPLE = 20  # keys a range from which the ranges are cut
 CONTENT = frozenset(["article", "main"])
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 NESTED = frozenset("div section ul ol dl table details figure body html center".split())
@@ -137,11 +141,35 @@ def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None)
     return " ".join(t for i, (t, z) in enumerate(lines) if z >= least and (z == 2 or i not in shared)), len(shared)
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with (range, own), and the number of ranges; a row that ends a range comes once more, not own, in the next one."""
+    spark, want = rows.sparkSession, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select(F.struct(*KEY).alias("k"))
+    found = {tuple(r.k) for r in keys.orderBy(F.rand(3)).limit(SAMPLE * want).collect()}
+    found = sorted(found, key=lambda k: (k[0], k[1], k[2] is not None, k[2]))
+    step = max(1, -(-len(found) // want))
+    starts = found[step::step]
+    kind = keys.schema["k"].dataType.simpleString()
+
+    def ranged(to: DataFrame, **ends: list) -> DataFrame:
+        fixed = spark.createDataFrame([(starts, *ends.values())], ", ".join(f"{n} array<{kind}>" for n in ("starts", *ends)))  # one row
+        return to.crossJoin(F.broadcast(fixed)).withColumn("range", F.size(F.filter("starts", lambda x: x <= F.col("k"))))
+
+    last = {r["range"]: tuple(r.k) for r in ranged(keys).groupBy("range").agg(F.max("k").alias("k")).collect()}  # one row a range
+    out = ranged(rows.withColumn("k", F.struct(*KEY)), lasts=[last.get(i) for i in range(len(starts) + 1)])
+    at = F.col("range")
+    before = F.when((at > 0) & (F.col("k") == F.get("starts", at - 1)), at - 1)
+    after = F.when((at < len(starts)) & (F.col("k") == F.get("lasts", at)), at + 1)
+    out = out.select("page_id", "url", "html", "host", "path", at.alias("home"), F.explode(F.array_compact(F.array(at, before, after))).alias("range"))
+    return out.withColumn("own", F.col("home") == F.col("range")).drop("home"), len(starts) + 1
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars, paired_with, shared_lines."""
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumns({"host": host, "path": path})
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    rows, ranges = _dealt(rows)
+    rows = rows.repartitionById(ranges, "range").sortWithinPartitions("range", *KEY, F.xxhash64("html"))
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["page_id", "url", "text", "n_chars", "paired_with", "shared_lines"]
 
@@ -171,16 +199,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         id_type = pa.int64()
         for b in batches:
             id_type = b.column(0).type
-            for page_id, url, page, h, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                following = (page_id, url, h, p, text_lines(page))
-                if this:
-                    out.append(done(last, this, following))
-                last, this = this, following
+            for page_id, url, page, h, p, at, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                following = (page_id, url, h, p, text_lines(page), at, own)
+                beside = this and this[5] == at
+                if this and this[6]:
+                    out.append(done(last, this, following if beside else None))
+                last, this = this if beside else None, following
                 if len(out) >= 500:
                     yield batch()
-        if this:
+        if this and this[6]:
             out.append(done(last, this, None))
         if out:
             yield batch()
 
-    return rows.select("page_id", "url", "html", "host", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, paired_with {kind}, shared_lines int")
+    return rows.select("page_id", "url", "html", "host", "path", "range", "own").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, paired_with {kind}, shared_lines int")

@@ -71,3 +71,20 @@ def test_differencing_decides_outside_articles(spark):
         7: ("Text x Byline x", 8),
         8: ("Text y Byline y", 7),
     }
+
+
+def test_ranges_lose_no_pair(spark):
+    """Every page of a host has a neighbour wherever the ranges are cut."""
+    rows = [(i, f"http://h{i % 30:02}.org/{i:03}", f"<div>Menu {i % 30}</div><p>Own {i}</p><div>Foot</div>") for i in range(60)]
+    rows += [(100 + i, f"http://z.org/{i:03}", f"<div>Menu z</div><p>Own {100 + i}</p><div>Foot</div>") for i in range(40)] + [(None, "http://z.org/new", "<p>Foot</p><p>Own None</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 7, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = P.extract(df).collect()
+            assert sorted(r.text for r in got) == sorted(f"Own {r[0]}" for r in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[0])
+        spark.conf.set("spark.sql.shuffle.partitions", old[1])
