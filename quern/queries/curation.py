@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import rank
+from ..config import EngineConfig
+from ..operators import fts, rank
 from ..tables import read
 from . import ORACLE_SQL, query, whole
+from .retrieval import _BM25
 
 #: Result lists: a customer's part hits, scored by price; the order date's year is the source.
 _H = """WITH h AS (SELECT o_custkey AS query_id, l_orderkey * 10 + l_linenumber AS id, l_extendedprice / 100000 AS score,
@@ -103,12 +105,24 @@ def _text_hits(spark, sf_dir):
     return d.join(b, d.doc_id % 40 == b.item_id).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "source", "text", "query")
 
 
+def found_hits(spark, sf_dir):
+    """The best documents of every benchmark item by BM25, as many as the search takes for candidates."""
+    c = EngineConfig()
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    top = fts.bm25(d, b, c.top_k * c.candidate_factor).select("query_id", "id", F.round("score", 6).alias("score"))
+    return top.join(d.select(F.col("doc_id").alias("id"), "source", "text"), "id").join(b, "query_id").select("query_id", "id", "score", "source", "text", "query")
+
+
+#: The same hits for DuckDB, in place of _D.
+_FOUND = f"""WITH h AS (WITH {_BM25} SELECT query_id, id, score, source, d.text, b.text AS query FROM fts JOIN documents d ON d.doc_id = fts.id JOIN benchmark b ON b.item_id = fts.query_id)"""
+
+
 @query(_D + f""", w AS (SELECT query_id, id, source, {_WORDS.format('text')} AS w FROM h)
     SELECT a.query_id, a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
     FROM w a JOIN w b ON a.query_id = b.query_id AND a.source = b.source AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.3""")
-def j6_similar_pairs(spark, sf_dir):
+def j6_similar_pairs(spark, sf_dir, hits=_text_hits):
     """Pairs of a query's hits from one source with a word Jaccard above 0.3."""
-    w = _text_hits(spark, sf_dir).select("query_id", "id", "source", rank.word_set(F.col("text")).alias("w"))
+    w = hits(spark, sf_dir).select("query_id", "id", "source", rank.word_set(F.col("text")).alias("w"))
     a, b = (w.select("query_id", "source", F.col("id").alias(f"id_{s}"), F.col("w").alias(f"w_{s}")) for s in "ab")
     pairs = a.join(b, ["query_id", "source"]).where("id_a < id_b").withColumn("similarity", rank.jaccard(F.col("w_a"), F.col("w_b")))
     return pairs.where("similarity > 0.3").select("query_id", "id_a", "id_b", F.round("similarity", 6).alias("similarity"))
@@ -117,25 +131,25 @@ def j6_similar_pairs(spark, sf_dir):
 @query()
 def d1_dedup_results(spark, sf_dir):
     """Greedy by score within query and source, word Jaccard above 0.75."""
-    return rank.dedup_greedy(_text_hits(spark, sf_dir), 0.75).select("query_id", "id", "score", "source")
+    return rank.dedup_greedy(found_hits(spark, sf_dir), 0.75).select("query_id", "id", "score", "source")
 
 
 @query()
 def d2_dedup_content(spark, sf_dir):
     """As D1 on lower-cased words over 2 bytes, above 0.60."""
-    return rank.dedup_greedy(_text_hits(spark, sf_dir), 0.60, lower=True).select("query_id", "id", "score", "source")
+    return rank.dedup_greedy(found_hits(spark, sf_dir), 0.60, lower=True).select("query_id", "id", "score", "source")
 
 
 @query(_D + f", s AS (SELECT query_id, id, len(list_intersect({_LOW.format('query')}, {_LOW.format('text')})) / len({_LOW.format('query')}) AS score FROM h) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
-def v10_rerank(spark, sf_dir):
+def v10_rerank(spark, sf_dir, hits=_text_hits):
     """V10 with the lexical default scorer."""
-    return rank.rerank(_text_hits(spark, sf_dir), rank.lexical_overlap, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return rank.rerank(hits(spark, sf_dir), rank.lexical_overlap, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_D + """, t AS (SELECT *, list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda w: strlen(w) > 2) AS ws FROM h)
     SELECT query_id, id, round(score / 100000 + 0.5 * len(list_filter(ws, lambda w: contains(lower(text), w))) + 0.05 * len(list_filter(ws, lambda w: NOT contains(lower(text), w) AND contains(lower(source), w))), 6) AS order_key FROM t""")
-def v14_content_boost(spark, sf_dir):
-    h = _text_hits(spark, sf_dir).withColumn("score", F.col("score") / 100000)
+def v14_content_boost(spark, sf_dir, hits=_text_hits):
+    h = hits(spark, sf_dir).withColumn("score", F.col("score") / 100000)
     return rank.content_boost(h).select("query_id", "id", F.round("order_key", 6).alias("order_key"))
 
 
@@ -158,3 +172,6 @@ def p15_confidence(spark, sf_dir, hits=_hits):
 
 for _f in (p8_threshold, p9_share_of_best, w3_diversity, w4_score_cliff, t2_candidates, v13_apply_ranking, p15_confidence):
     whole(_f, ORACLE_SQL[_f.__name__].replace(f" WHERE {_HALF}", ""), hits=_all_hits)
+
+for _f in (j6_similar_pairs, v10_rerank, v14_content_boost):
+    whole(_f, ORACLE_SQL[_f.__name__].replace(_D, _FOUND), hits=found_hits)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import governance as G, store
 from ..tables import chunks, read, with_views
-from . import query
+from . import ORACLE_SQL, query
+from .curation import found_hits
+from .retrieval import _BM25
 
 
 @query(with_views("SELECT id, source, created_at FROM chunks WHERE space_id = 'en' AND created_at >= 1700100000 AND created_at <= 1703000000", "chunks"))
@@ -37,6 +39,13 @@ def j5_neighbours(spark, sf_dir):
     return store.neighbours(c, hits)
 
 
+@query(with_views(f""", h AS (WITH {_BM25} SELECT query_id, id, doc_id, chunk_index FROM fts JOIN chunks USING (id))""", "chunks") + ORACLE_SQL["j5_neighbours"].split("item_id)", 1)[1])
+def j5_neighbours_whole(spark, sf_dir):
+    """J5 over the search's hits for every benchmark item."""
+    c = chunks(spark, sf_dir)
+    return store.neighbours(c, found_hits(spark, sf_dir).select("query_id", "id").join(c.select("id", "doc_id", "chunk_index"), "id"))
+
+
 @query("SELECT count(DISTINCT source) AS documents, count(*) AS chunks FROM documents WHERE source NOT IN ('', '__seed__')")
 def s5_counts(spark, sf_dir):
     """S5, S7."""

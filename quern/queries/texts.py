@@ -8,6 +8,7 @@ from ..functions import nlq, text as T
 from ..operators import chunking, rank
 from ..tables import read
 from . import query
+from .curation import found_hits
 
 
 def _quote(s: str) -> str:
@@ -129,9 +130,8 @@ def c4_section_chunks(spark, sf_dir):
 
 @query()
 def f4_compress(spark, sf_dir):
-    """The three best sentences for a benchmark item."""
-    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    return d.join(b, d.doc_id % 40 == b.item_id).select("doc_id", "item_id", T.compress(F.col("text"), F.col("query"), 3).alias("text"))
+    """The three best sentences of each hit for its benchmark item."""
+    return found_hits(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("query_id").alias("item_id"), T.compress(F.col("text"), F.col("query"), 3).alias("text"))
 
 
 @query("SELECT doc_id, lower(text) = lower(source) AS same, CASE WHEN lower(lang) = lower(source) THEN 1.0 WHEN starts_with(source, lang) THEN 0.9 WHEN contains(source, lang) THEN 0.7 + 0.2 * length(lang) / length(source) ELSE round(len(list_filter(string_split(lang, ''), lambda c: contains(source, c))) / greatest(length(lang), length(source)), 6) END AS similarity FROM documents")

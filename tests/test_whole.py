@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quern.operators import fts
 from quern.queries import QUERIES
 from quern.tables import read
 
@@ -13,3 +14,14 @@ def test_hits_of_every_customer(spark, sf_dir):
     customers = {r[0] for r in joined.select("o_custkey").distinct().collect()}
     assert {r.query_id for r in QUERIES["p15_confidence_whole"](spark, sf_dir).collect()} == customers
     assert any(c % 20 >= 10 for c in customers)
+
+
+def test_results_come_from_the_search(spark, sf_dir):
+    """d1, d2 and f4 work on the BM25 candidates of every benchmark item; each item keeps its best."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = {(r.query_id, r.id): r["rank"] for r in fts.bm25(read(spark, sf_dir, "documents"), items, 50).collect()}
+    best = {k for k, n in found.items() if n == 1}
+    for name in ("d1_dedup_results", "d2_dedup_content"):
+        got = {(r.query_id, r.id) for r in QUERIES[name](spark, sf_dir).collect()}
+        assert best <= got <= set(found)
+    assert {(r.item_id, r.doc_id) for r in QUERIES["f4_compress"](spark, sf_dir).collect()} == set(found)
