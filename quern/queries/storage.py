@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import governance as G, store
 from ..tables import chunks, read, with_views
-from . import ORACLE_SQL, query
+from . import ORACLE_SQL, query, whole
 from .curation import found_hits
 from .retrieval import _BM25
 
@@ -144,10 +144,10 @@ def p6_compliance(spark, sf_dir):
 
 @query(_GOV + """, u AS (SELECT s_suppkey AS user_id, ['Brand#' || (11 + s_suppkey % 3), 'Brand#' || (21 + s_suppkey % 3)] AS departments, s_nationkey % 4 AS level, s_suppkey % 25 = 0 AS is_admin FROM supplier WHERE s_suppkey <= 60)
     SELECT user_id, doc_id FROM u, g WHERE access_level <= level AND (is_admin OR department IS NULL OR list_contains(departments, department))""")
-def p7_can_access(spark, sf_dir):
+def p7_can_access(spark, sf_dir, suppliers="s_suppkey <= 60"):
     s = F.col("s_suppkey")
     brand = lambda n: F.concat(F.lit("Brand#"), (n + s % 3).cast("string"))
-    users = read(spark, sf_dir, "supplier").where("s_suppkey <= 60").select(s.alias("user_id"), F.array(brand(11), brand(21)).alias("departments"), (F.col("s_nationkey") % 4).alias("level"), (s % 25 == 0).alias("is_admin"))
+    users = read(spark, sf_dir, "supplier").where(suppliers).select(s.alias("user_id"), F.array(brand(11), brand(21)).alias("departments"), (F.col("s_nationkey") % 4).alias("level"), (s % 25 == 0).alias("is_admin"))
     return G.can_access(_governed(spark, sf_dir), users)
 
 
@@ -158,10 +158,10 @@ def j9_orphans(spark, sf_dir):
 
 
 @query("SELECT n_nationkey AS space_id, n_name, count(c_custkey) AS chunks, count(DISTINCT c_mktsegment) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 = 0 GROUP BY ALL")
-def j10_space_counts(spark, sf_dir):
+def j10_space_counts(spark, sf_dir, customers="c_custkey % 3 = 0"):
     """Counts back onto the dimension, zeros included."""
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("space_id"), "n_name")
-    return store.space_counts(n, read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("space_id"), F.col("c_mktsegment").alias("doc_id")))
+    return store.space_counts(n, read(spark, sf_dir, "customer").where(customers).select(F.col("c_nationkey").alias("space_id"), F.col("c_mktsegment").alias("doc_id")))
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'Unknown') AS space FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey")
@@ -218,3 +218,7 @@ def s31_chat_export(spark, sf_dir):
 def s30_json_report(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count(F.lit(1)).alias("messages"))
     return c.select("conv_id", F.to_json(F.struct("turn", "messages")).alias("report"))
+
+
+whole(p7_can_access, ORACLE_SQL["p7_can_access"].replace(" WHERE s_suppkey <= 60", ""), suppliers="true")
+whole(j10_space_counts, ORACLE_SQL["j10_space_counts"].replace(" AND c_custkey % 3 = 0", ""), customers="true")

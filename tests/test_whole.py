@@ -25,3 +25,13 @@ def test_results_come_from_the_search(spark, sf_dir):
         got = {(r.query_id, r.id) for r in QUERIES[name](spark, sf_dir).collect()}
         assert best <= got <= set(found)
     assert {(r.item_id, r.doc_id) for r in QUERIES["f4_compress"](spark, sf_dir).collect()} == set(found)
+
+
+def test_real_keys_and_whole_turns(spark, sf_dir):
+    n = {t: read(spark, sf_dir, t).count() for t in ("part", "supplier", "conversations")}
+    assert QUERIES["w15_levels_whole"](spark, sf_dir).count() == n["part"] > 127
+    assert QUERIES["f10_strategy"](spark, sf_dir).count() == n["conversations"]
+    turns = {(r.conv_id, r.turn): r.text for r in read(spark, sf_dir, "conversations").collect()}
+    first = QUERIES["f13_expansion"](spark, sf_dir).where("n = 0").collect()
+    assert any(len(turns[r.conv_id, r.turn].split()) > 6 for r in first)
+    assert all(" ".join(turns[r.conv_id, r.turn].split()).lower() in " ".join(r.variant.split()).lower() for r in first)
