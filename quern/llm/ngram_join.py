@@ -14,12 +14,17 @@ least ``threshold`` and labels the connected components.  Exact, in these steps:
    element's list holds (set, size, position) for positions within the prefix.
 4. Answers by relation.  Each set is compared with the leading set of its lists
    (least position).  A set that is linked to its leader takes the leader's label:
-   its answers with the leader's other members follow and are never computed.
+   that joins it to the leader's other members; which of them it is linked to is
+   computed only for counts.
 5. Lists are cut into blocks by label, position and size; pairs of blocks with
    the same label, or whose bounds on size and overlap fail, are skipped whole.
    Pairs of the other blocks pass the position bound and a parity-bitmap bound
    on the symmetric difference, and are then verified on the sets.
 
+6. Links are counted where asked for: pairs of one label in blocks of a matrix
+   product over the label's sets, pairs of two labels from step 5, both weighted
+   by the rows of a class.  No pair of a label is put out.
+
 64-bit shingle hashes stand for shingles.  Null and empty texts have the empty
 set, which is linked with nothing; fewer than ``k`` words make one shingle.
 Rows that share an id are one node.
@@ -33,6 +38,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -200,7 +206,7 @@ def shared_counts(docs: DataFrame, k: int, t: Fraction, id_col: str = "doc_id",
 # ------------------------------------------------------------------ steps 3 to 5
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, tokens, bits) of (doc_id, text)."""
+    """(id, n, tokens, bits) of (doc_id, text); the id is the set's 64-bit digest, so rows of one set are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,10 +216,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 cell = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
                 bits.append(np.packbits(cell.astype(np.uint8)).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "tokens", "bits"]
+                [pa.array([int.from_bytes(digest(s)[:8], "little", signed=True) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "tokens", "bits"]
             )
 
-    return docs.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, n long, tokens array<long>, bits array<long>")
+    return docs.mapInArrow(run, "id long, n long, tokens array<long>, bits array<long>")
 
 
 def _enough(overlap: Column, na: Column, nb: Column, t: Fraction) -> Column:
@@ -253,14 +259,14 @@ def _overlap_bound(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     return F.least(na - pa_, nb - pb)
 
 
-def set_links(sets: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
-    """(a, b): links of ``sets`` (id, n, tokens, bits) that span the components of all links."""
+def set_links(sets: DataFrame, t: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links of ``sets`` (id, n, tokens, bits) that span the components of all links and hold all between two labels; (id, label) of sets linked to their leader."""
     lists = cut(index_lists(sets, t))
     leader = lists.groupBy("token").agg(F.min(F.struct("pos", "n", "id")).alias("top"))
     votes = lists.join(leader, "token").where(F.col("id") != F.col("top.id")).where(_enough(_overlap_bound(F.col("n"), F.col("pos"), F.col("top.n"), F.col("top.pos")), F.col("n"), F.col("top.n"), t))
     votes = votes.groupBy("id", F.col("top.id").alias("lead")).agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.max(F.struct("v", F.col("lead").alias("b"))).alias("x")).select(F.col("id").alias("a"), F.col("x.b").alias("b"))
-    stars = cut(_links(best, sets, t))
+    stars = cut(_links(best, sets, t).distinct())
 
     label = stars.select(F.col("a").alias("id"), F.col("b").alias("label"))
     entries = lists.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("pb", F.floor(F.col("pos") / 8)).withColumn("nb", F.floor(F.log(F.col("n").cast("double")) * 8))
@@ -275,27 +281,84 @@ def set_links(sets: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
     pairs = meet.join(side("x"), ["token", "label_x", "pb_x", "nb_x"]).join(side("y"), ["token", "label_y", "pb_y", "nb_y"])
     pairs = pairs.where(_enough(_overlap_bound(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y")), F.col("n_x"), F.col("n_y"), t))
     pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    return stars.unionByName(_links(cut(pairs), sets, t))
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return stars.unionByName(_links(cut(pairs), sets, t)), label
+
+
+def _label_counts(members: DataFrame, t: Fraction) -> DataFrame:
+    """(id, links): rows of the sets of ``members`` (label, id, n, tokens, size) that a set of the same label is linked to."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.drop_duplicates("id")
+        n, size = g["n"].to_numpy(np.int64), g["size"].to_numpy(np.int64)
+        _, token, df = np.unique(np.concatenate(list(g["tokens"])), return_inverse=True, return_counts=True)
+        often = np.cumsum(df > 1) - 1  # elements of one set only are in no overlap
+        row = np.repeat(np.arange(len(g)), n)
+        row, token = row[df[token] > 1], often[token[df[token] > 1]]
+        width = max(1, int((df > 1).sum()))
+        step = max(1, 2**23 // width)
+
+        def block(i: int) -> np.ndarray:
+            lo, hi = np.searchsorted(row, (i, i + step))
+            m = np.zeros((min(step, len(g) - i), width), np.float32)
+            m[row[lo:hi] - i, token[lo:hi]] = 1
+            return m
+
+        links = np.zeros(len(g), np.int64)
+        for i in range(0, len(g), step):
+            x = block(i)
+            for j in range(0, len(g), step):
+                y = x if i == j else block(j)
+                near = (x @ y.T) * (t.numerator + t.denominator) >= (n[i : i + step, None] + n[None, j : j + step]) * t.numerator
+                if i == j:
+                    np.fill_diagonal(near, False)
+                links[i : i + step] += near @ size[j : j + step]
+        return pd.DataFrame({"id": g["id"].to_numpy(), "links": links})
+
+    return members.groupBy("label").applyInPandas(count, "id long, links long")
+
+
+def link_counts(sets: DataFrame, links: DataFrame, label: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
+    """(id, links): rows of other sets that a set is linked to; ``sizes`` is (id, size), the rows of a set."""
+    named = sets.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")).join(sizes, "id")
+    shared = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("label")
+    within = _label_counts(sets.select("id", "n", "tokens").join(named.join(shared, "label"), "id"), t)
+    side = lambda x: named.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"), F.col("size").alias(f"size_{x}"))
+    across = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
+    ends = across.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("size_b").alias("links")), F.struct(F.col("b").alias("id"), F.col("size_a").alias("links")))).alias("x")).select("x.*")
+    return within.unionByName(ends).groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, count_links: bool = True) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    With ``count_links`` also n_links, the number of other rows whose set is linked with the row's.
+    """
     own = cut(set_digests(docs, k, id_col, text_col))
-    classes = own.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("d64").alias("d64"))
+    classes = own.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("d64").alias("d64"), F.count(F.lit(1)).alias("size"))
     counts = shared_counts(docs, k, threshold, id_col, text_col)
     # Partners of a set of n have ceil(t n) elements or more, so this many are sure to be shared.
     sure = F.floor(F.ceil(F.col("n") * threshold.numerator / threshold.denominator) * 3 / 20) + 1
     stay = cut(classes.join(counts, "d64").where(F.col("shared") >= sure).select(F.col("rep").alias("doc_id")))
     ids = F.broadcast(stay) if stay.count() <= broadcast_rows else stay
     texts = _rows(docs, id_col, text_col).join(ids, "doc_id")
-    links = set_links(cut(_sets(texts, k)), threshold)
-    comp = connected_components(links)
-    named = classes.select("d", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d", F.coalesce("component", "rep").alias("component_id"))
+    sets = cut(_sets(texts, k))
+    links, label = set_links(sets, threshold)
+    links = cut(links)
+    rep = lambda x: classes.select(F.col("d64").alias(x), F.col("rep").alias(f"rep_{x}"))
+    edges = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    # Rows that share an id are one node, so the classes of its texts are joined.
+    texts_of = own.where("n > 0").join(classes.select("d", "rep"), "d").groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    comp = connected_components(edges.unionByName(texts_of.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b"))))
+    named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("d", "d64", "size", F.coalesce("component", "rep").alias("component_id"))
+    if count_links:
+        named = named.join(link_counts(sets, links, label, classes.select(F.col("d64").alias("id"), "size"), threshold), F.col("d64") == F.col("id"), "left")
+        named = named.select("d", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     out = own.join(named, "d", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    return out.select(*cols, F.coalesce("n_links", F.lit(0)).alias("n_links")) if count_links else out.select(*cols)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id leads its component, with their columns; null ids stay."""
-    gone = jaccard_components(docs, id_col, text_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = jaccard_components(docs, id_col, text_col, count_links=False, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")

@@ -70,3 +70,21 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     left, right = name[:151], name[151:]
     assert got == {**dict.fromkeys(left, min(left)), **dict.fromkeys(right, min(right))}
+
+
+def test_link_counts(spark):
+    """n_links is the number of other rows with a linked text, in groups of near copies too."""
+    docs = corpus(3)
+    rows = docs + docs[:30]
+    sets = [frozenset(J.shingle_set(t).tolist()) for _, t in rows]
+    want = sorted((i, sum(bool(x) and 5 * len(x & y) >= 4 * len(x | y) for m, y in enumerate(sets) if m != n)) for n, ((i, _), x) in enumerate(zip(rows, sets)))
+    got = sorted((r.doc_id, r.n_links) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == want and max(n for _, n in want) > 5
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a, b = ("one two three four five six", "seven eight nine ten eleven twelve")
+    rows = [(1, a), (5, b), (3, a), (3, b), (4, "alone")]
+    rest = [(100 + i, t) for i, t in corpus(2)]
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows + rest, "doc_id long, text string")).where("doc_id < 100").collect()}
+    assert got == {(1, 1), (3, 1), (5, 1), (4, 4)}
