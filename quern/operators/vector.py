@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     """(query_id, id, score, rank) for a stated set of queries (query_id, vector) against all vectors.
 
     Queries travel in blocks of ``query_block`` rows.  Each Arrow batch of vectors
-    meets a block in one matrix product and keeps k per query, so what is
+    meets a block in one matrix product and keeps k per query, ties by id, so what is
     shuffled is k rows per query and batch, not the products.
     """
     n = queries.count()
@@ -47,6 +48,10 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     blocks = queries.select(F.struct(F.col(query_col).alias("q"), F.col("vector").alias("v")).alias("x"), block.alias("b")).groupBy("b").agg(F.collect_list("x").alias("block"))
     kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
 
+    def rounded(x: np.ndarray) -> np.ndarray:
+        """As Spark's round(x, 9): half up on the shortest decimal form."""
+        return np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in x.tolist()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             table = pa.Table.from_batches([b])
@@ -59,9 +64,15 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                 m = np.array(part.column("v").to_pylist(), np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 s = np.maximum(q @ m.T, 0)
-                n = min(2 * k, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(n), (len(q), 1))
-                yield pa.RecordBatch.from_pylist([{"query_id": qs[i]["q"], "id": ids[j], "score": float(s[i, j])} for i in range(len(qs)) for j in top[i]])
+                place = np.asarray(pa.compute.rank(part.column("id"), tiebreaker="first"))
+                found = []
+                for i, row in enumerate(s):
+                    # All rows at or above the k-th score (with room for rounding), then exactly the k that the window would choose.
+                    least = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -1.0
+                    at = np.flatnonzero(row >= least - 2e-9)
+                    at = at[np.lexsort((place[at], -rounded(row[at])))[:k]]
+                    found += [{"query_id": qs[i]["q"], "id": ids[j], "score": float(row[j])} for j in at]
+                yield pa.RecordBatch.from_pylist(found)
 
     # Every block meets every batch: a nested loop over a broadcast of counted size, else over partitions of blocks.
     flat = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(F.broadcast(blocks) if n <= broadcast_queries else blocks)
