@@ -108,9 +108,31 @@ def ivf_assign(vectors: DataFrame, centroids: np.ndarray, vec_col: str, probes:
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
-    """Approximate (query_id, id, score, rank): an equi-join on the probed lists."""
+    """(query_id, id, score, rank): an equi-join on the ``probes`` nearest lists, then on those that could still hold a nearer vector.
+
+    No vector of a list is nearer to a query than its angle to the centroid less
+    the list's widest angle, so lists that this rules out are never read.
+    """
     index = ivf_assign(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), centroids, "v")
-    probe = ivf_assign(queries.select(F.col(query_col).alias("query_id"), F.col("vector").alias("qv")), centroids, "qv", probes)
-    hits = index.join(probe, "list_id").select("query_id", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
+    q = queries.select(F.col(query_col).alias("query_id"), F.col("vector").alias("qv"))
+    probe = ivf_assign(q, centroids, "qv", probes)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def search(lists: DataFrame) -> DataFrame:
+        return best(index.join(lists, "list_id").select("query_id", "id", cosine(F.col("v"), F.col("qv")).alias("score")))
+
+    def angle(v: str) -> Column:
+        n = l2_norm(F.col(v))
+        return F.acos(F.greatest(F.least(F.when(n > 1e-12, dot(F.col(v), F.col("c")) / n).otherwise(-1.0), F.lit(1.0)), F.lit(-1.0)))
+
+    centres = F.broadcast(index.sparkSession.createDataFrame(list(enumerate(centroids.tolist())), "list_id int, c array<double>"))  # one row a list
+    wide = index.join(centres, "list_id").groupBy("list_id").agg(F.max(angle("v")).alias("wide")).join(centres, "list_id")
+    first = search(probe)
+    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+    could = q.crossJoin(F.broadcast(wide)).join(kth, "query_id", "left")
+    could = could.where(F.greatest(F.cos(F.greatest(angle("qv") - F.col("wide"), F.lit(0.0))), F.lit(0.0)) >= F.coalesce("kth", F.lit(0.0)) - 1e-6)
+    more = could.join(probe.select("query_id", "list_id"), ["query_id", "list_id"], "left_anti").select("query_id", "qv", "list_id")
+    return best(first.drop("rank").unionByName(search(more).drop("rank")))
