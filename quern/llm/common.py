@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,3 +50,10 @@ def let(value: Column, body) -> Column:
     variable of an outer lambda it is not.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the cluster's shared ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"

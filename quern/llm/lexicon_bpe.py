@@ -5,37 +5,44 @@
    minimal acyclic automaton: states with equal right languages are shared, and
    each edge carries the number of words that sort before it, so the sum along
    a path is the word's number and indexes its ids (the transducer's output).
-3. The automaton is one flat file, sent with ``SparkContext.addFile`` and
-   memory-mapped by each Python worker.
+3. The automaton is one flat file below the shared checkpoint folder, sent with
+   ``SparkContext.addFile`` and memory-mapped by each Python worker.
 4. Workers look up the distinct words of a batch one byte column at a time;
-   words outside the lexicon are merged exactly by rank.
+   words outside the lexicon are merged exactly by rank, short ones of like
+   length together and long ones with a heap (n log n in the word's length).
 
 The pieces of a text never span white space, so a text's ids are those of its
 white-space chunks in order; normalisation works chunk by chunk as well.
-Null text counts as empty and gives no ids; repeated ids are separate rows;
-other columns are ignored.
+Null text counts as empty and gives no ids; repeated ids are separate rows; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 import mmap
 import os
-import tempfile
 import unicodedata
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from .common import shared_folder
+
 LEXICON_SIZE = 65_536
 #: Chunks that a worker remembers before it starts anew; bounds its memory.
 MEMO = 400_000
+NO_RANK = 1 << 30
+LONG_WORD = 48  # bytes; longer words are merged one by one
+MERGE_CELLS = 400_000  # bytes of words that are merged together
 
 
 # ------------------------------------------------------------------ tokenizer
@@ -48,51 +55,136 @@ def byte_alphabet() -> list[str]:
 
 
 class WordBpe:
-    """Exact encoder of one normalised word, and of whole chunks, from a tokenizer file."""
+    """Exact encoder of normalised words, and splitter of texts and chunks, from a tokenizer file."""
 
     def __init__(self, path: str):
         import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
+        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.tokens = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string())
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(f"{pattern}|\n")  # a line end stands between chunks
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.spaces = regex.compile(r"[^\S\x1c-\x1f]+")
+        # Merges by (left id, right id); a pair's rank is its place in the file.
+        key = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in pairs], np.int64)
+        made = np.array([self.vocab[a + b] for a, b in pairs], np.int32)
+        order = np.argsort(key, kind="stable")
+        self.pair_key, self.pair_rank, self.pair_made = key[order], order.astype(np.int32), made[order]
+        self.made_by_rank = made
+        #: Ids of the single bytes: inside a word, then at its end.
+        self.byte_ids = np.array([self.vocab[c] for c in self.alphabet] + [self.vocab[c + self.suffix] for c in self.alphabet], np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, ``NO_RANK`` where they do not merge."""
+        if not len(self.pair_key):
+            return np.full(np.shape(left), NO_RANK, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[at] == key, self.pair_rank[at], NO_RANK)
 
     def merge(self, word: bytes) -> list[int]:
-        parts = [self.alphabet[b] for b in word]
-        parts[-1] += self.suffix
-        rank, none = self.rank.get, 1 << 40
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return [self.vocab[p] for p in parts]
-
-    def normal(self, chunk: str) -> str:
+        """Ids of one word of any length: a heap of pairs over a linked list, n log n."""
+        n = len(word)
+        at = np.frombuffer(word, np.uint8).astype(np.int64)
+        at[-1] += 256
+        ids = self.byte_ids[at].tolist()
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        ranks = self.rank(self.byte_ids[at[:-1]], self.byte_ids[at[1:]]).tolist() if n > 1 else []
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r < NO_RANK]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+        while heap:
+            r, i, left, right = heapq.heappop(heap)
+            j = after[i] if ids[i] == left else -1
+            if j < 0 or ids[j] != right:  # one of the two has merged since
+                continue
+            ids[i], ids[j], after[i] = int(self.made_by_rank[r]), -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0:
+                    pair = (ids[a], ids[b])
+                    if pair not in known:
+                        known[pair] = int(self.rank(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    if known[pair] < NO_RANK:
+                        heapq.heappush(heap, (known[pair], a, *pair))
+        return [x for x in ids if x >= 0]
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word; short words of like length advance together."""
+        out: list[bytes] = [b""] * len(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lens > LONG_WORD).tolist():
+            out[i] = array("I", self.merge(words[i])).tobytes()
+        short = np.flatnonzero((lens > 0) & (lens <= LONG_WORD))
+        short = short[np.argsort(lens[short], kind="stable")]
+        while len(short):
+            width = int(lens[short[0]]) + 2
+            n = min(int(np.searchsorted(lens[short], width, "right")), max(1, MERGE_CELLS // width))
+            part, short = short[:n], short[n:]
+            for i, x in zip(part.tolist(), self._merge_rows([words[k] for k in part], lens[part]), strict=True):
+                out[i] = x
+        return out
+
+    def _merge_rows(self, words: list[bytes], lens: np.ndarray) -> list[bytes]:
+        n, width = len(words), int(lens.max())
+        byte = np.zeros((n, width), np.int64)
+        inside = np.arange(width) < lens[:, None]
+        byte[inside] = np.frombuffer(b"".join(words), np.uint8)
+        rows = np.arange(n)
+        byte[rows, lens - 1] += 256
+        ids = np.where(inside, self.byte_ids[byte], -1)
+        rank = np.full((n, width), NO_RANK, np.int32)
+        if width > 1:
+            rank[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        after[rows, lens - 1] = -1
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        while len(rows):
+            i = rank[rows].argmin(1)  # the leftmost of equal ranks
+            best = rank[rows, i]
+            go = best < NO_RANK
+            rows, i, best = rows[go], i[go], best[go]
+            j = after[rows, i]
+            far = after[rows, j]
+            ids[rows, i], ids[rows, j], rank[rows, j], after[rows, i] = self.made_by_rank[best], -1, NO_RANK, far
+            left = before[rows, i]
+            has = far >= 0
+            r, a, b = rows[has], i[has], far[has]
+            before[r, b] = a
+            rank[rows, i] = NO_RANK
+            rank[r, a] = self.rank(ids[r, a], ids[r, b])
+            has = left >= 0
+            r, a, b = rows[has], left[has], i[has]
+            rank[r, a] = self.rank(ids[r, a], ids[r, b])
+        kept = ids >= 0
+        flat, stops = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def normal(self, text: str) -> str:
         """NFC, then each character's own lower case (a final sigma is not special)."""
-        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def chunk_words(self, chunk: str) -> list[bytes]:
-        return [w.encode() for w in self.words.findall(self.normal(chunk))]
+    def chunk_words(self, chunks: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct normalised words of ``chunks``; the word number and the chunk number of each word in order."""
+        found = self.words.findall(self.normal("\n".join(chunks)))
+        place: dict[str, int] = {"\n": 0}
+        number = np.fromiter((place.setdefault(w, len(place)) for w in found), np.int64, len(found))
+        ends = number == 0
+        return [w.encode() for w in list(place)[1:]], number[~ends] - 1, np.cumsum(ends)[~ends]
 
     def chunks(self, text: str) -> list[str]:
         """White-space chunks; special tokens stand alone."""
-        if "<|" in text and self.split_special.search(text):
+        if "<|" in text and self.split_special and self.split_special.search(text):
             return [c for part in self.split_special.split(text) for c in ([part] if part in self.special else self.chunks_plain(part))]
         return self.chunks_plain(text)
 
@@ -212,43 +304,42 @@ class Encoder:
     def __init__(self, tokenizer_path: str, lexicon_path: str | None):
         self.bpe = WordBpe(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.memo: dict[str, bytes] = {}
-        self.rare: dict[bytes, bytes] = {}  # merged words, by their bytes
+        self.memo: dict[str, bytes] = {c: array("I", [i]).tobytes() for c, i in self.bpe.special.items()}
+        self.fixed = dict(self.memo)
+
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        number = self.lexicon.numbers(words) if self.lexicon else np.full(len(words), -1)
+        known, rare = np.flatnonzero(number >= 0), np.flatnonzero(number < 0).tolist()
+        if len(known):
+            for i, x in zip(known.tolist(), self.lexicon.outputs(number[known]), strict=True):
+                out[i] = x
+        for i, x in zip(rare, self.bpe.merge_many([words[i] for i in rare]), strict=True):
+            out[i] = x
+        return out
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.rare) > MEMO:
-            self.rare.clear()
-        special, rare = self.bpe.special, self.rare
-        new = [c for c in chunks if c not in self.memo]
-        split = [[] if c in special else self.bpe.chunk_words(c) for c in new]
-        distinct = list({w for ws in split for w in ws}.difference(rare))
-        ids: dict[bytes, bytes] = {}
-        if self.lexicon:
-            number = self.lexicon.numbers(distinct)
-            known = np.flatnonzero(number >= 0)
-            ids = dict(zip([distinct[i] for i in known.tolist()], self.lexicon.outputs(number[known]), strict=True))
-        for w in distinct:
-            if w not in ids:
-                rare[w] = array("I", self.bpe.merge(w)).tobytes()
-        ids.update((w, rare[w]) for ws in split for w in ws if w in rare)
-        for c, ws in zip(new, split, strict=True):
-            self.memo[c] = array("I", [special[c]]).tobytes() if c in special else ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+            self.memo = dict(self.fixed)
+        new = list(chunks.difference(self.memo))
+        words, number, owner = self.bpe.chunk_words(new)
+        ids = self.word_ids(words)
+        each = list(map(ids.__getitem__, number.tolist()))
+        at = np.searchsorted(owner, np.arange(len(new) + 1)).tolist()
+        self.memo.update((c, each[i] if j == i + 1 else b"".join(each[i:j])) for c, i, j in zip(new, at, at[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.bpe.chunks(t or "") for t in texts]
-        out: list[bytes] = []
-        for at in range(0, len(split), 256):  # few enough texts that their chunks fit the memo
-            part = split[at : at + 256]
-            self.learn(set().union(*part))
-            out += [b"".join(map(self.memo.__getitem__, cs)) for cs in part]
-        return out
+        self.learn(set().union(*split))
+        return [b"".join(map(self.memo.__getitem__, cs)) for cs in split]
 
-    def decode(self, ids: list[bytes]) -> list[str]:
+    def decode(self, ids: list[bytes]) -> pa.Array:
         """Without a decoder in the file, tokens are joined by spaces."""
-        return [" ".join(map(self.bpe.token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        stops = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        lists = pa.LargeListArray.from_arrays(stops, self.bpe.tokens.cast(pa.large_string()).take(pa.array(flat)))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
 # ------------------------------------------------------------------ Spark
@@ -271,17 +362,17 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
         bpe, seen = WordBpe(tokenizer_path), Counter()
 
         def emit() -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in bpe.chunk_words(chunk):
-                    words[w] += n
+            for c in bpe.special:
+                seen.pop(c, None)
+            if seen:
+                words, number, owner = bpe.chunk_words(list(seen))
+                n = np.bincount(number, np.fromiter(seen.values(), np.float64, len(seen))[owner], len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n)], ["word", "n"])
             seen.clear()
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                seen.update(bpe.chunks(t.as_py() or ""))
+            for t in b.column(0).to_pylist():
+                seen.update(bpe.chunks(t or ""))
                 if len(seen) > 400_000:
                     yield from emit()
         yield from emit()
@@ -291,30 +382,49 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", size: int = LEXICON_SIZE) -> str:
-    """Compile at most ``size`` words, the most frequent, and ship the file; its name for ``SparkFiles.get``.
+    """Compile the ``size`` most frequent words and ship the file; its name for ``SparkFiles.get``.
 
     A histogram of the counts by eighths of a power of two (some hundred rows)
-    gives the least count whose words still fit, so no task sends more than its
-    share of them to the driver.
+    gives the levels that fit whole.  The next level is filled up by count and
+    then by hash, again through a histogram, so the room is used but for a
+    four-thousandth of that level and no task sends more than its share of the words.
     """
-    level = F.floor(F.log2("n") * 8)
+    spark = docs.sparkSession
+    level, part = F.floor(F.log2("n") * 8), F.pmod(F.xxhash64("word"), F.lit(4096))
     counts = count_words(docs, tokenizer_path, text_col).persist()
+
+    def fit(rows: list, room: int) -> tuple[list, object]:
+        """The leading rows (key.., c) that fit, and the one after them."""
+        taken = []
+        for r in rows:
+            if r["c"] > room:
+                return taken, r
+            taken.append(r)
+            room -= r["c"]
+        return taken, None
+
     try:
-        least, kept = None, 0
-        for r in sorted(counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["b"]):
-            if kept + r["c"] > size:
-                break
-            least, kept = r["b"], kept + r["c"]
-        top = [] if least is None else counts.where(level >= least).select("word").collect()  # bounded by size
+        levels = counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+        whole, edge = fit(sorted(levels, key=lambda r: -r["b"]), size)
+        keep = level >= whole[-1]["b"] if whole else F.lit(False)
+        if edge is not None:
+            own = counts.where(level == edge["b"]).groupBy("n", part.alias("h")).agg(F.count(F.lit(1)).alias("c")).collect()
+            more, _ = fit(sorted(own, key=lambda r: (-r["n"], r["h"])), size - sum(r["c"] for r in whole))
+            if more:
+                n, h = more[-1]["n"], more[-1]["h"]
+                keep = keep | ((level == edge["b"]) & ((F.col("n") > n) | ((F.col("n") == n) & (part <= h))))
+        top = sorted(bytes(r["word"]) for r in counts.where(keep).select("word").collect())  # bounded by size
     finally:
         counts.unpersist()
     bpe = WordBpe(tokenizer_path)
-    flat = compile_lexicon((w, bpe.merge(w)) for w in sorted(bytes(r["word"]) for r in top))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(path, "wb") as f:
-        f.write(flat)
-    docs.sparkSession.sparkContext.addFile(path)
+    flat = compile_lexicon(zip(top, (np.frombuffer(x, "<u4").tolist() for x in bpe.merge_many(top))))
+    name = f"lexicon-{hashlib.sha256(flat).hexdigest()[:32]}.bin"
+    if not any(f.endswith(name) for f in spark.sparkContext.listFiles):  # an equal lexicon is shipped once
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark, 'lexicon')}/{name}")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(flat))
+        out.close()
+        spark.sparkContext.addFile(place.toString())
     return name
 
 
@@ -328,7 +438,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             for at in range(0, whole.num_rows, 256):  # bounds what a worker holds of the outputs
                 b = whole.slice(at, 256)
                 ids = enc.encode(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(enc.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), enc.decode(ids).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded string")

@@ -1,212 +1,311 @@
 """Token-ID output: an adaptive context-mixing range coder in independent blocks.
 
-A file record holds whole documents in ascending id order: their ids and lengths
-and blocks of ``BLOCK`` token ids.  Each block starts from an empty model and
-carries a CRC-32 of its ids, so blocks are decoded and checked on their own.
-
-Within a block, order 2 and order 1 contexts each predict an id with a
-confidence; counts kept by confidence are mixed into the odds of "order 2 is
-right", "order 1 is right" and "neither".  Otherwise order 0 codes the id's size
-class by adaptive counts and its low bits evenly.  A carry-less 32-bit range
-coder turns the odds into bytes.  All blocks of a record advance in step as
-NumPy lanes: one array operation codes one id of every block.
+A file record holds whole documents in ascending id order: their ids and lengths,
+the record's tables and blocks of ``BLOCK`` token ids.  Each block starts from the
+record's tables and carries a CRC-32 of its ids, so blocks are decoded and
+checked on their own.
+
+The record's tables are the counts of ids (order 0), of successors of an id
+(order 1, pairs seen ``PAIR_MIN`` times or more) and a likely successor for each
+hashed pair of ids (order 2).  Within a block, the order-2 successors and their
+trust adapt, and so do the odds of "order 2 is right" (by trust and by how well
+order 1 knows the last id, mixed) and of "order 1 knows the id".  The odds pick
+the order, the order's counts pick the id, and both narrow one 64-bit range once
+an id.  All blocks of a record advance in step as NumPy lanes: one array
+operation codes one id of every block.
+
+Null and empty texts have only the end id.  Rows that share an id stay separate
+rows, ordered by text; a null id sorts first and stays null.  Ids that are not
+integers are refused, since the files are in numeric order.  Other columns are
+ignored; an empty table gives no rows.  Token ids must be below 2**32 and a
+record may hold at most ``MOST_IDS`` different ones.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import shared_folder
 
-MAGIC = b"TIDCM1"
+MAGIC = b"TIDCM2"
 BLOCK = 2048
-SLOTS = 2048
-RECORD_IDS = 2_000_000  # a record closes with the document that reaches this
-CLASSES = 18
-_M, _TOP, _BOT = np.uint64(0xFFFFFFFF), np.uint64(1 << 24), np.uint64(1 << 16)
-_8, _24 = np.uint64(8), np.uint64(24)
-
-
-class RangeCoder:
-    """One carry-less range coder per lane; ``data`` is what a decoder reads."""
-
-    def __init__(self, lanes: int, capacity: int, data: np.ndarray | None = None, start: np.ndarray | None = None):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.data, self.at = data, start
-        if data is None:
-            self.out = np.zeros((lanes, capacity), np.uint8)
-            self.pos = np.zeros(lanes, np.int64)
+SLOTS = 4096  # order-2 contexts of a block, by hash
+RECORD_IDS = 3_000_000  # a record closes with the document that reaches this
+PAIR_MIN = 3
+MOST_IDS = 1 << 19
+ODDS, RATE = 12, 5  # bits of the odds between orders; how slowly the odds adapt
+_LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
+
+
+# ------------------------------------------------------------------ tables of a record
+
+def _scaled(counts: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency, sum of those before it in its group); each group of the sorted ``group`` sums to 2**bits."""
+    if not len(counts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(at, len(counts)))
+    total = np.add.reduceat(counts, at)
+    freq = counts * np.repeat((1 << bits) - size, size) // np.repeat(total, size) + 1
+    spare = (1 << bits) - np.add.reduceat(freq, at)
+    most = np.lexsort((-freq, group))[at]  # the greatest of each group takes what rounding left
+    freq[most] += spare
+    before = np.cumsum(freq) - freq
+    return freq, before - np.repeat(before[at], size)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned integers, byte plane by byte plane, compressed."""
+    planes = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+    return zlib.compress(planes, 6)
+
+
+def _unpack(data: bytes, *sizes: int) -> list[np.ndarray]:
+    planes, out, at = np.frombuffer(zlib.decompress(data), np.uint8), [], 0
+    for n in sizes:
+        out.append(np.ascontiguousarray(planes[at : at + 4 * n].reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64))
+        at += 4 * n
+    return out
+
+
+@dataclass
+class Tables:
+    """Ids are known by their rank among the record's ids."""
+
+    ids: np.ndarray  # ascending
+    counts: np.ndarray
+    first: np.ndarray  # order 1: the id before,
+    second: np.ndarray  # its successor
+    pairs: np.ndarray  # and how often
+    slots: np.ndarray  # order 2: rank * 4 + trust by slot
+
+    def __post_init__(self) -> None:
+        n = len(self.ids)
+        self.bits = max(16, int(n).bit_length() + 1)
+        self.freq0, self.cum0 = _scaled(self.counts, np.zeros(n, np.int8), self.bits)
+        self.freq1, self.cum1 = _scaled(self.pairs, self.first, self.bits)
+        self.key1 = self.first << 32 | self.second
+        self.place1 = self.first << self.bits | self.cum1
+        known = np.zeros(n, np.int64)
+        np.add.at(known, self.first, self.pairs)
+        share = known / np.maximum(self.counts, 1)
+        self.level = np.digitize(share, (0.5, 0.8, 0.95)).astype(np.int64)  # how well order 1 knows an id
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple["Tables", np.ndarray]:
+        """The tables of a record, and its ids as ranks."""
+        seen = np.bincount(ids) if int(ids.max()) < 1 << 22 else None
+        if seen is None:
+            own, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
         else:
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self.code = self.code << _8 | data[self.at]
-                self.at += 1
-
-    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, step: np.ndarray) -> None:
-        """Take the interval [cum, cum + freq) of the lanes' ranges, cut into ``step``s."""
-        low = (self.low[lanes] + cum * step) & _M
-        rng = step * freq
-        todo = np.arange(len(low))
-        ids = lanes if isinstance(lanes, np.ndarray) else np.arange(lanes.stop)
-        lo, r = low, rng
-        while True:
-            same = (lo ^ ((lo + r) & _M)) < _TOP
-            tiny = ~same & (r < _BOT)
-            r = np.where(tiny, (np.uint64(0) - lo) & (_BOT - np.uint64(1)), r)
-            shift = np.flatnonzero(same | tiny)
-            if not len(shift):
-                break
-            todo, lo, r = todo[shift], lo[shift], r[shift]
-            where = ids[todo]
-            if self.data is None:
-                self.out[where, self.pos[where]] = (lo >> _24).astype(np.uint8)
-                self.pos[where] += 1
-            else:
-                self.code[where] = (self.code[where] << _8 | self.data[np.minimum(self.at[where], len(self.data) - 1)]) & _M
-                self.at[where] += 1
-            lo, r = (lo << _8) & _M, (r << _8) & _M
-            low[todo], rng[todo] = lo, r
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def finish(self) -> list[bytes]:
-        for _ in range(4):
-            lanes = np.arange(len(self.low))
-            self.out[lanes, self.pos] = (self.low >> _24).astype(np.uint8)
-            self.pos += 1
-            self.low = (self.low << _8) & _M
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.pos.tolist())]
-
+            own = np.flatnonzero(seen)
+            counts, place = seen[own], np.zeros(len(seen), np.int64)
+            place[own] = np.arange(len(own))
+            ranks = place[ids]
+        if len(own) > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} different ids in a record")
+        pair = ranks[:-1] * len(own) + ranks[1:]
+        pair, n = np.unique(pair, return_counts=True)
+        often = n >= PAIR_MIN
+        pair, n = pair[often], np.minimum(n[often], 0xFFFF)
+        slots = np.zeros(SLOTS, np.int64)
+        if len(ranks) > 2:
+            key = _slot(ranks[:-2], ranks[1:-1]) * len(own) + ranks[2:]
+            key, c = np.unique(key, return_counts=True)
+            best = np.lexsort((key, c))
+            slot = key[best] // len(own)
+            slots[slot] = key[best] % len(own) << 2  # the last one written is the most frequent
+        return cls(own, counts, pair // len(own), pair % len(own), n, slots), ranks
+
+    def dump(self) -> bytes:
+        gap = np.diff(self.ids, prepend=0)
+        flat = self.first * len(self.ids) + self.second
+        step = np.diff(flat, prepend=0)
+        body = _pack(gap, self.counts, step & 0xFFFFFFFF, step >> 32, self.pairs, self.slots)
+        return struct.pack("<III", len(self.ids), len(self.pairs), len(body)) + body
+
+    @classmethod
+    def load(cls, data: bytes, at: int) -> tuple["Tables", int]:
+        n, m, size = struct.unpack_from("<III", data, at)
+        at += 12
+        gap, counts, low, high, pairs, slots = _unpack(data[at : at + size], n, n, m, m, m, SLOTS)
+        flat = np.cumsum(low | high << 32)
+        return cls(np.cumsum(gap), counts, flat // max(n, 1), flat % max(n, 1), pairs, slots), at + size
+
+
+def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * 0x9E3779B1 + b * 0x85EBCA77 >> 9) & (SLOTS - 1)
+
+
+# ------------------------------------------------------------------ model of the lanes
 
 class Mixer:
-    """The model of every lane: predictions of order 2, 1 and 0."""
+    """What adapts within a block: order-2 successors with their trust, and the odds between the orders."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, tables: Tables):
         self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.guess = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.mix = [np.ones((lanes * 4, 3), np.int64) for _ in range(2)]
+        self.guess = np.tile(tables.slots.astype(np.int32), lanes)
         self.row = np.arange(lanes, dtype=np.int64) * 4
-        self.sizes = np.ones((lanes, CLASSES), np.int64)
-        self.prev = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        self.steps = 0
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1 and the mixed counts (n, 3) for the first n lanes."""
-        a, b = self.prev[0][:n], self.prev[1][:n]
-        h2 = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & (SLOTS - 1)
-        h1 = ((a * 0x9E3779B1) >> 9) & (SLOTS - 1)
-        self.slot = [self.base[:n] + h2, self.base[:n] + h1]
-        g2, g1 = self.guess[0][self.slot[0]], self.guess[1][self.slot[1]]
-        self.t = [self.trust[0][self.slot[0]], self.trust[1][self.slot[1]]]
-        self.at = [self.row[:n] + self.t[0], self.row[:n] + self.t[1]]
-        f = 2 * self.mix[0][self.at[0]] + self.mix[1][self.at[1]]
-        f[:, 1] *= g1 != g2
-        return g2, g1, f
-
-    def learn(self, n: int, ids: np.ndarray, symbol: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> None:
-        for o, g in ((0, g2), (1, g1)):
-            hit = g == ids
-            t, slot = self.t[o], self.slot[o]
-            change = np.flatnonzero(~hit & (t == 0))
-            self.guess[o][slot[change]] = ids[change]
-            self.trust[o][slot] = np.where(hit, np.minimum(t + 1, 3), np.maximum(t - 1, 0))
-            self.mix[o][self.at[o], symbol] += 16
-        self.prev[1][:n] = self.prev[0][:n]
-        self.prev[0][:n] = ids
-        self.steps += 1
-        if self.steps % 64 == 0:
-            for c in (*self.mix, self.sizes):
-                much = c.sum(1) > 8192
-                c[much] = c[much] // 2 + 1
-
-
-def _size_class(ids: np.ndarray) -> np.ndarray:
-    """Bits of id + 1."""
-    return np.frexp((ids + 1).astype(np.float64))[1].astype(np.int64)
-
-
-def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """Payload and CRC-32 of each block of ``ids`` (all below 2**17 - 1)."""
+        # Odds (of 65536) that order 2 is right, by its trust and by order 1's level; that order 1 knows the id.
+        self.by_trust = np.tile(np.array([4000, 20000, 36000, 52000], np.int32), lanes)
+        self.by_level = np.tile(np.array([8000, 8000, 8000, 8000], np.int32), lanes)
+        self.known = np.tile(np.array([16000, 42000, 58000, 63000], np.int32), lanes)
+
+    def predict(self, n: int, slot: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order-2 id of the first n lanes, and the shares of 2**ODDS of "it is right" and of "order 1 knows"."""
+        self.at = self.base[:n] + slot
+        self.entry = self.guess[self.at]
+        self.t = self.row[:n] + (self.entry & 3)
+        self.l = self.row[:n] + level
+        self.p_t, self.p_l, self.p_k = self.by_trust[self.t], self.by_level[self.l], self.known[self.l]
+        q2 = np.clip((3 * self.p_t + self.p_l) >> 18 - ODDS, 1, (1 << ODDS) - 2)
+        q1 = np.maximum((((1 << ODDS) - 1 - q2) * self.p_k) >> 16, 1)
+        return self.entry >> 2, q2, q1
+
+    def learn(self, ranks: np.ndarray, right: np.ndarray, known: np.ndarray) -> None:
+        e = self.entry
+        self.guess[self.at] = np.where(right, e + ((e & 3) < 3), np.where(e & 3, e - 1, ranks.astype(np.int32) << 2))
+        up = right.astype(np.int32) << 16
+        self.by_trust[self.t] = self.p_t + ((up - self.p_t) >> RATE)
+        self.by_level[self.l] = self.p_l + ((up - self.p_l) >> RATE)
+        self.known[self.l] = self.p_k + np.where(right, 0, ((known.astype(np.int32) << 16) - self.p_k) >> RATE)
+
+
+def encode_blocks(ids: np.ndarray) -> tuple[Tables | None, list[bytes], list[int]]:
+    """The record's tables, and payload and CRC-32 of each block of ``ids``."""
     if not len(ids):
-        return [], []
+        return None, [], []
+    tables, ranks = Tables.of(ids)
     lanes = -(-len(ids) // BLOCK)
-    table = np.zeros(lanes * BLOCK, np.int64)
-    table[: len(ids)] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, BLOCK).T)
     last = len(ids) - (lanes - 1) * BLOCK
-    coder, model = RangeCoder(lanes, 4 * BLOCK + 64), Mixer(lanes)
     u = np.uint64
+
+    def table(values: np.ndarray, kind) -> np.ndarray:
+        out = np.zeros(lanes * BLOCK, kind)
+        out[: len(values)] = values
+        return np.ascontiguousarray(out.reshape(lanes, BLOCK).T)
+
+    start = np.arange(0, len(ids), BLOCK)
+    a, b = np.concatenate(([0], ranks[:-1])), np.concatenate(([0, 0], ranks[:-2]))[: len(ranks)]
+    a[start], b[start] = 0, 0
+    b[start[start + 1 < len(ids)] + 1] = 0
+    key = a << 32 | ranks
+    e = np.minimum(np.searchsorted(tables.key1, key), max(len(tables.key1) - 1, 0))
+    known = tables.key1[e] == key if len(tables.key1) else np.zeros(len(key), bool)
+    cum, freq = tables.cum0[ranks], tables.freq0[ranks]
+    if known.any():
+        cum, freq = np.where(known, tables.cum1[e], cum), np.where(known, tables.freq1[e], freq)
+    x, slot, level = table(ranks, np.int32), table(_slot(b, a), np.int32), table(tables.level[a], np.int8)
+    known, cum, freq = table(known, bool), table(cum, np.uint32), table(freq, np.uint32)
+    del key, e, a, b, ranks
+
+    model, bits, full = Mixer(lanes, tables), u(tables.bits), u(1 << tables.bits)
+    low, rng = np.zeros(lanes, u), np.full(lanes, (1 << 64) - 1, u)
+    out = np.zeros((lanes, BLOCK + 2), np.int64)  # 32-bit words; a carry may lift one above that
+    pos = np.zeros(lanes, np.int64)
     for t in range(min(BLOCK, len(ids))):
         n = lanes if t < last else lanes - 1
-        x = table[t, :n]
-        g2, g1, f = model.predict(n)
-        symbol = np.where(x == g2, 0, np.where(x == g1, 1, 2))
-        upto = np.cumsum(f, 1)
-        own = f[np.arange(n), symbol]
-        coder.narrow(slice(0, n), (upto[np.arange(n), symbol] - own).astype(u), own.astype(u), coder.range[:n] // upto[:, 2].astype(u))
-        miss = np.flatnonzero(symbol == 2)
-        if len(miss):
-            y = x[miss]
-            c = _size_class(y)
-            s = model.sizes[miss]
-            upto = np.cumsum(s, 1)
-            own = s[np.arange(len(miss)), c]
-            coder.narrow(miss, (upto[np.arange(len(miss)), c] - own).astype(u), own.astype(u), coder.range[miss] // upto[:, -1].astype(u))
-            model.sizes[miss, c] += 16
-            bits = (c - 1).astype(u)
-            coder.narrow(miss, (y + 1).astype(u) - (u(1) << bits), np.ones(len(miss), u), coder.range[miss] >> bits)
-        model.learn(n, x, symbol, g2, g1)
+        guess, q2, q1 = model.predict(n, slot[t, :n], level[t, :n])
+        right, k = guess == x[t, :n], known[t, :n]
+        cum_a = np.where(right, 0, np.where(k, q2, q2 + q1)).astype(u)
+        freq_a = np.where(right, q2, np.where(k, q1, (1 << ODDS) - q2 - q1)).astype(u)
+        r = rng[:n] >> u(ODDS)
+        was = low[:n]
+        r_a = r * freq_a
+        r_b = r_a >> bits
+        now = was + r * cum_a + np.where(right, u(0), r_b * cum[t, :n])
+        r = np.where(right, r_a, r_b * freq[t, :n])
+        over = np.flatnonzero(now < was)
+        if len(over):
+            out[over, pos[over] - 1] += 1
+        model.learn(x[t, :n], right, k)
+        small = np.flatnonzero(r <= _LOW32)
+        out[small, pos[small]] = (now[small] >> _32).astype(np.int64)
+        pos[small] += 1
+        now[small] <<= _32
+        r[small] <<= _32
+        low[:n], rng[:n] = now, r
+    # One more word names a number within the last range; the reader goes on with zeros.
+    top = low + _LOW32
+    over = np.flatnonzero(top < low)
+    out[over, pos[over] - 1] += 1
+    out[np.arange(lanes), pos] = (top >> _32).astype(np.int64)
+    pos += 1
+    while (out > 0xFFFFFFFF).any():
+        lane, at = np.nonzero(out > 0xFFFFFFFF)
+        out[lane, at] -= 1 << 32
+        out[lane, at - 1] += 1
+    words = out.astype("<u4")
     crcs = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
-    return coder.finish(), crcs
+    return tables, [words[i, :n].tobytes() for i, n in enumerate(pos.tolist())], crcs
 
 
-def decode_blocks(payloads: list[bytes], crcs: list[int], total: int) -> np.ndarray:
+def decode_blocks(tables: Tables | None, payloads: list[bytes], crcs: list[int], total: int) -> np.ndarray:
     """The ids; raises ValueError where a block's checksum fails."""
-    if not total:
+    if not total or tables is None:
         return np.empty(0, np.uint32)
-    lanes = len(payloads)
-    lens = np.array([len(p) for p in payloads], np.int64)
-    data = np.frombuffer(b"".join(payloads) + bytes(16), np.uint8).astype(np.uint64)
-    coder, model = RangeCoder(lanes, 0, data, np.concatenate(([0], np.cumsum(lens)[:-1]))), Mixer(lanes)
+    lanes, u = len(payloads), np.uint64
+    lens = np.array([len(p) // 4 for p in payloads], np.int64)
+    # Two words of zeros follow each payload, and a reader goes no further.
+    stops = np.cumsum(lens + 2)
+    data = np.frombuffer(b"".join(p + bytes(8) for p in payloads), "<u4").astype(u)
+    at, end = stops - lens - 2, stops - 1
+    code = data[at] << _32 | data[at + 1]
+    at = at + 2
+    rng = np.full(lanes, (1 << 64) - 1, u)
+    model, bits = Mixer(lanes, tables), u(tables.bits)
+    whole = (1 << tables.bits) - 1
+    lookup = np.repeat(np.arange(len(tables.ids)), tables.freq0)  # order 0: id by place
+    freq0, cum0, freq1, cum1 = (x.astype(u) for x in (tables.freq0, tables.cum0, tables.freq1, tables.cum1))
     last = total - (lanes - 1) * BLOCK
-    table = np.zeros((BLOCK, lanes), np.int64)
-    u = np.uint64
+    table = np.zeros((BLOCK, lanes), np.int32)
+    a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(min(BLOCK, total)):
         n = lanes if t < last else lanes - 1
-        g2, g1, f = model.predict(n)
-        upto = np.cumsum(f, 1)
-        step = coder.range[:n] // upto[:, 2].astype(u)
-        value = np.minimum((((coder.code[:n] - coder.low[:n]) & _M) // step).astype(np.int64), upto[:, 2] - 1)
-        symbol = (value >= upto[:, 0]).astype(np.int64) + (value >= upto[:, 1])
-        own = f[np.arange(n), symbol]
-        coder.narrow(slice(0, n), (upto[np.arange(n), symbol] - own).astype(u), own.astype(u), step)
-        x = np.where(symbol == 0, g2, g1)
-        miss = np.flatnonzero(symbol == 2)
+        before = a[:n]
+        guess, q2, q1 = model.predict(n, _slot(b[:n], before), tables.level[before])
+        r = rng[:n] >> u(ODDS)
+        c = code[:n]
+        v = np.minimum(c // r, u((1 << ODDS) - 1)).astype(np.int64)
+        right, k = v < q2, v < q2 + q1
+        freq_a = np.where(right, q2, np.where(k, q1, (1 << ODDS) - q2 - q1)).astype(u)
+        c = c - r * np.where(right, 0, np.where(k, q2, q2 + q1)).astype(u)
+        r = r * freq_a
+        x = guess.astype(np.int64)
+        miss = np.flatnonzero(~right)
         if len(miss):
-            s = model.sizes[miss]
-            upto = np.cumsum(s, 1)
-            step = coder.range[miss] // upto[:, -1].astype(u)
-            value = np.minimum((((coder.code[miss] - coder.low[miss]) & _M) // step).astype(np.int64), upto[:, -1] - 1)
-            c = (value[:, None] >= upto).sum(1)
-            own = s[np.arange(len(miss)), c]
-            coder.narrow(miss, (upto[np.arange(len(miss)), c] - own).astype(u), own.astype(u), step)
-            model.sizes[miss, c] += 16
-            bits = np.maximum(c - 1, 0).astype(u)
-            step = coder.range[miss] >> bits
-            low = np.minimum(((coder.code[miss] - coder.low[miss]) & _M) // step, (u(1) << bits) - u(1))
-            coder.narrow(miss, low, np.ones(len(miss), u), step)
-            x[miss] = ((u(1) << bits) + low).astype(np.int64) - 1
+            r_b = r[miss] >> bits
+            place = np.minimum((c[miss] // r_b).astype(np.int64), whole)
+            one = k[miss]
+            y = np.zeros(len(miss), np.int64)
+            cum, freq = np.zeros(len(miss), u), np.ones(len(miss), u)
+            zero = np.flatnonzero(~one)
+            y[zero] = lookup[place[zero]]
+            cum[zero], freq[zero] = cum0[y[zero]], freq0[y[zero]]
+            one = np.flatnonzero(one)
+            if len(one) and len(tables.place1):
+                e = np.maximum(np.searchsorted(tables.place1, before[miss[one]] << int(bits) | place[one], "right") - 1, 0)
+                y[one], cum[one], freq[one] = tables.second[e], cum1[e], freq1[e]
+            c[miss] -= r_b * cum
+            r[miss] = r_b * freq
+            x[miss] = y
+        model.learn(x, right, k)
+        small = np.flatnonzero(r <= _LOW32)
+        c[small] = c[small] << _32 | data[np.minimum(at[small], end[small])]
+        at[small] += 1
+        r[small] <<= _32
+        code[:n], rng[:n] = c, r
         table[t, :n] = x
-        model.learn(n, x, symbol, g2, g1)
-    ids = table.T.reshape(-1)[:total].astype(np.uint32)
+        b[:n], a[:n] = before, x
+    ids = tables.ids[table.T.reshape(-1)[:total]].astype(np.uint32)
     for i, crc in enumerate(crcs):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i}: its checksum does not match")
@@ -216,12 +315,12 @@ def decode_blocks(payloads: list[bytes], crcs: list[int], total: int) -> np.ndar
 # ------------------------------------------------------------------ records
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    payloads, crcs = encode_blocks(ids)
+    tables, payloads, crcs = encode_blocks(ids)
     has = np.array([d is not None for d in doc_ids], np.uint8)
     index = zlib.compress(has.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes(), 1)
     head = struct.pack("<6sIQII", MAGIC, len(doc_ids), len(ids), len(payloads), len(index))
     blocks = np.array([[len(p), c] for p, c in zip(payloads, crcs, strict=True)], "<u4").tobytes()
-    return b"".join([head, index, blocks, *payloads])
+    return b"".join([head, index, tables.dump() if tables else b"", blocks, *payloads])
 
 
 def unpack(record: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
@@ -232,11 +331,12 @@ def unpack(record: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     index = zlib.decompress(record[at : at + size])
     has, docs, lens = index[:n], np.frombuffer(index, "<i8", n, n), np.frombuffer(index, "<u4", n, 9 * n)
     at += size
+    tables, at = Tables.load(record, at) if k else (None, at)
     blocks = np.frombuffer(record, "<u4", 2 * k, at).reshape(-1, 2)
     at += 8 * k
     stops = at + np.cumsum(blocks[:, 0].astype(np.int64))
     payloads = [record[j - i : j] for i, j in zip(blocks[:, 0].tolist(), stops.tolist(), strict=True)]
-    return [d if h else None for d, h in zip(docs.tolist(), has, strict=True)], lens.tolist(), decode_blocks(payloads, blocks[:, 1].tolist(), total)
+    return [d if h else None for d, h in zip(docs.tolist(), has, strict=True)], lens.tolist(), decode_blocks(tables, payloads, blocks[:, 1].tolist(), total)
 
 
 # ------------------------------------------------------------------ Spark
@@ -256,35 +356,77 @@ def tokenizer(path: str):
 
 
 class Ids:
-    """Ids of texts: the tokenizer encodes each distinct piece (a word with its space) once."""
+    """Ids of texts: the tokenizers library encodes each distinct piece (a word with its space) once.
+
+    A single space before anything but white space always starts a piece, so a
+    text's ids are those of its parts between single spaces, each with its space.
+    """
 
     MEMO = 400_000
+    GROUP = 48  # pieces given to the library as one text
 
     def __init__(self, path: str, end_id: int):
         import regex
 
-        self.t, self.end = tokenizer(path), np.array([end_id], "<u4").tobytes()
+        self.t, self.end = tokenizer(path), array("I", [end_id]).tobytes()
+        self.parts: dict[str, bytes | None] = {}  # without their space; None: white space follows it
         self.memo: dict[str, bytes] = {}
         #: Fixed value: the pieces that byte-level BPE never merges across.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
+        tokens = self.t.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(tokens.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for x, i in tokens.items() if x.startswith("\u0120")]] = True
+
+    def learn(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.memo))
+        if len(self.memo) > self.MEMO:
+            self.memo.clear()
+            new = list(pieces)
+        spaced = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        groups = [spaced[i : i + self.GROUP] for i in range(0, len(spaced), self.GROUP)]
+        plain = [p for p in new if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
+        for g, e in zip(groups, self.t.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            flat = ids.tobytes()
+            if len(at) == len(g):
+                self.memo.update(zip(g, [flat[i:j] for i, j in zip(at, [*at[1:], len(flat)])]))
+            else:
+                plain += g
+        for p, e in zip(plain, self.t.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            self.memo[p] = array("I", e.ids).tobytes()
+
+    def learn_parts(self, parts: set[str]) -> None:
+        new = parts.difference(self.parts)
+        if len(self.parts) > self.MEMO:
+            self.parts.clear()
+            new = parts
+        bad = [c for c in new if not c or c[0].isspace()]
+        split = {c: self.pieces(" " + c) for c in new.difference(bad)}
+        self.learn({p for ps in split.values() for p in ps})
+        get = self.memo.__getitem__
+        self.parts.update({c: b"".join(map(get, ps)) for c, ps in split.items()})
+        self.parts.update(dict.fromkeys(bad))
+
+    def by_pieces(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # the tokenizer cuts special tokens out first
+            return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = self.pieces(text)
+        self.learn(set(pieces))
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            text = text or ""
-            if any(s in text for s in self.special):  # the tokenizer cuts special tokens out first
-                out.append(np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end)
-                continue
-            pieces = self.pieces(text)
-            new = list(set(pieces).difference(self.memo))
-            if new:
-                if len(self.memo) > self.MEMO:
-                    self.memo.clear()
-                    new = list(set(pieces))
-                for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.memo[p] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.memo.__getitem__, pieces)) + self.end)
+        texts = [t or "" for t in texts]
+        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        self.learn_parts({c for cs in split if cs for c in cs[1:]})
+        out, get = [], self.parts.__getitem__
+        for text, cs in zip(texts, split, strict=True):
+            rest = [] if cs is None else list(map(get, cs[1:]))
+            if cs is None or None in rest:
+                out.append(self.by_pieces(text) + self.end)
+            else:
+                out.append(b"".join([self.by_pieces(cs[0]), *rest, self.end]))
         return out
 
 
@@ -321,6 +463,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         if docs_:
             yield close()
 
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be an integer column")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "part int, base long, n_ids long, record binary").write.mode("errorifexists").parquet(path)
@@ -352,9 +496,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 def token_folder(spark, name: str = "tokens") -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``."""
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 def summary(tokens: DataFrame) -> DataFrame:

@@ -50,3 +50,32 @@ def test_automaton_is_minimal_and_exact(tmp_path):
     absent = [w + b"z" for w in words[:50]] + [b"", b"zz", b"a" * 40]
     assert set(lex.numbers(absent).tolist()) == {-1}
     assert len(lex.final) < sum(map(len, words)) / 4  # suffixes are shared
+
+
+def test_merging_together_equals_merging_alone():
+    rng = random.Random(2)
+    bpe = L.WordBpe(PATH)
+    words = ["".join(rng.choice("abcdeinorstéß'日") for _ in range(rng.randint(1, 70))).encode() for _ in range(3000)] + [b"a", b"", b"aaaaaaa"]
+    tok = Tokenizer.from_file(PATH).model
+    for w, got in zip(words, bpe.merge_many(words), strict=True):
+        want_ids = [t.id for t in tok.tokenize("".join(bpe.alphabet[b] for b in w))] if w else []
+        assert np.frombuffer(got, "<u4").tolist() == want_ids
+        assert not w or bpe.merge(w) == want_ids
+
+
+def test_long_unspaced_text():
+    import time
+
+    text = "漢字假名交" * 20_000
+    began = time.perf_counter()
+    got = L.WordBpe(PATH).merge(text.encode())
+    assert time.perf_counter() - began < 20
+    assert got == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_lexicon_uses_its_room(spark):
+    df = spark.createDataFrame([(i, "common w" + "".join("abcdefghij"[int(c)] for c in str(i))) for i in range(3000)], "doc_id long, text string")
+    from pyspark import SparkFiles
+
+    name = L.build_lexicon(df, PATH, size=2000)
+    assert 1900 < len(L.Lexicon(SparkFiles.get(name)).offsets) - 1 <= 2000

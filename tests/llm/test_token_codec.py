@@ -12,23 +12,49 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
-    for ids in ([], [5], [0] * 5000, np.arange(131070)[::-1], rng.integers(0, 131071, 9000), rng.zipf(1.3, 20000) % 50257):
+    for ids in ([], [5], [0] * 5000, np.arange(131070)[::-1], rng.integers(0, 2**32 - 1, 9000), rng.zipf(1.3, 20000) % 50257):
         ids = np.array(ids, np.int64)
-        payloads, crcs = T.encode_blocks(ids)
-        assert (T.decode_blocks(payloads, crcs, len(ids)) == ids).all()
+        tables, payloads, crcs = T.encode_blocks(ids)
+        assert (T.decode_blocks(tables, payloads, crcs, len(ids)) == ids).all()
         if len(payloads) > 1:  # blocks stand alone
-            assert (T.decode_blocks(payloads[1:], crcs[1:], len(ids) - T.BLOCK) == ids[T.BLOCK :]).all()
-    text = rng.zipf(1.5, 60000) % 1000
-    assert sum(map(len, T.encode_blocks(text)[0])) < 60000 * 9 / 8
+            assert (T.decode_blocks(tables, payloads[1:], crcs[1:], len(ids) - T.BLOCK) == ids[T.BLOCK :]).all()
+        lens = [len(ids)] if len(ids) else []
+        assert (T.unpack(T.pack([1] * len(lens), lens, ids))[2] == ids).all()
+
+
+def test_smaller_than_order_0_and_zlib():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    ids = np.frombuffer(b"".join(T.Ids(PATH, 0).encode(texts)), "<u4").astype(np.int64)
+    share = np.bincount(ids) / len(ids)
+    order_0 = -(share[share > 0] * np.log2(share[share > 0])).sum() / 8
+    size = len(T.pack([1], [len(ids)], ids)) / len(ids)
+    assert size < 0.9 * order_0
+    assert size < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
 
 
 def test_damage_is_found():
     ids = np.arange(5000) % 700
-    payloads, crcs = T.encode_blocks(ids)
+    tables, payloads, crcs = T.encode_blocks(ids)
     bad = bytearray(payloads[1])
     bad[10] ^= 255
     with pytest.raises(ValueError):
-        T.decode_blocks([payloads[0], bytes(bad), *payloads[2:]], crcs, len(ids))
+        T.decode_blocks(tables, [payloads[0], bytes(bad), *payloads[2:]], crcs, len(ids))
+
+
+def test_pieces_against_the_library():
+    rng = np.random.default_rng(5)
+    letters = list(" \n\t ab'sé1.!日\u00a0\u3000 <|")
+    texts = ["".join(rng.choice(letters, 60)) for _ in range(500)] + ["", " ", "  ", "a<|endoftext|> b", "x  ", "a b " * 20_000, None]
+    tok = Tokenizer.from_file(PATH)
+    for text, got in zip(texts, T.Ids(PATH, 0).encode(texts), strict=True):
+        assert got == np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes(), text
+
+
+def test_ids_that_are_not_integers_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        T.write_tokens(spark.createDataFrame([("a", "x")], "doc_id string, text string"), PATH, f"file://{tmp_path}/s")
 
 
 def test_files_against_brute_force(spark, tmp_path):
