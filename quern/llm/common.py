@@ -43,6 +43,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until no column of ``df`` has it (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(id, hash of the text): what tells rows apart where ids repeat; a null text counts as empty."""
+    return F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``gone`` (k_id, k_text), with their columns; ids match null-safe.
+
+    Only the narrow keys that go are joined; AQE broadcasts them when they are small.
+    """
+    k, x = fresh(docs, "k_id"), fresh(docs, "k_text")
+    own_id, own_text = row_key(id_col, text_col)
+    gone = gone.select(F.col("k_id").alias(f"{k}_gone"), F.col("k_text").alias(f"{x}_gone"))
+    keyed = docs.withColumns({k: own_id, x: own_text})
+    return keyed.join(gone, F.col(k).eqNullSafe(F.col(f"{k}_gone")) & (F.col(x) == F.col(f"{x}_gone")), "left_anti").drop(k, x)
+
+
+def once(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a single row for each key of ``repeated`` (k_id, k_text, small or empty); other rows stay as they are."""
+    if repeated.isEmpty():
+        return docs
+    k, x = fresh(docs, "k_id"), fresh(docs, "k_text")
+    own_id, own_text = row_key(id_col, text_col)
+    other = repeated.select(F.col("k_id").alias(f"{k}_twice"), F.col("k_text").alias(f"{x}_twice"))
+    keyed = docs.withColumns({k: own_id, x: own_text})
+    same = F.col(k).eqNullSafe(F.col(f"{k}_twice")) & (F.col(x) == F.col(f"{x}_twice"))
+    single = keyed.join(other, same, "left_semi").dropDuplicates([k, x])
+    return keyed.join(other, same, "left_anti").unionByName(single).drop(k, x)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 
