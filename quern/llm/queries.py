@@ -18,9 +18,8 @@ def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url.  A labels row whose doc_id equals the page_id is taken as that page's outcome."""
-    outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
-    return host_reputation.judge(read(spark, sf_dir, "pages"), URL_RULES, outcomes)
+    """Every page's url; the method learns from the pages that the rules decide."""
+    return host_reputation.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +77,15 @@ _OP2 = """
     WITH raw AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
-    seen AS (SELECT doc_id AS page_id, avg(quality) >= 0.5 AS good FROM labels GROUP BY doc_id),
-    h0 AS (SELECT host, sum(CASE WHEN good THEN 1.0 ELSE 0.0 END)::DOUBLE AS good, count(good)::DOUBLE AS n FROM p LEFT JOIN seen USING (page_id) GROUP BY host),
-    h AS (SELECT *, list_last(string_split(host, '.')) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM h0),
+    q AS (SELECT *, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+    seen AS (SELECT host, CASE WHEN rule IS NOT NULL THEN rule IN ('example.net/en/', 'org/fr/') END AS good FROM q),
+    h0 AS (SELECT host, sum(CASE WHEN good THEN 1.0 ELSE 0.0 END)::DOUBLE AS good, count(good)::DOUBLE AS n FROM seen GROUP BY host),
+    l AS (SELECT *, string_split(host, '.') AS l, CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN (SUFFIXES) THEN 2 ELSE 1 END AS k FROM h0),
+    h AS (SELECT host, good, n, array_to_string(list_slice(l, -k, -1), '.') AS suffix, array_to_string(list_slice(l, -k - 1, -1), '.') AS domain FROM l),
     d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
     s AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY ALL),
     t AS (SELECT (coalesce(sum(good), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM s),
@@ -93,18 +98,14 @@ _OP2 = """
     kh AS (SELECT sum(n * (good / n - m) ** 2) AS ss, sum(m * (1 - m)) AS pq, sum((n - 1) * m * (1 - m)) AS npq FROM h1 WHERE n > 0),
     h2 AS (SELECT host, good + k * m AS a, n - good + k * (1 - m) AS b FROM h1, (SELECT K(ss, pq, npq) AS k FROM kh)),
     h3 AS (SELECT host, round(a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 9) AS posterior_bound FROM h2),
-    r AS (SELECT p.*, posterior_bound, CASE
-            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p JOIN h3 USING (host))
+    r AS (SELECT q.*, posterior_bound FROM q JOIN h3 USING (host))
     SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
            WHEN posterior_bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, posterior_bound FROM r
 """
 _K = "coalesce(CASE WHEN npq > 0 AND ss > pq AND (ss - pq) / npq > 0.001 THEN greatest(1.0, least(1000.0, 1 / ((ss - pq) / npq) - 1)) ELSE 1000.0 END, 1000.0)"
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_host_reputation": _OP2.replace("K(ss, pq, npq)", _K),
+    "op2_host_reputation": _OP2.replace("K(ss, pq, npq)", _K).replace("SUFFIXES", ", ".join(f"'{x}'" for x in host_reputation.SUFFIXES)),
     "op3_decontaminate": """
         WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
         iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),

@@ -83,6 +83,44 @@ def test_quality_separates(spark):
     assert Q.quality(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_risk_and_gradient_against_brute_force():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, (6, 3)), rng.normal(0, 1, (9, 3))
+    par = [rng.normal(0, 1, (3, 2)), rng.normal(0, 1, 2), rng.normal(0, 1, 2), rng.normal(0, 1, 1)]
+    loss = lambda z: math.log(1 + math.exp(-z))
+    g = lambda x: sum(par[2][j] * math.tanh(sum(x[i] * par[0][i, j] for i in range(3)) + par[1][j]) for j in range(2)) + par[3][0]
+    for prior in (0.3, 0.95):
+        first = prior * sum(loss(g(x)) for x in p) / len(p)
+        second = sum(loss(-g(x)) for x in u) / len(u) - prior * sum(loss(-g(x)) for x in p) / len(p)
+        assert np.allclose(Q.risk(par, p, u, prior), (first, second))
+        got = Q.gradient(par, p, u, prior)
+        for a, k in enumerate(par):
+            for at in np.ndindex(k.shape):
+                old, two = k[at], []
+                for d in (1e-5, -1e-5):
+                    k[at] = old + d
+                    r = Q.risk(par, p, u, prior)
+                    two.append(-r[1] if second < 0 else sum(r))
+                k[at] = old
+                assert abs((two[0] - two[1]) / 2e-5 - got[a][at]) < 1e-6
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(6)
+    for share in (0.3, 0.6, 0.85):
+        pos = rng.normal(2, 1, (3000, 4))
+        unl = np.vstack([rng.normal(2, 1, (int(6000 * share), 4)), rng.normal(-1, 1, (6000 - int(6000 * share), 4))])
+        assert abs(Q.estimate_prior(pos, rng.permutation(unl)) - share) < 0.06
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("x", F.lit("y"))
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 7").withColumn("text", F.lit("word " * 200_000)))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("score", F.lit(1.0)).withColumn("text", F.lit("t"))
+    one, many = (sorted((r.doc_id, r.score) for r in Q.quality(d, labels).collect()) for d in (docs.repartition(1), docs.repartition(7)))
+    assert one == many and len(one) == docs.count()
+
+
 def test_folds(spark):
     import zlib
 
@@ -103,7 +141,21 @@ def test_hosts_urls_and_rules(spark):
         7: ("www.example.com", "/de/1", "example.com/de/"), 8: ("b:", "//c/d", None), 9: ("h", "", None), 10: ("example.com", "/deep", None),
     }
     assert all(r.verdict in ("allow", "block") for r in rows)
-    assert H.judge(pages.limit(0), rules, out).count() == 0
+    assert H.judge(pages.limit(0), rules, out).count() == 0 and H.judge(pages.limit(0), rules).count() == 0
+    both = {r.page_id: r for r in H.judge(pages, rules).collect()}
+    assert {i: (r.host, r.path, r.rule) for i, r in both.items()} == got
+    assert both[10].verdict == "block"  # its one judged neighbour by domain is blocked
+
+
+def test_domains_by_suffix_rules(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.ck", "w.x.y.ck", "www.ck", "a.www.ck", "one", "a.b.c.com", ""]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    suffix, domain = H.domain_parts(F.col("h"), ("co.uk", "*.ck", "!www.ck"))
+    got = {r.h: (r.s, r.d) for r in df.select("h", suffix.alias("s"), domain.alias("d")).collect()}
+    assert got == {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.ck": ("y.ck", "x.y.ck"), "w.x.y.ck": ("y.ck", "x.y.ck"),
+        "www.ck": ("ck", "www.ck"), "a.www.ck": ("ck", "www.ck"), "one": ("one", "one"), "a.b.c.com": ("com", "c.com"), "": ("", ""),
+    }
 
 
 def test_reputation_shrinks_to_the_domain(spark):

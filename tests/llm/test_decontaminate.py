@@ -48,6 +48,20 @@ def test_against_brute_force(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_rows_that_share_an_id_go_for_their_own_text(spark):
+    leak = "one two three four five six"
+    df = spark.createDataFrame([(1, leak, 5), (1, "clean text", 6), (None, leak, 7), (None, "fine", 8), (2, leak * 20_000, 9)], "doc_id long, text string, k_id long")
+    it = spark.createDataFrame([(1, leak), (None, "nine ten"), (1, "another item of seven words stands here")], "item_id long, text string")
+    for rows in (500_000, 0):
+        assert sorted(r.k_id for r in D.drop_contaminated(df, it, broadcast_rows=rows).collect()) == [6, 8]
+
+
+def test_short_documents_skip_the_partitions_of_large_items(spark):
+    it = spark.createDataFrame([(1, "a b c d e f g"), (2, " ".join(f"x{i}" for i in range(300)))], "item_id long, text string")
+    got = {(r.k, r.size_class): r.n_shingles for r in D.sketches(it, 5, 0.8).collect()}
+    assert got == {(5, 1): 3, (5, 8): 296}
+
+
 def test_empty_tables(spark):
     df, none = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(df, none).count() == 0
