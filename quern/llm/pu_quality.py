@@ -201,105 +201,6 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, posit
     return fit_nnpu(p, u, estimate_prior(p, u)) if len(p) and len(u) else None
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.w1 + self.b1)
-        return 1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2, -30, 30)))
-
-
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, least_share: float = 0.3) -> float:
-    """Share of positives in ``unl``: least ratio of shares above a threshold, with a margin of half a deviation.
-
-    The ratio bounds the share from above, and its least value over noisy
-    thresholds lies too low; the margin offsets that.  The score is a ridge logistic one of positives against unlabelled rows, fitted
-    on every other row of both and read on the rest.
-    """
-    if len(pos) < 20 or len(unl) < 20:
-        return 0.5
-    mean, scale = unl.mean(0), unl.std(0) + 1e-6
-    p, u = (np.clip((v - mean) / scale, -8, 8) for v in (pos, unl))
-    x = np.hstack([np.vstack([p[::2], u[::2]]), np.ones((len(p[::2]) + len(u[::2]), 1))])
-    y = np.concatenate([np.ones(len(p[::2])), np.zeros(len(u[::2]))])
-    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both samples weigh the same
-    w, pen = np.zeros(x.shape[1]), 1e-3 * np.eye(x.shape[1])
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve(x.T @ (x * (each * q * (1 - q))[:, None]) + pen, x.T @ (each * (q - y)) + pen @ w)
-    sp, su = (np.sort(v[1::2] @ w[:-1] + w[-1]) for v in (p, u))
-    at = np.unique(np.quantile(sp, np.linspace(0, 1 - least_share, 60)))
-    above = lambda s: 1 - np.searchsorted(s, at) / len(s)
-    share_p, share_u = above(sp), above(su)
-    margin = 0.5 * (np.sqrt(share_u * (1 - share_u) / len(su)) + np.sqrt(share_p * (1 - share_p) / len(sp)))
-    return float(np.clip(((share_u + margin) / share_p).min(), 0.02, 0.98))
-
-
-def forward(par: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and probability."""
-    h = np.tanh(x @ par[0] + par[1])
-    return h, 1 / (1 + np.exp(-np.clip(h @ par[2] + par[3], -30, 30)))
-
-
-def risk(par: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
-    """(pi E_p[l(g)], E_u[l(-g)] - pi E_p[l(-g)]) with the logistic loss l(z) = log(1 + exp(-z))."""
-    sp, su = forward(par, p)[1], forward(par, u)[1]
-    return float(-prior * np.log(sp + 1e-12).mean()), float(-np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean())
-
-
-def gradient(par: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> list[np.ndarray]:
-    """Of the non-negative risk; where its second term is negative, of that term's negation."""
-    (hp, sp), (hu, su) = forward(par, p), forward(par, u)
-
-    def back(x: np.ndarray, dg: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-        d = np.outer(dg, par[2]) * (1 - h * h)
-        return [x.T @ d, d.sum(0), h.T @ dg, dg.sum(keepdims=True)]
-
-    # d l(g)/dg = s - 1 and d l(-g)/dg = s
-    second = [a + b for a, b in zip(back(u, su / len(su), hu), back(p, -prior * sp / len(sp), hp))]
-    if risk(par, p, u, prior)[1] < 0:
-        return [-g for g in second]
-    return [a + b for a, b in zip(second, back(p, prior * (sp - 1) / len(sp), hp))]
-
-
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, batch: int = 1024, rate: float = 5e-3, seed: int = 7) -> Model:
-    """Minimise the non-negative risk with Adam."""
-    rng = np.random.default_rng(seed)
-    mean, scale = unl.mean(0), unl.std(0) + 1e-6
-    p_all, u_all = (np.clip((v - mean) / scale, -8, 8) for v in (pos, unl))
-    d = pos.shape[1]
-    par = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
-    m1, m2, t = [np.zeros_like(v) for v in par], [np.zeros_like(v) for v in par], 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(u_all)), max(1, len(u_all) // batch)):
-            g = gradient(par, p_all[rng.integers(0, len(p_all), max(64, len(part) // 2))], u_all[part], prior)
-            t += 1
-            for i, gi in enumerate(g):
-                gi = gi + 1e-4 * par[i]
-                m1[i] = 0.9 * m1[i] + 0.1 * gi
-                m2[i] = 0.999 * m2[i] + 0.001 * gi * gi
-                par[i] = par[i] - rate * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, par[0], par[1], par[2], float(par[3][0]), prior)
-
-
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(text_features, b.column(1).to_pylist()), pa.list_(pa.float64()))], ["doc_id", "x"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """The model, or None without positives or unlabelled text."""
-    y = one_label(labels, "quality")
-    y = y if train is None else y.where(train)
-    prior = y.agg(((F.sum("y") + 1) / (F.count(F.lit(1)) + 2)).alias("p")).head()[0]
-    pos = F.broadcast(hash_sample(y.where("y = 1").select("doc_id"), positives, "quality"))
-    unl = F.broadcast(hash_sample(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), unlabelled, "web"))
-    take = lambda ids: np.array([r.x for r in features(docs.join(ids, "doc_id")).select("x").collect()])  # noqa: E731  bounded samples
-    p, u = take(pos), take(unl)
-    return fit_nnpu(p, u, min(max(prior or 0.5, 0.02), 0.98)) if len(p) and len(u) else None
-
-
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) per row; 0.5 without a model."""
 
