@@ -65,6 +65,92 @@ def test_quotation_counts_apart():
     assert c.features(None) == c.features("") == [0.0] * 5
 
 
+def abusive_corpus(rng):
+    """(rows, labels) in which five words mark toxic documents; each has a look-alike of its own nowhere else."""
+    v = ["".join(rng.choice("abdegikl") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    bad = ["worthless", "disgusting", "idiotic", "pathetic", "moronic"]
+    rows, labels = [], []
+    for i in range(600):
+        ws, toxic = rng.choices(v, k=rng.randint(30, 90)), i % 5 == 0
+        for _ in range(rng.randint(3, 6) if toxic else 0):
+            ws.insert(rng.randint(1, len(ws)), rng.choice(bad))
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(toxic)))
+    return v, rows, labels
+
+
+def test_misspelling_and_quotation_on_fitted_weights(spark):
+    rng = random.Random(5)
+    v, rows, labels = abusive_corpus(rng)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = X.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(X.FEATURES, model.weights))
+    assert weight["misspelt"] > 0.1 and weight["disguised"] > 0.1 and weight["exact"] > 0.1 and weight["quoted"] < weight["exact"]
+    filler = lambda: " ".join(rng.choices(v, k=12))
+    texts = {
+        "plain": f"{filler()} worthless {filler()} pathetic {filler()} disgusting",
+        "misspelt": f"{filler()} wortless {filler()} pathetyc {filler()} disgustimg",
+        "disguised": f"{filler()} w0rthl3ss {filler()} p4th3t1c {filler()} d1sgust1ng",
+        "quoted": f"{filler()} \u201cworthless\u201d {filler()} \u201cpathetic\u201d {filler()} \u201cdisgusting\u201d",
+        "reported": f"{filler()} he said worthless {filler()} called pathetic {filler()} quoted disgusting",
+        "clean": filler() + " " + filler(),
+        "long": filler() * 20_000,
+    }
+    test = spark.createDataFrame([(1, t) for t in texts.values()], "doc_id long, text string")
+    got = dict(zip(texts, (r.score for r in X.score(test.coalesce(1), model).collect()), strict=True))
+    assert {k for k, s in got.items() if s >= 0.7} == {"plain", "misspelt", "disguised"}, got
+
+
+def test_score_against_brute_force(spark):
+    """Small lexicon: edits by dynamic programming, windows and sums by hand."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    model = X.Model([("moron", False, 3.0), ("scumbags", False, 2.0)], [0.9, 0.7, 0.5, 0.1, 0.3], -2.0, frozenset(["moran"]))
+    rng = random.Random(9)
+    pool = ["moron", "moran", "maron", "scumbag", "scumbgs", "skumbogs", "scumbags", "m0ron", "said", "the", "a", "tree", "\u201cmoron\u201d", "house"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(200)]
+
+    def want(text):
+        ws, c, near = text.split(), [0.0] * 4, lambda w: min(((edits(w, t), i) for i, (t, _, _) in enumerate(model.terms) if edits(w, t) <= (1 if len(t) < 8 else 2)), default=None)
+        for i, chunk in enumerate(ws):
+            w = chunk.strip("\u201c\u201d")
+            hit, kind = near(w), 0
+            if hit and hit[0] == 0:
+                kind = 1
+            elif w == "m0ron":
+                kind, hit = 2, (0, 0)
+            elif hit and w not in model.ordinary:
+                kind = 3
+            if kind:
+                quoted = chunk != w or any(x == "said" for x in ws[max(0, i - 3) : i] + ws[i + 1 : i + 3])
+                opened = any(x[0] == "\u201c" and x[-1] != "\u201d" for x in ws[max(0, i - 6) : i])
+                c[0 if quoted or opened else kind] += model.terms[hit[1]][2]
+        x = [math.log1p(c[1]), math.log1p(c[2]), math.log1p(c[3]), math.log1p(c[0]), math.log1p(1000 * (c[1] + c[2]) / (len(ws) + 50))]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, model.weights)) + model.bias)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in X.score(df, model).collect():
+        assert abs(r.score - want(texts[r.doc_id])) < 1e-9, texts[r.doc_id]
+
+
+def test_rejection_is_by_row(spark):
+    v, rows, labels = abusive_corpus(random.Random(6))
+    toxic = next(t for i, t in rows if i == 0)
+    more = [(5000, toxic, 1), (5000, "clean enough", 2), (None, toxic, 3), (None, None, 4), (5001, "", 5), (5002, toxic, 6), (5002, toxic, 7)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows] + more, "doc_id long, text string, score int").repartition(3)
+    kept = X.reject(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == df.columns
+    assert sorted(r.score for r in kept.where("score > 0").collect()) == [2, 4, 5]
+    assert X.reject(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
 def test_quality_separates(spark):
     rng = random.Random(3)
     v = ["".join(rng.choice("abdeimnrt") for _ in range(rng.randint(2, 9))) for _ in range(400)]
