@@ -98,8 +98,9 @@ def _search(docs: DataFrame, items: DataFrame, k: int, threshold: float, broadca
     side = F.broadcast(sketch) if small else sketch
 
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    looked = let(hashes, lambda h: F.struct(F.size(h).alias("n"), F.when(F.size(h) >= least, F.concat(*(shingle_hashes(h, n) for n in lengths))).alias("x")))
-    found = docs.select("k_id", "k_text", looked.alias("_l")).select("k_id", "k_text", F.col("_l.n").alias("n_words"), F.explode("_l.x").alias("_x"))
+    # One expression, so that a text's words are taken and hashed once.
+    looked = let(hashes, lambda h: F.when(F.size(h) >= least, F.transform(F.concat(*(shingle_hashes(h, n) for n in lengths)), lambda x: F.struct(F.size(h).alias("n"), x.alias("x")))))
+    found = docs.select("k_id", "k_text", F.explode(looked).alias("_l")).select("k_id", "k_text", F.col("_l.n").alias("n_words"), F.col("_l.x").alias("_x"))
     pairs = found.join(side, "_x").where("n_words >= need").select("k_id", "k_text", "item_id", "k").distinct()
     pairs = cut(pairs)
     few = pairs.count() <= broadcast_rows

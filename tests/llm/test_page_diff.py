@@ -29,6 +29,73 @@ OTHER = """<body><div>Menu line</div><div>Unique one</div><div>Shared foot</div>
 OTHER2 = """<body><div>Menu line</div><div>Unique two</div><div>Shared foot</div><p>cut off <b"""
 
 
+def test_large_pairs_are_aligned_in_parts(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(P, "ALIGN_BITS", 300)
+    for _ in range(100):
+        a, b = (rng.choices("abcdefgh", k=rng.randint(0, 80)) for _ in range(2))
+        got = sorted(P.shared_lines(a, b))
+        assert len(got) == lcs(a, b)
+        it = iter(b)
+        assert all(a[i] in it for i in got)
+
+
+def test_very_long_pages():
+    import time
+    import tracemalloc
+
+    rng = random.Random(4)
+    a = [f"line {i}" for i in range(200_000)]
+    b = [x if rng.random() < 0.9 else "other" for x in a]
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert len(P.shared_lines(a, b)) >= sum(x == y for x, y in zip(a, b))
+    assert time.perf_counter() - began < 120 and tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
+def test_names_do_not_hide_what_holds_the_text():
+    text = lambda page: P.main_text(P.text_lines(page), None)[0]
+    assert text('<main class="no-sidebar"><p>kept</p></main>') == "kept"
+    assert text('<article class="post ad-free"><p>kept</p></article>') == "kept"
+    assert text('<article class="ad comments"><p>kept</p></article>') == "kept"
+    assert text('<div class="content has-sidebar"><p>kept</p></div>') == "kept"
+    assert text('<div class="sidebar-right"><div><p>The long text</p></div><div><p>of the page</p></div></div><div class="ad">Buy</div>') == "The long text of the page"
+
+
+PLAIN = """<body><div><p>Home</p><p>News</p></div><div><div><h1>Title {0}</h1><p>First paragraph of page {0}</p><p>A passage that many share</p><p>Last {0}</p></div></div><div><p>Foot</p><p>Terms</p></div></body>"""
+
+
+def test_differencing_alone_finds_the_article(spark, monkeypatch):
+    """Without article, nav and class names only the comparison with the neighbour tells text from furniture."""
+    rows = [(i, f"http://a.org/{i}", PLAIN.format(i)) for i in range(20)] + [(3, "http://a.org/3", PLAIN.format(3)), (50, "http://a.org/3b", PLAIN.format(3))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = lambda i: f"Title {i} First paragraph of page {i} A passage that many share Last {i}"
+    assert {(r.page_id, r.text) for r in P.extract(df).collect()} == {(i, want(3 if i == 50 else i)) for i, _, _ in rows}
+    lines = P.text_lines(PLAIN.format(1))
+    assert P.main_text(lines, P.text_lines(PLAIN.format(2)))[0] == want(1)
+    assert P.main_text(lines, None)[0] == f"Home News {want(1)} Foot Terms"  # differencing switched off
+
+
+def test_a_shared_passage_in_a_flat_page_stays():
+    page = "<p>Menu</p><p>Own beginning {0}</p><p>Shared passage</p><p>More {0}</p><p>Foot</p>"
+    assert P.main_text(P.text_lines(page.format(1)), P.text_lines(page.format(2)))[0] == "Own beginning 1 Shared passage More 1"
+
+
+def test_text_does_not_depend_on_partitions(spark):
+    rng = random.Random(7)
+    rows = [(i, f"http://h{rng.randint(0, 3)}.org/{rng.randint(0, 9)}/{i % 25}", PLAIN.format(rng.randint(0, 12))) for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 8, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(tuple(r) for r in P.extract(df.repartition(5)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 150
+
+
 def test_pages(spark):
     rows = [(1, "http://a.org/x/1", PAGE), (2, "http://a.org/y/1", OTHER), (3, "http://a.org/y/2", OTHER2), (4, None, None), (5, "nothing", ""), (6, "http://b.org", "<nav>x"), (6, "http://b.org", "<nav>x"), (7, "http://c.org/", "<div class=ad>open <article>kept &amp; well</article>")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
@@ -67,7 +134,7 @@ def test_differencing_decides_outside_articles(spark):
         3: ("Text three", None),
         4: ("Same words", None),
         5: ("Same words", None),
-        6: ("Text x", None),
+        6: ("Text x Byline x", 8),
         7: ("Text x Byline x", 8),
         8: ("Text y Byline y", 7),
     }
