@@ -21,13 +21,17 @@ least ``threshold`` and labels the connected components.  Exact, in these steps:
    Pairs of the other blocks pass the position bound and a parity-bitmap bound
    on the symmetric difference, and are then verified on the sets.
 
-6. Links are counted where asked for: pairs of one label in blocks of a matrix
-   product over the label's sets, pairs of two labels from step 5, both weighted
-   by the rows of a class.  No pair of a label is put out.
+6. Links are counted where asked for, weighted by the rows of a class.  Those of
+   two labels come from step 5.  Those of one label are derived from the centre of
+   its sets: a set is described by what it lacks and has beside it, two small
+   enough descriptions are linked for sure and are counted by a histogram, and for
+   the rest the overlap follows from what the descriptions share, in blocks of
+   sets that are separate rows.  No pair of a label is put out.
 
 64-bit shingle hashes stand for shingles.  Null and empty texts have the empty
-set, which is linked with nothing; fewer than ``k`` words make one shingle.
-Rows that share an id are one node.
+set, which is linked with nothing; fewer than ``k`` words make one shingle; very
+long texts are read whole.  Rows that share an id are one node.  An empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +42,11 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, once, row_key, without_rows
 from .components import connected_components
 
 SHINGLE = 5
@@ -150,6 +153,8 @@ def shared_counts(docs: DataFrame, k: int, t: Fraction, id_col: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             """One packed row a bucket of sets, so that rows do not grow with the number of tasks."""
+            if not len(ids):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["bucket", "packed"])
             order = np.argsort(ids % buckets, kind="stable")
             ids, n = ids[order], n[order]
             at = np.flatnonzero(np.concatenate(([True], np.diff(ids % buckets) != 0, [True])))
@@ -284,48 +289,97 @@ def set_links(sets: DataFrame, t: Fraction = THRESHOLD) -> tuple[DataFrame, Data
     return stars.unionByName(_links(cut(pairs), sets, t)), label
 
 
-def _label_counts(members: DataFrame, t: Fraction) -> DataFrame:
-    """(id, links): rows of the sets of ``members`` (label, id, n, tokens, size) that a set of the same label is linked to."""
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.drop_duplicates("id")
-        n, size = g["n"].to_numpy(np.int64), g["size"].to_numpy(np.int64)
-        _, token, df = np.unique(np.concatenate(list(g["tokens"])), return_inverse=True, return_counts=True)
-        often = np.cumsum(df > 1) - 1  # elements of one set only are in no overlap
-        row = np.repeat(np.arange(len(g)), n)
-        row, token = row[df[token] > 1], often[token[df[token] > 1]]
-        width = max(1, int((df > 1).sum()))
-        step = max(1, 2**23 // width)
-
-        def block(i: int) -> np.ndarray:
-            lo, hi = np.searchsorted(row, (i, i + step))
-            m = np.zeros((min(step, len(g) - i), width), np.float32)
-            m[row[lo:hi] - i, token[lo:hi]] = 1
-            return m
-
-        links = np.zeros(len(g), np.int64)
-        for i in range(0, len(g), step):
-            x = block(i)
-            for j in range(0, len(g), step):
-                y = x if i == j else block(j)
-                near = (x @ y.T) * (t.numerator + t.denominator) >= (n[i : i + step, None] + n[None, j : j + step]) * t.numerator
-                if i == j:
+#: Sets of a block, on average, where pairs of a label are counted.
+BLOCK = 256
+
+
+def _deltas(members: DataFrame, t: Fraction) -> DataFrame:
+    """(label, id, size, c, delta, k) of the sets of ``members`` (label, m, id, tokens, size) against their label's centre.
+
+    The centre holds the elements of more than half of the label's sets; it has
+    k of them and need not be a set itself.  A set that lacks r of them and has a
+    others is described by those r + a, its delta.  Two sets whose deltas share s
+    elements overlap in k - r1 - r2 + s, so with t = p / q they are linked where
+    c1 + c2 - (p + q) s <= (q - p) k, c being q r + p a.
+    """
+    p, q = t.numerator, t.denominator
+    own = members.select("label", "m", F.explode(F.array_distinct("tokens")).alias("x"))
+    centre = own.groupBy("label", "m", "x").agg(F.count(F.lit(1)).alias("n")).where("2 * n > m").groupBy("label").agg(F.collect_list("x").alias("centre"))  # at most twice a set
+    both = members.join(centre, "label", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    lacks, has = F.array_except("centre", "tokens"), F.array_except("tokens", "centre")
+    both = both.select("label", "id", "size", F.size("centre").alias("k"), lacks.alias("lacks"), has.alias("has"))
+    return both.select("label", "id", "size", (q * F.size("lacks") + p * F.size("has")).cast("long").alias("c"), F.concat("lacks", "has").alias("delta"), (F.col("k") * (q - p)).cast("long").alias("k"))
+
+
+def _sure_counts(deltas: DataFrame) -> DataFrame:
+    """(id, links): rows of sets that are linked whatever their deltas share, from a histogram of c a label."""
+    hist = deltas.groupBy("label", "c").agg(F.sum("size").alias("rows")).groupBy("label").agg(F.collect_list(F.struct("c", "rows")).alias("hist"))  # as many as there are values of c, some times a set's size
+    near = F.aggregate(F.filter("hist", lambda h: h["c"] + F.col("c") <= F.col("k")), F.lit(0).cast("long"), lambda acc, h: acc + h["rows"])
+    own = F.when(2 * F.col("c") <= F.col("k"), F.col("size")).otherwise(0)
+    return deltas.join(hist, "label").select("id", (near - own).alias("links"))
+
+
+def _open_counts(deltas: DataFrame, t: Fraction) -> DataFrame:
+    """(id, links): rows of linked sets whose link hangs on what the deltas share.
+
+    Sets are dealt to blocks by label, quarter of c and hash; pairs of blocks
+    that are sure or that cannot be open are skipped, each other pair is one row.
+    """
+    step = t.numerator + t.denominator
+    part = F.when(F.col("k") > 0, F.least(F.floor(4 * F.col("c") / F.col("k")), F.lit(4))).otherwise(4).cast("int")
+    rows = deltas.withColumn("part", part)
+    sizes = rows.groupBy("label", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = rows.join(sizes, ["label", "part"]).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = rows.groupBy("label", "part", "at").agg(F.max("k").alias("k"), F.collect_list(F.struct("id", "size", "c", "delta")).alias("x"))  # some BLOCK sets
+    field = lambda n: F.transform("x", lambda r: r[n])
+    blocks = cut(packed.select("label", "part", "at", "k", field("id").alias("ids"), field("size").alias("sizes"), field("c").alias("cs"), F.transform("x", lambda r: F.size(r["delta"])).alias("lens"), F.flatten(field("delta")).alias("flat")))
+    key = ["label", "part", "at"]
+    x, y = (blocks.select("label", F.col("part").alias(f"part_{e}"), F.col("at").alias(f"at_{e}")) for e in "xy")
+    meet = x.join(y, "label").where("(part_x < part_y OR part_x = part_y AND at_x <= at_y) AND part_x + part_y >= 3")
+    side = lambda e: blocks.select(F.col("label").alias("label"), F.col("part").alias(f"part_{e}"), F.col("at").alias(f"at_{e}"), *(F.col(c).alias(f"{c}_{e}") for c in ("k", "ids", "sizes", "cs", "lens", "flat")))
+    pairs = meet.join(side("x"), ["label", "part_x", "at_x"]).join(side("y"), ["label", "part_y", "at_y"])
+    pairs = pairs.select(((F.col("part_x") == F.col("part_y")) & (F.col("at_x") == F.col("at_y"))).alias("same"), "k_x", *(f"{c}_{e}" for e in "xy" for c in ("ids", "sizes", "cs", "lens", "flat")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                same, k = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                ids_x, size_x, c_x, len_x, flat_x, ids_y, size_y, c_y, len_y, flat_y = (b.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(2, 12))
+                token, at = np.unique(np.concatenate([flat_x, flat_y]), return_inverse=True)
+                at_x, at_y = at[: len(flat_x)], at[len(flat_x) :]
+                both = np.zeros((2, len(token)), bool)
+                both[0, at_x], both[1, at_y] = True, True
+                place = np.cumsum(both.all(0)) - 1  # elements of one side only are in no overlap
+                width = int(place[-1]) + 1 if len(token) else 0
+
+                def matrix(lens: np.ndarray, own: np.ndarray) -> np.ndarray:
+                    m = np.zeros((len(lens), width), np.float32)
+                    row, keep = np.repeat(np.arange(len(lens)), lens), both[:, own].all(0)
+                    m[row[keep], place[own[keep]]] = 1
+                    return m
+
+                shared = (matrix(len_x, at_x) @ matrix(len_y, at_y).T).astype(np.int64)
+                cost = c_x[:, None].astype(np.int64) + c_y[None].astype(np.int64)
+                near = (cost > k) & (cost - step * shared <= k)
+                if same:
                     np.fill_diagonal(near, False)
-                links[i : i + step] += near @ size[j : j + step]
-        return pd.DataFrame({"id": g["id"].to_numpy(), "links": links})
+                out = [(ids_x, near @ size_y)] + ([] if same else [(ids_y, near.T @ size_x)])
+                ids, links = (np.concatenate(z) for z in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links.astype(np.int64), pa.int64())], ["id", "links"])
 
-    return members.groupBy("label").applyInPandas(count, "id long, links long")
+    return pairs.mapInArrow(count, "id long, links long")
 
 
 def link_counts(sets: DataFrame, links: DataFrame, label: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
     """(id, links): rows of other sets that a set is linked to; ``sizes`` is (id, size), the rows of a set."""
-    named = sets.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")).join(sizes, "id")
-    shared = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("label")
-    within = _label_counts(sets.select("id", "n", "tokens").join(named.join(shared, "label"), "id"), t)
+    named = cut(sets.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")).join(sizes, "id"))
+    shared = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = sets.select("id", "tokens").dropDuplicates(["id"]).join(named.join(shared, "label"), "id")
+    deltas = cut(_deltas(members, t))
     side = lambda x: named.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"), F.col("size").alias(f"size_{x}"))
     across = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b")
     ends = across.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("size_b").alias("links")), F.struct(F.col("b").alias("id"), F.col("size_a").alias("links")))).alias("x")).select("x.*")
-    return within.unionByName(ends).groupBy("id").agg(F.sum("links").alias("links"))
+    return _sure_counts(deltas).unionByName(_open_counts(deltas, t)).unionByName(ends).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: Fraction = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, count_links: bool = True) -> DataFrame:
@@ -359,6 +413,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id leads its component, with their columns; null ids stay."""
-    gone = jaccard_components(docs, id_col, text_col, count_links=False, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    """One row of ``docs`` per component, with their columns: the one with the smallest id (null ids last).
+
+    Here a row is a node of its own: rows that share an id are joined only by
+    their texts, so none goes for another one's.  Rows without words all stay.
+    """
+    own_id, own_text = row_key(id_col, text_col)
+    row = F.struct(own_id.isNull().alias("none"), own_id.alias("k_id"), own_text.alias("k_text"))
+    out = cut(jaccard_components(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")), count_links=False, **options))
+    gone = out.where("component_id <> doc_id").select("doc_id.k_id", "doc_id.k_text").distinct()
+    again = out.where("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id.k_id", "doc_id.k_text")
+    return once(without_rows(docs, gone, id_col, text_col), again, id_col, text_col)

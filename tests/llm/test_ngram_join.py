@@ -58,6 +58,29 @@ def test_against_brute_force(spark, seed):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_links_of_large_groups(spark, monkeypatch, block):
+    """Groups of near copies with edits of their own and edits in common; every link is counted."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = random.Random(11)
+    docs = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        family = list(base)
+        family[30:33] = ["x", "y", "z"]
+        for i in range(45):
+            w = list(family if i % 3 == 0 else base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = rng.choice(["p", "q", "r"])
+            docs.append((1000 * g + i, " ".join(w)))
+    docs += [(9000 + i, docs[i][1]) for i in range(6)]
+    got = {r.doc_id: r for r in J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    sets = {i: set(J.shingle_set(t).tolist()) for i, t in docs}
+    want = {a: sum(a != b and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    assert {i: r.n_links for i, r in got.items()} == want and len(set(want.values())) > 10
+    assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute(docs).items()}
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -88,3 +111,14 @@ def test_texts_of_one_id_are_one_node(spark):
     rest = [(100 + i, t) for i, t in corpus(2)]
     got = {(r.doc_id, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows + rest, "doc_id long, text string")).where("doc_id < 100").collect()}
     assert got == {(1, 1), (3, 1), (5, 1), (4, 4)}
+
+
+def test_one_row_of_each_stays_and_no_text_is_lost(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "a quite different text of more than five words"
+    rows = [(3, a, 1), (5, a + " ", 2), (5, b, 3), (7, "alone here", 4), (7, "alone here", 5), (None, a, 6), (None, "nothing like it at all here", 7), (8, "", 8), (8, "", 9), (9, None, 10), (10, "long words " * 60_000, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k_id long").repartition(3)
+    kept = J.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(r.k_id for r in kept.collect())
+    assert got in ([1, 3, 4, 7, 8, 9, 10, 11], [1, 3, 5, 7, 8, 9, 10, 11])
+    assert J.one_of_each(df.limit(0)).count() == 0
