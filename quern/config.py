@@ -20,6 +20,9 @@ class EngineConfig:
     duplicate_jaccard: float = 0.75
     diversity: float = 0.5
     ann_rows: int = 1000
+    #: Results of a broad query and of any other.
+    broad_k: int = 40
+    narrow_k: int = 20
     #: Most rows that a side of a join may have to be broadcast without asking Spark's statistics.
     broadcast_rows: int = 200_000
 

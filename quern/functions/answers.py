@@ -45,12 +45,79 @@ def holds(condition: Column, params: Column) -> Column:
     return F.when(condition.contains("=="), value(left) == value(right)).otherwise(F.coalesce(params[F.trim(condition)] == "true", F.lit(False)))
 
 
+#: Fixed values of follow-up rewriting: bare commands; pronouns in the order they are tried; words that point to a file
+#: or else the entity; beginnings of a follow-up with what they stand for.
+BARE_COMMANDS = ["search online", "google", "search web", "look up online", "find online", "search internet", "web search", "search the web", "check online", "look online"]
+PRONOUNS = [" her ", " his ", " their ", " she ", " he ", " they ", "her ", "his "]
+DEMONSTRATIVES = [" it ", " this ", " that ", " it?", " this?", " that?"]
+ELLIPSES = [("and the ", "what is {topic} "), ("and ", ""), ("what about ", "what is {topic} "), ("how about ", "what is {topic} "), ("tell me more", "tell me more about {topic}"), ("more about", "more about {topic}"), ("more details", "more details about {topic}"), ("elaborate", "elaborate on {topic}"), ("explain", "explain {topic}")]
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _first_replaced(text: Column, words: list[str], name: Column) -> Column:
+    """``text`` with the first of ``words`` that it holds, in any case, replaced once by ``name`` in its place; null if it holds none."""
+    out = F.lit(None).cast("string")
+    for w in reversed(words):
+        core = w.strip(" ?")
+        at = F.instr(F.lower(text), w)
+        new = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(w[: w.index(core)]), name, F.lit(w[w.index(core) + len(core) :]), F.substring(text, at + len(w), F.length(text)))
+        out = F.when(at > 0, new).otherwise(out)
+    return out
+
+
+def rewrite_in_context(query: Column, entity: Column, file: Column, topic: Column, concepts: Column, last_query: Column) -> Column:
+    """A follow-up made self-contained from its conversation.
+
+    In turn: a bare command takes the last query; a pronoun becomes the entity;
+    a demonstrative the file under discussion or else the entity; a follow-up of at
+    most five words without either is spelled out with the entity or topic; one or
+    two words with nothing of that take the entity or three concepts.
+    """
+    # Each step's text is bound to a lambda's variable, so that later steps do not repeat its expression.
+    trimmed = F.trim(query)
+    low = F.lower(trimmed)
+    n = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
+    is_bare = low.isin(BARE_COMMANDS)
+    for c in BARE_COMMANDS:
+        is_bare = is_bare | low.startswith(f"{c} ")
+    bare = is_bare & last_query.isNotNull()
+    about = F.coalesce(entity, topic, F.lit(""))
+    ellipsis = F.lit(None).cast("string")
+    for begin, long in reversed(ELLIPSES):
+        rest = F.substring(query, F.lit(len(begin) + 1), F.length(query))
+        spelled = F.concat(F.lit(long.split("{topic}")[0]), about, F.lit(long.split("{topic}")[1]), rest) if long else F.concat(about, F.lit(" "), F.trim(rest))
+        ellipsis = F.when(low.startswith(begin), spelled).otherwise(ellipsis)
+    target = F.coalesce(file, entity)
+
+    def unresolved(said: Column) -> Column:
+        def short(spelled: Column) -> Column:
+            few = (n <= 2) & ~bare & spelled.isNull() & (low != "")
+            more = F.when(few & entity.isNotNull(), F.concat(entity, F.lit(" "), trimmed)).when(few & (F.size(concepts) > 0), F.concat(trimmed, F.lit(" "), F.array_join(F.slice(concepts, 1, 3), " ")))
+            return F.coalesce(spelled, more, said)
+
+        return _let(F.when((n <= 5) & (about != ""), ellipsis), short)
+
+    def pointing(said: Column, named: Column) -> Column:
+        by_pointing = F.when(target.isNotNull(), _first_replaced(F.coalesce(named, said), DEMONSTRATIVES, target))
+        return _let(by_pointing, lambda pointed: F.when(named.isNotNull() | pointed.isNotNull(), F.coalesce(pointed, named)).otherwise(unresolved(said)))
+
+    first = F.when(bare, F.concat(trimmed, F.lit(" "), F.trim(last_query))).otherwise(query)
+    return _let(first, lambda said: _let(F.when(entity.isNotNull(), _first_replaced(said, PRONOUNS, entity)), lambda named: pointing(said, named)))
+
+
+def rewrite_with(query: Column, prompt: Column, generate, rule_based: Column) -> Column:
+    """The answer of ``generate`` (a Column function or pandas UDF of the prompt), or the rule-based form where it is empty."""
+    return F.coalesce(F.nullif(F.trim(generate(prompt)), F.lit("")), rule_based, query)
+
+
 def rewrite_follow_up(query: Column, topic: Column) -> Column:
-    """A query that points back or has at most two words, with the last topic written in."""
-    words = F.size(F.filter(F.split(F.trim(query), r"\s+"), lambda w: w != ""))
-    pointing = query.rlike(POINTING)
-    known = topic.isNotNull() & (topic != "")
-    return F.when(known & pointing, F.regexp_replace(query, POINTING, F.regexp_replace(topic, r"([\\$])", r"\\$1"))).when(known & (words <= 2), F.concat(topic, F.lit(" "), query)).otherwise(query)
+    """``rewrite_in_context`` where only a topic is known."""
+    none = F.lit(None).cast("string")
+    known = F.nullif(topic, F.lit(""))
+    return rewrite_in_context(query, known, none, none, F.array().cast("array<string>"), none)
 
 
 def entities(text: Column) -> Column:

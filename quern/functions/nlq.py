@@ -225,3 +225,37 @@ def decompose(text: Column) -> Column:
         .when(joined, make("Conjunction", parts))
         .otherwise(make("Single", F.array(trimmed)))
     )
+
+
+#: Words that ask for everything; a place together with a plural that ask for all of a kind.
+BROAD = ["all ", "every ", "list ", "each ", "everyone", "everything"]
+BROAD_PLACES = ["from ", "in the ", "across "]
+BROAD_PLURALS = ["emails", "names", "phones", "numbers", "addresses", "ids", "details", "records"]
+#: Words without meaning for relevance; terms of two domains; what document types of these domains contain.
+RELEVANCE_STOP_WORDS = "the a an is are was were in on at to for of and or but with from by as how what where when why which who i you me my your".split()
+LEGAL_TERMS = ["contract", "agreement", "clause", "liability", "indemnity", "breach", "party", "provision", "termination"]
+TAX_TERMS = ["gst", "tax", "return", "invoice", "itr", "section", "assessment", "audit", "compliance"]
+LEGAL_TYPES = ["contract", "agreement", "legal"]
+TAX_TYPES = ["gst", "tax", "itr"]
+
+
+def _holds_any(text: Column, parts: list[str]) -> Column:
+    return _either([text.contains(x) for x in parts])
+
+
+def is_broad(text: Column) -> Column:
+    """The query asks for everything of a kind, so more results are wanted."""
+    low = F.lower(text)
+    return _holds_any(low, BROAD) | (_holds_any(low, BROAD_PLACES) & _holds_any(low, BROAD_PLURALS))
+
+
+def relevance_keywords(text: Column) -> Column:
+    """Lower-cased words of more than two bytes that are no stop words, with repeats."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(RELEVANCE_STOP_WORDS))
+
+
+def domain_match(text: Column, has_legal: Column, has_tax: Column) -> Column:
+    """0.9 when the query's domain is among the documents, 0.1 when it is not, 0.5 when it has none."""
+    low = F.lower(text)
+    legal, tax = _holds_any(low, LEGAL_TERMS), _holds_any(low, TAX_TERMS)
+    return F.when((legal & has_legal) | (tax & has_tax), 0.9).when((legal & ~has_legal) | (tax & ~has_tax), 0.1).otherwise(0.5)

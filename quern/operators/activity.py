@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import similarity
+
 
 def by_user():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -50,3 +52,13 @@ def boosts(clicks: DataFrame) -> DataFrame:
     """Adds boost: 0.3 a click, -0.2 an ignore, 0.15 for long dwell, held to [-0.5, 1]."""
     raw = 0.3 * F.col("clicks") - 0.2 * F.col("ignores") + F.when(F.col("avg_dwell") > 10, 0.15).otherwise(0.0)
     return clicks.withColumn("boost", F.greatest(F.lit(-0.5), F.least(F.lit(1.0), raw)))
+
+
+def suggestions(history: DataFrame, typed: DataFrame, recent: int = 20, most: int = 5) -> DataFrame:
+    """(owner, text, query, score, place): of an owner's ``recent`` last searches (owner, query, ts, event_id) those that hold what is typed (owner, text)."""
+    last = Window.partitionBy("owner").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = history.withColumn("_age", F.row_number().over(last)).where(F.col("_age") <= recent)
+    hits = rows.join(typed, "owner").where(F.lower("query").contains(F.lower("text")))
+    scored = hits.withColumn("score", similarity(F.col("query"), F.col("text")))
+    order = Window.partitionBy("owner", "text").orderBy(F.desc("score"), "_age")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("owner", "text", "query", "score", "place")

@@ -43,3 +43,25 @@ def report(means: DataFrame, ks: list[int]) -> DataFrame:
     lines = [F.format_string("queries: %d", "n_queries"), F.format_string("MRR: %.4f", "mrr")]
     lines += [F.format_string(f"@{k}: recall %.4f, precision %.4f, nDCG %.4f, hit rate %.4f", f"recall_{k}", f"precision_{k}", f"ndcg_{k}", f"hit_rate_{k}") for k in ks]
     return means.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def citation_validity(cited: DataFrame, sources: DataFrame) -> DataFrame:
+    """``cited`` (query_id, path, line) with reason: null when valid, else ``file`` or ``line``.
+
+    ``sources`` has query_id, path and ranges (array<struct<first,last>>).  A path
+    fits a source when either ends with the other; a line must lie in a range of a
+    source that fits.  The pairs are those of one answer and its sources.
+    """
+    slash = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    s = sources.select("query_id", slash(F.col("path")).alias("_source"), "ranges")
+    rows = cited.withColumn("_n", F.monotonically_increasing_id()).withColumn("_path", slash(F.col("path")))
+    fits = F.col("_source").endswith(F.col("_path")) | F.col("_path").endswith(F.col("_source"))
+    inside = F.exists("ranges", lambda r: F.col("line").between(r["first"], r["last"]))
+    both = rows.join(s, "query_id", "left").groupBy("_n", *cited.columns).agg(F.max(fits).alias("_file"), F.max(fits & inside).alias("_line"))
+    reason = F.when(~F.coalesce("_file", F.lit(False)), "file").when(F.col("line").isNotNull() & ~F.coalesce("_line", F.lit(False)), "line")
+    return both.select(*cited.columns, reason.alias("reason"))
+
+
+def citation_confidence(checked: DataFrame) -> DataFrame:
+    """(query_id, total, valid, confidence) of ``citation_validity``'s rows."""
+    return checked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("valid")).withColumn("confidence", F.col("valid") / F.col("total"))

@@ -1,42 +1,155 @@
-"""Full-text search: tokens, postings and BM25."""
+"""Full-text search: tokens, postings, BM25 over one or more fields, phrases."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 K1, B = 1.2, 0.75
+#: Most query terms (some 20 bytes each) that are broadcast.
+BROADCAST_TERMS = 500_000
+#: In place of a term on the row that carries the length of a field; no token is empty.
+LENGTH = ""
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of at most 40 bytes."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.octet_length(w) <= 40))
-
+    """Lower-cased runs of letters and digits of at most 40 bytes.
 
-#: Most query terms (some 20 bytes each) that are broadcast.
-BROADCAST_TERMS = 500_000
+    Where every character takes one byte, letters and digits are a-z and 0-9,
+    which the regular expression tells apart much faster.
+    """
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    words = F.when(F.octet_length(text) == F.length(text), F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, r"[^\p{L}\p{N}]+"))
+    return F.filter(words, lambda w: (w != "") & (F.octet_length(w) <= 40))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(term, id, tf, dl); with ``terms`` (term), only theirs, before anything is shuffled while they are few."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws")).select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    if terms is not None:
-        rows = rows.join(F.broadcast(terms) if terms.count() <= broadcast_terms else terms, "term", "left_semi")
-    return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, id, tf, dl) of one field; with ``terms`` (term), only theirs."""
+    return index(docs, id_col, {"text": text_col}, terms, broadcast_terms).where(F.col("term") != LENGTH).select("term", "id", "tf", "dl")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query_id, id, score, rank): OR-queries over a stated set of queries.
+def index(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(field, term, id, tf, dl) of the named columns, and a row of term ``LENGTH`` for each id and field.
 
-    Only postings of query terms leave the scan; the term statistics are sums
-    over them, and corpus size and mean length one row.
+    With ``terms`` (term) only their postings leave the scan, before anything is
+    shuffled while they are few; the lengths come from the same pass.
     """
-    q = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    post = postings(docs, id_col, text_col, q.select("term").distinct())
-    stats = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = post.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = w.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    hits = w.join(q, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    parts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(c)).alias("ws")) for f, c in fields.items())))
+    rows = docs.select(F.col(id_col).alias("id"), parts.alias("x")).select("id", "x.field", F.size("x.ws").alias("dl"), F.explode(F.concat("x.ws", F.array(F.lit(LENGTH)))).alias("term"))
+    if terms is not None:
+        asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
+        rows = rows.join(F.broadcast(asked) if asked.count() <= broadcast_terms else asked, "term", "left_semi")
+    return rows.where("term IS NOT NULL").groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _top(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _weight(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def bm25(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    query_col: str = "query_id",
+    query_text: str = "query",
+    title_col: str | None = None,
+    broadcast_terms: int = BROADCAST_TERMS,
+) -> DataFrame:
+    """(query_id, id, score, rank): OR-queries over a stated set of queries, over the text and, if named, the title.
+
+    A score is the sum over fields and terms, each field with statistics of its
+    own.  Texts are tokenised once.  The statistics of the query's terms and the
+    queries are broadcast while they are few (their terms are counted), so no
+    term gathers its postings in a task and only (query, id) is shuffled.
+    """
+    q = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).distinct()
+    few = q.count() <= broadcast_terms
+    small = F.broadcast if few else lambda df: df
+    fields = {"text": text_col} if title_col is None else {"text": text_col, "title": title_col}
+    post = index(docs, id_col, fields, q.select("term"), broadcast_terms)
+    df = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl"))
+    sizes = df.where(F.col("term") == LENGTH).select("field", F.col("df").alias("n"), "avgdl")  # a row a field
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    about = df.drop("avgdl").join(F.broadcast(sizes), "field").select("field", "term", idf.alias("idf"), "avgdl")
+    w = post.join(small(about), ["field", "term"]).select("term", "id", _weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"))
+    return _top(w.join(small(q), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
+
+
+def unparsable(query: Column) -> Column:
+    """The query syntax would refuse it: an odd number of quotation marks, or brackets that do not match."""
+    count = lambda c: F.length(query) - F.length(F.replace(query, F.lit(c), F.lit("")))
+    return (count('"') % 2 == 1) | (count("(") != count(")")) | (count("[") != count("]"))
+
+
+def phrases(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query_id, id, score, rank): the query's tokens side by side in the text, scored as one term.
+
+    Documents are looked up by the phrase's rarest term, then read for the phrase.
+    """
+    q = queries.select(F.col(query_col).alias("query_id"), tokens(F.col(query_text)).alias("ws")).where(F.size("ws") > 0)
+    terms = q.select("query_id", "ws", F.explode(F.array_distinct("ws")).alias("term"))
+    post = index(docs, id_col, {"text": text_col}, terms.select("term"))
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl"))
+    size = df.where(F.col("term") == LENGTH).select(F.col("df").alias("n"), "avgdl")  # one row
+    own = terms.join(df.drop("avgdl"), "term").crossJoin(F.broadcast(size))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    own = own.groupBy("query_id", "ws", "avgdl").agg(F.sum(idf).alias("idf"), F.min(F.struct("df", "term")).alias("rare"), F.count(F.lit(1)).alias("found"))
+    own = own.where(F.col("found") == F.size(F.array_distinct("ws"))).select("query_id", "ws", "avgdl", "idf", F.col("rare.term").alias("term"))
+    ask = post.select("term", "id").join(own, "term")
+    texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    both = ask.join(texts, "id")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t") - F.size("ws") + 1, F.lit(1))), lambda i: F.slice(F.col("t"), i, F.size("ws")) == F.col("ws"))
+    hits = both.withColumn("tf", F.size(starts)).where("tf > 0")
+    return _top(hits.select("query_id", "id", _weight(F.col("idf"), F.col("tf"), F.size("t"), F.col("avgdl")).alias("score")), k)
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of (query_id, query): BM25 over text and title; queries that do not parse as a phrase over the text."""
+    bad = queries.where(unparsable(F.col("query")))
+    good = queries.where(~unparsable(F.col("query")))
+    return bm25(docs, good, k, id_col, text_col, title_col=title_col).unionByName(phrases(docs, bad, k, id_col, text_col))
+
+
+class TextIndex:
+    """A kept index: postings of chunks (id, text) as versions of a Parquet table, with adds, deletes and a rebuild."""
+
+    def __init__(self, spark, path: str):
+        from .store import VersionedStore
+
+        self.store = VersionedStore(spark, path)
+
+    @staticmethod
+    def of(chunks: DataFrame) -> DataFrame:
+        return index(chunks, "id", {"text": "text"})
+
+    def add(self, chunks: DataFrame) -> None:
+        """New postings of the ids in ``chunks`` replace those they had."""
+        new = self.of(chunks)
+        if self.store.versions():
+            new = self.store.read().join(chunks.select("id").distinct(), "id", "left_anti").unionByName(new)
+        self.store.write(new)
+
+    def delete(self, ids: DataFrame) -> None:
+        self.store.write(self.store.read().join(ids.select("id").distinct(), "id", "left_anti"))
+
+    def rebuild(self, chunks: DataFrame) -> None:
+        """From the store alone; give the contextual text that ingest indexes."""
+        self.store.write(self.of(chunks))
+
+    def count(self) -> int:
+        return self.store.read().where(F.col("term") == LENGTH).count()
+
+    def terms(self) -> DataFrame:
+        return self.store.read().where(F.col("term") != LENGTH).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+
+
+def contextual(title: Column, heading: Column, text: Column) -> Column:
+    """The text as ingest indexes it: behind its title and heading."""
+    return F.concat_ws("\n", title, heading, text)

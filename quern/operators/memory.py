@@ -62,3 +62,34 @@ def within_bytes(memories: DataFrame, by: str, most: int) -> DataFrame:
     """Per owner, the most important memories that fit in ``most`` bytes together."""
     w = Window.partitionBy(by).orderBy(F.desc("importance"), "id").rowsBetween(Window.unboundedPreceding, 0)
     return memories.withColumn("_s", F.sum(F.octet_length("content")).over(w)).where(F.col("_s") <= most).drop("_s")
+
+
+def line(kind: Column, content: Column, importance_: Column) -> Column:
+    """A memory in one line: its type, first 100 characters and importance."""
+    return F.format_string("[%s] %s (importance: %.2f)", kind, F.left(content, F.lit(100)), importance_)
+
+
+def open_item(content: Column) -> Column:
+    """What a conversation left open, or null."""
+    return F.when(content.contains("?"), "unanswered question").when(F.lower(content).contains("todo"), "incomplete task")
+
+
+def continuations(memories: DataFrame, by: str, now: Column, days: int = 7, most: int = 5) -> DataFrame:
+    """(by, id, suggestion): open items among an owner's ``most`` latest memories of the last ``days`` that are conversations."""
+    w = Window.partitionBy(by).orderBy(F.desc("created_at"), "id")
+    recent = memories.where(F.col("created_at").between(now - F.make_interval(days=F.lit(days)), now)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    item = open_item(F.col("content"))
+    return recent.where((F.col("type") == "Conversation") & item.isNotNull()).select(by, "id", F.concat(F.lit("Continue discussing: "), item).alias("suggestion"))
+
+
+def retrieve_by_time(memories: DataFrame, by: str, k: int) -> DataFrame:
+    """The temporal mode: each owner's latest ``k``."""
+    w = Window.partitionBy(by).orderBy(F.desc("created_at"), "id")
+    return memories.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def retrieve_by_entities(memories: DataFrame, by: str, wanted: list[str], k: int) -> DataFrame:
+    """The causal and associative modes: most wanted entities first, then the latest."""
+    hits = F.size(F.array_intersect("entities", F.array(*map(F.lit, wanted))))
+    w = Window.partitionBy(by).orderBy(F.desc("hits"), F.desc("created_at"), "id")
+    return memories.withColumn("hits", hits).where("hits > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -72,6 +72,13 @@ def dedup_greedy(hits: DataFrame, threshold: float, lower: bool = False, source:
     return rows.groupBy("query_id", source).applyInPandas(keep, schema)
 
 
+def dedup_adjacent(rows: DataFrame, value: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` values of each query once values equal to the one before have gone; equal values apart stay."""
+    w = by_query().orderBy(order)
+    kept = rows.withColumn("_prev", F.lag(value).over(w)).where(F.col("_prev").isNull() | (F.col("_prev") != F.col(value))).drop("_prev")
+    return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor((F.octet_length(text) + 3) / 4)
 

@@ -66,6 +66,30 @@ def without_prefix(chunks: DataFrame, prefix: str) -> DataFrame:
     return chunks.where(~F.coalesce(F.col("source").startswith(prefix), F.lit(False)))
 
 
+def without_folder(chunks: DataFrame, folder: str) -> DataFrame:
+    """Delete a folder's chunks: by normalised prefix; where none fits, by the path as given; where none, by it with forward slashes.
+
+    Which of the three applies is one aggregate over the sources.
+    """
+    plain = folder.replace("\\", "/")
+    prefix, exact, slashed = F.col("source").startswith(plain.lower()), F.col("source") == folder, F.col("source") == plain
+    found = chunks.agg(*(F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in (("prefix", prefix), ("exact", exact), ("slashed", slashed)))).head()
+    gone = next((c for n, c in (("prefix", prefix), ("exact", exact), ("slashed", slashed)) if found[n]), F.lit(False))
+    return chunks.where(~F.coalesce(gone, F.lit(False)))
+
+
+def link_rates(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder, files, linked, failed, success_rate) for folders (folder) and files (folder, ok); no rate without files."""
+    per = files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("linked"))
+    out = folders.join(per, "folder", "left").na.fill(0, ["files", "linked"])
+    return out.select("folder", "files", "linked", (F.col("files") - F.col("linked")).alias("failed"), F.when(F.col("files") > 0, F.col("linked") * 100.0 / F.col("files")).alias("success_rate"))
+
+
+def documents_of(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """The chunks of the documents asked for (doc_id), as an equality filter and not a search."""
+    return chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def orphans(chunks: DataFrame, spaces: DataFrame) -> DataFrame:
     """Chunks whose space is missing or unknown; null and empty spaces count."""
     return chunks.join(spaces.select("space_id").distinct(), "space_id", "left_anti")
@@ -133,5 +157,14 @@ class VersionedStore:
             self.write(old.where(~F.coalesce(condition, F.lit(False))))
         return gone
 
+    def compact(self, file_bytes: int = 128 << 20) -> int:
+        """Write the current version again in files of about ``file_bytes``; the number of files there are then."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{self.versions()[-1]}")
+        size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        n = max(1, -(-size // file_bytes))
+        self.write(self.read().repartition(int(n)))
+        return int(n)
+
     def clear(self) -> int:
         return self.write(self.read().limit(0))

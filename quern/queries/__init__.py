@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "curation", "analytics", "storage", "texts", "graphs", "people")
+MODULES = ("retrieval", "curation", "analytics", "storage", "texts", "graphs", "people", "assist")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,12 +25,5 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(f, sql: str | None = None, **sources):
-    """Register ``f`` over all rows as NAME_whole, where the SQL of NAME names only a share of them and stays as given."""
-    g = functools.partial(f, **sources)
-    g.__name__ = f"{f.__name__}_whole"
-    return query(sql)(g)
-
-
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")

@@ -7,19 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import EngineConfig
 from ..operators import fts, rank
 from ..tables import read
-from . import ORACLE_SQL, query, whole
+from . import query
 from .retrieval import _BM25
 
 #: Result lists: a customer's part hits, scored by price; the order date's year is the source.
 _H = """WITH h AS (SELECT o_custkey AS query_id, l_orderkey * 10 + l_linenumber AS id, l_extendedprice / 100000 AS score,
-    'src' || (l_suppkey % 4) AS source, l_shipdate, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = o_custkey % 20)"""
-#: What the SQL keeps, about half of the orders; the queries NAME_whole read all of them.
-_HALF = "o_custkey % 10 = o_custkey % 20"
+    'src' || (l_suppkey % 4) AS source, l_shipdate, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def _all_hits(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    rows = li.join(o.where(where), li.l_orderkey == o.o_orderkey)
+    rows = li.join(o, li.l_orderkey == o.o_orderkey)
     return rows.select(
         F.col("o_custkey").alias("query_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -30,36 +28,32 @@ def _all_hits(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFram
     )
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_hits(spark, sf_dir, _HALF)
-
-
 @query(_H + " SELECT query_id, id, score FROM h WHERE score >= 0.3")
-def p8_threshold(spark, sf_dir, hits=_hits):
-    return rank.above(hits(spark, sf_dir), 0.3).select("query_id", "id", "score")
+def p8_threshold(spark, sf_dir):
+    return rank.above(_hits(spark, sf_dir), 0.3).select("query_id", "id", "score")
 
 
 @query(_H + " SELECT query_id, id, score FROM h QUALIFY score >= 0.15 * max(score) OVER (PARTITION BY query_id)")
-def p9_share_of_best(spark, sf_dir, hits=_hits):
-    return rank.above_share_of_best(hits(spark, sf_dir), 0.15).select("query_id", "id", "score")
+def p9_share_of_best(spark, sf_dir):
+    return rank.above_share_of_best(_hits(spark, sf_dir), 0.15).select("query_id", "id", "score")
 
 
 @query(_H + " SELECT query_id, id, round(score * 0.5 ** (row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) - 1), 9) AS score FROM h")
-def w3_diversity(spark, sf_dir, hits=_hits):
-    return rank.diversify(hits(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"))
+def w3_diversity(spark, sf_dir):
+    return rank.diversify(_hits(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query(_H + """, n AS (SELECT *, row_number() OVER w AS n, lag(score) OVER w AS prev, max(score) OVER (PARTITION BY query_id) AS best FROM h WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
     c AS (SELECT *, min(CASE WHEN n > 5 AND (score < 0.05 * best OR score < 0.4 * prev) THEN n END) OVER (PARTITION BY query_id) AS cut FROM n)
     SELECT query_id, id, score FROM c WHERE cut IS NULL OR n < cut""")
-def w4_score_cliff(spark, sf_dir, hits=_hits):
-    return rank.cut_at_cliff(hits(spark, sf_dir)).select("query_id", "id", "score")
+def w4_score_cliff(spark, sf_dir):
+    return rank.cut_at_cliff(_hits(spark, sf_dir)).select("query_id", "id", "score")
 
 
 @query(_H + " SELECT query_id, id, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50")
-def t2_candidates(spark, sf_dir, hits=_hits):
+def t2_candidates(spark, sf_dir):
     """Five times k candidates of each list, ties by id."""
-    h = hits(spark, sf_dir)
+    h = _hits(spark, sf_dir)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return h.withColumn("n", F.row_number().over(w)).where("n <= 50").select("query_id", "id", "score")
 
@@ -94,17 +88,10 @@ def t7_budget_split(spark, sf_dir):
     return rows.select("query_id", "turns", *(F.floor(F.col("left") * p / 100).alias(n) for n, p in (("documents", 60), ("history", 25), ("memory", 15))))
 
 
-#: Text hits: benchmark item x documents of the item's source number, scored by length.
-_D = """WITH h AS (SELECT item_id AS query_id, doc_id AS id, n_chars::DOUBLE AS score, source, d.text, b.text AS query FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)"""
 _WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
 _LOW = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) > 2))"
 
 
-def _text_hits(spark, sf_dir):
-    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    return d.join(b, d.doc_id % 40 == b.item_id).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "source", "text", "query")
-
-
 def found_hits(spark, sf_dir):
     """The best documents of every benchmark item by BM25, as many as the search takes for candidates."""
     c = EngineConfig()
@@ -113,16 +100,16 @@ def found_hits(spark, sf_dir):
     return top.join(d.select(F.col("doc_id").alias("id"), "source", "text"), "id").join(b, "query_id").select("query_id", "id", "score", "source", "text", "query")
 
 
-#: The same hits for DuckDB, in place of _D.
-_FOUND = f"""WITH h AS (WITH {_BM25} SELECT query_id, id, score, source, d.text, b.text AS query FROM fts JOIN documents d ON d.doc_id = fts.id JOIN benchmark b ON b.item_id = fts.query_id)"""
+#: The same hits for DuckDB.
+_D = f"""WITH h AS (WITH {_BM25} SELECT query_id, id, score, source, d.text, b.text AS query FROM fts JOIN documents d ON d.doc_id = fts.id JOIN benchmark b ON b.item_id = fts.query_id)"""
 
 
 @query(_D + f""", w AS (SELECT query_id, id, source, {_WORDS.format('text')} AS w FROM h)
     SELECT a.query_id, a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
     FROM w a JOIN w b ON a.query_id = b.query_id AND a.source = b.source AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.3""")
-def j6_similar_pairs(spark, sf_dir, hits=_text_hits):
+def j6_similar_pairs(spark, sf_dir):
     """Pairs of a query's hits from one source with a word Jaccard above 0.3."""
-    w = hits(spark, sf_dir).select("query_id", "id", "source", rank.word_set(F.col("text")).alias("w"))
+    w = found_hits(spark, sf_dir).select("query_id", "id", "source", rank.word_set(F.col("text")).alias("w"))
     a, b = (w.select("query_id", "source", F.col("id").alias(f"id_{s}"), F.col("w").alias(f"w_{s}")) for s in "ab")
     pairs = a.join(b, ["query_id", "source"]).where("id_a < id_b").withColumn("similarity", rank.jaccard(F.col("w_a"), F.col("w_b")))
     return pairs.where("similarity > 0.3").select("query_id", "id_a", "id_b", F.round("similarity", 6).alias("similarity"))
@@ -141,24 +128,24 @@ def d2_dedup_content(spark, sf_dir):
 
 
 @query(_D + f", s AS (SELECT query_id, id, len(list_intersect({_LOW.format('query')}, {_LOW.format('text')})) / len({_LOW.format('query')}) AS score FROM h) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
-def v10_rerank(spark, sf_dir, hits=_text_hits):
+def v10_rerank(spark, sf_dir):
     """V10 with the lexical default scorer."""
-    return rank.rerank(hits(spark, sf_dir), rank.lexical_overlap, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return rank.rerank(found_hits(spark, sf_dir), rank.lexical_overlap, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_D + """, t AS (SELECT *, list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda w: strlen(w) > 2) AS ws FROM h)
     SELECT query_id, id, round(score / 100000 + 0.5 * len(list_filter(ws, lambda w: contains(lower(text), w))) + 0.05 * len(list_filter(ws, lambda w: NOT contains(lower(text), w) AND contains(lower(source), w))), 6) AS order_key FROM t""")
-def v14_content_boost(spark, sf_dir, hits=_text_hits):
-    h = hits(spark, sf_dir).withColumn("score", F.col("score") / 100000)
+def v14_content_boost(spark, sf_dir):
+    h = found_hits(spark, sf_dir).withColumn("score", F.col("score") / 100000)
     return rank.content_boost(h).select("query_id", "id", F.round("order_key", 6).alias("order_key"))
 
 
 @query(_H + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM h),
     o AS (SELECT *, CASE WHEN rank < 6 AND rank % 2 = 0 THEN 4 - rank END AS nr, count(*) OVER (PARTITION BY query_id) AS n FROM r)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(nr, n + rank), id) - 1 AS rank FROM o""")
-def v13_apply_ranking(spark, sf_dir, hits=_hits):
+def v13_apply_ranking(spark, sf_dir):
     """An order for some hits (here 4, 2, 0); the rest keep theirs behind."""
-    h = hits(spark, sf_dir)
+    h = _hits(spark, sf_dir)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     r = h.withColumn("rank", F.row_number().over(w) - 1)
     order = r.where("rank < 6 AND rank % 2 = 0").select("query_id", "rank", (4 - F.col("rank")).alias("new_rank"))
@@ -166,12 +153,5 @@ def v13_apply_ranking(spark, sf_dir, hits=_hits):
 
 
 @query(_H + " SELECT query_id, coalesce(avg(score), 0) AS confidence FROM (SELECT query_id, round(score, 2) AS score FROM h) GROUP BY query_id".replace("coalesce(avg(score), 0)", "round(coalesce(avg(score), 0), 6)"))
-def p15_confidence(spark, sf_dir, hits=_hits):
-    return hits(spark, sf_dir).groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.round("score", 2)), F.lit(0.0)), 6).alias("confidence"))
-
-
-for _f in (p8_threshold, p9_share_of_best, w3_diversity, w4_score_cliff, t2_candidates, v13_apply_ranking, p15_confidence):
-    whole(_f, ORACLE_SQL[_f.__name__].replace(f" WHERE {_HALF}", ""), hits=_all_hits)
-
-for _f in (j6_similar_pairs, v10_rerank, v14_content_boost):
-    whole(_f, ORACLE_SQL[_f.__name__].replace(_D, _FOUND), hits=found_hits)
+def p15_confidence(spark, sf_dir):
+    return _hits(spark, sf_dir).groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.round("score", 2)), F.lit(0.0)), 6).alias("confidence"))

@@ -6,22 +6,18 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..tables import read
-from . import ORACLE_SQL, query, whole
+from . import query
 
-_EDGES = "SELECT DISTINCT s_suppkey % 50 AS src, (s_suppkey * 7 + s_nationkey) % 50 AS dst FROM supplier"
+_EDGES = "SELECT DISTINCT s_suppkey AS src, s_suppkey * 7 + s_nationkey AS dst FROM supplier"
 
 
 def _edges(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier")
-    return s.select((F.col("s_suppkey") % 50).alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 50).alias("dst")).distinct()
-
-
-def _all_edges(spark, sf_dir):
-    """Edges between the real keys."""
+    """Edges between suppliers' keys."""
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 7 + F.col("s_nationkey")).alias("dst")).distinct()
 
 
-_FEW, _MANY = "src < 3", "src % 50 = 0"
+#: The stated set of starts.
+_STARTS = "src % 50 = 0"
 
 
 @query("SELECT c_mktsegment AS name, min(n_name) AS entity_type, list_sort(list(DISTINCT c_nationkey)) AS doc_ids FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -31,29 +27,29 @@ def g1_entities(spark, sf_dir):
     return G.entities(m.select(F.col("c_mktsegment").alias("name"), F.col("n_name").alias("entity_type"), F.col("c_nationkey").alias("doc_id")))
 
 
-@query("SELECT o_orderkey % 40 AS src, o_custkey % 60 AS dst, count(*) AS n FROM orders WHERE o_custkey % 60 < 40 GROUP BY ALL")
-def g2_valid_edges(spark, sf_dir, src="o_orderkey % 40", dst="o_custkey % 60"):
+@query("SELECT o_orderkey AS src, o_custkey AS dst, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL")
+def g2_valid_edges(spark, sf_dir):
     """Edges whose ends both exist, counted."""
-    o = read(spark, sf_dir, "orders").select(F.expr(src).alias("src"), F.expr(dst).alias("dst"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
     nodes = o.select(F.col("src").alias("name")).distinct()
     return G.valid_edges(o, nodes).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS start, src AS name, 0 AS depth FROM e WHERE src < 3
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS start, src AS name, 0 AS depth FROM e WHERE {_STARTS}
     UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 3) SELECT start, name, min(depth) AS depth FROM r GROUP BY ALL""")
-def j12_within_hops(spark, sf_dir, edges=_edges, starts=_FEW):
+def j12_within_hops(spark, sf_dir):
     """Nodes within three hops."""
-    e = edges(spark, sf_dir)
-    return G.within_hops(e, e.where(starts).select(F.col("src").alias("name")).distinct(), 3)
+    e = _edges(spark, sf_dir)
+    return G.within_hops(e, e.where(_STARTS).select(F.col("src").alias("name")).distinct(), 3)
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS start, src AS name, 0 AS depth FROM e WHERE src < 3
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS start, src AS name, 0 AS depth FROM e WHERE {_STARTS}
     UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.name = e.src WHERE r.depth < 2), m AS (SELECT start, name, min(depth) AS depth FROM r GROUP BY ALL)
-    SELECT start, c_custkey AS doc_id, min(depth) AS depth FROM m JOIN customer ON c_custkey % 50 = name WHERE c_custkey % 5 = 0 GROUP BY ALL""")
-def g3_related_documents(spark, sf_dir, edges=_edges, starts=_FEW, docs="c_custkey % 5 = 0", name="c_custkey % 50"):
-    e = edges(spark, sf_dir)
-    c = read(spark, sf_dir, "customer").where(docs).select(F.expr(name).alias("name"), F.lit("customer").alias("entity_type"), F.col("c_custkey").alias("doc_id"))
-    return G.related_documents(G.entities(c), e, e.where(starts).select(F.col("src").alias("name")).distinct(), 2)
+    SELECT start, c_custkey AS doc_id, min(depth) AS depth FROM m JOIN customer ON c_custkey = name GROUP BY ALL""")
+def g3_related_documents(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.lit("customer").alias("entity_type"), F.col("c_custkey").alias("doc_id"))
+    return G.related_documents(G.entities(c), e, e.where(_STARTS).select(F.col("src").alias("name")).distinct(), 2)
 
 
 @query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS dir, s_suppkey % 3 AS kind, s_acctbal / 10000 AS sim FROM supplier)
@@ -82,37 +78,22 @@ def j8_knowledge_map(spark, sf_dir):
     return G.next_in_group(read(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", 2, 0.6)
 
 
-_PLAN = "steps AS (SELECT p_partkey AS step, p_size::DOUBLE AS cost, p_size % 7 + 1 AS duration, (p_size % 10) / 10 AS risk FROM part WHERE p_partkey < 128), needs AS (SELECT step, step // 2 AS need FROM steps WHERE step // 2 > 0)"
+_PLAN = "steps AS (SELECT p_partkey AS step, p_size::DOUBLE AS cost, p_size % 7 + 1 AS duration, (p_size % 10) / 10 AS risk FROM part), needs AS (SELECT step, step // 2 AS need FROM steps WHERE step // 2 > 0)"
 
 
-def _plan(spark, sf_dir, parts="p_partkey < 128"):
-    steps = read(spark, sf_dir, "part").where(parts).select(F.col("p_partkey").alias("step"), F.col("p_size").cast("double").alias("cost"), (F.col("p_size") % 7 + 1).alias("duration"), ((F.col("p_size") % 10) / 10).alias("risk"))
+def _plan(spark, sf_dir):
+    steps = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("step"), F.col("p_size").cast("double").alias("cost"), (F.col("p_size") % 7 + 1).alias("duration"), ((F.col("p_size") % 10) / 10).alias("risk"))
     return steps, steps.select("step", F.floor(F.col("step") / 2).alias("need")).where("need > 0")
 
 
 @query(f"WITH RECURSIVE {_PLAN}, l AS (SELECT step, 0 AS level FROM steps WHERE step NOT IN (SELECT step FROM needs) UNION ALL SELECT n.step, l.level + 1 FROM l JOIN needs n ON n.need = l.step) SELECT step, max(level) AS level FROM l GROUP BY step")
-def w15_levels(spark, sf_dir, parts="p_partkey < 128"):
-    return G.levels(*_plan(spark, sf_dir, parts))
+def w15_levels(spark, sf_dir):
+    return G.levels(*_plan(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_PLAN}, l AS (SELECT step, 0 AS level FROM steps WHERE step NOT IN (SELECT step FROM needs) UNION ALL SELECT n.step, l.level + 1 FROM l JOIN needs n ON n.need = l.step),
     p AS (SELECT level, sum(cost) AS cost, sum(duration) AS serial, max(duration) AS parallel, max(risk) AS risk FROM steps JOIN (SELECT step, max(level) AS level FROM l GROUP BY step) USING (step) GROUP BY level)
     SELECT sum(cost) AS cost, sum(serial)::BIGINT AS serial, sum(parallel)::BIGINT AS parallel, max(risk) AS risk, CASE WHEN max(risk) >= 0.8 THEN 'critical' WHEN max(risk) >= 0.6 THEN 'high' WHEN max(risk) >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM p""")
-def a23_plan_cost(spark, sf_dir, parts="p_partkey < 128"):
-    steps, needs = _plan(spark, sf_dir, parts)
+def a23_plan_cost(spark, sf_dir):
+    steps, needs = _plan(spark, sf_dir)
     return G.plan_cost(steps, G.levels(steps, needs))
-
-
-def _sql(f, *changes):
-    """The SQL of ``f`` with its share of rows and folded ids replaced."""
-    sql = ORACLE_SQL[f.__name__]
-    for old, new in ((_EDGES, "SELECT DISTINCT s_suppkey AS src, s_suppkey * 7 + s_nationkey AS dst FROM supplier"), (_FEW, _MANY), (" WHERE p_partkey < 128", ""), *changes):
-        sql = sql.replace(old, new)
-    return sql
-
-
-whole(g2_valid_edges, "SELECT o_orderkey AS src, o_custkey AS dst, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL", src="o_orderkey", dst="o_custkey")
-whole(j12_within_hops, _sql(j12_within_hops), edges=_all_edges, starts=_MANY)
-whole(g3_related_documents, _sql(g3_related_documents, ("c_custkey % 50 = name WHERE c_custkey % 5 = 0", "c_custkey = name")), edges=_all_edges, starts=_MANY, docs="true", name="c_custkey")
-whole(w15_levels, _sql(w15_levels), parts="true")
-whole(a23_plan_cost, _sql(a23_plan_cost), parts="true")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import nlq, text as T
 from ..operators import chunking, rank
 from ..tables import read
-from . import ORACLE_SQL, query, whole
+from . import query
 from .curation import found_hits
 
 
@@ -40,58 +40,53 @@ def _rule_sql(rules: list, default: str, q: str) -> str:
     return "CASE " + " ".join(f"WHEN {' AND '.join(one(k, v) for k, v in cs)} THEN '{name}'" for name, cs in rules) + f" ELSE '{default}' END"
 
 
-#: Queries made of the turns: a lead phrase by conversation, then the first words.
+#: Queries made of the turns: a lead phrase by conversation, then the turn.
 _LEADS = ["", "what is the clause ", "hi ", "compare ", "how many ", "find ", "calculate ", "show me that ", "where and ", "in 2023 the ", "explain ", "latest ", "create a function ", "ok ", "my salary is "]
-_Q_SQL = "SELECT conv_id, turn, lead || array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') AS q FROM (SELECT *, (" + "CASE conv_id % 15 " + " ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_LEADS)) + " END) AS lead FROM conversations)"
-
-
-def _all_queries(spark, sf_dir, words=None):
-    """The lead and the whole turn, or only its first ``words``, which is what the SQL takes."""
-    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("conv_id") % 15 + 1).cast("int"))
-    said = F.split("text", r"\s+")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, F.array_join(said if words is None else F.slice(said, 1, words), " ")).alias("q"))
+_Q_SQL = "SELECT conv_id, turn, lead || array_to_string(regexp_split_to_array(text, '\\s+'), ' ') AS q FROM (SELECT *, (" + "CASE conv_id % 15 " + " ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_LEADS)) + " END) AS lead FROM conversations)"
 
 
 def _queries(spark, sf_dir):
-    return _all_queries(spark, sf_dir, 6)
+    """The lead and the turn."""
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("conv_id") % 15 + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, F.array_join(F.split("text", r"\s+"), " ")).alias("q"))
 
 
 @query(f"SELECT conv_id, turn, {_rule_sql(nlq.INTENTS, 'GeneralKnowledge', 'lower(q)')} AS intent, {_rule_sql(nlq.CONTEXTS, 'DocumentQuery', 'lower(q)')} AS context, {_rule_sql(nlq.RETRIEVAL, 'false', 'lower(q)')} = 'true' AS retrieve, {_rule_sql(nlq.ROUTES, 'search', 'lower(q)')} AS route FROM ({_Q_SQL})")
-def f7_intent(spark, sf_dir, queries=_queries):
+def f7_intent(spark, sf_dir):
     """Intents, context, the retrieval gate and the route."""
     q = F.col("q")
-    return queries(spark, sf_dir).select("conv_id", "turn", nlq.intent(q).alias("intent"), nlq.context_intent(q).alias("context"), nlq.should_retrieve(q).alias("retrieve"), nlq.route(q).alias("route"))
+    return _queries(spark, sf_dir).select("conv_id", "turn", nlq.intent(q).alias("intent"), nlq.context_intent(q).alias("context"), nlq.should_retrieve(q).alias("retrieve"), nlq.route(q).alias("route"))
 
 
 @query(f"SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(q, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT) AS year, list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names FROM ({_Q_SQL})".replace("list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names", "len(list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS names"))
-def f9_requirements(spark, sf_dir, queries=_queries):
+def f9_requirements(spark, sf_dir):
     """F9, F10."""
     r = nlq.requirements(F.col("q"))
-    return queries(spark, sf_dir).select("conv_id", "turn", r["year"].alias("year"), F.size(r["names"]).cast("long").alias("names"))
+    return _queries(spark, sf_dir).select("conv_id", "turn", r["year"].alias("year"), F.size(r["names"]).cast("long").alias("names"))
 
 
 @query()
 def f10_strategy(spark, sf_dir):
     """The whole analysis of a query as one row."""
-    q = _all_queries(spark, sf_dir)
+    q = _queries(spark, sf_dir)
     s = nlq.strategy(nlq.intent(F.col("q")))
     return q.select("conv_id", "turn", nlq.intent(F.col("q")).alias("intent"), s["strategy"].alias("strategy"), s["k"].alias("k"), s["confidence"].alias("confidence"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: strlen(w) > 1 AND w NOT IN (" + ", ".join(map(_quote, nlq.STOP_WORDS)) + f")), ' ') AS keywords FROM ({_Q_SQL})")
-def f18_keywords(spark, sf_dir, queries=_queries):
-    return queries(spark, sf_dir).select("conv_id", "turn", F.array_join(nlq.keywords(F.col("q")), " ").alias("keywords"))
+def f18_keywords(spark, sf_dir):
+    return _queries(spark, sf_dir).select("conv_id", "turn", F.array_join(nlq.keywords(F.col("q")), " ").alias("keywords"))
 
 
 @query()
 def f13_expansion(spark, sf_dir):
-    return _all_queries(spark, sf_dir).select("conv_id", "turn", F.posexplode(nlq.expand(F.col("q"))).alias("n", "variant"))
+    return _queries(spark, sf_dir).select("conv_id", "turn", F.posexplode(nlq.expand(F.col("q"))).alias("n", "variant"))
 
 
 @query()
 def f6_decompose(spark, sf_dir):
     d = nlq.decompose(F.concat(F.col("q"), F.lit(" and what is the value of it")))
-    return _all_queries(spark, sf_dir).select("conv_id", "turn", d["strategy"].alias("strategy"), F.size(d["parts"]).alias("n"))
+    return _queries(spark, sf_dir).select("conv_id", "turn", d["strategy"].alias("strategy"), F.size(d["parts"]).alias("n"))
 
 
 @query("SELECT doc_id, (strlen(text) + 3) // 4 AS tokens, length(text) AS chars, strlen(text) AS bytes FROM documents")
@@ -146,9 +141,9 @@ def f23_similarity(spark, sf_dir):
     return d.select("doc_id", (F.lower("text") == F.lower("source")).alias("same"), F.round(T.similarity(F.col("lang"), F.col("source")), 6).alias("similarity"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '[DATE]', 'g'), '[A-Z][a-z]+ [A-Z][a-z]+', '[NAME]', 'g'), '\\d+', '[NUMBER]', 'g') AS masked FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '[DATE]', 'g'), '[A-Z][a-z]+ [A-Z][a-z]+', '[NAME]', 'g'), '\\d+', '[NUMBER]', 'g') AS masked FROM documents")
 def f33_placeholders(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.placeholders(F.col("text")).alias("masked"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.placeholders(F.col("text")).alias("masked"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g')) AS safe FROM documents")
@@ -189,7 +184,3 @@ def s16_html_text(spark, sf_dir):
     from ..sources.html import strip_tags
 
     return read(spark, sf_dir, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
-
-
-for _f in (f7_intent, f9_requirements, f18_keywords):
-    whole(_f, ORACLE_SQL[_f.__name__].replace("[1:6]", ""), queries=_all_queries)

@@ -1,4 +1,4 @@
-"""The NAME_whole queries read all rows that their tables hold."""
+"""Queries read all rows that their tables hold."""
 
 from pyspark.sql import functions as F
 
@@ -10,9 +10,9 @@ from quern.tables import read
 def test_hits_of_every_customer(spark, sf_dir):
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     joined = li.join(o, li.l_orderkey == o.o_orderkey)
-    assert QUERIES["w3_diversity_whole"](spark, sf_dir).count() == joined.count()
+    assert QUERIES["w3_diversity"](spark, sf_dir).count() == joined.count()
     customers = {r[0] for r in joined.select("o_custkey").distinct().collect()}
-    assert {r.query_id for r in QUERIES["p15_confidence_whole"](spark, sf_dir).collect()} == customers
+    assert {r.query_id for r in QUERIES["p15_confidence"](spark, sf_dir).collect()} == customers
     assert any(c % 20 >= 10 for c in customers)
 
 
@@ -27,9 +27,9 @@ def test_results_come_from_the_search(spark, sf_dir):
     assert {(r.item_id, r.doc_id) for r in QUERIES["f4_compress"](spark, sf_dir).collect()} == set(found)
 
 
-def test_real_keys_and_whole_turns(spark, sf_dir):
+def test_real_keys_and_turns(spark, sf_dir):
     n = {t: read(spark, sf_dir, t).count() for t in ("part", "supplier", "conversations")}
-    assert QUERIES["w15_levels_whole"](spark, sf_dir).count() == n["part"] > 127
+    assert QUERIES["w15_levels"](spark, sf_dir).count() == n["part"] > 127
     assert QUERIES["f10_strategy"](spark, sf_dir).count() == n["conversations"]
     turns = {(r.conv_id, r.turn): r.text for r in read(spark, sf_dir, "conversations").collect()}
     first = QUERIES["f13_expansion"](spark, sf_dir).where("n = 0").collect()
