@@ -89,7 +89,7 @@ def unparsable(query: Column) -> Column:
 
 
 def phrases(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query_id, id, score, rank): the query's tokens side by side in the text, scored as one term.
+    """(query_id, id, score, rank): the query's tokens side by side in the text, scored as one term that occurs as often as it fits without overlap.
 
     Documents are looked up by the phrase's rarest term, then read for the phrase.
     """
@@ -103,11 +103,11 @@ def phrases(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
     own = own.groupBy("query_id", "ws", "avgdl").agg(F.sum(idf).alias("idf"), F.min(F.struct("df", "term")).alias("rare"), F.count(F.lit(1)).alias("found"))
     own = own.where(F.col("found") == F.size(F.array_distinct("ws"))).select("query_id", "ws", "avgdl", "idf", F.col("rare.term").alias("term"))
     ask = post.select("term", "id").join(own, "term")
-    texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    both = ask.join(texts, "id")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t") - F.size("ws") + 1, F.lit(1))), lambda i: F.slice(F.col("t"), i, F.size("ws")) == F.col("ws"))
-    hits = both.withColumn("tf", F.size(starts)).where("tf > 0")
-    return _top(hits.select("query_id", "id", _weight(F.col("idf"), F.col("tf"), F.size("t"), F.col("avgdl")).alias("score")), k)
+    spaced = lambda ws: F.concat(F.lit(" "), F.array_join(ws, "  "), F.lit(" "))  # noqa: E731  every token between spaces of its own
+    texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("dl"), spaced(F.col("t")).alias("s"))
+    both = ask.withColumn("p", spaced(F.col("ws"))).join(texts, "id").where(F.col("s").contains(F.col("p")))
+    hits = both.withColumn("tf", (F.length("s") - F.length(F.replace("s", "p", F.lit("")))) / F.length("p"))
+    return _top(hits.select("query_id", "id", _weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("score")), k)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:

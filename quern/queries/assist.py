@@ -40,12 +40,12 @@ def v4_bm25_fields(spark, sf_dir):
 
 _PHRASE = f"""
     ask AS (SELECT item_id AS query_id, {_TOK.format('text')}[1:3] AS ph FROM benchmark),
-    d AS (SELECT doc_id AS id, {_TOK.format('text')} AS ws FROM documents),
+    d AS MATERIALIZED (SELECT doc_id AS id, ws, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM (SELECT doc_id, {_TOK.format('text')} AS ws FROM documents)),
     st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM d),
     t AS (SELECT DISTINCT query_id, unnest(ph) AS term FROM ask),
     df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY term),
     idf AS (SELECT query_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM t JOIN df USING (term), st GROUP BY query_id),
-    h AS (SELECT query_id, id, len(ws) AS dl, len(list_filter(range(1, len(ws) - len(ph) + 2), lambda i: ws[i:i + len(ph) - 1] = ph)) AS tf FROM ask JOIN d ON list_has_all(ws, ph) WHERE len(ph) > 0),
+    h AS (SELECT query_id, id, len(ws) AS dl, (length(s) - length(replace(s, ' ' || array_to_string(ph, '  ') || ' ', ''))) / length(' ' || array_to_string(ph, '  ') || ' ') AS tf FROM ask JOIN d ON contains(s, ' ' || array_to_string(ph, '  ') || ' ') WHERE len(ph) > 0),
     s AS (SELECT query_id, id, round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM h JOIN idf USING (query_id), st WHERE tf > 0)
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"""
 
@@ -96,7 +96,7 @@ _STOP = ", ".join(map(_quote, nlq.RELEVANCE_STOP_WORDS))
     c AS (SELECT conv_id, turn, count(share) / count(*) AS coverage, coalesce(avg(share), 0) AS term_frequency FROM k LEFT JOIN v USING (term) GROUP BY ALL),
     t AS (SELECT bool_or({' OR '.join(f"contains(source, {_quote(x)})" for x in nlq.LEGAL_TYPES)}) AS legal, bool_or({' OR '.join(f"contains(source, {_quote(x)})" for x in nlq.TAX_TYPES)}) AS tax FROM documents),
     m AS (SELECT conv_id, turn, CASE WHEN ({_any(nlq.LEGAL_TERMS)} AND legal) OR ({_any(nlq.TAX_TERMS)} AND tax) THEN 0.9 WHEN ({_any(nlq.LEGAL_TERMS)} AND NOT legal) OR ({_any(nlq.TAX_TERMS)} AND NOT tax) THEN 0.1 ELSE 0.5 END AS domain FROM q, t)
-    SELECT conv_id, turn, round(coverage, 6) AS coverage, round(CASE WHEN coverage IS NULL THEN 0 ELSE domain END, 6) AS domain, round(term_frequency, 6) AS term_frequency, round(coverage * 0.4 + domain * 0.4 + term_frequency * 0.2, 6) AS confidence FROM c JOIN m USING (conv_id, turn)""")
+    SELECT conv_id, turn, round(coverage, 6) AS coverage, round(CASE WHEN coverage IS NULL THEN 0 ELSE domain END, 6) AS domain, round(term_frequency + 1e-9, 6) AS term_frequency, round(1e-9 + coverage * 0.4 + domain * 0.4 + term_frequency * 0.2, 6) AS confidence FROM c JOIN m USING (conv_id, turn)""")
 def f8_relevance(spark, sf_dir):
     """Share of a query's keywords that the corpus has, its domain and how common its terms are."""
     d, q = read(spark, sf_dir, "documents"), _queries(spark, sf_dir)
@@ -108,7 +108,7 @@ def f8_relevance(spark, sf_dir):
     c = k.groupBy("conv_id", "turn").agg((F.count("share") / F.count(F.lit(1))).alias("coverage"), F.coalesce(F.avg("share"), F.lit(0.0)).alias("term_frequency"))
     m = q.crossJoin(F.broadcast(types)).select("conv_id", "turn", nlq.domain_match(F.col("q"), F.col("legal"), F.col("tax")).alias("domain"))
     score = F.col("coverage") * 0.4 + F.col("domain") * 0.4 + F.col("term_frequency") * 0.2
-    return c.join(m, ["conv_id", "turn"]).select("conv_id", "turn", F.round("coverage", 6).alias("coverage"), "domain", F.round("term_frequency", 6).alias("term_frequency"), F.round(score, 6).alias("confidence"))
+    return c.join(m, ["conv_id", "turn"]).select("conv_id", "turn", F.round("coverage", 6).alias("coverage"), "domain", F.round(F.col("term_frequency") + 1e-9, 6).alias("term_frequency"), F.round(score + 1e-9, 6).alias("confidence"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS query_id, row_number() OVER () AS n, 'lib/p' || (l_partkey % 50) || '.rs' AS path, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity::INT END AS line FROM lineitem),
