@@ -73,13 +73,16 @@ class GovernanceFilter:
 def can_access(docs: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, doc_id) that users (user_id, departments, level, is_admin) may read.
 
-    Documents of a department meet the users of that department in an equi-join;
-    documents without one, and administrators, meet by level alone.
+    Levels count from 0, and a user reads those up to their own, so a user
+    stands once for each of these levels and all joins are on equal keys:
+    (department, level), or the level alone for documents without a department and
+    for administrators.
     """
-    d = docs.select("doc_id", "department", "access_level")
-    by_department = users.where(~F.col("is_admin")).select("user_id", "level", F.explode("departments").alias("department"))
-    same = d.where("department IS NOT NULL").join(by_department, "department")
-    open_ = d.where("department IS NULL").crossJoin(F.broadcast(users.where(~F.col("is_admin")).select("user_id", "level")))
-    every = d.crossJoin(F.broadcast(users.where("is_admin").select("user_id", "level")))
-    rows = [x.where("access_level <= level").select("user_id", "doc_id") for x in (same, open_, every)]
+    d = docs.select("doc_id", "department", "access_level").where("access_level >= 0")
+    u = users.where("level >= 0").select("user_id", "departments", "is_admin", F.explode(F.sequence(F.lit(0), F.col("level").cast("int"))).alias("access_level"))
+    plain = u.where(~F.col("is_admin"))
+    same = d.where("department IS NOT NULL").join(plain.select("user_id", "access_level", F.explode("departments").alias("department")), ["department", "access_level"])
+    open_ = d.where("department IS NULL").join(plain, "access_level")
+    every = d.join(u.where("is_admin"), "access_level")
+    rows = [x.select("user_id", "doc_id") for x in (same, open_, every)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).distinct()

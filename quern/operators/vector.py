@@ -36,47 +36,71 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: st
     return rows.withColumn("score", cosine(F.col(vec_col), F.array(*map(F.lit, map(float, query))))).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id", query_block: int = 512, broadcast_queries: int = 50_000) -> DataFrame:
+#: Most bytes of queries (eight a number) that go to the tasks at a time, and queries of one matrix product.
+BLOCK_BYTES, PRODUCT = 64 << 20, 512
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors at length 1, a row each; a null vector is zero."""
+    lists = vectors.cast(pa.list_(pa.float64()))
+    flat, n = lists.flatten().to_numpy(zero_copy_only=False), len(lists)
+    if lists.null_count or (n and len(flat) % n):
+        width = max((len(v) for v in lists.to_pylist() if v), default=0)
+        m = np.array([v or [0.0] * width for v in lists.to_pylist()], np.float64).reshape(n, -1)
+    else:
+        m = flat.reshape(n, -1) if n else np.empty((0, 0))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """As Spark's round(x, 9): half up on the shortest decimal form."""
+    return np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in x.tolist()])
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of queries (query_id, vector) against all vectors.
 
-    Queries travel in blocks of ``query_block`` rows.  Each Arrow batch of vectors
-    meets a block in one matrix product and keeps k per query, ties by id, so what is
-    shuffled is k rows per query and batch, not the products.
+    Queries travel once a task, as broadcast blocks of at most ``block_bytes``;
+    more queries take more passes.  Each Arrow batch of vectors meets them in matrix
+    products and keeps k per query, ties by id, so what is shuffled is k rows per
+    query and batch, not the products.
     """
-    n = queries.count()
-    block = F.pmod(F.xxhash64(query_col), F.lit(max(1, -(-n // query_block))))
-    blocks = queries.select(F.struct(F.col(query_col).alias("q"), F.col("vector").alias("v")).alias("x"), block.alias("b")).groupBy("b").agg(F.collect_list("x").alias("block"))
+    spark = vectors.sparkSession
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).head()
+    passes = max(1, -(-8 * size["n"] * max(size["d"] or 1, 1) // block_bytes))
     kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-
-    def rounded(x: np.ndarray) -> np.ndarray:
-        """As Spark's round(x, 9): half up on the shortest decimal form."""
-        return np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in x.tolist()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            for block in table.column("b").unique().to_pylist():
-                part = table.filter(pa.compute.equal(table.column("b"), block))
-                qs = part.column("block")[0].as_py()
-                q = np.array([x["v"] for x in qs], np.float64)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                ids = part.column("id").to_pylist()
-                m = np.array(part.column("v").to_pylist(), np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                s = np.maximum(q @ m.T, 0)
-                place = np.asarray(pa.compute.rank(part.column("id"), tiebreaker="first"))
-                found = []
-                for i, row in enumerate(s):
-                    # All rows at or above the k-th score (with room for rounding), then exactly the k that the window would choose.
-                    least = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -1.0
-                    at = np.flatnonzero(row >= least - 2e-9)
-                    at = at[np.lexsort((place[at], -rounded(row[at])))[:k]]
-                    found += [{"query_id": qs[i]["q"], "id": ids[j], "score": float(row[j])} for j in at]
-                yield pa.RecordBatch.from_pylist(found)
-
-    # Every block meets every batch: a nested loop over a broadcast of counted size, else over partitions of blocks.
-    flat = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(F.broadcast(blocks) if n <= broadcast_queries else blocks)
-    near = flat.select("id", "v", "b", "block").mapInArrow(run, f"query_id {kind[0]}, id {kind[1]}, score double")
+    flat = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+
+    def against(part: DataFrame) -> DataFrame:
+        rows = part.select(F.col(query_col).alias("q"), F.col("vector").alias("v")).toArrow()
+        sent = spark.sparkContext.broadcast((rows.column("q").combine_chunks(), _matrix(rows.column("v").combine_chunks())))  # of checked size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            for b in batches:
+                if not len(names) or not b.num_rows:
+                    continue
+                m = _matrix(b.column(1))
+                place = np.asarray(pa.compute.rank(b.column(0), tiebreaker="first"))
+                for start in range(0, len(q), PRODUCT):
+                    s = np.maximum(q[start : start + PRODUCT] @ m.T, 0)
+                    who, which = [], []
+                    for i, row in enumerate(s):
+                        # All rows at or above the k-th score (with room for rounding), then exactly the k that the window would choose.
+                        least = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -1.0
+                        at = np.flatnonzero(row >= least - 2e-9)
+                        at = at[np.lexsort((place[at], -_rounded(row[at])))[:k]]
+                        who.append(np.full(len(at), i))
+                        which.append(at)
+                    who, which = np.concatenate(who), np.concatenate(which)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(who + start)), b.column(0).take(pa.array(which)), pa.array(s[who, which])], ["query_id", "id", "score"])
+
+        return flat.mapInArrow(run, f"query_id {kind[0]}, id {kind[1]}, score double")
+
+    near = None
+    for i in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_col), F.lit(passes)) == i)
+        near = against(part) if near is None else near.unionByName(against(part))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -143,8 +143,14 @@ def c9_task_text(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), text.alias("text"), F.concat(F.lit("calendar://task/"), F.col("o_orderkey").cast("string")).alias("source"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN o_orderdate WHEN o_orderstatus <> 'F' THEN NULL ELSE o_orderdate END AS completed_at FROM orders")
+@query("""WITH e AS (SELECT user_id AS task, event_id, event_type, ts, event_type = 'purchase' AND coalesce(lag(event_type) OVER w <> 'purchase', true) AS enters FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT task, event_id, CASE WHEN event_type = 'purchase' THEN max(CASE WHEN enters THEN ts END) OVER (PARTITION BY task ORDER BY event_id ROWS UNBOUNDED PRECEDING) END AS completed_at FROM e""")
 def l5_task_state(spark, sf_dir):
-    """Completion time set on entering 'completed' and cleared on leaving."""
-    o = read(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("completed_at"))
+    """A task's log; completion time is set on entering 'completed' (here purchase), stays and is cleared on leaving."""
+    w = Window.partitionBy("task").orderBy("event_id")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("task"), "event_id", "ts", (F.col("event_type") == "purchase").alias("done"))
+    enters = F.col("done") & ~F.coalesce(F.lag("done").over(w), F.lit(False))
+    e = e.withColumn("entered", F.when(enters, F.col("ts")))
+    last = F.last("entered", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return e.select("task", "event_id", F.when(F.col("done"), last).alias("completed_at"))
+

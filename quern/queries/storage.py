@@ -123,9 +123,9 @@ def _governed(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(_GOV + " SELECT doc_id FROM g WHERE department IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') AND access_level <= 2 AND language = 'en' AND timestamp >= 10000 AND len(list_intersect(tags, ['STEEL', 'BRASS', 'COPPER'])) > 0 AND NOT list_contains(tags, 'PROMO')")
+@query(_GOV + " SELECT doc_id FROM g WHERE department IN ('Brand#1', 'Brand#2', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') AND access_level <= 2 AND language = 'en' AND timestamp >= 10000 AND len(list_intersect(tags, ['ECONOMY', 'LARGE', 'SMALL'])) > 0 AND NOT list_contains(tags, 'PROMO')")
 def p5_governance(spark, sf_dir):
-    f = G.GovernanceFilter(departments=("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"), max_access=2, languages=("en",), start=10_000, any_tags=("STEEL", "BRASS", "COPPER"), excluded_tags=("PROMO",))
+    f = G.GovernanceFilter(departments=("Brand#1", "Brand#2", "Brand#12", "Brand#13", "Brand#21", "Brand#22"), max_access=2, languages=("en",), start=10_000, any_tags=("ECONOMY", "LARGE", "SMALL"), excluded_tags=("PROMO",))
     return _governed(spark, sf_dir).where(f.predicate()).select("doc_id")
 
 

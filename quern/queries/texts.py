@@ -135,10 +135,11 @@ def f4_compress(spark, sf_dir):
     return found_hits(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("query_id").alias("item_id"), T.compress(F.col("text"), F.col("query"), 3).alias("text"))
 
 
-@query("SELECT doc_id, lower(text) = lower(source) AS same, CASE WHEN lower(lang) = lower(source) THEN 1.0 WHEN starts_with(source, lang) THEN 0.9 WHEN contains(source, lang) THEN 0.7 + 0.2 * length(lang) / length(source) ELSE round(len(list_filter(string_split(lang, ''), lambda c: contains(source, c))) / greatest(length(lang), length(source)), 6) END AS similarity FROM documents")
+@query("SELECT doc_id, CASE WHEN lower(text) = lower(source) THEN 1.0 WHEN starts_with(lower(text), lower(source)) THEN 0.9 WHEN contains(lower(text), lower(source)) THEN 0.7 + 0.2 * length(source) / length(text) ELSE round(len(list_filter(string_split(lower(source), ''), lambda c: contains(lower(text), c))) / greatest(length(text), length(source)), 6) END AS similarity FROM documents WHERE length(text) >= length(source)")
 def f23_similarity(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", (F.lower("text") == F.lower("source")).alias("same"), F.round(T.similarity(F.col("lang"), F.col("source")), 6).alias("similarity"))
+    """a document's source name against its text, where the text is the longer one."""
+    d = read(spark, sf_dir, "documents").where(F.length("text") >= F.length("source"))
+    return d.select("doc_id", F.round(T.similarity(F.col("source"), F.col("text")), 6).alias("similarity"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '[DATE]', 'g'), '[A-Z][a-z]+ [A-Z][a-z]+', '[NAME]', 'g'), '\\d+', '[NUMBER]', 'g') AS masked FROM documents")
