@@ -153,7 +153,7 @@ def route(text: Column) -> Column:
     return decide(text, ROUTES, "search")
 
 
-#: What a query of each intent asks of the store: strategy, results, confidence.
+#: What a query of each intent asks of the store (strategy, results, confidence).
 STRATEGIES = {
     "Greeting": ("None", 0, 0.95), "SimpleAcknowledgment": ("None", 0, 0.95), "MetaQuestion": ("None", 0, 0.9), "Clarification": ("None", 0, 0.8), "FollowUpRequest": ("None", 0, 0.85), "CreativeGeneration": ("None", 0, 0.9),
     "ExampleCreation": ("None", 0, 0.9), "Calculation": ("None", 0, 0.85), "CurrentEvents": ("Web", 5, 0.85), "RealTimeInfo": ("Web", 5, 0.9), "FilteredSearch": ("Filtered", 20, 0.85), "ComparativeAnalysis": ("MultiStage", 15, 0.8),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nlq, text as T
 from ..operators import chunking, rank
+from ..sources.html import BLOCKS, ENTITIES, strip_tags
 from ..tables import read
 from . import query
 from .curation import found_hits
@@ -65,7 +66,11 @@ def f9_requirements(spark, sf_dir):
     return _queries(spark, sf_dir).select("conv_id", "turn", r["year"].alias("year"), F.size(r["names"]).cast("long").alias("names"))
 
 
-@query()
+def _of_intent(field: int) -> str:
+    return "CASE intent " + " ".join(f"WHEN {_quote(n)} THEN {_quote(v[field]) if isinstance(v[field], str) else v[field]}" for n, v in nlq.STRATEGIES.items()) + " END"
+
+
+@query(f"SELECT *, {_of_intent(0)} AS strategy, {_of_intent(1)} AS k, {_of_intent(2)}::DOUBLE AS confidence FROM (SELECT conv_id, turn, {_rule_sql(nlq.INTENTS, 'GeneralKnowledge', 'lower(q)')} AS intent FROM ({_Q_SQL}))")
 def f10_strategy(spark, sf_dir):
     """The whole analysis of a query as one row."""
     q = _queries(spark, sf_dir)
@@ -78,7 +83,14 @@ def f18_keywords(spark, sf_dir):
     return _queries(spark, sf_dir).select("conv_id", "turn", F.array_join(nlq.keywords(F.col("q")), " ").alias("keywords"))
 
 
-@query()
+_KEYWORDS = "list_filter(list_transform(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: strlen(w) > 1 AND w NOT IN (" + ", ".join(map(_quote, nlq.STOP_WORDS)) + "))"
+_SYNONYM = "CASE " + " ".join(f"WHEN contains(l, {_quote(t)}) AND NOT contains(l, {_quote(w)}) THEN regexp_replace(l, {_quote(t)}, {_quote(w)})" for t, ws in nlq.SYNONYMS for w in ws.split()) + " END"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, lower(q) AS l, len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) AS n, array_to_string({_KEYWORDS}, ' ') AS kw FROM ({_Q_SQL})),
+    a AS (SELECT *, list_filter([l, kw, {_SYNONYM}], lambda v: v IS NOT NULL AND v <> '') AS v FROM q),
+    d AS (SELECT conv_id, turn, CASE WHEN n BETWEEN 2 AND 20 THEN list_filter(v, lambda x, i: list_position(v, x) = i)[1:3] ELSE [l] END AS v FROM a)
+    SELECT conv_id, turn, i - 1 AS n, v[i] AS variant FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM d)""")
 def f13_expansion(spark, sf_dir):
     return _queries(spark, sf_dir).select("conv_id", "turn", F.posexplode(nlq.expand(F.col("q"))).alias("n", "variant"))
 
@@ -179,9 +191,16 @@ def l12_file_size(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.file_size(F.col("p_size") * 49_999).alias("size"))
 
 
-@query()
+def _strip_sql() -> str:
+    t = "regexp_replace(html, '(?is)<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)|<!--.*?(?:-->|\\z)', '', 'g')"
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, '(?i)</?(?:{BLOCKS})\\b[^>]*>', chr(10), 'g'), '(?i)</?(?:td|th)\\b[^>]*>', chr(9), 'g'), '<[^>]*>', '', 'g')"
+    for a, b in ENTITIES:
+        t = f"replace({t}, {_quote(a)}, {_quote(b)})"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\r\\f]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    return f"trim(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+@query(f"SELECT page_id, {_strip_sql()} AS text FROM pages")
 def s16_html_text(spark, sf_dir):
     """Tags stripped, block elements as lines."""
-    from ..sources.html import strip_tags
-
     return read(spark, sf_dir, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
