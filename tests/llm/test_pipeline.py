@@ -57,3 +57,19 @@ def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_stages_with_repeated_ids_other_columns_and_no_rows(spark, sf_dir):
+    """In every dropping stage a row goes for its own text; helper columns of the same name do no harm."""
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").head().text
+    rows = [(5, "a lone text of more than five words here", "k"), (5, leak, "k"), (None, "another text without an id at all", "k"), (7, "twice the very same row of words", "k"), (7, "twice the very same row of words", "k"), (8, None, "k"), (9, "", "k")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, k_id string, lang string, source string, k_text int").repartition(3)
+    stages = dict(C.STAGES)
+    kept = {n: sorted(((r.doc_id, r.text) for r in stages[n](spark, docs, sf_dir).collect()), key=str) for n in stages if n != "BPE encoding and decoding"}
+    all_rows = sorted(((i, t) for i, t, _ in rows), key=str)
+    assert kept["toxicity"] == all_rows
+    assert kept["exact dedup"] == sorted(set(all_rows) - {(8, None)}, key=str)  # null counts as empty, 9 is larger
+    assert kept["n-gram Jaccard join"] == sorted(set(all_rows), key=str)
+    assert kept["benchmark decontamination"] == sorted((r for r in all_rows if r[1] != leak), key=str)
+    for name, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
