@@ -66,13 +66,14 @@ def without_prefix(chunks: DataFrame, prefix: str) -> DataFrame:
     return chunks.where(~F.coalesce(F.col("source").startswith(prefix), F.lit(False)))
 
 
-def without_folder(chunks: DataFrame, folder: str) -> DataFrame:
+def without_folder(chunks: DataFrame, folder: str, ignore_case: bool = False) -> DataFrame:
     """Delete a folder's chunks: by normalised prefix; where none fits, by the path as given; where none, by it with forward slashes.
 
-    Which of the three applies is one aggregate over the sources.
+    A path is normalised to forward slashes, and to lower case where paths
+    ignore case (sources are then kept in lower case).  Which of the three applies is one aggregate over the sources.
     """
     plain = folder.replace("\\", "/")
-    prefix, exact, slashed = F.col("source").startswith(plain.lower()), F.col("source") == folder, F.col("source") == plain
+    prefix, exact, slashed = F.col("source").startswith(plain.lower() if ignore_case else plain), F.col("source") == folder, F.col("source") == plain
     found = chunks.agg(*(F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in (("prefix", prefix), ("exact", exact), ("slashed", slashed)))).head()
     gone = next((c for n, c in (("prefix", prefix), ("exact", exact), ("slashed", slashed)) if found[n]), F.lit(False))
     return chunks.where(~F.coalesce(gone, F.lit(False)))

@@ -53,7 +53,8 @@ def test_follow_ups(spark, sf_dir):
 
 def test_folders(spark):
     df = spark.createDataFrame([("/docs/a",), ("/docs2/b",), ("C:\\Data",), ("C:/Data/x",), (None,)], "source string")
-    left = lambda folder: {r.source for r in store.without_folder(df, folder).collect()}
+    left = lambda folder, ignore=True: {r.source for r in store.without_folder(df, folder, ignore).collect()}
+    assert left("C:\\Data", False) == {"/docs/a", "/docs2/b", "C:\\Data", None}  # the prefix with forward slashes fits
     assert left("/docs") == {"C:\\Data", "C:/Data/x", None}
     assert left("C:\\Data") == {"/docs/a", "/docs2/b", "C:/Data/x", None}
     assert left("C:\\Data\\x") == {"/docs/a", "/docs2/b", "C:\\Data", None}
