@@ -37,7 +37,7 @@ from .common import shared_folder
 
 MAGIC = b"TIDCM2"
 BLOCK = 2048
-SLOTS = 4096  # order-2 contexts of a block, by hash
+SLOTS = 1024  # order-2 contexts of a block, by hash
 RECORD_IDS = 3_000_000  # a record closes with the document that reaches this
 PAIR_MIN = 3
 MOST_IDS = 1 << 19
@@ -356,14 +356,14 @@ def tokenizer(path: str):
 
 
 class Ids:
-    """Ids of texts: the tokenizers library encodes each distinct piece (a word with its space) once.
+    """Ids of texts: the tokenizers library encodes each distinct part (what stands between spaces, with its space) once.
 
-    A single space before anything but white space always starts a piece, so a
-    text's ids are those of its parts between single spaces, each with its space.
+    A single space before anything but white space always starts a piece, and
+    byte-level BPE never merges across pieces, so a text's ids are those of its parts.
     """
 
     MEMO = 400_000
-    GROUP = 48  # pieces given to the library as one text
+    GROUP = 64  # parts given to the library as one text
 
     def __init__(self, path: str, end_id: int):
         import regex
@@ -383,18 +383,7 @@ class Ids:
         if len(self.memo) > self.MEMO:
             self.memo.clear()
             new = list(pieces)
-        spaced = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        groups = [spaced[i : i + self.GROUP] for i in range(0, len(spaced), self.GROUP)]
-        plain = [p for p in new if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
-        for g, e in zip(groups, self.t.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            flat = ids.tobytes()
-            if len(at) == len(g):
-                self.memo.update(zip(g, [flat[i:j] for i, j in zip(at, [*at[1:], len(flat)])]))
-            else:
-                plain += g
-        for p, e in zip(plain, self.t.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.memo[p] = array("I", e.ids).tobytes()
 
     def learn_parts(self, parts: set[str]) -> None:
@@ -403,10 +392,17 @@ class Ids:
             self.parts.clear()
             new = parts
         bad = [c for c in new if not c or c[0].isspace()]
-        split = {c: self.pieces(" " + c) for c in new.difference(bad)}
-        self.learn({p for ps in split.values() for p in ps})
-        get = self.memo.__getitem__
-        self.parts.update({c: b"".join(map(get, ps)) for c, ps in split.items()})
+        spaced = list(new.difference(bad))
+        groups = [spaced[i : i + self.GROUP] for i in range(0, len(spaced), self.GROUP)]
+        texts = [" " + " ".join(g) for g in groups]
+        for g, e in zip(groups, self.t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (4 * np.flatnonzero(self.opens[ids])).tolist()  # each part has its own space and no other
+            if len(at) == len(g):
+                flat = ids.tobytes()
+                self.parts.update(zip(g, [flat[i:j] for i, j in zip(at, [*at[1:], len(flat)])]))
+            else:
+                self.parts.update((c, self.by_pieces(" " + c)) for c in g)
         self.parts.update(dict.fromkeys(bad))
 
     def by_pieces(self, text: str) -> bytes:
