@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import spread
+
 K1, B = 1.2, 0.75
 #: Most query terms (some 20 bytes each) that are broadcast.
 BROADCAST_TERMS = 500_000
@@ -35,6 +37,7 @@ def index(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame
     shuffled while they are few; the lengths come from the same pass.
     """
     parts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(c)).alias("ws")) for f, c in fields.items())))
+    docs = spread(docs.select(id_col, *dict.fromkeys(fields.values())))
     rows = docs.select(F.col(id_col).alias("id"), parts.alias("x")).select("id", "x.field", F.size("x.ws").alias("dl"), F.explode(F.concat("x.ws", F.array(F.lit(LENGTH)))).alias("term"))
     if terms is not None:
         asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()

@@ -28,3 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores before heavy work on each row, where its scan has fewer splits than there are cores.
+
+    That is so for small tables only (a split is some megabytes), so what is
+    moved is bounded by the cores; a large table stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nlq, text as T
 from ..operators import chunking, rank
+from ..operators.lineage import spread
 from ..sources.html import BLOCKS, ENTITIES, strip_tags
 from ..tables import read
 from . import query
@@ -113,7 +114,7 @@ _FIELD_SQL = ", ".join(f"nullif(array_to_string(regexp_extract_all(text, {_quote
 @query(f"SELECT doc_id, {_FIELD_SQL}, nullif(regexp_extract(text, {_quote(T.INVOICE)}, 1), '') AS invoice_no FROM documents")
 def c5_fields(spark, sf_dir):
     f = T.extracted_fields(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in f.items() if k != "phones"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(v.alias(k) for k, v in f.items() if k != "phones"))
 
 
 @query("SELECT doc_id, nullif(array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?:\\+91[ \\t-]?)?(?:[0-9][ \\t-]?){10}'), lambda p: regexp_replace(p, '[^0-9+]', '', 'g')), lambda p: length(p) >= 10), ', '), '') AS phones FROM documents")
@@ -124,7 +125,7 @@ def c5_phones(spark, sf_dir):
 @query()
 def c1_chunks(spark, sf_dir):
     """Chunks with byte offsets, headings and context."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     return chunking.chunks(d, title=F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), source=F.col("source"))
 
 
