@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, secrets, token_codec, toxicity
+from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, repeats, secrets, token_codec, toxicity
 from .common import read
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -59,6 +59,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = repeats.strip_repeats(read(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_diff": op1_page_diff,
     "op2_host_reputation": op2_host_reputation,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_codec": op9_token_codec,
     "op10_secret_scan": op10_secret_scan,
+    "op11_repeats": op11_repeats,
 }
 
 #: In SQL, url parts, the prior of each level and the posterior bound, as host_reputation has them.
@@ -131,4 +137,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(k, 0) AS n_links FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM link GROUP BY a) USING (doc_id)
     """,
+    "op11_repeats": """
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM t WHERE len(w) >= 50),
+        k AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM v),
+        s AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) < doc_id AS again FROM k),
+        i AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+        c AS (SELECT i.doc_id, i.p, i.x, coalesce(bool_or(again) OVER (PARTITION BY i.doc_id ORDER BY i.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM i LEFT JOIN s ON s.doc_id = i.doc_id AND s.p = i.p),
+        o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN o USING (doc_id)
+    """,
 }
