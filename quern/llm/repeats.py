@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -127,16 +128,17 @@ def alive_at(h: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int, alive:
 
 ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("nid", "<i8"), ("row", "<i8"), ("pos", "<i4")])
 SAMPLE = np.dtype([("hash", "<u8"), ("row", "<i8")])
+MARK = np.dtype([("row", "<i8"), ("nid", "<i8"), ("value", "<i8")])  # what is found, on its way to its row
 
 
-def packed(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row a bucket; the fields lie one after the other, which compresses better."""
-    home = (entries["hash"] % np.uint64(buckets)).astype(np.int64)
+def packed(entries: np.ndarray, key: str, buckets: int, found: bool) -> pa.RecordBatch:
+    """One row a bucket of ``key``; the fields lie one after the other, which compresses better."""
+    home = (entries[key].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(home, kind="stable")
     entries, home = entries[order], home[order]
     at = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True]))) if len(home) else np.zeros(1, np.int64)
     blobs = [b"".join(np.ascontiguousarray(entries[f][i:j]).tobytes() for f in entries.dtype.names) for i, j in zip(at[:-1], at[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(home[at[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(home[at[:-1]], pa.int64()), pa.array(blobs, pa.binary()), pa.array([found] * len(blobs), pa.bool_())], ["bucket", "packed", "found"])
 
 
 def unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
@@ -171,37 +173,54 @@ def later(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[e["nid"] > least], e[e["nid"] == least]
 
 
-def by_row(e: np.ndarray, field: str, kind: pa.DataType) -> pa.RecordBatch:
-    """(row, nid, values): what ``field`` holds for each row, as an array."""
-    nid = e["nid"] if "nid" in e.dtype.names else np.zeros(len(e), np.int64)
-    order = np.lexsort((e[field], nid, e["row"]))
-    e, nid = e[order], nid[order]
-    new = np.concatenate(([True], (e["row"][1:] != e["row"][:-1]) | (nid[1:] != nid[:-1]))) if len(e) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    values = pa.ListArray.from_arrays(pa.array(np.append(at, len(e)), pa.int32()), pa.array(e[field].astype(kind.to_pandas_dtype()) if field == "pos" else e[field].view(np.int64), kind))
-    return pa.RecordBatch.from_arrays([pa.array(e["row"][at], pa.int64()), pa.array(nid[at], pa.int64()), values], ["row", "nid", "found"])
+def marks_of(e: np.ndarray) -> np.ndarray:
+    out = np.empty(len(e), MARK)
+    out["row"] = e["row"]
+    out["nid"], out["value"] = (e["nid"], e["pos"]) if "pos" in e.dtype.names else (0, e["hash"].view(np.int64))
+    return out
+
+
+def by_row(m: np.ndarray) -> pa.RecordBatch:
+    """(row, found): the values of each row as one array of structs (nid, values)."""
+    m = m[np.lexsort((m["value"], m["nid"], m["row"]))]
+    new_row = np.concatenate(([True], m["row"][1:] != m["row"][:-1])) if len(m) else np.empty(0, bool)
+    at = np.flatnonzero(new_row | np.concatenate(([True], m["nid"][1:] != m["nid"][:-1]))[: len(m)])
+    values = pa.ListArray.from_arrays(pa.array(np.append(at, len(m)), pa.int32()), pa.array(m["value"], pa.int64()))
+    structs = pa.StructArray.from_arrays([pa.array(m["nid"][at], pa.int64()), values], ["nid", "values"])
+    rows = np.flatnonzero(new_row[at])
+    return pa.RecordBatch.from_arrays([pa.array(m["row"][at[rows]], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(rows, len(at)), pa.int32()), structs)], ["row", "found"])
+
+
+def buckets_of(batches: Batches, kind: np.dtype) -> Iterator[np.ndarray]:
+    """The entries of rows sorted by bucket, several whole buckets at a time."""
+    held, size, last = [], 0, None
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if bucket != last and size >= HELD:
+                yield unpacked(held, kind)
+                held, size = [], 0
+            last = bucket
+            held.append(blob)
+            size += len(blob) // kind.itemsize
+    if held:
+        yield unpacked(held, kind)
 
 
-def meet(rows: DataFrame, make: Callable[[Batches], Iterator[np.ndarray]], kind: np.dtype, split, field: str, values: str) -> DataFrame:
+def meet(rows: DataFrame, make: Callable[[Batches], Iterator[np.ndarray]], kind: np.dtype, split) -> DataFrame:
     """(row, found): entries that ``make`` yields meet by bucket; ``split`` tells what is found and what must travel.
 
-    Both the task that makes entries and the one that holds their bucket apply ``split``.
+    Both the task that makes entries and the one that holds their bucket apply
+    ``split``; what is found goes to the bucket of its row and becomes one row there.
     """
-    buckets = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrow = pa.int32() if field == "pos" else pa.int64()
-
-    names = ["bucket", "packed", "row", "nid", "found"]
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Batches) -> Batches:
         held, size = [], 0
 
         def flush() -> Batches:
             got, go = split(np.concatenate(held))
-            out, own = packed(go, buckets), by_row(got, field, arrow)
-            blank = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*out.columns, *blank(out.num_rows, pa.int64(), pa.int64(), pa.list_(arrow))], names)
-            home = pa.array(own.column(0).to_numpy() % buckets, pa.int64())
-            yield pa.RecordBatch.from_arrays([home, *blank(own.num_rows, pa.binary()), *own.columns], names)
+            yield packed(go, "hash", buckets, False)
+            yield packed(marks_of(got), "row", buckets, True)
 
         for e in make(batches):
             held.append(e)
@@ -213,24 +232,26 @@ def meet(rows: DataFrame, make: Callable[[Batches], Iterator[np.ndarray]], kind:
             yield from flush()
 
     def settle(batches: Batches) -> Batches:
-        """Rows come sorted by bucket; several whole buckets are settled at a time."""
-        held, size, last = [], 0, None
-        for b in batches:
-            mine = b.column(1).is_null()
-            yield b.filter(mine).select(names[2:])
-            b = b.filter(b.column(1).is_valid())
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if bucket != last and size >= HELD:
-                    yield by_row(split(unpacked(held, kind))[0], field, arrow)
-                    held, size = [], 0
-                last = bucket
-                held.append(blob)
-                size += len(blob) // kind.itemsize
-        if held:
-            yield by_row(split(unpacked(held, kind))[0], field, arrow)
-
-    sent = rows.mapInArrow(send, f"bucket long, packed binary, row long, nid long, found array<{values}>")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, f"row long, nid long, found array<{values}>")
+        passed: list[pa.RecordBatch] = []
+
+        def own() -> Batches:
+            for b in batches:
+                passed.append(b.filter(b.column(2)))
+                yield b.filter(pc.invert(b.column(2)))
+
+        for e in buckets_of(own(), kind):
+            yield packed(marks_of(split(e)[0]), "row", buckets, True)
+            yield from passed
+            passed.clear()
+        yield from passed
+
+    def gather(batches: Batches) -> Batches:
+        for m in buckets_of(batches, MARK):
+            yield by_row(m)
+
+    blobs = "bucket long, packed binary, found boolean"
+    settled = rows.mapInArrow(send, blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs)
+    return settled.select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "row long, found array<struct<nid: long, values: array<long>>>")
 
 
 # ------------------------------------------------------------------ the operator
@@ -288,16 +309,14 @@ def windows(length: int) -> Callable[[Batches], Iterator[np.ndarray]]:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> DataFrame:
-    """(row, found): for the key of each row that has any, the first words' positions of windows that a smaller document has, as structs (nid, positions)."""
+    """(row, found): for the key of each row that has any, where windows begin that a smaller document has, as structs (nid, values)."""
     rows = _keyed(docs, id_col, text_col)
     lengths = levels(window, first)
     seen = rows
     for i, length in enumerate(lengths[:-1]):
-        found = meet(seen, samples(length, lengths[i + 1], i == 0), SAMPLE, shared, "hash", "long")
-        alive = found.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("alive"))  # bounded by the row's own windows
-        seen = rows.join(alive, "row").select("nid", "row", "text", "alive")
-    found = meet(seen, windows(window), ENTRY, later, "pos", "int")
-    return found.groupBy("row").agg(F.collect_list(F.struct("nid", "found")).alias("found"))
+        found = meet(seen, samples(length, lengths[i + 1], i == 0), SAMPLE, shared)
+        seen = rows.join(found.select("row", F.flatten(F.transform("found", lambda x: x["values"])).alias("alive")), "row").select("nid", "row", "text", "alive")
+    return meet(seen, windows(window), ENTRY, later)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> DataFrame:
@@ -312,7 +331,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n_words, n_removed, kept, ids = [], [], [], []
             for nid, text, found in zip(*(b.column(i) for i in range(3)), strict=True):
                 words, nid = text.as_py().split(), nid.as_py()
-                starts = [p for f in found.as_py() or [] if f["nid"] == nid for p in f["found"]]
+                starts = [p for f in found.as_py() or [] if f["nid"] == nid for p in f["values"]]
                 if starts:
                     edge = np.zeros(len(words) + window + 1, np.int64)
                     np.add.at(edge, starts, 1)
