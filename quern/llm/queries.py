@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, repeats, secrets, token_codec, toxicity
+from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, repeats, secrets, token_codec, toxicity, variants
 from .common import read
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -64,6 +64,10 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_diff": op1_page_diff,
     "op2_host_reputation": op2_host_reputation,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_codec": op9_token_codec,
     "op10_secret_scan": op10_secret_scan,
     "op11_repeats": op11_repeats,
+    "op12_variants": op12_variants,
 }
 
 #: In SQL, url parts, the prior of each level and the posterior bound, as host_reputation has them.
