@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, repeats, secrets, token_codec, toxicity, variants
+from . import ball_search, decontaminate, exact_dedup, host_reputation, lexicon_bpe, ngram_join, page_diff, pu_quality, repeats, secrets, token_codec, toxicity, variants
 from .common import read
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -68,6 +68,11 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ball_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 50).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_diff": op1_page_diff,
     "op2_host_reputation": op2_host_reputation,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_repeats": op11_repeats,
     "op12_variants": op12_variants,
+    "op13_ball_search": op13_ball_search,
 }
 
 #: In SQL, url parts, the prior of each level and the posterior bound, as host_reputation has them.
@@ -152,4 +158,16 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
         SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN o USING (doc_id)
     """,
+    "op13_ball_search": """
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        d AS (SELECT doc_id, len(w)::BIGINT AS n, w FROM t WHERE len(w) > 0),
+        s AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM d),
+        f AS (SELECT doc_id, n, x, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS x FROM d) GROUP BY ALL),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark),
+        df AS (SELECT x, count(*) AS df FROM f GROUP BY x),
+        w AS (SELECT x, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, s),
+        r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l))))::BIGINT AS score FROM q JOIN f USING (x) JOIN w USING (x), s GROUP BY ALL),
+        o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+    """,
 }
