@@ -158,6 +158,20 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
         SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN o USING (doc_id)
     """,
+    "op12_variants": """
+        WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+        u AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+        g AS (SELECT run, count(*) AS n, hex(concat(doc_id, ':', run)) AS h FROM u GROUP BY doc_id, run),
+        c AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT)), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM g, tab),
+        a AS (SELECT CASE WHEN crc % 97 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM c),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM a WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y USING (i, rest) WHERE x.word <> y.word UNION SELECT w.word, d.word FROM w JOIN d ON d.rest = w.word UNION SELECT d.word, w.word FROM w JOIN d ON d.rest = w.word),
+        best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS b, max(w.n) AS bn FROM near JOIN w ON w.word = b GROUP BY a),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * w.n THEN b END AS form, CASE WHEN bn >= 2 * w.n THEN bn END AS form_n FROM w LEFT JOIN best USING (word)),
+        chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+        SELECT f.*, chain.at AS root FROM f JOIN chain USING (word) JOIN f AS last ON last.word = chain.at AND last.form IS NULL
+    """,
     "op13_ball_search": """
         WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         d AS (SELECT doc_id, len(w)::BIGINT AS n, w FROM t WHERE len(w) > 0),
