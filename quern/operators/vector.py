@@ -1,14 +1,16 @@
-"""Vector search: exact cosine k-NN, batched k-NN and an IVF index."""
+"""Vector search: exact cosine k-NN, one query or many at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import shared_folder
+
 
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -40,15 +42,15 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: st
 BLOCK_BYTES, PRODUCT = 64 << 20, 512
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Vectors at length 1, a row each; a null vector is zero."""
+def matrix(vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors at length 1, a row each; a null vector is zero.  ``width`` is known where all may be null."""
     lists = vectors.cast(pa.list_(pa.float64()))
     flat, n = lists.flatten().to_numpy(zero_copy_only=False), len(lists)
     if lists.null_count or (n and len(flat) % n):
-        width = max((len(v) for v in lists.to_pylist() if v), default=0)
+        width = width or max((len(v) for v in lists.to_pylist() if v), default=0)
         m = np.array([v or [0.0] * width for v in lists.to_pylist()], np.float64).reshape(n, -1)
     else:
-        m = flat.reshape(n, -1) if n else np.empty((0, 0))
+        m = flat.reshape(n, -1) if n else np.empty((0, width or 0))
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
@@ -57,30 +59,46 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in x.tolist()])
 
 
+def query_blocks(queries: DataFrame, query_col: str, against: Callable[[pa.Array, np.ndarray], DataFrame], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``against(ids, matrix)`` returns for the queries (query_col, vector), block by block.
+
+    The driver holds one block of at most ``block_bytes`` at a time: with several
+    blocks each result is written to the shared folder before the next is read.
+    """
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).head()
+    passes = max(1, -(-8 * size["n"] * max(size["d"] or 1, 1) // block_bytes))
+    home = shared_folder(queries.sparkSession, "queries") if passes > 1 else ""
+    for i in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_col), F.lit(passes)) == i)
+        rows = part.select(F.col(query_col).alias("q"), F.col("vector").alias("v")).toArrow()
+        out = against(rows.column("q").combine_chunks(), matrix(rows.column("v").combine_chunks()))
+        if passes == 1:
+            return out
+        out.write.parquet(f"{home}/block={i}")
+    return queries.sparkSession.read.parquet(home).drop("block")
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of queries (query_id, vector) against all vectors.
 
     Queries travel once a task, as broadcast blocks of at most ``block_bytes``;
-    more queries take more passes.  Each Arrow batch of vectors meets them in matrix
-    products and keeps k per query, ties by id, so what is shuffled is k rows per
-    query and batch, not the products.
+    more queries take more passes, one after the other.  Each Arrow batch of vectors
+    meets them in matrix products and keeps k per query, ties by id, so what is
+    shuffled is k rows per query and batch, not the products.
     """
     spark = vectors.sparkSession
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).head()
-    passes = max(1, -(-8 * size["n"] * max(size["d"] or 1, 1) // block_bytes))
     kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
     flat = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
 
-    def against(part: DataFrame) -> DataFrame:
-        rows = part.select(F.col(query_col).alias("q"), F.col("vector").alias("v")).toArrow()
-        sent = spark.sparkContext.broadcast((rows.column("q").combine_chunks(), _matrix(rows.column("v").combine_chunks())))  # of checked size
+    def against(ids: pa.Array, block: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, block))  # of checked size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             for b in batches:
                 if not len(names) or not b.num_rows:
                     continue
-                m = _matrix(b.column(1))
+                m = matrix(b.column(1))
                 place = np.asarray(pa.compute.rank(b.column(0), tiebreaker="first"))
                 for start in range(0, len(q), PRODUCT):
                     s = np.maximum(q[start : start + PRODUCT] @ m.T, 0)
@@ -97,66 +115,6 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
 
         return flat.mapInArrow(run, f"query_id {kind[0]}, id {kind[1]}, score double")
 
-    near = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_col), F.lit(passes)) == i)
-        near = against(part) if near is None else near.unionByName(against(part))
+    near = query_blocks(queries, query_col, against, block_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def ivf_fit(vectors: DataFrame, vec_col: str, lists: int, sample: int = 20_000, rounds: int = 10, seed: int = 5) -> np.ndarray:
-    """Centroids by spherical k-means over at most ``sample`` vectors (a documented bound)."""
-    x = np.array([r[0] for r in vectors.select(vec_col).orderBy(F.xxhash64(F.col(vec_col))).limit(sample).collect()], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def ivf_assign(vectors: DataFrame, centroids: np.ndarray, vec_col: str, probes: int = 1) -> DataFrame:
-    """``vectors`` with column list_id: the nearest centroid, or one row for each of ``probes``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column(b.schema.get_field_index(vec_col)).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes] if b.num_rows else np.empty((0, 1), int)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], [*b.schema.names, "lists"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    out = vectors.mapInArrow(run, f"{fields}, lists array<int>")
-    return out.select(*vectors.columns, F.explode("lists").alias("list_id"))
-
-
-def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
-    """(query_id, id, score, rank): an equi-join on the ``probes`` nearest lists, then on those that could still hold a nearer vector.
-
-    No vector of a list is nearer to a query than its angle to the centroid less
-    the list's widest angle, so lists that this rules out are never read.
-    """
-    index = ivf_assign(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), centroids, "v")
-    q = queries.select(F.col(query_col).alias("query_id"), F.col("vector").alias("qv"))
-    probe = ivf_assign(q, centroids, "qv", probes)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-
-    def best(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    def search(lists: DataFrame) -> DataFrame:
-        return best(index.join(lists, "list_id").select("query_id", "id", cosine(F.col("v"), F.col("qv")).alias("score")))
-
-    def angle(v: str) -> Column:
-        n = l2_norm(F.col(v))
-        return F.acos(F.greatest(F.least(F.when(n > 1e-12, dot(F.col(v), F.col("c")) / n).otherwise(-1.0), F.lit(1.0)), F.lit(-1.0)))
-
-    centres = F.broadcast(index.sparkSession.createDataFrame(list(enumerate(centroids.tolist())), "list_id int, c array<double>"))  # one row a list
-    wide = index.join(centres, "list_id").groupBy("list_id").agg(F.max(angle("v")).alias("wide")).join(centres, "list_id")
-    first = search(probe)
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
-    could = q.crossJoin(F.broadcast(wide)).join(kth, "query_id", "left")
-    could = could.where(F.greatest(F.cos(F.greatest(angle("qv") - F.col("wide"), F.lit(0.0))), F.lit(0.0)) >= F.coalesce("kth", F.lit(0.0)) - 1e-6)
-    more = could.join(probe.select("query_id", "list_id"), ["query_id", "list_id"], "left_anti").select("query_id", "qv", "list_id")
-    return best(first.drop("rank").unionByName(search(more).drop("rank")))

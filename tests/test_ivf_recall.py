@@ -1,10 +1,41 @@
+import numpy as np
+
+from quern.operators import ivfpq, vector
 from quern.queries import QUERIES
 
 
-def test_recall(spark):
-    """Recall@10 of the registered index against the exact search."""
+def test_same_as_exact_search(spark):
     for sf in ("0.01", "0.1"):
-        exact, near = ({(r.query_id, r.id) for r in QUERIES[n](spark, f"/root/testdata/sf{sf}").select("query_id", "id").collect()} for n in ("v2_knn_batch", "v3_ivf"))
-        recall = len(exact & near) / len(exact)
-        print("recall", sf, recall)
-        assert recall >= 0.9
+        exact, near = ({(r.query_id, r.id, r.rank) for r in QUERIES[n](spark, f"/root/testdata/sf{sf}").select("query_id", "id", "rank").collect()} for n in ("v2_knn_batch", "v3_ivf"))
+        assert exact == near
+
+
+def test_short_list_reads_few_vectors_and_a_cut_one_keeps_recall(spark):
+    row = QUERIES["v3_work"](spark, "/root/testdata/sf0.1").first()
+    assert row.recall_reached and row.few_vectors_read
+
+
+def test_bounds_hold_and_edges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 6)) for c in rng.normal(0, 1, (5, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 6), (902, x[0].tolist()), (902, x[0].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 40)] + [(-1, [0.0] * 6), (-2, None)], "query_id long, vector array<double>")
+    index = ivfpq.IvfPq(spark, f"file://{tmp_path}/i").build(vectors, lists=7, sample=100)
+    got = sorted((r.query_id, r["rank"], r.id) for r in index.search(queries, 5).collect() if r.query_id >= 0)
+    want = sorted((r.query_id, r["rank"], r.id) for r in vector.knn_batch(vectors, queries, 5).collect() if r.query_id >= 0)
+    assert got == want and index.short_list(queries.where("query_id >= 0"), 5).count() < 0.5 * 8 * len(rows)
+    book = ivfpq.Codebook.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 7, 2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    own, code, off = book.code(unit.copy())
+    about = (unit @ book.centroids.T)[:, own] + np.stack([book.tables(unit)[:, np.arange(3), c].sum(1) for c in code], 1)
+    assert (np.abs(about - unit @ unit.T) <= off + 1e-9).all()
+    assert ivfpq.Codebook.load(book.dump()).dump() == book.dump()
+
+
+def test_several_blocks_of_queries(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.withColumnsRenamed({"vec_id": "query_id", "embedding": "vector"})
+    one = sorted(map(tuple, vector.knn_batch(vectors, queries, 3).collect()))
+    assert sorted(map(tuple, vector.knn_batch(vectors, queries, 3, block_bytes=500).collect())) == one
