@@ -45,12 +45,12 @@ def index(docs: DataFrame, id_col: str, fields: dict[str, str], terms: DataFrame
     return rows.where("term IS NOT NULL").groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
+def top(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _weight(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+def weight(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
@@ -81,8 +81,8 @@ def bm25(
     sizes = df.where(F.col("term") == LENGTH).select("field", F.col("df").alias("n"), "avgdl")  # a row a field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     about = df.drop("avgdl").join(F.broadcast(sizes), "field").select("field", "term", idf.alias("idf"), "avgdl")
-    w = post.join(small(about), ["field", "term"]).select("term", "id", _weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"))
-    return _top(w.join(small(q), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
+    w = post.join(small(about), ["field", "term"]).select("term", "id", weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"))
+    return top(w.join(small(q), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
 
 
 def unparsable(query: Column) -> Column:
@@ -110,7 +110,7 @@ def phrases(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("dl"), spaced(F.col("t")).alias("s"))
     both = ask.withColumn("p", spaced(F.col("ws"))).join(texts, "id").where(F.col("s").contains(F.col("p")))
     hits = both.withColumn("tf", (F.length("s") - F.length(F.replace("s", "p", F.lit("")))) / F.length("p"))
-    return _top(hits.select("query_id", "id", _weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("score")), k)
+    return top(hits.select("query_id", "id", weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("score")), k)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
@@ -120,39 +120,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
     return bm25(docs, good, k, id_col, text_col, title_col=title_col).unionByName(phrases(docs, bad, k, id_col, text_col))
 
 
-class TextIndex:
-    """A kept index: postings of chunks (id, text) as versions of a Parquet table, with adds, deletes and a rebuild."""
-
-    def __init__(self, spark, path: str):
-        from .store import VersionedStore
-
-        self.store = VersionedStore(spark, path)
-
-    @staticmethod
-    def of(chunks: DataFrame) -> DataFrame:
-        return index(chunks, "id", {"text": "text"})
-
-    def add(self, chunks: DataFrame) -> None:
-        """New postings of the ids in ``chunks`` replace those they had."""
-        new = self.of(chunks)
-        if self.store.versions():
-            new = self.store.read().join(chunks.select("id").distinct(), "id", "left_anti").unionByName(new)
-        self.store.write(new)
-
-    def delete(self, ids: DataFrame) -> None:
-        self.store.write(self.store.read().join(ids.select("id").distinct(), "id", "left_anti"))
-
-    def rebuild(self, chunks: DataFrame) -> None:
-        """From the store alone; give the contextual text that ingest indexes."""
-        self.store.write(self.of(chunks))
-
-    def count(self) -> int:
-        return self.store.read().where(F.col("term") == LENGTH).count()
-
-    def terms(self) -> DataFrame:
-        return self.store.read().where(F.col("term") != LENGTH).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-
-
 def contextual(title: Column, heading: Column, text: Column) -> Column:
     """The text as ingest indexes it: behind its title and heading."""
     return F.concat_ws("\n", title, heading, text)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .commits import CommitLog
+
 
 @dataclass(frozen=True)
 class MetadataFilter:
@@ -125,43 +128,48 @@ class VersionedStore:
 
     A write makes a new version, so readers of the old one are not disturbed,
     and a delete or upsert that reads the current version can write the next.
+    Data is written first and becomes a version by a commit that fails with
+    ``Conflict`` where another writer has taken the number, so no rows are lost.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/log")
 
     def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n.startswith("v"))
+        return self.log.numbers()
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.versions()[-1] if version is None else version}")
+    def folder(self, version: int | None = None) -> str:
+        return f"{self.path}/{self.log.read(self.versions()[-1] if version is None else version)['folder']}"
 
-    def write(self, df: DataFrame, by: str | None = None) -> int:
-        at = (self.versions() or [0])[-1] + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/v{at}")
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.folder(version))
+
+    def write(self, df: DataFrame, by: str | None = None, after: int | None = None) -> int:
+        """``after``: the version that ``df`` was made from, if not the current one."""
+        at = (self.versions() or [0])[-1] + 1 if after is None else after + 1
+        folder = f"data-{uuid.uuid4().hex}"
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.path}/{folder}")
+        self.log.commit(at, {"folder": folder})
         return at
 
     def append(self, df: DataFrame) -> int:
-        return self.write(self.read().unionByName(df) if self.versions() else df)
+        base = (self.versions() or [0])[-1]
+        return self.write(self.read(base).unionByName(df) if base else df, after=base)
 
     def delete(self, condition: Column) -> int:
         """The number of rows that went."""
-        old = self.read()
+        base = self.versions()[-1]
+        old = self.read(base)
         gone = old.where(F.coalesce(condition, F.lit(False))).count()
         if gone:
-            self.write(old.where(~F.coalesce(condition, F.lit(False))))
+            self.write(old.where(~F.coalesce(condition, F.lit(False))), after=base)
         return gone
 
     def compact(self, file_bytes: int = 128 << 20) -> int:
         """Write the current version again in files of about ``file_bytes``; the number of files there are then."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{self.versions()[-1]}")
+        path = jvm.org.apache.hadoop.fs.Path(self.folder())
         size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
         n = max(1, -(-size // file_bytes))
         self.write(self.read().repartition(int(n)))

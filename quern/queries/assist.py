@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import answers, nlq
-from ..operators import activity, chunking, evaluate, fts, hooks, memory as M, rank, store
+from ..operators import activity, chunking, evaluate, fts, hooks, memory as M, rank, segments, store
 from ..operators.lineage import shared_folder
 from ..plans import search
 from ..tables import chunks, read, search_events, with_views
@@ -240,7 +240,7 @@ def s12_compact(spark, sf_dir):
 def s13_kept_index(spark, sf_dir):
     """Chunks added in two batches (one twice) and a language deleted; the term statistics that are left."""
     c = chunks(spark, sf_dir).select("id", "text", "space_id")
-    index = fts.TextIndex(spark, shared_folder(spark, "index"))
+    index = segments.SegmentIndex(spark, shared_folder(spark, "index"))
     index.add(c.where("id % 3 = 0"))
     index.add(c)
     index.delete(c.where("space_id = 'fr'"))
@@ -251,7 +251,7 @@ def s13_kept_index(spark, sf_dir):
 def s14_rebuilt_index(spark, sf_dir):
     """The index rebuilt from the store over the contextual text, as ingest has it."""
     c = chunks(spark, sf_dir).select("id", fts.contextual(F.col("title"), F.col("space_id"), F.col("text")).alias("text"))
-    index = fts.TextIndex(spark, shared_folder(spark, "index"))
+    index = segments.SegmentIndex(spark, shared_folder(spark, "index"))
     index.rebuild(c)
     return index.terms()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import evaluate, fts, fusion, ivfpq, vector
+from ..operators import evaluate, fts, fusion, ivfpq, segments, vector
 from ..operators.lineage import shared_folder
 from ..tables import chunks, read
 from . import query
@@ -103,6 +103,34 @@ def v4_bm25(spark, sf_dir):
     return fts.bm25(read(spark, sf_dir, "documents"), q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _kept(spark, sf_dir):
+    """An index of all documents, added in three batches, some of them twice."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    index = segments.SegmentIndex(spark, shared_folder(spark, "segments"))
+    index.add(d.where("id % 3 = 0").withColumn("text", F.upper("text")))
+    index.add(d.where("id % 3 <> 1"))
+    index.add(d.where("id % 3 = 1"))
+    return index, d, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+_INDEXED = "WITH" + _BM25 + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fts QUALIFY rank <= 10"
+
+
+@query(_INDEXED)
+def v4_index(spark, sf_dir):
+    """BM25 from the kept index, the same as v4_bm25 scans."""
+    index, _, q = _kept(spark, sf_dir)
+    return index.search(q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_INDEXED.replace("AS ws FROM documents", "AS ws FROM documents WHERE lang <> 'fr'"))
+def v4_index_deleted(spark, sf_dir):
+    """The same after a language is deleted."""
+    index, d, q = _kept(spark, sf_dir)
+    index.delete(d.where("lang = 'fr'"))
+    return index.search(q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK_T}) AS term FROM documents) GROUP BY term")
 def v5_terms(spark, sf_dir):
     """The term statistics of the index."""

@@ -70,16 +70,10 @@ def test_citations(spark):
     assert got == {(1, "rag/x.rs", 324): None, (1, "rag\\x.rs", 999): "line", (1, "y.rs", None): "file", (2, "z.rs", 1): "file"}
 
 
-def test_compaction_and_kept_index(spark, tmp_path):
+def test_compaction(spark, tmp_path):
     kept = store.VersionedStore(spark, f"file://{tmp_path}/t")
     kept.write(spark.range(1000).repartition(20))
     assert kept.compact() == 1 and kept.read().count() == 1000 and len(kept.read().inputFiles()) == 1
-    index = fts.TextIndex(spark, f"file://{tmp_path}/i")
-    index.add(spark.createDataFrame([(1, "a b"), (2, "b c")], "id int, text string"))
-    index.add(spark.createDataFrame([(2, "d"), (3, "")], "id int, text string"))
-    assert index.count() == 3 and {r.term for r in index.terms().collect()} == {"a", "b", "d"}
-    index.delete(spark.createDataFrame([(1,)], "id int"))
-    assert index.count() == 2 and {r.term for r in index.terms().collect()} == {"d"}
 
 
 def test_phrases_and_parsing(spark):
