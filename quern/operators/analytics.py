@@ -81,6 +81,10 @@ def summary_24h(runs: DataFrame, now: Column) -> DataFrame:
     return recent.agg(n.alias("total"), ok.alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.when(n > 0, 100.0 * ok / n).otherwise(0.0).alias("success_rate"))
 
 
+def health_state(rate: Column) -> Column:
+    return F.when(rate >= 0.95, "healthy").when(rate >= 0.7, "degraded").otherwise("down")
+
+
 def health(runs: DataFrame, last: int = 100) -> DataFrame:
     """Success share of each agent's latest runs, its state, and failures since the last success."""
     recent = latest(runs, last, ["agent_id"], "started_at")
@@ -89,8 +93,7 @@ def health(runs: DataFrame, last: int = 100) -> DataFrame:
     at = F.struct("started_at", "event_id")
     good = runs.groupBy("agent_id").agg(F.max(F.when(ok, at)).alias("good"))
     failing = runs.join(good, "agent_id").where((F.col("good").isNull() | (at > F.col("good")))).groupBy("agent_id").agg(F.count(F.lit(1)).alias("consecutive_failures"))
-    state = F.when(F.col("success_rate") >= 0.95, "healthy").when(F.col("success_rate") >= 0.7, "degraded").otherwise("down")
-    return share.join(failing, "agent_id", "left").select("agent_id", "success_rate", state.alias("state"), F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"))
+    return share.join(failing, "agent_id", "left").select("agent_id", "success_rate", health_state(F.col("success_rate")).alias("state"), F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"))
 
 
 def active_runs(starts: DataFrame, ends: DataFrame) -> DataFrame:
