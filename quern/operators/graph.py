@@ -40,12 +40,45 @@ def related_documents(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hop
     return within_hops(edges, starts, hops).join(docs, "name").groupBy("start", "doc_id").agg(F.min("depth").alias("depth"))
 
 
+def ordered_neighbours(rows: DataFrame, group: str, order: str, key: str, ahead: int) -> DataFrame:
+    """(src, dst, src_at, dst_at): the next ``ahead`` rows of each row's group by (order, key), with both rows' ``order``.
+
+    Rows are range-partitioned by (group, order, key), so one large group is spread over
+    tasks; the first ``ahead`` rows of a part are lent to as many parts before it.
+    """
+    at = ["_g", "_o", "_k"]
+    dealt = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(key).alias("_k")).where("_g IS NOT NULL")
+    dealt = cut(dealt.repartitionByRange(*at).sortWithinPartitions(*at).withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy("_p").orderBy(*at)
+    heads = dealt.withColumn("_i", F.row_number().over(inside)).where(F.col("_i") <= ahead).drop("_i")
+    lent = heads.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda d: F.col("_p") - d))).where("_p >= 0")
+    both = dealt.withColumn("_own", F.lit(True)).unionByName(lent.withColumn("_own", F.lit(False)))
+    later = F.array(*(F.struct(F.lead("_g", d).over(inside).alias("g"), F.lead("_o", d).over(inside).alias("o"), F.lead("_k", d).over(inside).alias("k")) for d in range(1, ahead + 1)))
+    out = both.withColumn("_later", later).where("_own").select("_g", "_k", "_o", F.explode("_later").alias("x"))
+    return out.where(F.col("x.g") == F.col("_g")).select(F.col("_k").alias("src"), F.col("x.k").alias("dst"), F.col("_o").alias("src_at"), F.col("x.o").alias("dst_at"))
+
+
 def next_in_group(rows: DataFrame, group: str, order: str, ahead: int, weight: float) -> DataFrame:
     """Edges from each row to the next ``ahead`` rows of its group."""
-    w = Window.partitionBy(group).orderBy(order)
-    later = F.array(*(F.lead(order, k).over(w) for k in range(1, ahead + 1)))
-    dealt = rows.select(F.col(order).alias("src"), later.alias("later"))
-    return dealt.select("src", F.explode("later").alias("dst"), F.lit(weight).alias("weight")).where("dst IS NOT NULL")
+    return ordered_neighbours(rows, group, order, order, ahead).select("src", "dst", F.lit(weight).alias("weight"))
+
+
+def similarity_edges(nodes: DataFrame, most: int = 3, least: float = 0.5) -> DataFrame:
+    """(src, dst, relation, weight) of documents (id, directory, kind, language, score); at most 2 + 2 ``most`` edges a document.
+
+    ``category`` and ``language`` edges lead to a node of that name; ``same_directory``
+    edges to the next documents of the directory; ``semantic`` ones to the next
+    of the kind by score that lie elsewhere and are more similar than ``least``.
+    """
+    text = lambda c: F.col(c).cast("string")
+    hub = lambda name, of, w: nodes.where(F.col(of).isNotNull()).select(text("id").alias("src"), F.concat(F.lit(f"{name}-"), F.replace(text(of), F.lit(" "), F.lit("_"))).alias("dst"), F.lit("category" if name == "topic" else "language").alias("relation"), F.lit(w).alias("weight"))
+    near = ordered_neighbours(nodes, "directory", "id", "id", most).select(text("src").alias("src"), text("dst").alias("dst"), F.lit("same_directory").alias("relation"), F.lit(0.8).alias("weight"))
+    like = ordered_neighbours(nodes, "kind", "score", "id", most)
+    home = nodes.select("id", "directory")
+    like = like.join(home.withColumnsRenamed({"id": "src", "directory": "a"}), "src").join(home.withColumnsRenamed({"id": "dst", "directory": "b"}), "dst").where(~F.col("a").eqNullSafe(F.col("b")) | F.col("a").isNull())
+    s = 1 - F.abs(F.col("src_at") - F.col("dst_at"))
+    like = like.where(s > least).select(text("src").alias("src"), text("dst").alias("dst"), F.lit("semantic").alias("relation"), (0.6 * s).alias("weight"))
+    return hub("topic", "kind", 0.8).unionByName(hub("entity", "language", 0.7)).unionByName(near).unionByName(like)
 
 
 def levels(steps: DataFrame, needs: DataFrame) -> DataFrame:

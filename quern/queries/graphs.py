@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
+from ..operators import graph as G, neighbours, vector
 from ..tables import read
 from . import query
 
@@ -52,24 +52,28 @@ def g3_related_documents(spark, sf_dir):
     return G.related_documents(G.entities(c), e, e.where(_STARTS).select(F.col("src").alias("name")).distinct(), 2)
 
 
-@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS dir, s_suppkey % 3 AS kind, s_acctbal / 10000 AS sim FROM supplier)
-    SELECT a.id AS src, b.id AS dst, 'same_directory' AS relation, 0.8 AS weight FROM n a JOIN n b ON a.dir = b.dir AND a.id < b.id
-    UNION ALL SELECT a.id, b.id, 'semantic', round(0.6 * (1 - abs(a.sim - b.sim)), 6) FROM n a JOIN n b ON a.kind = b.kind AND a.dir <> b.dir AND a.id < b.id AND 1 - abs(a.sim - b.sim) > 0.99""")
+@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS dir, s_suppkey % 3 AS kind, CASE s_suppkey % 5 WHEN 0 THEN 'C/C++' WHEN 1 THEN 'Go' END AS lang, s_acctbal / 10000 AS score FROM supplier),
+    o AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY id) AS d, row_number() OVER (PARTITION BY kind ORDER BY score, id) AS k FROM n)
+    SELECT id::VARCHAR AS src, 'topic-' || kind AS dst, 'category' AS relation, 0.8 AS weight FROM n UNION ALL SELECT id::VARCHAR, 'entity-' || lang, 'language', 0.7 FROM n WHERE lang IS NOT NULL
+    UNION ALL SELECT a.id::VARCHAR, b.id::VARCHAR, 'same_directory', 0.8 FROM o a JOIN o b ON a.dir = b.dir AND b.d - a.d BETWEEN 1 AND 3
+    UNION ALL SELECT a.id::VARCHAR, b.id::VARCHAR, 'semantic', round(0.6 * (1 - abs(a.score - b.score)), 6) FROM o a JOIN o b ON a.kind = b.kind AND b.k - a.k BETWEEN 1 AND 3 WHERE a.dir <> b.dir AND 1 - abs(a.score - b.score) > 0.5""")
 def j7_edges(spark, sf_dir):
-    """Edges in one directory, and of similar items of one kind elsewhere.
-
-    Similar means a close value, so the join is on (kind, bucket of the value)
-    and its neighbour bucket, not on kind alone.
-    """
-    n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("dir"), (F.col("s_suppkey") % 3).alias("kind"), (F.col("s_acctbal") / 10000).alias("sim"))
-    a, b = (n.select(*(F.col(c).alias(f"{c}_{s}") for c in n.columns)) for s in "ab")
-    same = a.join(b, F.col("dir_a") == F.col("dir_b")).where("id_a < id_b").select("id_a", "id_b", F.lit("same_directory").alias("relation"), F.lit(0.8).alias("weight"))
-    bucket = lambda c: F.floor(F.col(c) / 0.01)
-    x = a.withColumn("k", F.explode(F.array(*(bucket("sim_a") + d for d in (-1, 0, 1)))))
-    near = x.join(b, (F.col("kind_a") == F.col("kind_b")) & (x.k == bucket("sim_b"))).where("dir_a <> dir_b AND id_a < id_b")
-    s = 1 - F.abs(F.col("sim_a") - F.col("sim_b"))
-    near = near.where(s > 0.99).select("id_a", "id_b", F.lit("semantic").alias("relation"), F.round(0.6 * s, 6).alias("weight"))
-    return same.unionByName(near).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), "relation", "weight")
+    """Category, language, directory and similarity edges; a bounded number a document."""
+    key = F.col("s_suppkey")
+    n = read(spark, sf_dir, "supplier").select(key.alias("id"), F.col("s_nationkey").alias("directory"), (key % 3).alias("kind"), F.when(key % 5 == 0, "C/C++").when(key % 5 == 1, "Go").alias("language"), (F.col("s_acctbal") / 10000).cast("double").alias("score"))
+    return G.similarity_edges(n).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT count(*) AS nodes, true AS recall_reached, true AS degree_bounded FROM embeddings")
+def g5_similarity_graph(spark, sf_dir):
+    """The graph of the ten most similar vectors by neighbour descent; recall of 0.9 or more against the exact lists of every node."""
+    e = read(spark, sf_dir, "embeddings")
+    near = neighbours.knn_graph(e, 10).select("src", "dst")
+    exact = vector.knn_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 11)
+    exact = exact.where("query_id <> id AND rank <= 11").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    found = exact.join(near.withColumn("found", F.lit(1)), ["src", "dst"], "left").agg((F.count("found") / F.count(F.lit(1))).alias("recall"))
+    degree = near.groupBy("src").count().agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("nodes"))
+    return found.crossJoin(degree).select("nodes", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("most") <= 10).alias("degree_bounded"))  # one row each
 
 
 @query("WITH n AS (SELECT s_suppkey AS id, s_nationkey AS kind, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) SELECT a.id AS src, b.id AS dst, 0.6 AS weight FROM n a JOIN n b ON a.kind = b.kind AND b.i - a.i BETWEEN 1 AND 2")
