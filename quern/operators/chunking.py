@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -76,30 +78,46 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", titl
     return rows.select("doc_id", "chunk_index", "text", "start", "stop", head.alias("heading"), context.alias("context"))
 
 
+def packed_lines(lines: list[str], room: int) -> list[str]:
+    """Lines in groups of at most ``room`` bytes with a line break after each; a longer line is a group of its own."""
+    out, held, size = [], [], 0
+    for x in lines:
+        n = len(x.encode()) + 1
+        if held and size + n > room:
+            out.append("\n".join(held))
+            held, size = [], 0
+        held.append(x)
+        size += n
+    return [*out, "\n".join(held)] if held else out
+
+
 def section_chunks(sections: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Chunks of (doc_id, kind, page, heading, content, fields, headers, rows).
 
     Form fields become 'key: value' lines, tables Markdown rows under a repeated
-    header; both are packed into groups of lines that fit a chunk.  Text is
-    labelled with its page and goes through the sliding window.
+    header; both are packed into groups of lines that fit a chunk, in one pass over
+    the lines.  Text is labelled with its page and goes through the sliding window.
+    Null rows and cells and empty fields are left out.
     """
-    kv = F.filter(F.transform("fields", lambda f: F.when((f["k"] != "") & (f["v"] != ""), F.concat(f["k"], F.lit(": "), f["v"]))), lambda x: x.isNotNull())
-    row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    lines = F.when(F.col("kind") == "form", kv).when(F.col("kind") == "table", F.transform("rows", row))
-    head = F.when(F.col("kind") == "table", F.concat(row(F.col("headers")), F.lit("\n| "), F.array_join(F.transform("headers", lambda h: F.lit("---")), " | "), F.lit(" |\n"))).otherwise("")
-    room = F.when(F.col("kind") == "form", 2 * config.chunk_size).otherwise(config.chunk_size) - F.octet_length(head)
-    # Groups of lines: a running size, cut where it passes a multiple of the room.
-    state = F.struct(F.lit(0).alias("size"), F.lit(0).alias("group"), F.array().cast("array<struct<g:int,x:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.octet_length(x) + 1
-        new = (acc["size"] + n > room) & (acc["size"] > 0)
-        group = acc["group"] + new.cast("int")
-        return F.struct(F.when(new, n).otherwise(acc["size"] + n).cast("int").alias("size"), group.alias("group"), F.concat(acc["out"], F.array(F.struct(group.alias("g"), x.alias("x")))).alias("out"))
-
-    packed = F.aggregate(lines, state, step)
-    groups = F.transform(F.sequence(F.lit(0), packed["group"]), lambda g: F.concat(head, F.array_join(F.transform(F.filter(packed["out"], lambda y: y["g"] == g), lambda y: y["x"]), "\n")))
-    shaped = sections.where(F.col("kind").isin("form", "table")).where(F.size(lines) > 0).select("doc_id", "kind", "page", F.posexplode(groups).alias("chunk_index", "text"))
+    row = lambda cells: "| " + " | ".join(c for c in cells or [] if c is not None) + " |"
+
+    def groups(kind: str, fields: list | None, headers: list | None, rows: list | None) -> list[str]:
+        if kind == "form":
+            return packed_lines([f"{f['k']}: {f['v']}" for f in fields or [] if f and f["k"] and f["v"]], 2 * config.chunk_size)
+        head = f"{row(headers)}\n| {' | '.join('---' for _ in headers or [])} |\n"
+        return [head + g for g in packed_lines([row(r) for r in rows or [] if r is not None], config.chunk_size - len(head.encode()))]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [groups(*x) for x in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(g) for g in own]), pa.int64())
+            texts = pa.array([t for g in own for t in g], pa.string())
+            number = pa.array([i for g in own for i in range(len(g))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), number, texts], ["doc_id", "kind", "page", "chunk_index", "text"])
+
+    kinds = {c: sections.schema[c].dataType.simpleString() for c in ("doc_id", "page")}
+    lined = sections.where(F.col("kind").isin("form", "table")).select("doc_id", "kind", "page", "fields", "headers", "rows")
+    shaped = lined.mapInArrow(pack, f"doc_id {kinds['doc_id']}, kind string, page {kinds['page']}, chunk_index int, text string")
     label = F.when(F.col("page").isNotNull(), F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(": "))).otherwise("")
     plain = sections.where("kind = 'text'").select("doc_id", "kind", "page", F.explode(chunk_column(config)(F.col("content"))).alias("c")).select("doc_id", "kind", "page", "c.chunk_index", F.concat(label, "c.text").alias("text"))
     return shaped.unionByName(plain)

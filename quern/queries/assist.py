@@ -191,10 +191,12 @@ def l16_memory_lines(spark, sf_dir):
     return _memories(spark, sf_dir).select("owner", "id", M.line(F.col("type"), F.col("content"), F.col("importance")).alias("line"))
 
 
-@query(f"""WITH {_MEMORY}, r AS (SELECT * FROM m WHERE created_at BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id, content) <= 5)
+@query(f"""WITH {_MEMORY}, k AS (SELECT * REPLACE (replace(content, ',', '?') AS content) FROM m), r AS (SELECT * FROM k WHERE created_at BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id, content) <= 5)
     SELECT owner, id, 'Continue discussing: ' || CASE WHEN contains(content, '?') THEN 'unanswered question' ELSE 'incomplete task' END AS suggestion FROM r WHERE type = 'Conversation' AND (contains(content, '?') OR contains(lower(content), 'todo'))""")
 def l17_continuations(spark, sf_dir):
-    return M.continuations(_memories(spark, sf_dir), "owner", F.lit("2024-01-20").cast("timestamp"))
+    """What recent conversations left open; a comma stands for a question mark, as the table has none."""
+    asked = _memories(spark, sf_dir).withColumn("content", F.replace("content", F.lit(","), F.lit("?")))
+    return M.continuations(asked, "owner", F.lit("2024-01-20").cast("timestamp"))
 
 
 @query(f"WITH {_MEMORY} SELECT owner, id, created_at, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id, content) AS place FROM m QUALIFY place <= 3")
@@ -267,11 +269,12 @@ def c7_ingest(spark, sf_dir):
     return kept.read().select("doc_id", "chunk_index", F.length("text").alias("length"), norm.alias("norm"))
 
 
-@query("SELECT item_id, doc_id AS id, source FROM documents JOIN benchmark ON source = 'src' || (item_id % 7) ")
+@query("SELECT doc_id AS id, source FROM documents WHERE source IN (SELECT source FROM documents JOIN benchmark ON doc_id = item_id * 3)")
 def y7_document_chunks(spark, sf_dir):
-    """The chunks of the documents that a tool call names, by a filter on the document."""
-    ask = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("doc_id"))
-    return store.documents_of(chunks(spark, sf_dir), ask).join(ask, "doc_id").select("item_id", "id", "source")
+    """The chunks of the documents that tool calls name, each once, by a filter on the document; a call names the source of a chunk."""
+    c = chunks(spark, sf_dir)
+    ask = c.join(read(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("id")), "id", "left_semi").select("doc_id")
+    return store.documents_of(c, ask).select("id", "source")
 
 
 @query(with_views("SELECT doc_id, space_id, count(*) AS chunks, sum(n_chars) AS chars FROM chunks GROUP BY ALL", "chunks"))

@@ -135,12 +135,14 @@ def p6_compliance(spark, sf_dir):
 
 
 @query(_GOV + """, u AS (SELECT s_suppkey AS user_id, ['Brand#' || (11 + s_suppkey % 3), 'Brand#' || (21 + s_suppkey % 3)] AS departments, s_nationkey % 4 AS level, s_suppkey % 25 = 0 AS is_admin FROM supplier)
-    SELECT user_id, doc_id FROM u, g WHERE access_level <= level AND (is_admin OR department IS NULL OR list_contains(departments, department))""")
+    SELECT DISTINCT l_suppkey AS user_id, l_partkey AS doc_id, access_level <= level AND (is_admin OR department IS NULL OR list_contains(departments, department)) AS allowed FROM lineitem JOIN u ON l_suppkey = user_id JOIN g ON l_partkey = doc_id""")
 def p7_can_access(spark, sf_dir):
+    """May a supplier read the part of one of its lines; the pairs that are asked for."""
     s = F.col("s_suppkey")
     brand = lambda n: F.concat(F.lit("Brand#"), (n + s % 3).cast("string"))
     users = read(spark, sf_dir, "supplier").select(s.alias("user_id"), F.array(brand(11), brand(21)).alias("departments"), (F.col("s_nationkey") % 4).alias("level"), (s % 25 == 0).alias("is_admin"))
-    return G.can_access(_governed(spark, sf_dir), users)
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("doc_id")).distinct()
+    return G.can_access(pairs, _governed(spark, sf_dir), users)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")

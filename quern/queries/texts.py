@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nlq, text as T
+from ..config import EngineConfig
 from ..operators import chunking, rank
 from ..operators.lineage import spread
 from ..sources.html import BLOCKS, ENTITIES, strip_tags
@@ -129,9 +130,8 @@ def c1_chunks(spark, sf_dir):
     return chunking.chunks(d, title=F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), source=F.col("source"))
 
 
-@query()
-def c4_section_chunks(spark, sf_dir):
-    """C4: customers as tables of their orders, nations as forms, documents as pages of text."""
+def _sections(spark, sf_dir):
+    """Customers as tables of their orders and as forms, documents as pages of text."""
     o, c, d = (read(spark, sf_dir, t) for t in ("orders", "customer", "documents"))
     none = {"fields": "array<struct<k:string,v:string>>", "headers": "array<string>", "rows": "array<array<string>>", "content": "string", "page": "int"}
     fill = lambda *have: [F.lit(None).cast(t).alias(n) for n, t in none.items() if n not in have]
@@ -139,9 +139,28 @@ def c4_section_chunks(spark, sf_dir):
     tables = tables.select("doc_id", F.lit("table").alias("kind"), "rows", F.array(F.lit("order"), F.lit("status"), F.lit("priority")).alias("headers"), *fill("rows", "headers"))
     forms = c.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("doc_id"), F.lit("form").alias("kind"), F.array(F.struct(F.lit("name").alias("k"), F.col("c_name").alias("v")), F.struct(F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v"))).alias("fields"), *fill("fields"))
     texts = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("text").alias("kind"), F.col("text").alias("content"), (F.col("doc_id") % 9).cast("int").alias("page"), *fill("content", "page"))
+    return tables, forms, texts
+
+
+@query()
+def c4_section_chunks(spark, sf_dir):
+    """C4: chunks of tables, forms and pages of text."""
+    tables, forms, texts = _sections(spark, sf_dir)
     return chunking.section_chunks(tables.unionByName(forms).unionByName(texts))
 
 
+@query("""WITH RECURSIVE o AS (SELECT 'c' || o_custkey AS doc_id, '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey::VARCHAR, o_orderstatus, o_orderpriority) AS i FROM orders),
+    g AS (SELECT doc_id, i, line, strlen(line) + 1 AS size, 0 AS chunk FROM o WHERE i = 1
+        UNION ALL SELECT o.doc_id, o.i, o.line, CASE WHEN g.size + strlen(o.line) + 1 > 180 - 58 THEN strlen(o.line) + 1 ELSE g.size + strlen(o.line) + 1 END, g.chunk + CASE WHEN g.size + strlen(o.line) + 1 > 180 - 58 THEN 1 ELSE 0 END FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1)
+    SELECT doc_id, 'table' AS kind, chunk AS chunk_index, '| order | status | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM g GROUP BY doc_id, chunk
+    UNION ALL SELECT 'f' || c_custkey, 'form', 0, 'name: ' || c_name || chr(10) || 'segment: ' || c_mktsegment FROM customer""".replace("- 58", f"- {len('| order | status | priority |') + len('| --- | --- | --- |') + 2}"))
+def c4_tables(spark, sf_dir):
+    """C4: tables and forms in chunks of at most 180 bytes."""
+    tables, forms, _ = _sections(spark, sf_dir)
+    small = EngineConfig(chunk_size=180, chunk_overlap=20, min_chunk=1)
+    return chunking.section_chunks(tables.unionByName(forms), small).select("doc_id", "kind", "chunk_index", "text")
+
+
 @query()
 def f4_compress(spark, sf_dir):
     """The three best sentences of each hit for its benchmark item."""

@@ -188,3 +188,24 @@ def test_hooks(spark):
     assert rows[0].vector == rows[1].vector and all(abs(r.n - 1) < 1e-5 for r in rows)
     with pytest.raises(KeyError):
         hooks.get("scorer", "none")
+
+
+def test_long_tables_take_linear_time(spark):
+    import time
+
+    from quern.config import EngineConfig
+    from quern.operators import chunking
+
+    kind = "doc_id int, kind string, page int, heading string, content string, fields array<struct<k:string,v:string>>, headers array<string>, rows array<array<string>>"
+    rows = [[str(i), "x" * (i % 90), None] for i in range(100_000)]
+    data = [(1, "table", None, None, None, None, ["a", "b", "c"], rows), (2, "form", 3, None, None, [("k", "v"), ("", "v"), ("q", None), ("z", "é" * 300)], None, None), (3, "table", None, None, None, None, ["h"], [])]
+    start = time.time()
+    got = chunking.section_chunks(spark.createDataFrame(data, kind), EngineConfig(chunk_size=250, chunk_overlap=0, min_chunk=1)).collect()
+    assert time.time() - start < 20
+    tables = sorted((r.chunk_index, r.text) for r in got if r.doc_id == 1)
+    head = "| a | b | c |\n| --- | --- | --- |\n"
+    lines = [x for _, t in tables for x in t.removeprefix(head).split("\n")]
+    assert lines == [f"| {r[0]} | {r[1]} |" for r in rows] and all(len(t) <= 250 for _, t in tables)
+    assert all(len(a[1]) + len(b[1].removeprefix(head).split("\n")[0]) + 1 > 249 for a, b in zip(tables, tables[1:]))
+    assert [(r.page, r.text) for r in got if r.doc_id == 2] == [(3, "k: v"), (3, "z: " + "é" * 300)]
+    assert not [r for r in got if r.doc_id == 3]
