@@ -17,11 +17,14 @@ container (the innermost sectioning element around it):
   everything, a shared line stays only between lines of the page's own;
 * of other containers only the lines stay that are not shared.
 
-Elements and names add to that.  Lines inside an article or main element stay.
-Lines inside navigation, headers, footers, sidebars, notices, adverts, forms and
-reader comments go whether shared or not; where only a class, id or role says so,
-not if that container holds more than half of what the page has of its own, and
-never for an article, a main element or what holds one.
+Elements and names add to that.  Lines inside an article or main element stay, but for
+shared lines of a container inside it that is mostly shared, if the article is
+mostly the page's own.  Lines inside navigation, headers, footers, sidebars, notices,
+adverts, forms and reader comments go whether shared or not, also if an article
+stands in them; where only a class, id or role says so (paragraphs, list items, headings
+and spans have them too), not if that container holds more than half of what the page
+has of its own.  Only where furniture was left open before the page's one article, and
+that is most of its text, the article stays.  Hidden elements go.
 
 A page without a neighbour to compare with has only its article's lines, if it
 has one, else all its lines.  A null or empty page gives an empty text; a page that
@@ -48,11 +51,15 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|text
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by their part in a page, and words of class, id and role that mark furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+NO_DISPLAY = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)\bdisplay\s*:\s*none", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 KEY = ("host", "path", "page_id")
 SAMPLE = 20  # keys a range from which the ranges are cut
 CONTENT = frozenset(["article", "main"])
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 NEGATED = frozenset("has have no not non with without is free less".split())
+ENDS = frozenset("p li h1 h2 h3 h4 h5 h6 figcaption dd dt td th".split())  # containers only where their names mark furniture
 NESTED = frozenset("div section ul ol dl table details figure body html center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = frozenset(
@@ -72,7 +79,13 @@ def marks_furniture(attributes: str) -> bool:
     return False
 
 
-#: A block's text, its zone (2 in an article, 1 elsewhere, 0 furniture by element, -1 furniture by name) and its container's number.
+def is_hidden(attributes: str) -> bool:
+    """The attribute ``hidden``, or a style that does not display."""
+    return bool(HIDDEN.search(QUOTED.sub('""', attributes)) or NO_DISPLAY.search(attributes))
+
+
+#: A block's text, its zone and its container's number.  Zones: 2 in an article, 3 in a container inside one,
+#: 1 elsewhere, 0 furniture by element or hidden, -1 furniture by name, -2 an article within furniture.
 Line = tuple[str, int, int]
 BODY = 0
 
@@ -103,11 +116,19 @@ def text_lines(page: str | None) -> list[Line]:
                 flush()
             continue
         name = name.lower()
-        if name in INLINE:
+        marked = not m[2] and bool(m[4]) and name not in ("body", "html") and name not in VOID and (is_hidden(m[4]) or marks_furniture(m[4]))
+        if name in INLINE and not (name == "span" and (marked or open_[-1][0] == "span")):
             continue
         if name == "br":
             held.append("\n")
             continue
+        if name == "span" and not marked:  # inside a span that is furniture
+            if m[2]:
+                flush()
+                open_.pop()
+            else:
+                open_.append(("span", *open_[-1][1:]))
+            continue
         flush()
         if m[2]:
             for i in range(len(open_) - 1, 0, -1):
@@ -115,15 +136,26 @@ def text_lines(page: str | None) -> list[Line]:
                     del open_[i:]
                     break
             continue
-        if name in VOID or name not in NESTED and name not in CONTENT and name not in FURNITURE:
+        if name in VOID:
+            continue
+        while open_[-1][0] in ENDS and (name not in INLINE) and (open_[-1][0] not in ("li", "dd", "dt", "td", "th") or name in (open_[-1][0], "dt", "dd", "tr")):
+            open_.pop()  # a paragraph or heading that was not closed ends here
+        if name in ENDS or name == "span":
+            if not marked:
+                continue
+        elif name not in NESTED and name not in CONTENT and name not in FURNITURE:
             continue
         _, zone, container = open_[-1]
-        if name in CONTENT:
-            zone = 2 if zone == 1 or not any(z == 2 for _, z, _ in open_) else zone  # an article ends furniture left open before it
-        elif name in FURNITURE and not (name == "header" and zone == 2):
+        if marked and is_hidden(m[4]):
+            zone = 0
+        elif name in CONTENT:
+            zone = 2 if zone > 0 else -2 if zone != -2 and not any(z >= 2 for _, z, _ in open_) else zone
+        elif name in FURNITURE and not (name == "header" and zone in (2, 3, -2)):
             zone = 0
-        elif zone and name not in ("body", "html") and m[4] and marks_furniture(m[4]):
+        elif zone and marked:
             zone = -1
+        elif zone == 2 and name in NESTED:
+            zone = 3
         if name not in ("body", "html") and not zone == open_[-1][1] == -1:  # what a name marks is one container
             made += 1
             container = made
@@ -133,7 +165,10 @@ def text_lines(page: str | None) -> list[Line]:
     elif at < len(page):
         held.append(page[at:] if not re.match(r"<[a-zA-Z/!]", page[page.index("<", at) :]) else page[at : page.index("<", at)])
     flush()
-    return lines
+    # An article within furniture is the page's own only if furniture was left open before it: there is no other, and it is most of the text.
+    size = {z: sum(len(t) for t, y, _ in lines if y == z) for z in {z for _, z, _ in lines}}
+    inner = 2 if not (size.get(2) or size.get(3)) and size.get(-2, 0) >= size.get(1, 0) else 0
+    return [(t, inner if z == -2 else z, c) for t, z, c in lines]
 
 
 ALIGN_BITS = 1 << 28  # of kept rows and of masks, in one alignment
@@ -233,15 +268,18 @@ def main_text(lines: list[Line], other: list[Line] | None) -> tuple[str, int]:
         size[c] = size.get(c, 0) + len(t)
         own[c] = own.get(c, 0) + (0 if i in shared else len(t))
     everything = sum(n for c, n in own.items())
-    article = any(z == 2 for _, z, _ in lines)
+    article = any(z >= 2 for _, z, _ in lines)
     if other is None and article:
-        return " ".join(t for t, z, _ in lines if z == 2), 0
+        return " ".join(t for t, z, _ in lines if z >= 2), 0
     believed = {c for _, z, c in lines if z == -1 and (article or 2 * own[c] <= everything)}
     open_lines = [i for i, (_, z, c) in enumerate(lines) if z == 1 or z == -1 and c not in believed]
     mine = [i for i in open_lines if i not in shared and lines[i][2] == BODY]
     between = range(mine[0], mine[-1] + 1) if mine else range(0)
     size[BODY] = sum(len(lines[i][0]) for i in between if lines[i][2] == BODY)
-    kept = {i for i, (_, z, _) in enumerate(lines) if z == 2}
+    inside = [i for i, (_, z, _) in enumerate(lines) if z >= 2]
+    # Of an article that is mostly the page's own, containers that are mostly shared lose what is shared.
+    compared = 2 * sum(len(lines[i][0]) for i in inside if i not in shared) > sum(len(lines[i][0]) for i in inside)
+    kept = {i for i in inside if not (compared and i in shared and lines[i][1] == 3 and 2 * own[lines[i][2]] <= size[lines[i][2]])}
     for i in open_lines:
         c = lines[i][2]
         mostly_own = 2 * own[c] > size[c]

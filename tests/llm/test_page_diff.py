@@ -140,6 +140,73 @@ def test_differencing_decides_outside_articles(spark):
     }
 
 
+INSIDE = [
+    '<section id="comments"><article>Reader says hi</article></section>',
+    "<aside><article>Related teaser</article></aside>",
+    "<footer><article>Newest post</article></footer>",
+    "<nav><article>Menu</article></nav>",
+    '<p class="advert">Buy now',
+    '<p class="notice">We use crumbs</p>',
+    '<h2 id="comments">Two comments</h2>',
+    '<ul><li class="share">Post it<li class="share">Mail it</ul>',
+    '<figure><figcaption class="promo">Sale</figcaption></figure>',
+    "<div hidden>Not seen</div>",
+    '<p style="color:red; display : none">Not seen</p>',
+    '<div role="complementary"><div><article>Side</article></div></div>',
+]
+
+
+def test_furniture_wins_over_an_article_inside_it():
+    for extra in INSIDE:
+        for page in (f"<article><p>Main one</p><p>Main two</p></article>{extra}<p>", f"<article><p>Main one</p>{extra}<p>Main two</p></article>", f"{extra}<main><p>Main one<p>Main two</main>"):
+            for other in (None, P.text_lines("<article><p>Other text</article>"), P.text_lines(page.replace("Main", "New"))):
+                assert P.main_text(P.text_lines(page), other)[0] == "Main one Main two", (page, other)
+    page = '<article><p>Buy <span class="ad">this <span>very</span> thing</span>nothing <span>at</span> all</p></article>'
+    assert P.main_text(P.text_lines(page), None)[0] == "Buy nothing at all"
+    assert P.main_text(P.text_lines('<p class="hidden">kept <a hidden-x="1">too</a> <div class="is-hidden">seen</div>'), None)[0] == "kept too seen"
+
+
+def test_shared_container_inside_an_article_goes():
+    page = "<article><p>{0} text of its own and some</p><div><p>Follow us</p><p>Write to us</p></div><div><p>{0} more and more</p><p>Both say so</p></div></article>"
+    one, two = (P.text_lines(page.format(x)) for x in ("First", "Second"))
+    assert P.main_text(one, two)[0] == "First text of its own and some First more and more Both say so"
+    near = P.text_lines(page.format("First").replace("more", "mere"))
+    assert P.main_text(one, near)[0] == "First text of its own and some Follow us Write to us First more and more Both say so"  # a near copy is no evidence
+
+
+def plain_text(lines, other):
+    """main_text with the quadratic table of the alignment and the rules written out."""
+    a, b = [t for t, _, _ in lines], [t for t, _, _ in other]
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            size[i + 1][j + 1] = size[i][j] + 1 if a[i] == b[j] else max(size[i][j + 1], size[i + 1][j])
+    return size[-1][-1]
+
+
+def test_random_pages_against_a_quadratic_table():
+    rng = random.Random(11)
+    words = ["Menu", "Foot", "News", "One", "Two", "Three", "Four"]
+    def page():
+        out = []
+        for _ in range(rng.randint(0, 12)):
+            tag = rng.choice(["p", "div", "nav", "article", "section class=ad", "li", "h2 id=comments", "aside", "span"])
+            out.append(f"<{tag}>{rng.choice(words)} {rng.choice(words)}" + rng.choice(["", f"</{tag.split()[0]}>"]))
+        return "".join(out)
+    for _ in range(400):
+        lines, other = P.text_lines(page()), P.text_lines(page())
+        text, shared = P.main_text(lines, other)
+        assert shared == plain_text(lines, other)
+        assert set(text.split()) <= {w for t, z, _ in lines if z != 0 for w in t.split()}
+
+
+def test_clashing_names(spark):
+    names = "host path hx lines k own range other text n_chars paired_with place".split()
+    rows = [(1, "http://a.org/1", "<nav>N</nav><p>One</p>", *["x"] * len(names)), (2, "http://a.org/2", "<nav>N</nav><p>Two</p>", *["x"] * len(names))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted((r.page_id, r.text) for r in P.extract(df).collect()) == [(1, "One"), (2, "Two")]
+
+
 def test_ranges_lose_no_pair(spark):
     """Every page of a host has a neighbour wherever the ranges are cut."""
     rows = [(i, f"http://h{i % 30:02}.org/{i:03}", f"<div>Menu {i % 30}</div><p>Own {i}</p><div>Foot</div>") for i in range(60)]
