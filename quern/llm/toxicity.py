@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import collections
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,8 +41,9 @@ SAMPLE = 20_000  # labelled rows to fit on, at most
 WINDOW = 6  # words to each side
 #: Quotation marks, reporting words, stand-ins for letters.
 QUOTES = "\"“”„«»‹›'‘’`"
+DOUBLE = "\"“”„«»"
 REPORTING = frozenset("said says quote quoted quotes quoting wrote writes called term word words slur insult cited dit écrit cité sagte schrieb zitiert dijo escribió cita".split())
-STAND_IN = str.maketrans("013457@$!|8", "oleastasiib")
+STAND_IN = str.maketrans("013457@$!|8", "oieastasiib")
 FEATURES = ("exact", "disguised", "misspelt", "quoted", "exact_rate")
 ALTERED = ("misspelt", "disguised", "quoted", "half quoted")
 CROWD = 3  # clean words beside a term that take its edits away
@@ -161,11 +163,35 @@ def disguised(word: str) -> str:
     return word.translate(str.maketrans("oleasti", "0134571"))
 
 
+def same_line(word: str) -> str:
+    """``word`` with l as i: signs such as 1 stand for both."""
+    return word.replace("l", "i")
+
+
+def quotations(chunks: list[str]) -> set[int]:
+    """Chunks inside quotations of any length: from a double mark that opens to the next that closes.
+
+    A mark that is not closed opens nothing, and one that opens again begins anew.
+    Single marks are too often apostrophes; ``Counter.quoted`` looks for those in its window.
+    """
+    inside: set[int] = set()
+    start = None
+    for at, c in enumerate(chunks):
+        own = c.strip(".,;:!?()[]")
+        if own[:1] in DOUBLE and own[:1]:
+            start = at
+        if own[-1:] in DOUBLE and own[-1:] and start is not None and (at > start or len(own) > 1):
+            inside.update(range(start, at + 1))
+            start = None
+    return inside
+
+
 class Counter:
     """Hits of texts, with what a worker remembers of chunks."""
 
     def __init__(self, terms: list[tuple[str, bool, float]], ordinary: frozenset[str] = frozenset(), crowded: frozenset[str] = frozenset()):
         self.trie, self.ordinary = FuzzyTrie(terms, crowded), ordinary
+        self.folded = FuzzyTrie([(same_line(t), stem, o) for t, stem, o in terms])
         self.odds = [min(6.0, max(0.5, o)) for _, _, o in terms]
         self.memo: dict[str, tuple[int, float]] = {}
 
@@ -181,8 +207,9 @@ class Counter:
         if not word.isalpha() or any(a == b == c for a, b, c in zip(word, word[1:], word[2:])):
             plain = word.translate(STAND_IN)
             tight = "".join(c for i, c in enumerate(plain) if i == 0 or c != plain[i - 1])
-            for w in {plain, tight, "".join(filter(str.isalpha, plain))} - {word}:
-                found = self.trie.find(w)
+            for w in {plain, tight, "".join(filter(str.isalpha, plain))}:
+                # Where a sign may be l or i, both are; else the word itself must fit.
+                found = (self.folded.find(same_line(w)) if re.search("[1!|]", word) else self.trie.find(w)) if w != word else None
                 if w and found and found[1] == 0:
                     return 2, self.odds[found[0]]
         return (3, self.odds[hit[0]]) if hit and word not in self.ordinary else NONE
@@ -198,9 +225,11 @@ class Counter:
 
     def counts(self, chunks: list[str]) -> list[float]:
         count = [0.0, 0.0, 0.0, 0.0]
+        inside = None
         for at, k in enumerate(self.kinds(chunks)):
             if k is not NONE:
-                count[0 if self.quoted(chunks, at) else k[0]] += k[1]
+                inside = quotations(chunks) if inside is None else inside
+                count[0 if at in inside or self.quoted(chunks, at) else k[0]] += k[1]
         rate = 1000 * (count[1] + count[2]) / (len(chunks) + 50)
         return [math.log1p(count[1]), math.log1p(count[2]), math.log1p(count[3]), math.log1p(count[0]), math.log1p(rate)]
 
@@ -210,7 +239,9 @@ class Counter:
     def altered(self, text: str | None) -> list[list[float]]:
         """Features of the ``ALTERED`` copies of a text; none when it has no exact hit."""
         chunks = (text or "").split()
-        hits = [i for i, k in enumerate(self.kinds(chunks)) if k[0] == 1 and not self.quoted(chunks, i)]
+        hits = [i for i, k in enumerate(self.kinds(chunks)) if k[0] == 1]
+        inside = quotations(chunks) if hits else ()
+        hits = [i for i in hits if i not in inside and not self.quoted(chunks, i)]
         if not hits:
             return []
 
@@ -326,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
     toxic = sum(r[1] for r in got)
     if not 0 < toxic < len(got):
         return Model(terms, [0.0] * len(FEATURES), math.log((toxic + 0.5) / (len(got) - toxic + 0.5)) if got else -3.0, ordinary, crowded)
-    copies = [(x, 0 if kind == "quoted" else 1) for r in got for kind, x in zip(ALTERED, r[3])]
+    copies = [(x, 0 if kind == "quoted" else 1) for r in got for kind, x in zip(ALTERED, r[3]) if any(x)]  # one that shows no hit teaches nothing
     share = toxic / max(len(copies), 1)
     x = np.array([r[2] for r in got] + [c for c, _ in copies])
     target = np.array([r[1] for r in got] + [k for _, k in copies], float)

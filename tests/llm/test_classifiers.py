@@ -249,3 +249,43 @@ def test_reputation_shrinks_to_the_domain(spark):
     r = {x.host: x.alpha / (x.alpha + x.beta) for x in H.reputations(spark.createDataFrame(rows, "host string, good boolean")).collect()}
     assert r["a.bad.com"] < 0.1 and r["a.good.com"] > 0.9 and r["new.bad.com"] < r["new.good.com"] and r["none.bad.com"] < 0.2
     assert all(math.isfinite(v) for v in r.values())
+
+
+def test_both_readings_of_a_sign_and_long_quotations(spark):
+    rng = random.Random(21)
+    v, rows, labels = abusive_corpus(rng)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = X.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    c = X.Counter(model.terms, model.ordinary, model.crowded)
+    for word, seen in {"1d10t1c": 2, "w0rth1ess": 2, "path3t1c": 2, "m0ron1c": 2, "1111": 0, "3.14": 0}.items():
+        assert c.kind(word)[0] == seen, word
+    filler = lambda n: " ".join(rng.choices(v, k=n))
+    bad = "worthless pathetic disgusting idiotic moronic".split()
+
+    def text(kind):
+        words = filler(30).split()
+        for w in rng.sample(bad, 4):
+            at = rng.randrange(1, 29)
+            words.insert(at, {"misspelt": X.misspelt, "disguised": X.disguised}.get(kind, str)(w))
+        return f"{filler(20)} “{' '.join(words)}” {filler(20)}" if kind == "quoted" else " ".join(words)
+
+    cases = [(kind, text(kind)) for kind in ("plain", "misspelt", "disguised", "quoted") for _ in range(25)] + [("clean", filler(40)) for _ in range(25)]
+    bad_kinds = {"plain", "misspelt", "disguised"}
+
+    def rates(m):
+        test = spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id long, text string")
+        hit = {cases[r.doc_id][0] + str(r.doc_id) for r in X.score(test, m).where("score >= 0.7").collect()}
+        good = sum(any(h.startswith(k) for k in bad_kinds) for h in hit)
+        return good / max(len(hit), 1), good / 75
+
+    whole = rates(model)
+    assert whole[0] > 0.95 and whole[1] > 0.9
+    by_name = dict(zip(X.FEATURES, range(5)))
+    for name in ("misspelt",):  # the rate of hits counts disguised ones too
+        less = X.Model(model.terms, [0.0 if i == by_name[name] else w for i, w in enumerate(model.weights)], model.bias, model.ordinary, model.crowded)
+        assert rates(less)[1] < whole[1] - 0.1, name
+    assert all(c.features(t)[1] > 0 == c.features(t)[0] for k, t in cases if k == "disguised")
+    told = X.Counter(model.terms, model.ordinary, model.crowded)
+    told.quoted = lambda chunks, at: False
+    assert all(told.features(t)[0] == 0 for k, t in cases if k == "quoted")  # by the open quotation alone
+    assert X.quotations('a "b c" d "e f'.split()) == {1, 2} and X.quotations('he said "no" (“x y”).'.split()) == {2, 3, 4}
