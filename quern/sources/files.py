@@ -91,7 +91,7 @@ def _file_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
             try:
                 out.append((office_text(data, ext) if ext in ("docx", "pptx", "xlsx") else data.decode("utf-8", "replace"), None))
             except Exception as e:  # one bad file is a row with an error, not the end of the job
-                out.append((None, f"{type(e).__name__}: {e}"[:300]))
+                out.append((None, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(out, columns=["text", "error"])
 
 
