@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
 
 FENCE = r"(?s)```([A-Za-z0-9_+-]*)[ \t]*\n(.*?)```"
 #: Fence labels by the kind of output, words that point back.
@@ -20,6 +25,58 @@ def blocks(text: Column) -> Column:
     return F.when(rest == "", fenced).otherwise(F.concat(fenced, F.array(F.struct(kind.alias("kind"), F.lit("").alias("label"), rest.alias("body")))))
 
 
+#: Kinds of charts.
+CHARTS = frozenset(["bar", "line", "pie", "scatter", "area", "radar", "doughnut", "bubble"])
+_CHART = re.compile(r"chart\s*(?=\{)")
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]|"', re.S)
+
+
+def object_end(text: str, at: int) -> int | None:
+    """Where the JSON object that begins at ``at`` ends; braces within strings do not count.  None if it does not end."""
+    depth = 0
+    for m in _JSON_PART.finditer(text, at):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if m[0] == '"':
+            return None  # a string that is not closed
+        if not depth:
+            return m.end()
+    return None
+
+
+def is_chart(body: str) -> bool:
+    """A JSON object with type, title, labels and datasets of numbers."""
+    try:
+        x = json.loads(body)
+        data = x["data"]
+        sets = all(isinstance(d["label"], str) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in d["data"]) for d in data["datasets"])
+        return str(x["type"]).lower() in CHARTS and isinstance(x["title"], str) and all(isinstance(v, str) for v in data["labels"]) and sets
+    except (ValueError, KeyError, TypeError, RecursionError):
+        return False
+
+
+def _chart_spans(text: str | None) -> list[tuple]:
+    """(start, stop, kind, body) over the whole text, in order."""
+    text, out, at, seek = text or "", [], 0, 0
+    while m := _CHART.search(text, seek):
+        end = object_end(text, m.end())
+        if end is None or not is_chart(text[m.end() : end]):
+            seek = m.end()
+            continue
+        if at < m.start():
+            out.append((at, m.start(), "text", text[at : m.start()]))
+        out.append((m.start(), end, "chart", text[m.end() : end]))
+        at = seek = end
+    return out + [(at, len(text), "text", text[at:])] * (at < len(text))
+
+
+def loose_charts(text: Column) -> Column:
+    """array<struct<start,stop,kind,body>>: charts that stand in the text as ``chart {...}`` without a fence, and the text between them.
+
+    What only looks like a chart stays text.
+    """
+    return pandas_udf(lambda texts: pd.Series([_chart_spans(t) for t in texts]), "array<struct<start:int,stop:int,kind:string,body:string>>")(text)
+
+
 def artifacts(text: Column, lines: int = 5) -> Column:
     """Code blocks of more than ``lines`` lines."""
     return F.filter(blocks(text), lambda b: (b["kind"] == "code") & (F.size(F.split(b["body"], "\n")) > lines))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import nlq, text as T
+from ..functions import answers, nlq, text as T
 from ..config import EngineConfig
 from ..operators import chunking, rank
 from ..operators.lineage import spread
@@ -161,6 +161,21 @@ def c4_tables(spark, sf_dir):
     return chunking.section_chunks(tables.unionByName(forms), small).select("doc_id", "kind", "chunk_index", "text")
 
 
+_LOOSE = """'chart {"type": "bar", "title": "{' || conv_id || '", "data": {"labels": ["}", "b"], "datasets": [{"label": "n", "data": [' || turn || ', 2]}]}}'"""
+
+
+@query(f"""SELECT conv_id, turn, role, length({_LOOSE}) - 6 AS chart_chars, '{{' || conv_id AS title, turn::DOUBLE AS first_value, coalesce(length(text), 0) + 11 AS text_chars FROM conversations""")
+def f26_loose_charts(spark, sf_dir):
+    """turns that hold a chart without a fence, and a broken one that stays text."""
+    c = read(spark, sf_dir, "conversations")
+    chart = F.format_string('chart {"type": "bar", "title": "{%d", "data": {"labels": ["}", "b"], "datasets": [{"label": "n", "data": [%d, 2]}]}}', "conv_id", "turn")
+    spans = c.select("conv_id", "turn", "role", answers.loose_charts(F.concat(F.coalesce("text", F.lit("")), chart, F.lit(" chart {no}"))).alias("s"))
+    of = lambda kind: F.filter("s", lambda x: x["kind"] == kind)
+    body = F.get(of("chart"), F.lit(0))["body"]
+    texts = F.aggregate(of("text"), F.lit(0), lambda n, x: n + F.length(x["body"]))
+    return spans.select("conv_id", "turn", "role", F.length(body).alias("chart_chars"), F.get_json_object(body, "$.title").alias("title"), F.get_json_object(body, "$.data.datasets[0].data[0]").cast("double").alias("first_value"), texts.alias("text_chars"))
+
+
 @query()
 def f4_compress(spark, sf_dir):
     """The three best sentences of each hit for its benchmark item."""

@@ -209,3 +209,23 @@ def test_long_tables_take_linear_time(spark):
     assert all(len(a[1]) + len(b[1].removeprefix(head).split("\n")[0]) + 1 > 249 for a, b in zip(tables, tables[1:]))
     assert [(r.page, r.text) for r in got if r.doc_id == 2] == [(3, "k: v"), (3, "z: " + "é" * 300)]
     assert not [r for r in got if r.doc_id == 3]
+
+
+def test_loose_charts(spark):
+    from quern.functions import answers
+
+    good = '{"type": "Pie", "title": "a \\"}\\" {", "data": {"labels": [], "datasets": [{"label": "x", "data": [1, 2.5]}]}}'
+    cases = {
+        f"see chart {good} and chart{good}": ["text", "chart", "text", "chart"],
+        f"chart {good}": ["chart"],
+        "chart {": ["text"],
+        'chart {"type": "pie"} chart {"a": "}': ["text"],
+        f"chart {{ chart {good}": ["text", "chart"],
+        good.replace("Pie", "cake"): ["text"],
+        "": [],
+        None: [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.select("t", answers.loose_charts(F.col("t")).alias("s")).collect():
+        assert [x.kind for x in r.s] == cases[r.t], r.t
+        assert [(x.start, x.stop) for x in r.s] == list(zip([0, *(x.stop for x in r.s)], [x.stop for x in r.s]))
