@@ -39,7 +39,7 @@ def v4_bm25_fields(spark, sf_dir):
 
 
 _PHRASE = f"""
-    ask AS (SELECT item_id AS query_id, {_TOK.format('text')}[1:3] AS ph FROM benchmark),
+    ask AS (SELECT item_id AS query_id, {_TOK.format('text')} AS ph FROM benchmark),
     d AS MATERIALIZED (SELECT doc_id AS id, ws, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM (SELECT doc_id, {_TOK.format('text')} AS ws FROM documents)),
     st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM d),
     t AS (SELECT DISTINCT query_id, unnest(ph) AS term FROM ask),
@@ -52,8 +52,8 @@ _PHRASE = f"""
 
 @query("WITH" + _PHRASE)
 def v4_phrase_fallback(spark, sf_dir):
-    """V4: a query with a stray quotation mark does not parse and is searched as a phrase over the text."""
-    words = F.slice(fts.tokens(F.col("query")), 1, 3)
+    """V4: a query with a stray quotation mark does not parse and is searched as a phrase over the text; the whole item."""
+    words = fts.tokens(F.col("query"))
     q = _items(spark, sf_dir).select("query_id", F.concat(F.lit('"'), F.array_join(words, " ")).alias("query"))
     return fts.search(read(spark, sf_dir, "documents"), q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -167,7 +167,8 @@ def f12_rewrite(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     pick = lambda n: F.col("conv_id") % n + F.col("turn")
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    said = F.element_at(F.array(*map(F.lit, _FOLLOW)), (pick(97) % len(_FOLLOW) + 1).cast("int"))
+    lead = F.element_at(F.array(*map(F.lit, _FOLLOW)), (pick(97) % len(_FOLLOW) + 1).cast("int"))
+    said = F.when(pick(2) == 0, lead).when(pick(2) == 1, F.col("text")).otherwise(F.concat(lead, F.lit(" "), F.split("text", r"\.")[0]))  # a phrase, the turn, or both
     rows = c.select("conv_id", "turn", "role", said.alias("q"), F.when(pick(5) % 3 > 0, "Asha Rao").alias("entity"), F.when(pick(7) % 4 == 0, "report.pdf").alias("file"), F.when(pick(3) % 2 == 0, "payroll").alias("topic"), F.when(pick(11) % 2 == 0, F.array(*map(F.lit, ["tax", "rent", "loan", "fee"]))).otherwise(F.array().cast("array<string>")).alias("concepts"), F.lag("text").over(w).alias("last"))
     plain = answers.rewrite_in_context(*(F.col(n) for n in ("q", "entity", "file", "topic", "concepts", "last")))
     hooked = answers.rewrite_with(F.col("q"), F.concat_ws("\n", "last", "q"), lambda p: F.when(F.col("role") == "system", F.upper(p)), plain)

@@ -99,8 +99,9 @@ def f13_expansion(spark, sf_dir):
 
 @query()
 def f6_decompose(spark, sf_dir):
-    d = nlq.decompose(F.concat(F.col("q"), F.lit(" and what is the value of it")))
-    return _queries(spark, sf_dir).select("conv_id", "turn", d["strategy"].alias("strategy"), F.size(d["parts"]).alias("n"))
+    """the parts of each turn, whose sentences are asked in one breath."""
+    d = nlq.decompose(F.replace("q", F.lit(". "), F.lit(" and ")))
+    return _queries(spark, sf_dir).select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", F.col("d.strategy").alias("strategy"), F.posexplode("d.parts").alias("place", "part"))
 
 
 @query("SELECT doc_id, (strlen(text) + 3) // 4 AS tokens, length(text) AS chars, strlen(text) AS bytes FROM documents")
