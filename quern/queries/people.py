@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import activity as A, memory as M
+from ..operators.lineage import cut
+from ..streaming import working_set
 from ..tables import read
 from . import query
 
@@ -154,3 +156,21 @@ def l5_task_state(spark, sf_dir):
     last = F.last("entered", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return e.select("task", "event_id", F.when(F.col("done"), last).alias("completed_at"))
 
+
+@query("""WITH l AS (SELECT user_id AS owner, abs(hash_id) AS id, max(event_id) AS seq FROM (SELECT user_id, event_id, event_id * 7919 % 61 AS hash_id FROM events) GROUP BY ALL)
+    SELECT owner, id, seq FROM l QUALIFY row_number() OVER (PARTITION BY owner ORDER BY seq DESC) <= 8""")
+def x7_working_set(spark, sf_dir):
+    """What is left of each user's set of eight when every event adds or touches a memory; the operator of the stream, over a batch."""
+    e = read(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("long").alias("owner"), F.col("event_id").alias("seq"), F.lit("add").alias("op"), (F.col("event_id") * 7919 % 61).alias("id"), F.lit(1.0).alias("importance"), F.lit(1).cast("long").alias("bytes"), F.col("ts").cast("timestamp").alias("ts"))
+    spark.streams.active  # starts what coordinates state stores, which a batch does not
+    kept = {k: spark.conf.get(k) for k in working_set.needs}
+    try:
+        for k, v in working_set.needs.items():
+            spark.conf.set(k, v)
+        events = cut(working_set.working_set(rows, "recency", 8))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    last = events.groupBy("owner", "id").agg(F.max_by("event", "seq").alias("event"), F.max("seq").alias("seq"))
+    return last.where("event = 'added'").select("owner", "id", "seq")
