@@ -116,6 +116,13 @@ def latest_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("x")).select(*key, *(F.col(f"x.{n}") for n in names))
 
 
+def chat_list(chats: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` of chats (conv_id, pinned, updated_at) with their place: pinned first, then the latest."""
+    order = [F.desc("pinned"), F.desc("updated_at"), F.col("conv_id")]
+    first = chats.orderBy(*order).limit(most)  # a report of bounded size, so one window over it is small
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def expired_snapshots(snapshots: DataFrame, now: Column, days: int = 30, keep: int = 7) -> DataFrame:
     """Older than ``days``, or automatic in a space that has more than ``keep``."""
     n = F.count(F.lit(1)).over(Window.partitionBy("space_id"))

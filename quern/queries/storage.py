@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import governance as G, store
+from ..operators import governance as G, store, snapshots
+from ..operators.lineage import shared_folder
 from ..tables import chunks, read, with_views
 from . import query
 from .curation import found_hits
@@ -202,6 +205,27 @@ def l4_latest_wins(spark, sf_dir):
     return store.latest_wins(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
 
 
+@query("SELECT doc_id AS id, lang AS space_id, n_chars FROM documents WHERE lang = 'de' OR doc_id % 2 = 0")
+def s32_restore(spark, sf_dir):
+    """A space is snapshot, then half of all chunks go and the space is changed, then it is restored; the others stay as they were changed."""
+    kept, shots = store.VersionedStore(spark, shared_folder(spark, "space")), snapshots.Snapshots(spark, shared_folder(spark, "snapshots"))
+    kept.write(chunks(spark, sf_dir).select("id", "space_id", "n_chars"))
+    name = shots.create(kept.read(), "de", datetime(2024, 1, 1), "before_change")
+    kept.write(kept.read().where("id % 2 = 0").withColumn("n_chars", F.when(F.col("space_id") == "de", -1).otherwise(F.col("n_chars"))))
+    shots.restore(name, kept)
+    return kept.read()
+
+
+@query("""WITH c AS (SELECT conv_id, max(turn) AS turns, conv_id % 7 = 0 AS pinned, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (conv_id * 7919 % 1009) AS updated_at FROM conversations GROUP BY conv_id)
+    SELECT *, row_number() OVER (ORDER BY pinned DESC, updated_at DESC, conv_id) AS place FROM c QUALIFY place <= 50""")
+def l4_chat_list(spark, sf_dir):
+    """L4: the first 50 conversations, pinned ones first, then the latest (a top-k report)."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"))
+    hours = F.make_interval(hours=(F.col("conv_id") * 7919 % 1009).cast("int"))
+    c = c.withColumns({"pinned": F.col("conv_id") % 7 == 0, "updated_at": F.lit("2024-01-01 00:00:00").cast("timestamp") + hours})
+    return store.chat_list(c, 50)
+
+
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS markdown, count(*) AS n FROM conversations GROUP BY conv_id")
 def s31_chat_export(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("x"), F.count(F.lit(1)).alias("n"))
