@@ -167,14 +167,21 @@ def strategy(intent_: Column) -> Column:
     return table[intent_]
 
 
+#: What asks for a filter.
+FILTERING = [">", "<", "where", "greater than", "less than"]
+
+
 def requirements(text: Column) -> Column:
-    """struct(year, bound, more, names): a year, a number after < or >, capitalised names."""
+    """struct(filtering, year, first_day, last_day, above, below, names): whether a filter is asked for, the first year and its days, the number after the first > and after the first <, capitalised names."""
+    year = F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    number = lambda sign: F.regexp_extract(text, rf"^[^{sign}]*{sign}\s*([0-9.]+)", 1).try_cast("double")
+    asked = F.lit(False)
+    for word in FILTERING:
+        asked = asked | text.contains(word)
     return F.struct(
-        F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1).try_cast("int").alias("year"),
-        F.regexp_extract(text, r"[<>]\s*(\d+(?:\.\d+)?)", 1).try_cast("double").alias("bound"),
-        (F.locate(">", text) > 0).alias("more"),
+        asked.alias("filtering"), year.alias("year"), F.make_date(year, F.lit(1), F.lit(1)).alias("first_day"), F.make_date(year, F.lit(12), F.lit(31)).alias("last_day"), number(">").alias("above"), number("<").alias("below"),
         F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0))).alias("names"),
-    )
+    )
 
 
 def keywords(text: Column) -> Column:

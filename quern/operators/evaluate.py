@@ -54,12 +54,12 @@ def citation_validity(cited: DataFrame, sources: DataFrame) -> DataFrame:
     """
     slash = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
     s = sources.select("query_id", slash(F.col("path")).alias("_source"), "ranges")
-    rows = cited.withColumn("_n", F.monotonically_increasing_id()).withColumn("_path", slash(F.col("path")))
+    rows = cited.groupBy(*cited.columns).agg(F.count(F.lit(1)).cast("int").alias("_n")).withColumn("_path", slash(F.col("path")))  # repeated citations are judged once
     fits = F.col("_source").endswith(F.col("_path")) | F.col("_path").endswith(F.col("_source"))
     inside = F.exists("ranges", lambda r: F.col("line").between(r["first"], r["last"]))
     both = rows.join(s, "query_id", "left").groupBy("_n", *cited.columns).agg(F.max(fits).alias("_file"), F.max(fits & inside).alias("_line"))
     reason = F.when(~F.coalesce("_file", F.lit(False)), "file").when(F.col("line").isNotNull() & ~F.coalesce("_line", F.lit(False)), "line")
-    return both.select(*cited.columns, reason.alias("reason"))
+    return both.withColumn("reason", reason).select(*cited.columns, "reason", F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_again")).drop("_again")
 
 
 def citation_confidence(checked: DataFrame) -> DataFrame:

@@ -61,11 +61,20 @@ def f7_intent(spark, sf_dir):
     return _queries(spark, sf_dir).select("conv_id", "turn", nlq.intent(q).alias("intent"), nlq.context_intent(q).alias("context"), nlq.should_retrieve(q).alias("retrieve"), nlq.route(q).alias("route"))
 
 
-@query(f"SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(q, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT) AS year, list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names FROM ({_Q_SQL})".replace("list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS names", "len(list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS names"))
+_TAILS = ["", " where total > 10.5", " amount <  99 and > 7", " greater than 3", " since 1998 < x", " less than 2.5.1 > 4.x"]
+_TAIL_SQL = "CASE (conv_id + turn) % 6 " + " ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_TAILS)) + " END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, q || {_TAIL_SQL} AS q FROM ({_Q_SQL})),
+    y AS (SELECT *, TRY_CAST(nullif(regexp_extract(q, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS INT) AS year FROM t)
+    SELECT conv_id, turn, contains(q, '>') OR contains(q, '<') OR contains(q, 'where') OR contains(q, 'greater than') OR contains(q, 'less than') AS filtering, year, make_date(year, 1, 1)::VARCHAR AS first_day, make_date(year, 12, 31)::VARCHAR AS last_day,
+        TRY_CAST(nullif(regexp_extract(q, '^[^>]*>\\s*([0-9.]+)', 1), '') AS DOUBLE) AS above, TRY_CAST(nullif(regexp_extract(q, '^[^<]*<\\s*([0-9.]+)', 1), '') AS DOUBLE) AS below,
+        array_to_string(list_sort(list_distinct(regexp_extract_all(q, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))), '|') AS names FROM y""")
 def f9_requirements(spark, sf_dir):
-    """F9, F10."""
-    r = nlq.requirements(F.col("q"))
-    return _queries(spark, sf_dir).select("conv_id", "turn", r["year"].alias("year"), F.size(r["names"]).cast("long").alias("names"))
+    """filters, years, bounds and names of each turn, some of which go on with a condition."""
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    r = _queries(spark, sf_dir).select("conv_id", "turn", nlq.requirements(F.concat("q", tail)).alias("r")).select("conv_id", "turn", "r.*")
+    return r.withColumns({"first_day": F.col("first_day").cast("string"), "last_day": F.col("last_day").cast("string"), "names": F.array_join(F.array_sort("names"), "|")})
 
 
 def _of_intent(field: int) -> str:
