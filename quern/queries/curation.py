@@ -115,13 +115,23 @@ def j6_similar_pairs(spark, sf_dir):
     return pairs.where("similarity > 0.3").select("query_id", "id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+def _greedy_sql(words: str, most: float) -> str:
+    """Hit after hit of a query and source, with the word sets of those kept so far."""
+    return f"""WITH RECURSIVE {_D.removeprefix("WITH ")}, w AS (SELECT query_id, id, score, source, list_distinct({words}) AS w, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS i FROM h),
+    k AS (SELECT query_id, id, score, source, i, true AS stays, [w] AS kept FROM w WHERE i = 1
+        UNION ALL SELECT n.query_id, n.id, n.score, n.source, n.i, n.stays, CASE WHEN n.stays THEN list_append(n.kept, n.w) ELSE n.kept END
+        FROM (SELECT w.*, k.kept, len(list_filter(k.kept, lambda o: CASE WHEN len(o) + len(w.w) = 0 THEN 1.0 ELSE len(list_intersect(o, w.w)) / (len(o) + len(w.w) - len(list_intersect(o, w.w))) END > {most})) = 0 AS stays
+              FROM k JOIN w ON w.query_id = k.query_id AND w.source = k.source AND w.i = k.i + 1) n)
+    SELECT query_id, id, score, source FROM k WHERE stays"""
+
+
+@query(_greedy_sql(r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')", 0.75))
 def d1_dedup_results(spark, sf_dir):
     """Greedy by score within query and source, word Jaccard above 0.75."""
     return rank.dedup_greedy(found_hits(spark, sf_dir), 0.75).select("query_id", "id", "score", "source")
 
 
-@query()
+@query(_greedy_sql(r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) > 2)", 0.60))
 def d2_dedup_content(spark, sf_dir):
     """As D1 on lower-cased words over 2 bytes, above 0.60."""
     return rank.dedup_greedy(found_hits(spark, sf_dir), 0.60, lower=True).select("query_id", "id", "score", "source")
