@@ -51,6 +51,7 @@ SYNONYMS = [
     ("father", "parent dad"), ("mother", "parent mom"), ("children", "kids dependents"), ("employer", "company organization firm"), ("designation", "position title role job"), ("qualification", "education degree"), ("experience", "work history employment"),
 ]
 
+#: Rules in order of precedence, with the words and numbers inside them.
 INTENTS = [
     ("Greeting", [("words_at_most", 5), ("any", GREETING)]),
     ("SimpleAcknowledgment", [("words_at_most", 3), ("starts", ACKNOWLEDGEMENT)]),
@@ -79,12 +80,14 @@ INTENTS = [
     ("GeneralKnowledge", [("none", ["you"]), ("starts", DEFINITION)]),
     ("FactualLookup", [("words_over", 3)]),
 ]
+#: Rules in order of precedence, with the words and numbers inside them.
 CONTEXTS = [
     ("Greeting", [("words_at_most", 5), ("any", CONTEXT_GREETING)]),
     ("SimpleQuestion", [("words_at_most", 10), ("any", SIMPLE)]),
     ("SystemQuery", [("any", SYSTEM)]),
     ("CodeAnalysis", [("any", CODE)]),
 ]
+#: Rules in order of precedence, with the words and numbers inside them.
 RETRIEVAL = [
     ("false", [("words_at_most", 2), ("equals", NO_RETRIEVE)]),
     ("false", [("words_at_most", 2), ("starts", [f"{w} " for w in NO_RETRIEVE])]),
@@ -92,6 +95,7 @@ RETRIEVAL = [
     ("true", [("any", RETRIEVE)]),
     ("true", [("words_over", 3)]),
 ]
+#: Rules in order of precedence, with the words and numbers inside them.
 ROUTES = [
     ("agent", [("none", AGENT_RUN), ("any", AGENT_CREATE)]),
     ("code", [("any", CODE_VERBS), ("any", CODE_NOUNS)]),
