@@ -31,6 +31,8 @@ from .vector import matrix, query_blocks
 
 Batches = Iterator[pa.RecordBatch]
 SAMPLE, ROUNDS, WORDS = 10_000, 8, 256
+#: Queries whose look-up tables a task holds at a time.
+TABLES = 128
 SLACK = 1e-6  # more than rounding of the estimate can lose
 
 
@@ -128,32 +130,34 @@ class IvfPq:
 
         def against(names: pa.Array, q: np.ndarray) -> DataFrame:
             q = q if q.shape[1] == book.centroids.shape[1] else np.zeros((len(q), book.centroids.shape[1]))
-            sent = self.spark.sparkContext.broadcast((names, q @ book.centroids.T, book.tables(q), np.linalg.norm(q, axis=1)))
+            sent = self.spark.sparkContext.broadcast((names, q, book))
 
             def run(batches: Batches) -> Batches:
-                names, base, tables, size = sent.value
-                parts = np.arange(tables.shape[1])
-                least = np.full(len(base), 0.0)  # scores are not below 0
-                held = [np.empty(0) for _ in base]
+                names, all_q, book = sent.value
+                parts = np.arange(len(book.words))
+                all_least = np.full(len(all_q), 0.0)  # scores are not below 0
+                all_held = [np.empty(0) for _ in all_q]
                 for b in batches:
                     own, off = b.column(0).to_numpy(), b.column(3).to_numpy()
                     code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                    widest = np.zeros(base.shape[1])
                     at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                     bounds = np.append(at, len(own))
-                    for i, j in zip(bounds[:-1], bounds[1:]):
+                    for start in range(0, len(all_q), TABLES):  # look-up tables are much wider than queries, so few are held at a time
+                        q, least, held = all_q[start : start + TABLES], all_least[start : start + TABLES], all_held[start : start + TABLES]
+                        tables, base, size = book.tables(q), q @ book.centroids[own[at]].T, np.linalg.norm(q, axis=1)
                         # A code's reach is the length of its words' best case; the list is left if even that is too little.
-                        reach = tables[:, parts, :].max(2).sum(1)
-                        widest[own[i]] = off[i:j].max()
-                        for n in np.flatnonzero(base[:, own[i]] + reach + widest[own[i]] * size >= least - SLACK):
-                            about = base[n, own[i]] + tables[n, parts, code[i:j]].sum(1)
-                            low, high = np.maximum(about - off[i:j] * size[n], 0), np.maximum(about + off[i:j] * size[n], 0)
-                            held[n] = np.sort(np.append(held[n], low))[-k:]
-                            if len(held[n]) == k:
-                                least[n] = max(least[n], held[n][0])
-                            keep = np.flatnonzero(high >= least[n] - SLACK)
-                            if len(keep):
-                                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(keep), n))), b.column(1).take(pa.array(keep + i)), pa.array(own[i:j][keep]), pa.array(about[keep]), pa.array(low[keep]), pa.array(high[keep])], ["query_id", "id", "list_id", "about", "low", "high"])
+                        reach = tables.max(2).sum(1)
+                        for place, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
+                            for n in np.flatnonzero(base[:, place] + reach + off[i:j].max() * size >= least - SLACK):
+                                about = base[n, place] + tables[n, parts, code[i:j]].sum(1)
+                                low, high = np.maximum(about - off[i:j] * size[n], 0), np.maximum(about + off[i:j] * size[n], 0)
+                                held[n] = np.sort(np.append(held[n], low))[-k:]
+                                if len(held[n]) == k:
+                                    least[n] = max(least[n], held[n][0])
+                                keep = np.flatnonzero(high >= least[n] - SLACK)
+                                if len(keep):
+                                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(keep), start + n))), b.column(1).take(pa.array(keep + i)), pa.array(own[i:j][keep]), pa.array(about[keep]), pa.array(low[keep]), pa.array(high[keep])], ["query_id", "id", "list_id", "about", "low", "high"])
+                        all_held[start : start + TABLES] = held
 
             return codes.mapInArrow(run, f"query_id {query_kind}, id {kind}, list_id int, about double, low double, high double")
 

@@ -39,3 +39,17 @@ def test_several_blocks_of_queries(spark):
     queries = vectors.withColumnsRenamed({"vec_id": "query_id", "embedding": "vector"})
     one = sorted(map(tuple, vector.knn_batch(vectors, queries, 3).collect()))
     assert sorted(map(tuple, vector.knn_batch(vectors, queries, 3, block_bytes=500).collect())) == one
+
+
+def test_tables_of_few_queries_are_held(spark, tmp_path, monkeypatch):
+    """Look-up tables are made for some queries at a time, in the task; what is broadcast grows with the queries' vectors only."""
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.where("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    index = ivfpq.IvfPq(spark, f"file://{tmp_path}/i").build(vectors, lists=5, sample=100)
+    want = sorted((r.query_id, r["rank"], r.id) for r in vector.knn_batch(vectors, queries, 4).collect())
+    monkeypatch.setattr(ivfpq, "TABLES", 7)
+    sent, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or real(self, x))
+    assert sorted((r.query_id, r["rank"], r.id) for r in index.search(queries, 4).collect()) == want
+    assert max(x.nbytes for row in sent for x in row if isinstance(x, np.ndarray)) == 100 * 6 * 8
