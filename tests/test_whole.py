@@ -35,3 +35,18 @@ def test_real_keys_and_turns(spark, sf_dir):
     first = QUERIES["f13_expansion"](spark, sf_dir).where("n = 0").collect()
     assert any(len(turns[r.conv_id, r.turn].split()) > 6 for r in first)
     assert all(" ".join(turns[r.conv_id, r.turn].split()).lower() in " ".join(r.variant.split()).lower() for r in first)
+
+
+def test_access_of_every_user_and_document(spark, sf_dir):
+    """Members and pairs of classes give the answer for all suppliers and all parts."""
+    got = QUERIES["p7_can_access"](spark, sf_dir).collect()
+    user, doc = ({r.id: r["class"] for r in got if r.kind == k} for k in ("user", "document"))
+    pair = {(r["class"], r.other): r.allowed for r in got if r.kind == "pair"}
+    users, docs = read(spark, sf_dir, "supplier").collect(), read(spark, sf_dir, "part").collect()
+    assert len(user) == len(users) and len(doc) == len(docs)
+    for u in users:
+        own = {None, f"Brand#{11 + u.s_suppkey % 3}", f"Brand#{21 + u.s_suppkey % 3}"}
+        for d in docs:
+            department = d.p_brand if d.p_size % 7 else None
+            want = d.p_size % 4 <= u.s_nationkey % 4 and (u.s_suppkey % 25 == 0 or department in own)
+            assert pair[user[u.s_suppkey], doc[d.p_partkey]] == want
