@@ -15,6 +15,8 @@ from ..config import EngineConfig
 #: Break points from the strongest, with the bytes that stay before the break.
 BREAKS = ((b"\n\n", 2), (b". ", 2), (b".\n", 2), (b"\n", 1), (b" ", 1))
 REACH = 200
+#: Rows that become Python objects at a time.
+PIECE = 200
 
 
 def _snap(data: bytes, at: int) -> int:
@@ -91,6 +93,13 @@ def packed_lines(lines: list[str], room: int) -> list[str]:
     return [*out, "\n".join(held)] if held else out
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``PIECE`` rows, so that a task holds few rows as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE):
+            yield b.slice(at, PIECE)
+
+
 def section_chunks(sections: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Chunks of (doc_id, kind, page, heading, content, fields, headers, rows).
 
@@ -108,7 +117,7 @@ def section_chunks(sections: DataFrame, config: EngineConfig = EngineConfig()) -
         return [head + g for g in packed_lines([row(r) for r in rows or [] if r is not None], config.chunk_size - len(head.encode()))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             own = [groups(*x) for x in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True)]
             at = pa.array(np.repeat(np.arange(len(own)), [len(g) for g in own]), pa.int64())
             texts = pa.array([t for g in own for t in g], pa.string())
@@ -119,5 +128,16 @@ def section_chunks(sections: DataFrame, config: EngineConfig = EngineConfig()) -
     lined = sections.where(F.col("kind").isin("form", "table")).select("doc_id", "kind", "page", "fields", "headers", "rows")
     shaped = lined.mapInArrow(pack, f"doc_id {kinds['doc_id']}, kind string, page {kinds['page']}, chunk_index int, text string")
     label = F.when(F.col("page").isNotNull(), F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(": "))).otherwise("")
-    plain = sections.where("kind = 'text'").select("doc_id", "kind", "page", F.explode(chunk_column(config)(F.col("content"))).alias("c")).select("doc_id", "kind", "page", "c.chunk_index", F.concat(label, "c.text").alias("text"))
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            data = [(t or "").encode() for t in b.column(3).to_pylist()]
+            own = [spans(x, config.chunk_size, config.chunk_overlap, config.min_chunk) for x in data]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
+            texts = pa.array([d[i:j].decode() for d, x in zip(data, own) for i, j in x], pa.string())
+            number = pa.array([i for x in own for i in range(len(x))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), number, texts], ["doc_id", "kind", "page", "chunk_index", "text"])
+
+    plain = sections.where("kind = 'text'").select("doc_id", "kind", "page", "content").mapInArrow(slide, f"doc_id {kinds['doc_id']}, kind string, page {kinds['page']}, chunk_index int, text string")
+    plain = plain.withColumn("text", F.concat(label, "text"))
     return shaped.unionByName(plain)

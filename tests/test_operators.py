@@ -247,3 +247,18 @@ def test_bm25_scores_where_documents_are_read(spark, monkeypatch):
         assert sorted(map(key, few.collect())) == sorted(map(key, fts.bm25(df, q, 7, title_col=title, broadcast_terms=0).collect()))
         plan = few._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan and "MapInArrow" in plan
+
+
+def test_section_chunks_take_few_rows_at_a_time(spark, monkeypatch):
+    """Texts, tables and forms become Python objects some rows at a time, with the same chunks."""
+    import pyarrow as pa
+
+    kind = "doc_id string, kind string, page int, content string, fields array<struct<k:string,v:string>>, headers array<string>, rows array<array<string>>"
+    rows = [(f"d{i}", "text", i % 3 or None, None if i == 4 else f"é{i} word. " * (20 * i), None, None, None) for i in range(40)]
+    rows += [(f"t{i}", "table", None, None, None, ["a"], [[str(j)] for j in range(i)]) for i in range(9)]
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    got = sorted((r.doc_id, r.chunk_index, r.text) for r in chunking.section_chunks(df).collect())
+    want = [(d, i, (f"Page {p}: " if p else "") + t.encode()[a:b].decode()) for d, k, p, t, *_ in rows if k == "text" for i, (a, b) in enumerate(chunking.spans((t or "").encode(), 1750, 200, 100))]
+    assert [x for x in got if x[0][0] == "d"] == sorted(want)
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    assert [b.num_rows for b in chunking.pieces([batch])] == [chunking.PIECE] * (1000 // chunking.PIECE)
