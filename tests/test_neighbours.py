@@ -29,3 +29,14 @@ def test_graph_recall_on_clusters_and_a_hub(spark):
     exact = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
     assert len(exact & {(r.src, r.dst) for r in got}) >= 0.9 * len(exact)
     assert all(abs(r.sim - s[r.src, r.dst]) < 1e-9 for r in got) and {r.src for r in got} == set(range(len(x)))
+
+
+def test_lists_widen_until_the_recall_is_reached(spark):
+    """Vectors without clusters, for which the first width is far too small."""
+    x = np.random.default_rng(4).normal(size=(400, 24))
+    s = (unit := x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T
+    np.fill_diagonal(s, -2)
+    exact = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r.src, r.dst) for r in neighbours.knn_graph(vectors, 5, width=5, reverse=3, rounds=2).collect()}
+    assert len(exact & got) >= 0.9 * len(exact) and len(got) == 5 * len(x)
