@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .lineage import cut
 
@@ -63,22 +65,45 @@ def next_in_group(rows: DataFrame, group: str, order: str, ahead: int, weight: f
     return ordered_neighbours(rows, group, order, order, ahead).select("src", "dst", F.lit(weight).alias("weight"))
 
 
-def similarity_edges(nodes: DataFrame, most: int = 3, least: float = 0.5) -> DataFrame:
-    """(src, dst, relation, weight) of documents (id, directory, kind, language, score); at most 2 + 2 ``most`` edges a document.
+def spans(rows: DataFrame, groups: list[str], value: Column, key: str, reach: Decimal) -> DataFrame:
+    """(key, place, first, last): each row's place in the order (groups, value, key), and those of the first and last of its group less than ``reach`` away.
 
-    ``category`` and ``language`` edges lead to a node of that name; ``same_directory``
-    edges to the next documents of the directory; ``semantic`` ones to the next
-    of the kind by score that lie elsewhere and are more similar than ``least``.
+    So every pair of near rows is known from one row each.  Keys are unique and values exact to nine
+    decimals; rows without a group or value are left out.  Rows and both ends of their spans are
+    range-partitioned and counted part by part, so one large group or value is spread over tasks.
+    """
+    at = [*(f"_g{i}" for i in range(len(groups))), "_v", "_t", "_k"]
+    v = value.cast("decimal(28,9)")
+    ends = F.array(*(F.struct(x.cast("decimal(38,9)").alias("v"), F.lit(t).alias("t")) for x, t in ((v + F.lit(reach), 0), (v, 1), (v - F.lit(reach), 2))))
+    named = rows.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col(key).alias("_k"), F.explode(ends).alias("_e"))
+    dealt = named.dropna(subset=at[: len(groups)]).where("_e.v IS NOT NULL").select(*at[: len(groups)], F.col("_e.v").alias("_v"), F.col("_e.t").alias("_t"), "_k")
+    dealt = cut(dealt.repartitionByRange(*at).sortWithinPartitions(*at).withColumn("_p", F.spark_partition_id()))
+    row = F.when(F.col("_t") == 1, 1).otherwise(0)
+    parts = dealt.groupBy("_p").agg(F.sum(row).alias("_n"))  # a row a partition
+    before = parts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("_p").orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt.withColumn("_n", F.sum(row).over(inside)).join(F.broadcast(before), "_p").withColumn("_n", F.col("_n") + F.col("_b"))
+    of = lambda t: F.max(F.when(F.col("_t") == t, F.col("_n")))
+    return counted.groupBy(F.col("_k").alias(key)).agg(of(1).alias("place"), (of(2) + 1).alias("first"), of(0).alias("last"))
+
+
+def similarity_edges(nodes: DataFrame, least: str = "0.5") -> DataFrame:
+    """All edges of documents (id, directory, kind, language, score), one row a document.
+
+    ``category`` (weight 0.8) and ``language`` (0.7) name nodes that the document leads to.  Every two
+    documents of a ``directory`` are linked (0.8), ``n_same_directory`` of them to this one.  Two of one ``kind``
+    in different directories (or none) whose similarity s = 1 - |difference of scores| is above ``least`` are linked (0.6 s):
+    those are the documents with a ``place`` from ``first`` to ``last`` outside this directory, ``n_semantic`` of them.
     """
     text = lambda c: F.col(c).cast("string")
-    hub = lambda name, of, w: nodes.where(F.col(of).isNotNull()).select(text("id").alias("src"), F.concat(F.lit(f"{name}-"), F.replace(text(of), F.lit(" "), F.lit("_"))).alias("dst"), F.lit("category" if name == "topic" else "language").alias("relation"), F.lit(w).alias("weight"))
-    near = ordered_neighbours(nodes, "directory", "id", "id", most).select(text("src").alias("src"), text("dst").alias("dst"), F.lit("same_directory").alias("relation"), F.lit(0.8).alias("weight"))
-    like = ordered_neighbours(nodes, "kind", "score", "id", most)
-    home = nodes.select("id", "directory")
-    like = like.join(home.withColumnsRenamed({"id": "src", "directory": "a"}), "src").join(home.withColumnsRenamed({"id": "dst", "directory": "b"}), "dst").where(~F.col("a").eqNullSafe(F.col("b")) | F.col("a").isNull())
-    s = 1 - F.abs(F.col("src_at") - F.col("dst_at"))
-    like = like.where(s > least).select(text("src").alias("src"), text("dst").alias("dst"), F.lit("semantic").alias("relation"), (0.6 * s).alias("weight"))
-    return hub("topic", "kind", 0.8).unionByName(hub("entity", "language", 0.7)).unionByName(near).unionByName(like)
+    node = lambda name, of: F.concat(F.lit(f"{name}-"), F.replace(text(of), F.lit(" "), F.lit("_")))
+    reach, width = 1 - Decimal(least), F.col("last") - F.col("first") + 1
+    home = spans(nodes, ["directory"], F.lit(0), "id", Decimal(1)).select("id", (width - 1).alias("n_same_directory"))
+    own = spans(nodes, ["kind", "directory"], F.col("score"), "id", reach).select("id", width.alias("_own"))
+    like = spans(nodes, ["kind"], F.col("score"), "id", reach)
+    rows = nodes.join(home, "id", "left").join(like, "id", "left").join(own, "id", "left")
+    semantic = F.coalesce(width - F.coalesce("_own", F.lit(1)), F.lit(0))
+    return rows.select("id", node("topic", "kind").alias("category"), node("entity", "language").alias("language"), "directory", F.coalesce("n_same_directory", F.lit(0)).alias("n_same_directory"), "kind", F.col("score").cast("double").alias("score"), "place", "first", "last", semantic.alias("n_semantic"))
 
 
 def levels(steps: DataFrame, needs: DataFrame) -> DataFrame:

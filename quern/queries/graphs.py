@@ -52,16 +52,16 @@ def g3_related_documents(spark, sf_dir):
     return G.related_documents(G.entities(c), e, e.where(_STARTS).select(F.col("src").alias("name")).distinct(), 2)
 
 
-@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS dir, s_suppkey % 3 AS kind, CASE s_suppkey % 5 WHEN 0 THEN 'C/C++' WHEN 1 THEN 'Go' END AS lang, s_acctbal / 10000 AS score FROM supplier),
-    o AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY id) AS d, row_number() OVER (PARTITION BY kind ORDER BY score, id) AS k FROM n)
-    SELECT id::VARCHAR AS src, 'topic-' || kind AS dst, 'category' AS relation, 0.8 AS weight FROM n UNION ALL SELECT id::VARCHAR, 'entity-' || lang, 'language', 0.7 FROM n WHERE lang IS NOT NULL
-    UNION ALL SELECT a.id::VARCHAR, b.id::VARCHAR, 'same_directory', 0.8 FROM o a JOIN o b ON a.dir = b.dir AND b.d - a.d BETWEEN 1 AND 3
-    UNION ALL SELECT a.id::VARCHAR, b.id::VARCHAR, 'semantic', round(0.6 * (1 - abs(a.score - b.score)), 6) FROM o a JOIN o b ON a.kind = b.kind AND b.k - a.k BETWEEN 1 AND 3 WHERE a.dir <> b.dir AND 1 - abs(a.score - b.score) > 0.5""")
+@query("""WITH n AS (SELECT s_suppkey AS id, s_nationkey AS directory, s_suppkey % 3 AS kind, CASE s_suppkey % 5 WHEN 0 THEN 'C/C++' WHEN 1 THEN 'Go' END AS lang, (s_acctbal::DECIMAL(15, 2) * 100)::BIGINT AS c FROM supplier),
+    o AS (SELECT *, row_number() OVER (ORDER BY kind, c, id) AS place, count(*) OVER (PARTITION BY directory) - 1 AS n_same_directory FROM n)
+    SELECT id, 'topic-' || kind AS category, 'entity-' || lang AS language, directory, n_same_directory, kind, c / 1000000 AS score, place, min(place) OVER w AS first, max(place) OVER w AS last, count(*) OVER w - count(*) OVER d AS n_semantic FROM o
+    WINDOW w AS (PARTITION BY kind ORDER BY c RANGE BETWEEN 499999 PRECEDING AND 499999 FOLLOWING), d AS (PARTITION BY kind, directory ORDER BY c RANGE BETWEEN 499999 PRECEDING AND 499999 FOLLOWING)""")
 def j7_edges(spark, sf_dir):
-    """Category, language, directory and similarity edges; a bounded number a document."""
+    """All category, language, directory and similarity (above 0.5) edges, as one row a document from which each pair follows."""
     key = F.col("s_suppkey")
-    n = read(spark, sf_dir, "supplier").select(key.alias("id"), F.col("s_nationkey").alias("directory"), (key % 3).alias("kind"), F.when(key % 5 == 0, "C/C++").when(key % 5 == 1, "Go").alias("language"), (F.col("s_acctbal") / 10000).cast("double").alias("score"))
-    return G.similarity_edges(n).withColumn("weight", F.round("weight", 6))
+    score = (F.col("s_acctbal").cast("decimal(15,2)") / 10000).cast("decimal(18,6)")
+    n = read(spark, sf_dir, "supplier").select(key.alias("id"), F.col("s_nationkey").alias("directory"), (key % 3).alias("kind"), F.when(key % 5 == 0, "C/C++").when(key % 5 == 1, "Go").alias("language"), score.alias("score"))
+    return G.similarity_edges(n)
 
 
 @query("SELECT count(*) AS nodes, true AS recall_reached, true AS degree_bounded FROM embeddings")

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import numpy as np
 
@@ -40,3 +41,21 @@ def test_lists_widen_until_the_recall_is_reached(spark):
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     got = {(r.src, r.dst) for r in neighbours.knn_graph(vectors, 5, width=5, reverse=3, rounds=2).collect()}
     assert len(exact & got) >= 0.9 * len(exact) and len(got) == 5 * len(x)
+
+
+def test_every_link_follows_from_one_row_a_document(spark):
+    """Ties, no directory, no kind, no score; far more documents of a directory or kind than once were linked."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice(["a", "a", "b", None]), rng.choice([None, "Go", "C C"]), Decimal(rng.randrange(20)) / 10 if i % 40 else None) for i in range(240)]
+    nodes = spark.createDataFrame(rows, "id long, directory int, kind string, language string, score decimal(18,6)").repartition(6)
+    got = {r.id: r for r in graph.similarity_edges(nodes).collect()}
+    assert len(got) == len(rows)
+    at = {r.place: r.id for r in got.values() if r.place}
+    for i, d, k, lang, s in rows:
+        r = got[i]
+        near = {j for j, e, l, _, t in rows if i != j and k is not None and k == l and (d is None or d != e) and None not in (s, t) and 1 - abs(s - t) > Decimal("0.5")}
+        told = {at[p] for p in range(r.first, r.last + 1)} if r.place else set()
+        assert {j for j in told if j != i and (d is None or got[j].directory != d)} == near and r.n_semantic == len(near)
+        assert r.n_same_directory == sum(i != j and d is not None and d == e for j, e, *_ in rows)
+        assert (r.category, r.language) == (k and f"topic-{k}", lang and f"entity-{lang.replace(' ', '_')}")
+    assert graph.similarity_edges(nodes.limit(0)).count() == 0
