@@ -11,8 +11,8 @@ vector and what its code stands for, so for a query q at length 1
 A search reads codes only, skips a list whose widest residual cannot reach a query's
 k-th lower bound, and keeps the vectors whose upper bound reaches it.  Only this
 short list meets its vectors.  With bounds on, the result is that of the exact search;
-with ``short`` it is cut to the best ``short`` by estimate, which is the usual
-approximate search.
+with ``short`` it is cut to the best ``short`` by estimate, in each batch and at last,
+which is the usual approximate search.
 
 Centroids and code words are fitted on at most ``sample`` vectors; every vector is
 indexed.  Vectors without length score 0 and are kept in list 0.
@@ -75,6 +75,10 @@ class Codebook:
             at += w.shape[1]
         return own, codes, np.linalg.norm(rest, axis=1)
 
+    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What lists and codes stand for."""
+        return self.centroids[own] + np.concatenate([np.zeros((len(own), 0)), *(w[codes[:, j]] for j, w in enumerate(self.words))], 1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(query, part, code word): inner products."""
         out, at = np.zeros((len(q), len(self.words), WORDS)), 0
@@ -126,6 +130,9 @@ class IvfPq:
         """(query_id, id, list_id): the vectors whose code does not rule them out."""
         book = Codebook.load(self.spark.read.parquet(f"{self.path}/book").first().book)
         codes = self.spark.read.parquet(f"{self.path}/codes")
+        cores = self.spark.sparkContext.defaultParallelism
+        if codes.rdd.getNumPartitions() < cores:  # small files share a split; what is moved is bounded by the cores, as in lineage.spread
+            codes = codes.repartitionByRange(cores, "list_id", "id").sortWithinPartitions("list_id", "id")
         kind, query_kind = codes.schema["id"].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
 
         def against(names: pa.Array, q: np.ndarray) -> DataFrame:
@@ -134,30 +141,36 @@ class IvfPq:
 
             def run(batches: Batches) -> Batches:
                 names, all_q, book = sent.value
-                parts = np.arange(len(book.words))
                 all_least = np.full(len(all_q), 0.0)  # scores are not below 0
-                all_held = [np.empty(0) for _ in all_q]
+                all_held = np.full((len(all_q), k), -1.0)
                 for b in batches:
+                    if not b.num_rows:
+                        continue
                     own, off = b.column(0).to_numpy(), b.column(3).to_numpy()
                     code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                     at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    bounds = np.append(at, len(own))
+                    sizes, widest, stands = np.diff(np.append(at, len(own))), np.maximum.reduceat(off, at), book.decode(own, code)
                     for start in range(0, len(all_q), TABLES):  # look-up tables are much wider than queries, so few are held at a time
                         q, least, held = all_q[start : start + TABLES], all_least[start : start + TABLES], all_held[start : start + TABLES]
-                        tables, base, size = book.tables(q), q @ book.centroids[own[at]].T, np.linalg.norm(q, axis=1)
+                        size = np.linalg.norm(q, axis=1)
                         # A code's reach is the length of its words' best case; the list is left if even that is too little.
-                        reach = tables.max(2).sum(1)
-                        for place, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
-                            for n in np.flatnonzero(base[:, place] + reach + off[i:j].max() * size >= least - SLACK):
-                                about = base[n, place] + tables[n, parts, code[i:j]].sum(1)
-                                low, high = np.maximum(about - off[i:j] * size[n], 0), np.maximum(about + off[i:j] * size[n], 0)
-                                held[n] = np.sort(np.append(held[n], low))[-k:]
-                                if len(held[n]) == k:
-                                    least[n] = max(least[n], held[n][0])
-                                keep = np.flatnonzero(high >= least[n] - SLACK)
-                                if len(keep):
-                                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(keep), start + n))), b.column(1).take(pa.array(keep + i)), pa.array(own[i:j][keep]), pa.array(about[keep]), pa.array(low[keep]), pa.array(high[keep])], ["query_id", "id", "list_id", "about", "low", "high"])
-                        all_held[start : start + TABLES] = held
+                        best = q @ book.centroids[own[at]].T + book.tables(q).max(2).sum(1)[:, None] + widest * size[:, None]
+                        rows = np.flatnonzero(np.repeat((best >= least[:, None] - SLACK).any(0), sizes))
+                        if not len(rows):
+                            continue
+                        about, slack = q @ stands[rows].T, size[:, None] * off[rows]  # what the look-ups sum to, as one product
+                        low, high = np.maximum(about - slack, 0), np.maximum(about + slack, 0)
+                        held[:] = np.partition(np.concatenate((held, low), 1), len(rows), axis=1)[:, len(rows) :]
+                        least[:] = np.maximum(least, held.min(1))
+                        keep = high >= least[:, None] - SLACK
+                        if short is not None and short < len(rows):  # the best by estimate, and those that give the k-th lower bound
+                            good = np.where(keep, about, -np.inf)
+                            few = good >= np.partition(good, len(rows) - short, axis=1)[:, len(rows) - short, None]
+                            keep &= few | (low >= least[:, None])
+                        who, which = np.nonzero(keep)
+                        if len(who):
+                            place = pa.array(rows[which])
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(who + start)), b.column(1).take(place), b.column(0).take(place), pa.array(about[keep]), pa.array(low[keep]), pa.array(high[keep])], ["query_id", "id", "list_id", "about", "low", "high"])
 
             return codes.mapInArrow(run, f"query_id {query_kind}, id {kind}, list_id int, about double, low double, high double")
 
@@ -169,11 +182,12 @@ class IvfPq:
             out = out.withColumn("r", F.row_number().over(by_about)).where(F.col("r") <= short)
         return out.select("query_id", "id", "list_id").distinct()  # rows that share an id come back with the join
 
-    def search(self, queries: DataFrame, k: int, query_col: str = "query_id", vec_col: str = "vector", short: int | None = None) -> DataFrame:
-        """(query_id, id, score, rank) of (query_id, vector)."""
+    def search(self, queries: DataFrame, k: int, query_col: str = "query_id", vec_col: str = "vector", short: int | None = None, near: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, score, rank) of (query_id, vector); ``near`` is their short list, where it is at hand."""
         from .vector import dot, l2_norm
 
-        near = self.short_list(queries.select(query_col, F.col(vec_col).alias("vector")), k, query_col, short)
+        if near is None:
+            near = self.short_list(queries.select(query_col, F.col(vec_col).alias("vector")), k, query_col, short)
         vectors = self.spark.read.parquet(f"{self.path}/vectors").select("list_id", "id", "v")
         asked = queries.select(F.col(query_col).alias("query_id"), F.col(vec_col).alias("qv"))
         both = near.join(vectors, ["list_id", "id"]).join(asked, "query_id")

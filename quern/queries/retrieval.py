@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import evaluate, fts, fusion, ivfpq, segments, vector
-from ..operators.lineage import shared_folder
+from ..operators.lineage import cut, shared_folder
 from ..tables import chunks, read
 from . import query
 
@@ -88,9 +88,10 @@ def v3_work(spark, sf_dir):
     e, q = read(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir)
     index = ivfpq.IvfPq(spark, shared_folder(spark, "ivfpq")).build(e)
     exact = vector.knn_batch(e, q, 10).select("query_id", "id", F.lit(1).alias("true"))
-    near = index.search(q, 10, short=60).select("query_id", "id", F.lit(1).alias("found"))
+    short = cut(index.short_list(q, 10, short=60))  # searched and counted
+    near = index.search(q, 10, near=short).select("query_id", "id", F.lit(1).alias("found"))
     recall = exact.join(near, ["query_id", "id"], "left").agg((F.count("found") / F.count("true")).alias("recall"))
-    some = index.short_list(q, 10, short=60).agg(F.count(F.lit(1)).alias("vectors"))
+    some = short.agg(F.count(F.lit(1)).alias("vectors"))
     size = e.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("vec_id") % 50 == 0).alias("n_queries"))
     one = recall.crossJoin(some).crossJoin(size)  # one row each
     return one.select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("vectors") < 0.2 * F.col("rows") * F.col("n_queries")).alias("few_vectors_read"))

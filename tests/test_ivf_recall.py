@@ -53,3 +53,16 @@ def test_tables_of_few_queries_are_held(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or real(self, x))
     assert sorted((r.query_id, r["rank"], r.id) for r in index.search(queries, 4).collect()) == want
     assert max(x.nbytes for row in sent for x in row if isinstance(x, np.ndarray)) == 100 * 6 * 8
+
+
+def test_short_list_is_made_once_from_decoded_vectors(spark, monkeypatch):
+    made, real = [], ivfpq.IvfPq.short_list
+    monkeypatch.setattr(ivfpq.IvfPq, "short_list", lambda self, *a, **b: made.append(1) or real(self, *a, **b))
+    row = QUERIES["v3_work"](spark, "/root/testdata/sf0.01").first()
+    assert row.n_queries == 10 and row.recall_reached and len(made) == 1
+    x = np.random.default_rng(5).normal(size=(50, 5))
+    book = ivfpq.Codebook.fit(x, 4, 2)
+    own, code, _ = book.code(x.copy())
+    tables = book.tables(x)
+    told = (x @ book.centroids.T)[:, own] + sum(tables[:, j, code[:, j]] for j in range(3))
+    assert np.allclose(x @ book.decode(own, code).T, told)
