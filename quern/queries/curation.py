@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import EngineConfig
 from ..operators import fts, rank
+from ..operators.lineage import few
 from ..tables import read
 from . import query
 from .retrieval import _BM25
@@ -92,12 +93,20 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '\\s+'), lambda w:
 _LOW = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) > 2))"
 
 
-def found_hits(spark, sf_dir):
-    """The best documents of every benchmark item by BM25, as many as the search takes for candidates."""
+def best_hits(spark, sf_dir):
+    """(query_id, id, score) of the best documents of every benchmark item by BM25, as many as the search takes for candidates; and the most rows they can be."""
     c = EngineConfig()
     d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    top = fts.bm25(d, b, c.top_k * c.candidate_factor).select("query_id", "id", F.round("score", 6).alias("score"))
-    return top.join(d.select(F.col("doc_id").alias("id"), "source", "text"), "id").join(b, "query_id").select("query_id", "id", "score", "source", "text", "query")
+    k = c.top_k * c.candidate_factor
+    return fts.bm25(d, b, k).select("query_id", "id", F.round("score", 6).alias("score")), b.count() * k
+
+
+def found_hits(spark, sf_dir):
+    """The best hits with the source and text of the document and the query; while they are few, no text but theirs leaves the scan."""
+    top, most = best_hits(spark, sf_dir)
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = few(top, most, EngineConfig.broadcast_rows).join(d.select(F.col("doc_id").alias("id"), "source", "text"), "id")
+    return hits.join(b, "query_id").select("query_id", "id", "score", "source", "text", "query")
 
 
 #: The same hits for DuckDB.
