@@ -10,7 +10,7 @@ from ..operators.lineage import shared_folder
 from ..plans import search
 from ..tables import chunks, read, search_events, with_views
 from . import ORACLE_SQL, query
-from .curation import found_hits
+from .curation import best_hits
 from .retrieval import _BM25, _TOK
 from .texts import _Q_SQL, _queries, _quote
 
@@ -134,7 +134,7 @@ def j13_citations(spark, sf_dir):
 @query("WITH" + _BM25 + " SELECT item_id AS query_id, text AS query, 'global' AS space_id, count(id) AS result_count FROM benchmark LEFT JOIN fts ON query_id = item_id GROUP BY ALL")
 def l9_search_history(spark, sf_dir):
     """Searches appended to the history with their number of results."""
-    found = found_hits(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    found = best_hits(spark, sf_dir)[0].groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return _items(spark, sf_dir).join(found, "query_id", "left").select("query_id", "query", F.lit("global").alias("space_id"), F.coalesce("n", F.lit(0)).alias("result_count"))
 
 
