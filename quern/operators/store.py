@@ -8,7 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..config import EngineConfig
 from .commits import CommitLog
+from .lineage import few
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,16 @@ def by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def neighbours(chunks: DataFrame, hits: DataFrame, width: int = 1) -> DataFrame:
+def neighbours(chunks: DataFrame, hits: DataFrame, width: int = 1, most_hits: int | None = None) -> DataFrame:
     """Each hit's text with the texts before and after it in its document.
 
-    The range join is an equi-join: a hit asks for 2 x width + 1 positions.
+    The range join is an equi-join: a hit asks for 2 x width + 1 positions.  Where
+    the hits are known to be at most ``most_hits`` and that is few, the positions
+    are broadcast and no text is shuffled before it is asked for.
     """
     ask = hits.select("query_id", F.col("id").alias("hit"), "doc_id", F.explode(F.sequence(F.greatest(F.col("chunk_index") - width, F.lit(0)), F.col("chunk_index") + width)).alias("chunk_index"))
+    if most_hits is not None:
+        ask = few(ask, most_hits * (2 * width + 1), EngineConfig.broadcast_rows)
     found = ask.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
     return found.groupBy("query_id", F.col("hit").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
