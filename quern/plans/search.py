@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import EngineConfig
 from ..functions import nlq
 from ..operators import fts, fusion, rank, vector
+from ..operators.lineage import few
 from ..operators.store import MetadataFilter
 from ..tables import chunks, read
 
@@ -41,9 +42,10 @@ def hybrid(
     text = fts.bm25(docs, items, n, id_col="id", title_col="title" if title else None).select("query_id", "id", F.round("score", 6).alias("score"))
     fused = fusion.score_aware_rrf(near, text, config.rrf_k, n, config.score_weight)
     fused = rank.above(fused, config.min_score).drop("rank")
-    hits = fused.join(docs.select("id", "source"), "id")
+    most = items.count() * n  # hits of all queries
+    hits = few(fused, most, config.broadcast_rows).join(docs.select("id", "source"), "id")
     if reranker is not None:
-        wide = hits.join(docs.select("id", "text"), "id").join(items, "query_id")
+        wide = few(hits, most, config.broadcast_rows).join(docs.select("id", "text"), "id").join(items, "query_id")
         hits = rank.rerank(wide, reranker, n).drop("rank", "text", "query")
     spread = rank.diversify(hits, config.diversity)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")

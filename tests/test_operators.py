@@ -249,6 +249,45 @@ def test_bm25_scores_where_documents_are_read(spark, monkeypatch):
         assert "Aggregate" not in plan and "MapInArrow" in plan
 
 
+def test_bm25_reads_the_documents_twice(spark):
+    """Once for the terms' frequencies and the lengths, once for the scores."""
+    from quern.operators import fts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 7}") for i in range(40)], "doc_id long, raw string").withColumn("text", told.asNondeterministic()("raw"))
+    q = spark.createDataFrame([(1, "w1 w5"), (2, "w2")], "query_id int, query string")
+    assert len(fts.bm25(docs, q, 3).collect()) == 6
+    assert seen.value == 2 * 40
+
+
+def test_texts_are_not_shuffled_to_meet_few_hits(spark, sf_dir):
+    """Hits of a counted set of queries are broadcast, so no document leaves its scan but those hit; more hits are joined."""
+    from quern.config import EngineConfig
+    from quern.operators import lineage
+    from quern.plans import search
+    from quern.queries import QUERIES
+    from quern.queries.curation import found_hits
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {f.__name__: f(spark, sf_dir)._jdf.queryExecution().executedPlan().toString() for f in (found_hits, QUERIES["v14_content_boost"], QUERIES["j5_neighbours"], search.hybrid)}
+        counted = QUERIES["l9_search_history"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name, plan in plans.items():
+        assert "hashpartitioning(id#" not in plan and "hashpartitioning(doc_id#" not in plan, name
+        assert "BroadcastHashJoin" in plan, name
+    assert counted.count("Join") == 1  # hits are counted without their documents
+    few = lineage.few(spark.range(3), 3, EngineConfig.broadcast_rows)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in few and "broadcast" not in lineage.few(spark.range(3), 3, 2)._jdf.queryExecution().logical().toString()
+
+
 def test_section_chunks_take_few_rows_at_a_time(spark, monkeypatch):
     """Texts, tables and forms become Python objects some rows at a time, with the same chunks."""
     import pyarrow as pa
