@@ -75,3 +75,40 @@ def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/e"
     T.write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH, path)
     assert T.read_tokens(spark, path).count() == 0
+
+
+def encoded(enc, texts):
+    """Numbers of the parts of ``texts``, and the library's ids."""
+    import pyarrow as pa
+
+    tok = Tokenizer.from_file(PATH)
+    want = [i for t in texts for i in [*tok.encode(t, add_special_tokens=False).ids, 0]]
+    return enc.parts(pa.array(texts))[0], want
+
+
+def test_a_recurring_part_is_one_symbol():
+    texts = [f"unbelievableness {i}, antidisestablishment.\nUnforeseeably x" if i % 9 else f"a <|endoftext|> {i}  b" for i in range(400)]
+    texts += [" ".join(["incomprehensibilities"] * 5 + [f"q{i}zzx, q{i}zzx."]) for i in range(400)]
+    enc = T.Ids(PATH, 0)
+    parts, want = encoded(enc, texts)
+    phrases, symbols = T.Phrases.of(parts, enc.flat, enc.lens)
+    assert len(phrases.flat) + len(symbols) < 0.8 * len(want)
+    assert phrases.ids(symbols).tolist() == want
+    assert T.unpack(T.pack([1], [len(want)], symbols, phrases))[2].tolist() == want
+
+
+def test_parts_stay_known_from_task_to_task(monkeypatch):
+    monkeypatch.setattr(T.Ids, "MEMO", 100)
+    enc, held, want = T.Ids(PATH, 0), [], []
+    assert T.ids_of(PATH, 0) is T.ids_of(PATH, 0)
+    for k in range(6):  # what a record still holds outlives what is forgotten
+        held = enc.tidy(held)
+        parts, ids = encoded(enc, [f"common word{k}x{i}, other{i}." for i in range(60)])
+        held.append(parts)
+        want += ids
+        if k == 3:
+            held, want = [], []
+    parts = np.concatenate(held)
+    assert T._runs(enc.flat, (np.cumsum(enc.lens) - enc.lens)[parts], enc.lens[parts]).tolist() == want
+    enc.tidy([])
+    assert len(enc.lens) <= 200
