@@ -43,11 +43,11 @@ from .common import shared_folder
 MAGIC = b"TIDCM3"
 BLOCK = 1024
 SLOTS = 128  # order-2 contexts of a block, by hash
-RECORD_IDS = 3_000_000  # a record closes with the document that reaches this
+RECORD_IDS = 4_000_000  # a record closes with the document that reaches this
 PAIR_MIN = 3
-PHRASE_MIN = 8
+PHRASE_MIN = 4
 MOST_PHRASES = 1 << 17
-CHUNK = 4_000_000  # bytes of text that are split together
+CHUNK = 16_000_000  # bytes of text that are split together
 MOST_IDS = 1 << 19
 ODDS, RATE = 12, 5  # bits of the odds between orders; how slowly the odds adapt
 _LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -455,14 +455,14 @@ class Ids:
     no other text shares; number 0 is the end id, then come ``marks``.
     """
 
-    MEMO = 400_000
+    MEMO = 800_000
     GROUP = 64  # parts given to the library as one text
 
     def __init__(self, path: str, end_id: int):
         import regex
 
         self.t = tokenizer(path)
-        self.numbers: dict[str, int] = {}  # of parts without their space; -1: white space follows it
+        self.names, self.numbers = pa.array([], pa.string()), np.empty(0, np.int64)  # of parts without their space; -1: white space follows it
         self.flat, self.lens, self.seen = np.array([end_id], np.int64), np.array([1], np.int64), np.array([0], np.int64)
         self.most = self.MEMO
         self.memo: dict[str, bytes] = {}
@@ -474,11 +474,11 @@ class Ids:
         self.opens[[i for x, i in tokens.items() if x.startswith("\u0120")]] = True
         marks = self.by_pieces([",", "."])
         self.marks = dict(zip(",.", self.add(marks, np.array([len(x) for x in marks])).tolist(), strict=True))
-        self.plain = frozenset(string.ascii_letters + string.digits)
+        self.plain = np.isin(np.arange(256), list((string.ascii_letters + string.digits).encode()))
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces.difference(self.memo))
-        if len(self.memo) > self.MEMO:
+        if len(self.memo) > self.MEMO // 4:
             self.memo.clear()
             new = list(pieces)
         for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -499,51 +499,71 @@ class Ids:
         self.seen = np.concatenate([self.seen, np.zeros(len(lens), np.int64)])
         return np.arange(first, len(self.lens))
 
-    def learn_parts(self, new: list[str]) -> None:
-        self.numbers.update(dict.fromkeys([c for c in new if not c or c[0].isspace()], -1))
-        new = [c for c in new if c and not c[0].isspace()]
+    def learn_parts(self, new: pa.Array) -> np.ndarray:
+        """Numbers for distinct parts that have none."""
+        size = pc.binary_length(new).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"\0\0" + pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), "")[0].as_buffer().to_pybytes(), np.uint8)
+        stops = np.cumsum(size) + 2
+        # White space begins with one of these bytes, and so do some letters.
+        bad = (size == 0) | np.isin(np.append(data, 0)[stops - size], [*range(33), 0xC2, 0xE1, 0xE2, 0xE3])
+        for i in np.flatnonzero(bad & (size > 0)).tolist():
+            bad[i] = new[i].as_py()[0].isspace()
         # A comma or full stop that ends a part is a piece of its own.
-        marked = [c for c in new if c[-1] in self.marks and c[-2:-1] in self.plain]
-        stems = [c[:-1] for c in marked]
-        spaced = list(dict.fromkeys([*(c for c in new if not (c[-1] in self.marks and c[-2:-1] in self.plain)), *(c for c in stems if c not in self.numbers)]))
-        groups = [spaced[i : i + self.GROUP] for i in range(0, len(spaced), self.GROUP)]
+        marked = ~bad & (size > 1) & np.isin(data[stops - 1], list(b",.")) & self.plain[data[stops - 2]]
+        rest, ends = np.flatnonzero(~bad & ~marked), np.flatnonzero(marked)
+        comma = data[stops[ends] - 1] == ord(",")
+        stems = pc.utf8_slice_codeunits(new.take(pa.array(ends)), 0, -1).dictionary_encode()
+        of_stem = np.full(len(stems.dictionary), -2)
+        found = pc.fill_null(pc.index_in(self.names, value_set=stems.dictionary), -1).to_numpy()
+        of_stem[found[found >= 0]] = self.numbers[found >= 0]
+        spaced = pa.concat_arrays([new.take(pa.array(rest)), stems.dictionary.filter(pa.array(of_stem == -2))]).dictionary_encode()
+        place, spaced = spaced.indices.to_numpy(), spaced.dictionary
+        stops = np.minimum(np.arange(0, len(spaced) + self.GROUP, self.GROUP), len(spaced)).astype(np.int32)
+        groups = pa.ListArray.from_arrays(stops, spaced)
         found, size = array("I"), []
-        for e in self.t.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False):
+        for e in self.t.encode_batch_fast([" " + g for g in pc.binary_join(groups, " ").to_pylist()], add_special_tokens=False):
             found.extend(e.ids)
             size.append(len(found))
         ids = np.array(found, np.int64)
         at = np.flatnonzero(self.opens[ids])  # each part has its own space and no other
-        stops = np.array([0, *size])
-        good = np.diff(np.searchsorted(at, stops)) == [len(g) for g in groups]
+        stops, n = np.array([0, *size]), np.diff(stops)
+        good = np.diff(np.searchsorted(at, stops)) == n
         if good.all():
             flat, lens = [ids], np.diff(at, append=len(ids))
         else:
-            flat, size = [], []
+            flat, lens = [], []
             for g, i, j, ok in zip(groups, stops.tolist(), stops[1:].tolist(), good.tolist(), strict=True):
-                flat.extend([ids[i:j]] if ok else self.by_pieces([" " + c for c in g]))
-                own = at[(at >= i) & (at < j)] if ok else None
-                size.append(np.diff(own, append=j) if ok else np.array([len(x) for x in flat[-len(g) :]]))
-            lens = np.concatenate(size)
-        self.numbers.update(zip(spaced, self.add(flat, lens).tolist(), strict=True))
-        if marked:
-            runs = np.empty((len(marked), 2), np.int64)
-            runs[:, 0] = [self.numbers[c] for c in stems]
-            runs[:, 1] = [self.marks[c[-1]] for c in marked]
-            lens = self.lens[runs]
-            starts = (np.cumsum(self.lens) - self.lens)[runs]
-            self.numbers.update(zip(marked, self.add([_runs(self.flat, starts.ravel(), lens.ravel())], lens.sum(1)).tolist(), strict=True))
+                if ok:
+                    flat.append(ids[i:j])
+                    lens.append(np.diff(at[slice(*np.searchsorted(at, [i, j]))], append=j))
+                else:
+                    apart = self.by_pieces([" " + c for c in g.as_py()])
+                    flat.extend(apart)
+                    lens.append(np.array([len(x) for x in apart]))
+            lens = np.concatenate(lens)
+        first, number = self.add(flat, lens), np.full(len(new), -1)
+        number[rest] = first[place[: len(rest)]]
+        of_stem[of_stem == -2] = first[place[len(rest) :]]
+        if len(ends):
+            runs = np.stack([of_stem[stems.indices.to_numpy()], np.where(comma, self.marks[","], self.marks["."])], 1)
+            lens, starts = self.lens[runs], (np.cumsum(self.lens) - self.lens)[runs]
+            number[ends] = self.add([_runs(self.flat, starts.ravel(), lens.ravel())], lens.sum(1))
+        more = np.unique(place[len(rest) :])
+        more = more[more >= len(rest)]  # stems that aren't parts so far
+        self.names = pa.concat_arrays([self.names, new, spaced.take(pa.array(more))])
+        self.numbers = np.concatenate([self.numbers, number, first[more]])
+        return number
 
     def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the parts of all texts (each with the end id), and how many each text has."""
         texts = pc.fill_null(texts, "")
         split = pc.split_pattern(texts, " ")
-        words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = list(map(self.numbers.get, distinct))
-        if new := [c for c, k in zip(distinct, known, strict=True) if k is None]:
-            self.learn_parts(new)
-            known = [self.numbers[c] if k is None else k for c, k in zip(distinct, known, strict=True)]
-        number = np.array(known, np.int64)[words.indices.to_numpy()]
+        known = len(self.names)
+        words = pa.concat_arrays([self.names, split.flatten()]).dictionary_encode()  # the names are distinct, so they come first
+        number = self.numbers
+        if len(words.dictionary) > known:
+            number = np.concatenate([number, self.learn_parts(pa.concat_arrays([words.dictionary[known:]]))])
+        number = number[words.indices.to_numpy()[known:]]
         n = pc.list_value_length(split).to_numpy().astype(np.int64)
         start = np.cumsum(n) - n
         number[start] = 0
@@ -576,7 +596,8 @@ class Ids:
         keep[often[np.argsort(-self.seen[often], kind="stable")[: self.MEMO // 2]]] = True
         place = np.where(keep, np.cumsum(keep) - 1, -1)
         starts = np.cumsum(self.lens) - self.lens
-        self.numbers = {c: k for c, k in zip(self.numbers, place[list(self.numbers.values())].tolist(), strict=True) if k > 0}
+        stay = (self.numbers >= 0) & keep[self.numbers]
+        self.names, self.numbers = self.names.filter(pa.array(stay)), place[self.numbers[stay]]
         self.flat, self.lens, self.seen = _runs(self.flat, starts[keep], self.lens[keep]), self.lens[keep], self.seen[keep] >> 1
         self.most = max(self.MEMO, len(self.lens) + self.MEMO // 2)
         return [place[x] for x in held]
