@@ -112,7 +112,7 @@ def knn_graph(
     v, n = rows.select("id", "v"), rows.count()
     drawn = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(probes)  # for the recall only; every node is searched
     asked = given.join(F.broadcast(drawn), "id").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
-    sought = knn_batch(given, asked, most + 1, "id", "v").where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "rank")
+    sought = knn_batch(given, asked, most + 1, "id", "v", places=9).where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "rank")
     sought = cut(sought.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("rank"))).where(F.col("rank") <= most).drop("rank"))
 
     def found(best: DataFrame) -> float:

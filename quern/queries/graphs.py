@@ -69,7 +69,7 @@ def g5_similarity_graph(spark, sf_dir):
     """The graph of the ten most similar vectors by neighbour descent; recall of 0.9 or more against the exact lists of every node."""
     e = read(spark, sf_dir, "embeddings")
     near = neighbours.knn_graph(e, 10).select("src", "dst")
-    exact = vector.knn_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 11)
+    exact = vector.knn_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 11, places=9)
     exact = exact.where("query_id <> id AND rank <= 11").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
     found = exact.join(near.withColumn("found", F.lit(1)), ["src", "dst"], "left").agg((F.count("found") / F.count(F.lit(1))).alias("recall"))
     degree = near.groupBy("src").count().agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("nodes"))
