@@ -27,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .vector import matrix, query_blocks
+from .vector import PLACES, matrix, query_blocks
 
 Batches = Iterator[pa.RecordBatch]
 SAMPLE, ROUNDS, WORDS = 10_000, 8, 256
 #: Queries whose look-up tables a task holds at a time.
 TABLES = 128
-SLACK = 1e-6  # more than rounding of the estimate can lose
+SLACK = 2 * 10.0**-PLACES  # more than rounding of scores and of the estimate can lose
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -193,5 +193,5 @@ class IvfPq:
         both = near.join(vectors, ["list_id", "id"]).join(asked, "query_id")
         size = l2_norm(F.col("qv"))
         score = F.when(size > 1e-12, F.greatest(dot(F.col("v"), F.col("qv")) / size, F.lit(0.0))).otherwise(0.0)
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), "id")
         return both.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

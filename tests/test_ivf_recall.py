@@ -66,3 +66,12 @@ def test_short_list_is_made_once_from_decoded_vectors(spark, monkeypatch):
     tables = book.tables(x)
     told = (x @ book.centroids.T)[:, own] + sum(tables[:, j, code[:, j]] for j in range(3))
     assert np.allclose(x @ book.decode(own, code).T, told)
+
+
+def test_scores_equal_at_six_decimals_tie_by_id(spark, tmp_path):
+    """The SQL ranks by the score at six decimals: of vectors that differ beyond them the smallest ids are found."""
+    rows = [(i, [1.0, 1e-3 + 1e-6 * ((i * 7) % 40), 0.0, 0.0]) for i in range(40)] + [(i, [1.0, float(i), 1.0, 2.0]) for i in range(100, 160)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, vector array<double>")
+    index = ivfpq.IvfPq(spark, f"file://{tmp_path}/i").build(vectors, lists=5)
+    assert sorted((r["rank"], r.id) for r in index.search(queries, 5).collect()) == [(i + 1, i) for i in range(5)]
