@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import fts
+from quern.operators import fts, governance
 from quern.queries import QUERIES
 from quern.tables import read
 
@@ -50,3 +50,27 @@ def test_access_of_every_user_and_document(spark, sf_dir):
             department = d.p_brand if d.p_size % 7 else None
             want = d.p_size % 4 <= u.s_nationkey % 4 and (u.s_suppkey % 25 == 0 or department in own)
             assert pair[user[u.s_suppkey], doc[d.p_partkey]] == want
+
+
+def test_access_has_every_pair(spark, sf_dir):
+    """A row for every supplier and part that they may read, of all suppliers and all parts."""
+    got = [(r.user_id, r.doc_id) for r in QUERIES["p7_can_access"](spark, sf_dir).where("kind = 'access' AND allowed").collect()]
+    want = set()
+    for u in read(spark, sf_dir, "supplier").collect():
+        own = {None, f"Brand#{11 + u.s_suppkey % 3}", f"Brand#{21 + u.s_suppkey % 3}"}
+        for d in read(spark, sf_dir, "part").collect():
+            if d.p_size % 4 <= u.s_nationkey % 4 and (u.s_suppkey % 25 == 0 or (d.p_brand if d.p_size % 7 else None) in own):
+                want.add((u.s_suppkey, d.p_partkey))
+    assert len(got) == len(set(got)) == len(want) > 0 and set(got) == want
+
+
+def test_readable_of_odd_users_and_documents(spark):
+    """Missing departments, levels and roles; names that hold the sign between names; users that are broadcast and users that are dealt."""
+    users = [(1, ["a", "b"], 2, False), (2, ["a,b"], 2, False), (3, None, 2, False), (4, [], 1, True), (5, ["a", None], None, True), (6, ["b"], 0, None), (7, ["a", "b"], 2, False)]
+    docs = [(10 + i, d, lv) for i, (d, lv) in enumerate((d, lv) for d in ("a", "b", "a,b", "", None) for lv in (0, 1, 2, 3, None))]
+    u = spark.createDataFrame(users, "user_id long, departments array<string>, level int, is_admin boolean")
+    d = spark.createDataFrame(docs, "doc_id long, department string, access_level int")
+    want = {(i, k) for i, own, level, admin in users for k, name, lv in docs if None not in (level, lv) and lv <= level and (admin or name is None or name in (own or []))}
+    for most in (200_000, 0):
+        got = [tuple(r) for r in governance.readable(d, u, most).collect()]
+        assert len(got) == len(want) and set(got) == want
