@@ -66,7 +66,7 @@ def j7_edges(spark, sf_dir):
 
 @query("SELECT count(*) AS nodes, true AS recall_reached, true AS degree_bounded FROM embeddings")
 def g5_similarity_graph(spark, sf_dir):
-    """The graph of the ten most similar vectors by neighbour descent; recall of 0.9 or more against the exact lists of every node."""
+    """The graph of the ten most similar vectors by cells and neighbour descent; recall of 0.9 or more against the exact lists of every node."""
     e = read(spark, sf_dir, "embeddings")
     near = neighbours.knn_graph(e, 10).select("src", "dst")
     exact = vector.knn_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 11, places=9)

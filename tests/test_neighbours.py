@@ -59,3 +59,40 @@ def test_every_link_follows_from_one_row_a_document(spark):
         assert r.n_same_directory == sum(i != j and d is not None and d == e for j, e, *_ in rows)
         assert (r.category, r.language) == (k and f"topic-{k}", lang and f"entity-{lang.replace(' ', '_')}")
     assert graph.similarity_edges(nodes.limit(0)).count() == 0
+
+
+def _exact(x, k):
+    """The ``k`` nearest of each row by cosine at nine decimals, then place."""
+    s = np.round((unit := x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T, 9)
+    np.fill_diagonal(s, -2)
+    return {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:k]}
+
+
+def test_few_bytes_a_node_are_shuffled(spark):
+    """A node's vector travels some times a cell; it once went to some fifty hubs a round, 55 kB a node on this table."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    before = written()
+    assert neighbours.knn_graph(e, 10).groupBy("src").count().where("count = 10").count() == 2000
+    assert written() - before < 2000 * 5000
+
+
+def test_few_cells_are_followed_by_descent(spark, monkeypatch):
+    """Where the cells that may be asked hold too little, rounds go on until the recall is reached."""
+    x = np.random.default_rng(4).normal(size=(400, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    turns, real = [], neighbours._compare
+    monkeypatch.setattr(neighbours, "_compare", lambda *a: turns.append(1) or real(*a))
+    got = {(r.src, r.dst) for r in neighbours.knn_graph(vectors, 5, width=5, reverse=3, rounds=2, cell=20, cells=2).collect()}
+    assert len(_exact(x, 5) & got) >= 0.9 * len(x) * 5 == 0.9 * len(got) and turns
+
+
+def test_large_cells_are_cut_into_blocks(spark):
+    """Many copies in one cell, asked by all, with names as ids; all cells asked, so the lists are exact, ties by id."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile(rng.normal(size=6), (150, 1)), rng.normal(size=(90, 6))])[rng.permutation(240)].astype(np.float32)
+    vectors = spark.createDataFrame([(f"n{i:03}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<float>").repartition(3)
+    got = {(int(r.src[1:]), int(r.dst[1:])) for r in neighbours.knn_graph(vectors, 4, cell=40, recall=1.0).collect()}
+    assert got == _exact(x.astype(np.float64), 4)
+    assert neighbours.knn_graph(vectors.limit(0), 4).count() == 0
+    assert sorted((r.src, r.dst) for r in neighbours.knn_graph(vectors.limit(2), 4).collect()) == sorted((a.vec_id, b.vec_id) for a in vectors.limit(2).collect() for b in vectors.limit(2).collect() if a != b)
